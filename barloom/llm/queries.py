@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, warc
+from . import chat, mixing, simhash, substring, warc
 
 
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op6_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+
+
+def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     rows = mixing.with_copies(documents).withColumn("size", mixing.n_words(F.col("text")))
@@ -27,6 +35,8 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_snapshots": op2_chat_snapshots,
+    "op6_substring_repeats": op6_substring_repeats,
+    "op7_simhash_components": op7_simhash_components,
     "op8_source_mix": op8_source_mix,
     "op9_warc_roundtrip": op9_warc_roundtrip,
 }
