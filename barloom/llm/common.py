@@ -68,6 +68,11 @@ def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(task, schema)
 
 
+def columns_of(df: DataFrame) -> str:
+    """df's columns, as a schema for map_batches."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

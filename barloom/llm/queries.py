@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, simhash, substring, warc
+from . import chat, langid, mixing, simhash, substring, warc
 
 
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,17 @@ def op9_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_snapshots": op2_chat_snapshots,
     "op6_substring_repeats": op6_substring_repeats,
     "op7_simhash_components": op7_simhash_components,
     "op8_source_mix": op8_source_mix,
     "op9_warc_roundtrip": op9_warc_roundtrip,
+    "op10_ppm_language": op10_ppm_language,
 }
 
 ORACLES: dict[str, str] = {

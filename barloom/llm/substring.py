@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, flat, map_batches, window_hashes, word_hashes, word_spans
+from .common import blocks, columns_of, cut, flat, map_batches, window_hashes, word_hashes, word_spans
 
 #: Words in a window that counts as a repeat, and in a seed.
 SPAN, SEED = 20, 6
@@ -185,4 +185,4 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) ->
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
     changed = cut(repeats(documents, span, seed).where("n_removed > 0").select("doc_id", F.col("spans").alias("_spans")).dropDuplicates(["doc_id"]), "spans")
     joined = rows.join(_small(changed, "1 + size(_spans)"), "doc_id", "left").select(*documents.columns, "_spans")
-    return map_batches(joined, _without, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields))
+    return map_batches(joined, _without, columns_of(rows))
