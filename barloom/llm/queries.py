@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, simhash, substring, warc
+from . import bpe, chat, langid, mixing, simhash, substring, warc
 
 
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of a public tokenizer's file; the operators themselves take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("byte_bpe_50k.json")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    encoded = bpe.encode(documents, path).drop("text")
+    return bpe.digests(bpe.decode(encoded, path))
+
+
 def op6_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
@@ -39,6 +53,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_snapshots": op2_chat_snapshots,
+    "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op6_substring_repeats": op6_substring_repeats,
     "op7_simhash_components": op7_simhash_components,
     "op8_source_mix": op8_source_mix,
