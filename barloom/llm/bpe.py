@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -27,7 +28,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 STRETCH = regex.compile(r"\s*\S+|\s+")
 SHORT = 32
 #: Stretches and words that a task remembers before it starts anew.
-REMEMBER = 300_000
+REMEMBER = 800_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -71,23 +72,21 @@ class Vocabulary:
     def merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after another, number of ids of each)."""
         sizes = np.array([len(w) for w in words], np.int64)
-        counts = np.zeros(len(words), np.int64)
-        parts: list[np.ndarray | None] = [None] * len(words)
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
         short = order[sizes[order] <= SHORT]
-        for k in order[len(short) :]:
-            parts[k] = self._long(words[k])
-            counts[k] = len(parts[k])
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)]
+        counts = np.zeros(len(words), np.int64)
         for a in range(0, len(short), 4096):
             rows = short[a : a + 4096]
-            ids, n = self._short(b"".join([words[k] for k in rows]), sizes[rows])
-            ends = np.cumsum(n)
-            counts[rows] = n
-            for k, p in zip(rows.tolist(), np.split(ids, ends[:-1]), strict=True):
-                parts[k] = p
-        flat_ids = [p for p in parts if p is not None]
-        return np.concatenate(flat_ids) if flat_ids else np.zeros(0, np.int32), counts
+            ids, counts[rows] = self._short(b"".join([words[k] for k in rows.tolist()]), sizes[rows])
+            parts.append(ids)
+        for k in order[len(short) :].tolist():
+            parts.append(self._long(words[k]))
+            counts[k] = len(parts[-1])
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return gathered(np.concatenate(parts), starts, counts), counts
 
     def _short(self, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width = int(sizes[-1])
@@ -268,6 +267,12 @@ class Encoder:
         return self.exact.get(self.exact.index(keys))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(text: str) -> Encoder:
+    """The encoder that the tasks of one worker share, with what it remembers."""
+    return Encoder(Vocabulary(text))
+
+
 def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     """documents with ids (array<int>) and n_tokens; tokenizer is the path of a byte-level vocabulary file (JSON).
 
@@ -277,7 +282,7 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(shared.value))
+        encoder = encoder_of(shared.value)
         for batch in batches:
             column = batch.column("text")
             _, offsets = flat(column)
@@ -295,7 +300,7 @@ def decode(encoded: DataFrame, tokenizer: str, to: str = "decoded") -> DataFrame
     shared = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = encoder_of(shared.value).vocabulary
         for batch in batches:
             column = batch.column("ids")
             sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)

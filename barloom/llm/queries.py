@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, simhash, substring, warc
+from . import bpe, chat, langid, mixing, simhash, substring, token_files, warc
 
 
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = token_files.write_tokens(documents, tokenizer_file("word_bpe_49k.json"))
+    return token_files.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
@@ -54,6 +60,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_snapshots": op2_chat_snapshots,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op5_token_planes": op5_token_planes,
     "op6_substring_repeats": op6_substring_repeats,
     "op7_simhash_components": op7_simhash_components,
     "op8_source_mix": op8_source_mix,
