@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, simhash, substring, token_files, warc
+from . import bpe, chat, langid, mixing, neighbors, quality, simhash, substring, token_files, warc
+
+
+def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,10 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+def op4_multiprobe_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = token_files.write_tokens(documents, tokenizer_file("word_bpe_49k.json"))
@@ -58,8 +66,10 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_llr_quality": op1_llr_quality,
     "op2_chat_snapshots": op2_chat_snapshots,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_multiprobe_neighbors": op4_multiprobe_neighbors,
     "op5_token_planes": op5_token_planes,
     "op6_substring_repeats": op6_substring_repeats,
     "op7_simhash_components": op7_simhash_components,
