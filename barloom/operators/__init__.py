@@ -1,0 +1 @@
+"""Operators on long frames keyed by (ticker, dt)."""

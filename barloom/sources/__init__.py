@@ -1,0 +1 @@
+"""Sources on long frames keyed by (ticker, dt)."""
