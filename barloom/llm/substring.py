@@ -108,58 +108,79 @@ def runs(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch], span: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """From a document's marks and the windows of it that stay: what is removed and the digest of what is kept."""
+    """From a document's marks and the windows of it that stay: what is removed."""
     for batch in batches:
-        data, offsets = flat(batch.column("text"))
-        rows: dict[str, list] = {"doc_id": batch.column("doc_id").to_pylist(), "n_removed": [], "digest": [], "spans": []}
-        for r in range(batch.num_rows):
-            words = data[offsets[r] : offsets[r + 1]].tobytes().split()
-            starts = _candidates(len(words), np.asarray(batch.column("marks")[r].as_py(), np.int64), span, seed)
-            repeats = np.setdiff1d(starts, np.asarray(batch.column("stay")[r].as_py() or [], np.int64))
-            gone = removed_words(len(words), repeats, span)
-            rows["n_removed"].append(int(gone.sum()))
-            rows["digest"].append(hashlib.sha256(b" ".join(compress(words, ~gone))).digest())
-            rows["spans"].append([{"start": a, "end": b} for a, b in runs(gone)])
+        rows: dict[str, list] = {"doc_id": batch.column("doc_id").to_pylist(), "n_removed": [], "spans": []}
+        for n, marks, stay in zip(*(batch.column(c).to_pylist() for c in ("n_words", "marks", "stay")), strict=True):
+            repeats = np.setdiff1d(_candidates(n, np.asarray(marks, np.int64), span, seed), np.asarray(stay or [], np.int64))
+            gone = runs(removed_words(n, repeats, span))
+            rows["n_removed"].append(sum(b - a for a, b in gone))
+            rows["spans"].append([{"start": a, "end": b} for a, b in gone])
         yield pa.RecordBatch.from_pydict(rows, _SETTLED)
 
 
+def _kept(text: bytes, spans: list[dict]) -> bytes:
+    words = text.split()
+    keep = np.ones(len(words), bool)
+    for s in spans:
+        keep[s["start"] : s["end"]] = False
+    return b" ".join(compress(words, keep))
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = flat(batch.column("text"))
+        found = [hashlib.sha256(_kept(data[at[r] : at[r + 1]].tobytes(), spans)).digest() for r, spans in enumerate(batch.column("spans").to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_removed"), pa.array(found, pa.binary()), batch.column("spans")], names=["doc_id", "n_removed", "kept", "spans"])
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_SETTLED = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("digest", pa.binary()), ("spans", _SPANS)])
+_SETTLED = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("spans", _SPANS)])
+_SPANS_SQL = "spans array<struct<start:int,end:int>>"
 
 
-def _small(df: DataFrame, weight: str = "1") -> DataFrame:
-    """df, marked for broadcast if the sum of weight over its rows is within BROADCAST_ROWS."""
-    n = df.agg(F.sum(F.expr(weight))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its rows are within BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, spans: the words that windows found earlier cover, as maximal runs.
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    Earlier: in a document of smaller doc_id, or further ahead in the same one. Null text has no words. Rows that repeat
-    a doc_id are one document; rows without doc_id lose nothing and count for nothing. Other columns take no part.
-    """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def _found(documents: DataFrame, span: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(a sketch of every document; doc_id, n_words of later copies of whole documents; doc_id, n_removed, spans of others that lose words)."""
+    texts = _texts(documents)
     sketches = cut(map_batches(texts, lambda x: _sketch(x, span, seed), "doc_id long, n_words long, digest binary, hashes array<long>, positions array<int>"), "sketches")
 
     long_ones = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= span)).select("doc_id", "n_words", "digest")
-    firsts = long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(long_ones.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
     copies = cut(long_ones.join(firsts, "digest").where("doc_id > first").select("doc_id", "n_words").distinct(), "copies")
-    copies_only = _small(copies.select("doc_id"))
 
-    anchored = sketches.where(F.col("doc_id").isNotNull()).join(copies_only, "doc_id", "left_anti")
+    anchored = sketches.where(F.col("doc_id").isNotNull()).join(_small(copies.select("doc_id")), "doc_id", "left_anti")
     anchors = anchored.select("doc_id", F.explode(F.arrays_zip("hashes", "positions")).alias("a")).select("doc_id", F.col("a.hashes").alias("h"), F.col("a.positions").alias("pos"))
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    marks = anchors.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("marks"))
-    marks = cut(marks, "marks")
-    marked = cut(texts.join(_small(marks, "size(marks)"), "doc_id"), "marked")
+    # A table of its own, so that the join below may split the anchors of a frequent hash.
+    repeated = cut(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-anchors")
+    marks = cut(anchors.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("pos").alias("marks")), "marks")
 
-    windows = map_batches(marked, lambda x: _windows(x, span, seed), "h long, g int, doc_id long, pos int")
+    windows = map_batches(texts.join(marks, "doc_id"), lambda x: _windows(x, span, seed), "h long, g int, doc_id long, pos int")
     stay = windows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("first.*").groupBy("doc_id").agg(F.collect_list("pos").alias("stay"))
-    settled = map_batches(marked.join(stay, "doc_id", "left"), lambda x: _settle(x, span, seed), "doc_id long, n_removed long, digest binary, spans array<struct<start:int,end:int>>")
+    sizes = sketches.select("doc_id", "n_words").dropDuplicates(["doc_id"])
+    settled = map_batches(marks.join(sizes, "doc_id").join(stay, "doc_id", "left"), lambda x: _settle(x, span, seed), f"doc_id long, n_removed long, {_SPANS_SQL}")
+    return sketches, copies, settled.where("n_removed > 0")
+
+
+def repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, spans: the words that windows found earlier cover, as maximal runs.
+
+    Earlier: in a document of smaller doc_id, or further ahead in the same one. Null text has no words. Rows that repeat
+    a doc_id are one document; rows without doc_id lose nothing and count for nothing. Other columns take no part.
+    """
+    sketches, copies, settled = _found(documents, span, seed)
+    digests = map_batches(_texts(documents).join(settled, "doc_id"), _digest, f"doc_id long, n_removed long, kept binary, {_SPANS_SQL}")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
-    gone = copies.select("doc_id", F.col("n_words").alias("n_removed"), F.unhex(F.lit(EMPTY)).alias("digest"), whole.alias("spans"))
-    changed = settled.where("n_removed > 0").dropDuplicates(["doc_id"]).unionByName(gone).withColumnRenamed("digest", "kept")
+    gone = copies.select("doc_id", F.col("n_words").alias("n_removed"), F.unhex(F.lit(EMPTY)).alias("kept"), whole.alias("spans"))
+    changed = digests.dropDuplicates(["doc_id"]).unionByName(gone)
     return sketches.select("doc_id", "n_words", "digest").join(changed, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.lower(F.hex(F.coalesce("kept", "digest"))).alias("kept_sha256"), "spans"
     )
@@ -170,11 +191,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
         for r, cuts in enumerate(spans):
             if cuts:
-                words = (texts[r] or "").encode().split()
-                keep = np.ones(len(words), bool)
-                for c in cuts:
-                    keep[c["start"] : c["end"]] = False
-                texts[r] = b" ".join(compress(words, keep)).decode()
+                texts[r] = _kept((texts[r] or "").encode(), cuts).decode()
         k = batch.schema.get_field_index("text")
         done = batch.set_column(k, "text", pa.array(texts, batch.schema.field(k).type))
         yield done.drop_columns(["_spans"])
@@ -183,6 +200,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
     """documents with the repeats taken out of text; what is kept has one space between words. Other texts stay as they are."""
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    changed = cut(repeats(documents, span, seed).where("n_removed > 0").select("doc_id", F.col("spans").alias("_spans")).dropDuplicates(["doc_id"]), "spans")
-    joined = rows.join(_small(changed, "1 + size(_spans)"), "doc_id", "left").select(*documents.columns, "_spans")
+    _, copies, settled = _found(documents, span, seed)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    changed = settled.select("doc_id", "spans").unionByName(copies.select("doc_id", whole.alias("spans"))).withColumnRenamed("spans", "_spans")
+    joined = rows.join(changed, "doc_id", "left").select(*documents.columns, "_spans")
     return map_batches(joined, _without, columns_of(rows))
