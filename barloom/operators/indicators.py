@@ -9,13 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
 from ..functions.windows import ORDER, ema, full, last, prev, ratio, running, sma
 
 #: The moving averages.
@@ -332,61 +329,3 @@ def stc(b):
 def returns(b):
     first = F.first("close").over(ORDER.rowsBetween(W.unboundedPreceding, 0))
     return b.withColumns({"daily_return": 100 * (ratio(C, prev("close")) - 1), "log_return": F.log(ratio(C, prev("close"))), "cum_return": 100 * (ratio(C, first) - 1)})
-
-
-def _kama(close: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    out, (a, b) = np.full(len(close), np.nan), (2 / (fast + 1), 2 / (slow + 1))
-    moves = np.abs(np.diff(close, prepend=close[:1]))
-    value = close[n - 1] if len(close) >= n else np.nan
-    for t in range(n - 1, len(close)):
-        if t >= n:
-            path = moves[t - n + 1 : t + 1].sum()
-            e = abs(close[t] - close[t - n]) / path if path else 0.0
-            value += (e * (a - b) + b) ** 2 * (close[t] - value)
-        out[t] = value
-    return out
-
-
-def _psar(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
-    """(stop, rising) of the parabolic stop-and-reverse rule."""
-    stop, rising = np.full(len(high), np.nan), np.ones(len(high), bool)
-    if not len(high):
-        return stop, rising
-    up, sar, extreme, a = True, low[0], high[0], step
-    stop[0] = sar
-    for t in range(1, len(high)):
-        sar += a * (extreme - sar)
-        sar = min(sar, *low[max(0, t - 2) : t]) if up else max(sar, *high[max(0, t - 2) : t])
-        if (up and low[t] < sar) or (not up and high[t] > sar):
-            up, sar, a = not up, extreme, step
-            extreme = high[t] if up else low[t]
-        elif (up and high[t] > extreme) or (not up and low[t] < extreme):
-            extreme, a = (high[t] if up else low[t]), min(most, a + step)
-        stop[t], rising[t] = sar, up
-    return stop, rising
-
-
-def kama(bars: DataFrame) -> DataFrame:
-    """kama: the adaptive mean, whose state depends on its whole path; one ordered pass per ticker."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        return pdf.assign(kama=_kama(pdf["close"].to_numpy(float)))
-
-    ship(bars.sparkSession)
-    return bars.select("ticker", "dt", "close").groupBy("ticker").applyInPandas(one, "ticker string, dt date, close double, kama double")
-
-
-def psar(bars: DataFrame) -> DataFrame:
-    """psar_up, psar_down, psar_up_flag, psar_down_flag (1 where the stop turns); one ordered pass per ticker."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        stop, up = _psar(pdf["high"].to_numpy(float), pdf["low"].to_numpy(float))
-        turned = np.concatenate(([False], up[1:] != up[:-1])) if len(up) else up
-        return pd.DataFrame(
-            {"ticker": pdf["ticker"], "dt": pdf["dt"], "psar_up": np.where(up, stop, np.nan), "psar_down": np.where(up, np.nan, stop), "psar_up_flag": (turned & up).astype(int), "psar_down_flag": (turned & ~up).astype(int)}
-        )
-
-    ship(bars.sparkSession)
-    return bars.select("ticker", "dt", "high", "low").groupBy("ticker").applyInPandas(one, "ticker string, dt date, psar_up double, psar_down double, psar_up_flag int, psar_down_flag int")

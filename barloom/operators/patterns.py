@@ -84,8 +84,12 @@ def trendline(bars: DataFrame, n: int = 2, prefix: str = "trend_") -> DataFrame:
     before = ORDER.rowsBetween(-n, -1)
     bars = bars.withColumn("_i", (F.row_number().over(ORDER) - 1).cast("double"))
     enough = F.count("close").over(before) == n
-    slope = F.when(enough, F.regr_slope("close", "_i").over(before)).otherwise(0.0)
-    start = F.when(enough, F.regr_intercept("close", "_i").over(before)).otherwise(0.0)
+    if n == 2:  # through two points, without the rounding of sums
+        rise = prev("close") - prev("close", 2)
+        line = (rise, prev("close", 2) - rise * (F.col("_i") - 2))
+    else:
+        line = (F.regr_slope("close", "_i").over(before), F.regr_intercept("close", "_i").over(before))
+    slope, start = (F.when(enough, x).otherwise(0.0) for x in line)
     bars = bars.withColumns({f"{prefix}slope": slope, f"{prefix}intercept": start})
     line = F.col(f"{prefix}slope") * F.col("_i") + F.col(f"{prefix}intercept")
     bars = bars.withColumns({f"{prefix}support": F.when(F.col(f"{prefix}slope") > 0, line), f"{prefix}resistance": F.when(F.col(f"{prefix}slope") < 0, line)})

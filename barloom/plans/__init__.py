@@ -1,6 +1,6 @@
 """Registered queries, by chapter; each module adds to the registry what it defines."""
 
-from . import indicators
+from . import indicators, panel, patterns
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "indicators"]
+__all__ = ["ORACLES", "QUERIES", "indicators", "panel", "patterns"]

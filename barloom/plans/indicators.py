@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import memory
 from ..operators import indicators as ind
+from ..operators import path_indicators
 from .fixtures import bars_daily, on_bars, rolling
 from .registry import query
 
@@ -179,12 +180,12 @@ def ma_cross(spark, sf_dir):
 
 @query("ind_kama")
 def kama(spark, sf_dir):
-    return ind.kama(bars_daily(spark, sf_dir))
+    return path_indicators.kama(bars_daily(spark, sf_dir))
 
 
 @query("ind_psar")
 def psar(spark, sf_dir):
-    return ind.psar(bars_daily(spark, sf_dir))
+    return path_indicators.psar(bars_daily(spark, sf_dir))
 
 
 #: Indicators of windows alone; those of exponential means come one by one, as ind_*.
