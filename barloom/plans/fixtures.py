@@ -68,9 +68,9 @@ def scores_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     clip = lambda p: F.round(F.greatest(F.least(F.coalesce(p, F.lit(0.5)), F.lit(1 - 1e-6)), F.lit(1e-6)), 6)
     m3 = F.round(F.coalesce(F.col("r"), F.lit(0.0)), 1)
     models = F.array(
-        F.struct(F.lit("m1").alias("model"), clip(1 / (1 + F.exp(-F.col("z")))).alias("p")),
-        F.struct(F.lit("m2").alias("model"), clip(F.col("q")).alias("p")),
-        F.struct(F.lit("m3").alias("model"), clip(1 / (1 + F.exp(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), m3))))).alias("p")),
+        F.named_struct(F.lit("model"), F.lit("m1"), F.lit("p"), clip(1 / (1 + F.exp(-F.col("z"))))),
+        F.named_struct(F.lit("model"), F.lit("m2"), F.lit("p"), clip(F.col("q"))),
+        F.named_struct(F.lit("model"), F.lit("m3"), F.lit("p"), clip(1 / (1 + F.exp(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), m3)))))),
     )
     both = F.array(F.struct(F.lit("down").alias("target"), F.col("target_down").alias("label")), F.struct(F.lit("up").alias("target"), F.col("target_up").alias("label")))
     rows = rows.select("dt", "ticker", F.explode(both).alias("t"), models.alias("models"))
