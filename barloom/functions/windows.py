@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("ticker").orderBy("dt")
+def order() -> WindowSpec:
+    """The window of all operators: a ticker's rows by date. A function, since windows need a session."""
+    return W.partitionBy("ticker").orderBy("dt")
+
+
+def before() -> WindowSpec:
+    return order().rowsBetween(W.unboundedPreceding, 0)
+
+
+def after() -> WindowSpec:
+    return order().rowsBetween(0, W.unboundedFollowing)
 
 
 def col(x: str | Column) -> Column:
@@ -17,7 +27,7 @@ def col(x: str | Column) -> Column:
 
 def last(n: int):
     """The frame of the last n rows, this one included."""
-    return ORDER.rowsBetween(-(n - 1), 0)
+    return order().rowsBetween(-(n - 1), 0)
 
 
 def full(f, x: str | Column, n: int) -> Column:
@@ -30,16 +40,16 @@ def sma(x: str | Column, n: int) -> Column:
 
 
 def prev(x: str | Column, k: int = 1) -> Column:
-    return F.lag(col(x), k).over(ORDER)
+    return F.lag(col(x), k).over(order())
 
 
 def following(x: str | Column, k: int = 1) -> Column:
-    return F.lead(col(x), k).over(ORDER)
+    return F.lead(col(x), k).over(order())
 
 
 def running(x: Column) -> Column:
     """The sum of x from the first row to this one."""
-    return F.sum(x).over(ORDER.rowsBetween(W.unboundedPreceding, 0))
+    return F.sum(x).over(before())
 
 
 def memory(alpha: float, tolerance: float = 1e-14) -> int:
@@ -60,3 +70,19 @@ def ema(x: str | Column, n: int | None = None, alpha: float | None = None) -> Co
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0."""
     return a / F.when(b != 0, b)
+
+
+def C() -> Column:  # noqa: N802
+    return F.col("close")
+
+
+def H() -> Column:  # noqa: N802
+    return F.col("high")
+
+
+def L() -> Column:  # noqa: N802
+    return F.col("low")
+
+
+def V() -> Column:  # noqa: N802
+    return F.col("volume")

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("ticker").orderBy("dt")
-BEFORE = ORDER.rowsBetween(W.unboundedPreceding, 0)
-AFTER = ORDER.rowsBetween(0, W.unboundedFollowing)
+from ..functions.windows import after, before, order
 
 
 def align_calendar(bars: DataFrame) -> DataFrame:
@@ -20,7 +17,7 @@ def align_calendar(bars: DataFrame) -> DataFrame:
     calendar = bars.agg(F.sort_array(F.collect_set("dt")).alias("days"))
     grid = bars.select("ticker").distinct().join(F.broadcast(calendar), F.lit(True)).select("ticker", F.explode("days").alias("dt"))
     fields = [c for c in bars.columns if c not in ("ticker", "dt")]
-    return grid.join(bars, ["ticker", "dt"], "left").select("ticker", "dt", *(F.last(c, ignorenulls=True).over(BEFORE).alias(c) for c in fields))
+    return grid.join(bars, ["ticker", "dt"], "left").select("ticker", "dt", *(F.last(c, ignorenulls=True).over(before()).alias(c) for c in fields))
 
 
 def finite(x: Column) -> Column:
@@ -31,8 +28,8 @@ def finite(x: Column) -> Column:
 def fill_gaps(df: DataFrame, columns: list[str], backward: bool = True) -> DataFrame:
     """Infinite to null, then the last value before, then (if backward) the next one after, then 0."""
     df = df.withColumns({c: finite(F.col(c).cast("double")) for c in columns})
-    ahead = lambda c: [F.first(c, ignorenulls=True).over(AFTER)] if backward else []
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(BEFORE), *ahead(c), F.lit(0.0)) for c in columns})
+    ahead = lambda c: [F.first(c, ignorenulls=True).over(after())] if backward else []
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(before()), *ahead(c), F.lit(0.0)) for c in columns})
 
 
 def compact_types(df: DataFrame, keys: tuple[str, ...] = ("ticker", "dt")) -> DataFrame:
@@ -42,7 +39,7 @@ def compact_types(df: DataFrame, keys: tuple[str, ...] = ("ticker", "dt")) -> Da
 
 
 def shift_features(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    return df.withColumns({c: F.lag(c, rows).over(ORDER) for c in columns}) if rows else df
+    return df.withColumns({c: F.lag(c, rows).over(order()) for c in columns}) if rows else df
 
 
 def stack_long(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,7 +75,7 @@ def align_columns(df: DataFrame, expected: list[str], keys: tuple[str, ...] = ("
 
 
 def pct_change(x: str = "close") -> Column:
-    before = F.lag(x).over(ORDER)
+    before = F.lag(x).over(order())
     return F.col(x) / F.when(before != 0, before) - 1
 
 

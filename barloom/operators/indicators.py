@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import ORDER, ema, full, last, prev, ratio, running, sma
+from ..functions.windows import C, H, L, V, order, ema, full, last, prev, ratio, running, sma
 
 #: The moving averages.
 AVERAGES = (1, 2, 5, 10, 15, 20, 25, 50, 100)
-C, H, L, V = (F.col(x) for x in ("close", "high", "low", "volume"))
 INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -48,11 +47,11 @@ def add_crosses(bars: DataFrame, periods: tuple[int, ...] = AVERAGES) -> DataFra
 
 
 def true_range() -> Column:
-    return F.greatest(H - L, F.abs(H - prev("close")), F.abs(L - prev("close")))
+    return F.greatest(H() - L(), F.abs(H() - prev("close")), F.abs(L() - prev("close")))
 
 
 def typical() -> Column:
-    return (H + L + C) / 3
+    return (H() + L() + C()) / 3
 
 
 @indicator("ema_12")
@@ -92,13 +91,13 @@ def trix(b):
 
 @indicator("tsi")
 def tsi(b):
-    b = b.withColumn("_d", C - prev("close"))
+    b = b.withColumn("_d", C() - prev("close"))
     b = b.withColumns({"_a": ema("_d", 25), "_b": ema(F.abs("_d"), 25)})
     return b.withColumn("tsi", 100 * ratio(ema("_a", 13), ema("_b", 13))).drop("_d", "_a", "_b")
 
 
 def _with_rsi(b: DataFrame, n: int = 14) -> DataFrame:
-    b = b.withColumn("_d", C - prev("close"))
+    b = b.withColumn("_d", C() - prev("close"))
     b = b.withColumns({"_g": ema(F.greatest("_d", F.lit(0.0)) + 0 * F.col("_d"), alpha=1 / n), "_l": ema(F.greatest(-F.col("_d"), F.lit(0.0)) + 0 * F.col("_d"), alpha=1 / n)})
     return b.withColumn("rsi", 100 * ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_d", "_g", "_l")
 
@@ -120,30 +119,30 @@ def stoch_rsi(b):
 @indicator("stoch_k", "stoch_d")
 def stochastic(b):
     lo, hi = full(F.min, "low", 14), full(F.max, "high", 14)
-    b = b.withColumn("stoch_k", 100 * ratio(C - lo, hi - lo))
+    b = b.withColumn("stoch_k", 100 * ratio(C() - lo, hi - lo))
     return b.withColumn("stoch_d", sma("stoch_k", 3))
 
 
 @indicator("williams_r")
 def williams_r(b):
     lo, hi = full(F.min, "low", 14), full(F.max, "high", 14)
-    return b.withColumn("williams_r", -100 * ratio(hi - C, hi - lo))
+    return b.withColumn("williams_r", -100 * ratio(hi - C(), hi - lo))
 
 
 @indicator("roc")
 def roc(b):
-    return b.withColumn("roc", 100 * (ratio(C, prev("close", 12)) - 1))
+    return b.withColumn("roc", 100 * (ratio(C(), prev("close", 12)) - 1))
 
 
 @indicator("ao")
 def ao(b):
-    return b.withColumn("ao", sma((H + L) / 2, 5) - sma((H + L) / 2, 34))
+    return b.withColumn("ao", sma((H() + L()) / 2, 5) - sma((H() + L()) / 2, 34))
 
 
 @indicator("uo")
 def uo(b):
-    low = F.least(L, prev("close"))
-    b = b.withColumns({"_bp": C - low, "_tr": F.greatest(H, prev("close")) - low})
+    low = F.least(L(), prev("close"))
+    b = b.withColumns({"_bp": C() - low, "_tr": F.greatest(H(), prev("close")) - low})
     part = lambda n: ratio(full(F.sum, "_bp", n), full(F.sum, "_tr", n))
     return b.withColumn("uo", 100 * (4 * part(7) + 2 * part(14) + part(28)) / 7).drop("_bp", "_tr")
 
@@ -155,16 +154,16 @@ def bollinger(b):
     return b.withColumns(
         {
             "bb_w": 100 * ratio(F.col("bb_h") - F.col("bb_l"), F.col("bb_m")),
-            "bb_p": ratio(C - F.col("bb_l"), F.col("bb_h") - F.col("bb_l")),
-            "bb_hi": F.coalesce(C > F.col("bb_h"), F.lit(False)).cast("int"),
-            "bb_li": F.coalesce(C < F.col("bb_l"), F.lit(False)).cast("int"),
+            "bb_p": ratio(C() - F.col("bb_l"), F.col("bb_h") - F.col("bb_l")),
+            "bb_hi": F.coalesce(C() > F.col("bb_h"), F.lit(False)).cast("int"),
+            "bb_li": F.coalesce(C() < F.col("bb_l"), F.lit(False)).cast("int"),
         }
     ).drop("_s")
 
 
 @indicator("kc_m", "kc_h", "kc_l")
 def keltner(b):
-    b = b.withColumns({"kc_m": sma(typical(), 10), "_r": sma(H - L, 10)})
+    b = b.withColumns({"kc_m": sma(typical(), 10), "_r": sma(H() - L(), 10)})
     return b.withColumns({"kc_h": F.col("kc_m") + F.col("_r"), "kc_l": F.col("kc_m") - F.col("_r")}).drop("_r")
 
 
@@ -172,7 +171,7 @@ def keltner(b):
 def donchian(b):
     b = b.withColumns({"dc_h": full(F.max, "high", 20), "dc_l": full(F.min, "low", 20)})
     h, l = F.col("dc_h"), F.col("dc_l")  # noqa: E741
-    return b.withColumns({"dc_m": (h + l) / 2, "dc_w": 100 * ratio(h - l, sma("close", 20)), "dc_p": ratio(C - l, h - l)})
+    return b.withColumns({"dc_m": (h + l) / 2, "dc_w": 100 * ratio(h - l, sma("close", 20)), "dc_p": ratio(C() - l, h - l)})
 
 
 @indicator("true_range", "atr")
@@ -184,18 +183,18 @@ def atr(b):
 @indicator("ulcer")
 def ulcer(b):
     top = full(F.max, "close", 14)
-    b = b.withColumn("_d", F.pow(100 * ratio(C - top, top), 2))
+    b = b.withColumn("_d", F.pow(100 * ratio(C() - top, top), 2))
     return b.withColumn("ulcer", F.sqrt(sma("_d", 14))).drop("_d")
 
 
 @indicator("obv")
 def obv(b):
-    b = b.withColumn("_s", F.coalesce(F.signum(C - prev("close")), F.lit(0.0)) * V)
+    b = b.withColumn("_s", F.coalesce(F.signum(C() - prev("close")), F.lit(0.0)) * V())
     return b.withColumn("obv", running(F.col("_s"))).drop("_s")
 
 
 def _flow() -> Column:
-    return F.coalesce(ratio((C - L) - (H - C), H - L), F.lit(0.0)) * V
+    return F.coalesce(ratio((C() - L()) - (H() - C()), H() - L()), F.lit(0.0)) * V()
 
 
 @indicator("adi")
@@ -205,38 +204,38 @@ def adi(b):
 
 @indicator("cmf")
 def cmf(b):
-    return b.withColumn("cmf", ratio(full(F.sum, _flow(), 20), full(F.sum, V, 20)))
+    return b.withColumn("cmf", ratio(full(F.sum, _flow(), 20), full(F.sum, V(), 20)))
 
 
 @indicator("force_index")
 def force_index(b):
-    b = b.withColumn("_f", (C - prev("close")) * V)
+    b = b.withColumn("_f", (C() - prev("close")) * V())
     return b.withColumn("force_index", ema("_f", 13)).drop("_f")
 
 
 @indicator("eom", "eom_sma")
 def eom(b):
-    b = b.withColumn("_m", (H + L) / 2)
-    b = b.withColumn("eom", ratio((F.col("_m") - prev("_m")) * (H - L), V)).drop("_m")
+    b = b.withColumn("_m", (H() + L()) / 2)
+    b = b.withColumn("eom", ratio((F.col("_m") - prev("_m")) * (H() - L()), V())).drop("_m")
     return b.withColumn("eom_sma", sma("eom", 14))
 
 
 @indicator("vpt")
 def vpt(b):
-    b = b.withColumn("_x", F.coalesce(V * (ratio(C, prev("close")) - 1), F.lit(0.0)))
+    b = b.withColumn("_x", F.coalesce(V() * (ratio(C(), prev("close")) - 1), F.lit(0.0)))
     return b.withColumn("vpt", running(F.col("_x"))).drop("_x")
 
 
 @indicator("vwap")
 def vwap(b):
-    return b.withColumn("vwap", ratio(full(F.sum, typical() * V, 14), full(F.sum, V, 14)))
+    return b.withColumn("vwap", ratio(full(F.sum, typical() * V(), 14), full(F.sum, V(), 14)))
 
 
 @indicator("mfi")
 def mfi(b):
     b = b.withColumn("_tp", typical())
     b = b.withColumn("_ch", F.col("_tp") - prev("_tp"))
-    flow = F.col("_tp") * V
+    flow = F.col("_tp") * V()
     b = b.withColumns({"_up": F.when(F.col("_ch") > 0, flow).when(F.col("_ch").isNotNull(), 0.0), "_dn": F.when(F.col("_ch") < 0, flow).when(F.col("_ch").isNotNull(), 0.0)})
     up, down = full(F.sum, "_up", 14), full(F.sum, "_dn", 14)
     return b.withColumn("mfi", 100 * ratio(up, up + down)).drop("_tp", "_ch", "_up", "_dn")
@@ -244,13 +243,13 @@ def mfi(b):
 
 @indicator("nvi")
 def nvi(b):
-    b = b.withColumn("_g", F.when(V < prev("volume"), F.log(ratio(C, prev("close")))).otherwise(0.0))
+    b = b.withColumn("_g", F.when(V() < prev("volume"), F.log(ratio(C(), prev("close")))).otherwise(0.0))
     return b.withColumn("nvi", 1000 * F.exp(running(F.col("_g")))).drop("_g")
 
 
 @indicator("vortex_pos", "vortex_neg", "vortex_diff")
 def vortex(b):
-    b = b.withColumns({"_tr": true_range() + 0 * prev("close"), "_p": F.abs(H - prev("low")), "_n": F.abs(L - prev("high"))})
+    b = b.withColumns({"_tr": true_range() + 0 * prev("close"), "_p": F.abs(H() - prev("low")), "_n": F.abs(L() - prev("high"))})
     tr = full(F.sum, "_tr", 14)
     b = b.withColumns({"vortex_pos": ratio(full(F.sum, "_p", 14), tr), "vortex_neg": ratio(full(F.sum, "_n", 14), tr)})
     return b.withColumn("vortex_diff", F.col("vortex_pos") - F.col("vortex_neg")).drop("_tr", "_p", "_n")
@@ -258,7 +257,7 @@ def vortex(b):
 
 @indicator("mass_index")
 def mass_index(b):
-    b = b.withColumn("_e1", ema(H - L, 9))
+    b = b.withColumn("_e1", ema(H() - L(), 9))
     b = b.withColumn("_e2", ema("_e1", 9))
     b = b.withColumn("_r", ratio(F.col("_e1"), F.col("_e2")))
     return b.withColumn("mass_index", full(F.sum, "_r", 25)).drop("_e1", "_e2", "_r")
@@ -271,7 +270,7 @@ def dpo(b):
 
 @indicator("kst", "kst_sig")
 def kst(b):
-    b = b.withColumns({f"_r{n}": 100 * (ratio(C, prev("close", n)) - 1) for n in (10, 15, 20, 30)})
+    b = b.withColumns({f"_r{n}": 100 * (ratio(C(), prev("close", n)) - 1) for n in (10, 15, 20, 30)})
     b = b.withColumn("kst", sma("_r10", 10) + 2 * sma("_r15", 10) + 3 * sma("_r20", 10) + 4 * sma("_r30", 15))
     return b.withColumn("kst_sig", sma("kst", 9)).drop("_r10", "_r15", "_r20", "_r30")
 
@@ -293,7 +292,7 @@ def cci(b):
 
 @indicator("adx", "adx_pos", "adx_neg")
 def adx(b):
-    up, down = H - prev("high"), prev("low") - L
+    up, down = H() - prev("high"), prev("low") - L()
     b = b.withColumns({"_p": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0), "_n": F.when((down > up) & (down > 0), down).when(up.isNotNull(), 0.0), "_tr": true_range() + 0 * prev("close")})
     b = b.withColumns({"_a": ema("_tr", alpha=1 / 14), "_p": ema("_p", alpha=1 / 14), "_n": ema("_n", alpha=1 / 14)})
     b = b.withColumns({"adx_pos": 100 * ratio(F.col("_p"), F.col("_a")), "adx_neg": 100 * ratio(F.col("_n"), F.col("_a"))})
@@ -304,7 +303,7 @@ def adx(b):
 @indicator("aroon_up", "aroon_down", "aroon_diff")
 def aroon(b):
     n = 25
-    b = b.withColumn("_i", F.row_number().over(ORDER))
+    b = b.withColumn("_i", F.row_number().over(order()))
     w = last(n)
     since = lambda at: 100 * (n - (F.col("_i") - at)) / F.lit(float(n))
     enough = F.count("*").over(w) == n
@@ -327,5 +326,5 @@ def stc(b):
 
 @indicator("daily_return", "log_return", "cum_return")
 def returns(b):
-    first = F.first("close").over(ORDER.rowsBetween(W.unboundedPreceding, 0))
-    return b.withColumns({"daily_return": 100 * (ratio(C, prev("close")) - 1), "log_return": F.log(ratio(C, prev("close"))), "cum_return": 100 * (ratio(C, first) - 1)})
+    first = F.first("close").over(order().rowsBetween(W.unboundedPreceding, 0))
+    return b.withColumns({"daily_return": 100 * (ratio(C(), prev("close")) - 1), "log_return": F.log(ratio(C(), prev("close"))), "cum_return": 100 * (ratio(C(), first) - 1)})

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ORDER = W.partitionBy("ticker").orderBy("dt")
+from ..functions.windows import order
 
 
 def targets(bars: DataFrame, horizon: int = 90, up: float = 0.20, down: float = -0.05, truncate: bool = True) -> DataFrame:
@@ -14,7 +13,7 @@ def targets(bars: DataFrame, horizon: int = 90, up: float = 0.20, down: float =
 
     Truncated at the end of history, where fewer rows are left; with truncate=False such rows get null.
     """
-    ahead = ORDER.rowsBetween(1, horizon)
+    ahead = order().rowsBetween(1, horizon)
     hit = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     enough = F.lit(True) if truncate else F.count("*").over(ahead) == horizon
     return bars.withColumns(
@@ -27,7 +26,7 @@ def targets(bars: DataFrame, horizon: int = 90, up: float = 0.20, down: float =
 
 def hit_rows(bars: DataFrame, horizon: int, up: float, down: float) -> DataFrame:
     """up_row, down_row: how many rows ahead High first reaches, and Low first falls to, the threshold; 0 for never."""
-    ahead = ORDER.rowsBetween(1, horizon)
+    ahead = order().rowsBetween(1, horizon)
     at = lambda values, met: F.coalesce(F.array_position(F.transform(values, met), F.lit(True)), F.lit(0))
     rows = bars.withColumns({"_h": F.collect_list("high").over(ahead), "_l": F.collect_list("low").over(ahead)})
     return rows.withColumns(
@@ -50,7 +49,7 @@ def path_aware(bars: DataFrame, horizon: int = 30, up: float = 0.15, down: float
 
 def best_entry_sale(bars: DataFrame, horizon: int = 90) -> DataFrame:
     """target_best_entry, target_best_sale: the least Low and greatest High from today to horizon rows ahead."""
-    ahead = ORDER.rowsBetween(0, horizon)
+    ahead = order().rowsBetween(0, horizon)
     return bars.withColumns({"target_best_entry": F.min("low").over(ahead), "target_best_sale": F.max("high").over(ahead)})
 
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import ORDER, following, full, prev
-
-H, L, C = (F.col(x) for x in ("high", "low", "close"))
+from ..functions.windows import C, H, L, following, full, order, prev
 
 
 def _mark(up: Column, down: Column) -> Column:
@@ -23,8 +21,8 @@ def _ranges(bars: DataFrame, n: int, prefix: str) -> tuple[DataFrame, Column, Co
 def head_shoulder(bars: DataFrame, n: int = 3, prefix: str = "hs_") -> DataFrame:
     """Looks one row ahead, so shift it by a row before it feeds a model."""
     bars, top, low = _ranges(bars, n, prefix)
-    up = (top > prev("high")) & (top > following("high")) & (H < prev("high")) & (H < following("high"))
-    down = (low < prev("low")) & (low < following("low")) & (L > prev("low")) & (L > following("low"))
+    up = (top > prev("high")) & (top > following("high")) & (H() < prev("high")) & (H() < following("high"))
+    down = (low < prev("low")) & (low < following("low")) & (L() > prev("low")) & (L() > following("low"))
     return bars.withColumn(f"{prefix}pattern", _mark(up, down))
 
 
@@ -40,18 +38,18 @@ def support_resistance(bars: DataFrame, n: int = 3, prefix: str = "sr_") -> Data
     support = full(F.avg, "low", n) - 2 * full(F.stddev_samp, "low", n)
     resistance = full(F.avg, "high", n) + 2 * full(F.stddev_samp, "high", n)
     bars = bars.withColumns({f"{prefix}support": support, f"{prefix}resistance": resistance})
-    return bars.withColumns({f"{prefix}support_diff": C - F.col(f"{prefix}support"), f"{prefix}resistance_diff": F.col(f"{prefix}resistance") - C})
+    return bars.withColumns({f"{prefix}support_diff": C() - F.col(f"{prefix}support"), f"{prefix}resistance_diff": F.col(f"{prefix}resistance") - C()})
 
 
 def triangle(bars: DataFrame, n: int = 3, prefix: str = "tri_") -> DataFrame:
     bars, top, low = _ranges(bars, n, prefix)
-    up = (top >= prev("high")) & (low <= prev("low")) & (C > prev("close"))
-    down = (top <= prev("high")) & (low >= prev("low")) & (C < prev("close"))
+    up = (top >= prev("high")) & (low <= prev("low")) & (C() > prev("close"))
+    down = (top <= prev("high")) & (low >= prev("low")) & (C() < prev("close"))
     return bars.withColumn(f"{prefix}pattern", _mark(up, down))
 
 
 def _wedge(top: Column, low: Column, n: int) -> tuple[Column, Column]:
-    high_trend, low_trend = F.signum(H - prev("high", n - 1)), F.signum(L - prev("low", n - 1))
+    high_trend, low_trend = F.signum(H() - prev("high", n - 1)), F.signum(L() - prev("low", n - 1))
     up = (top >= prev("high")) & (low <= prev("low")) & (high_trend == 1) & (low_trend == 1)
     down = (top <= prev("high")) & (low >= prev("low")) & (high_trend == -1) & (low_trend == -1)
     return up, down
@@ -74,15 +72,15 @@ def double_top_bottom(bars: DataFrame, n: int = 3, prefix: str = "dbl_", thresho
     bars, top, low = _ranges(bars, n, prefix)
     near = lambda at: (at("high") - at("low")) <= threshold * (at("high") + at("low")) / 2
     both = near(prev) & near(following)
-    up = (top >= prev("high")) & (top >= following("high")) & (H < prev("high")) & (H < following("high")) & both
-    down = (low <= prev("low")) & (low <= following("low")) & (L > prev("low")) & (L > following("low")) & both
+    up = (top >= prev("high")) & (top >= following("high")) & (H() < prev("high")) & (H() < following("high")) & both
+    down = (low <= prev("low")) & (low <= following("low")) & (L() > prev("low")) & (L() > following("low")) & both
     return bars.withColumn(f"{prefix}pattern", _mark(up, down))
 
 
 def trendline(bars: DataFrame, n: int = 2, prefix: str = "trend_") -> DataFrame:
     """Least squares of close on the row number over the n rows before this one, drawn on to this row."""
-    before = ORDER.rowsBetween(-n, -1)
-    bars = bars.withColumn("_i", (F.row_number().over(ORDER) - 1).cast("double"))
+    before = order().rowsBetween(-n, -1)
+    bars = bars.withColumn("_i", (F.row_number().over(order()) - 1).cast("double"))
     enough = F.count("close").over(before) == n
     if n == 2:  # through two points, without the rounding of sums
         rise = prev("close") - prev("close", 2)
@@ -93,7 +91,7 @@ def trendline(bars: DataFrame, n: int = 2, prefix: str = "trend_") -> DataFrame:
     bars = bars.withColumns({f"{prefix}slope": slope, f"{prefix}intercept": start})
     line = F.col(f"{prefix}slope") * F.col("_i") + F.col(f"{prefix}intercept")
     bars = bars.withColumns({f"{prefix}support": F.when(F.col(f"{prefix}slope") > 0, line), f"{prefix}resistance": F.when(F.col(f"{prefix}slope") < 0, line)})
-    return bars.withColumns({f"{prefix}support_diff": C - F.col(f"{prefix}support"), f"{prefix}resistance_diff": F.col(f"{prefix}resistance") - C}).drop("_i")
+    return bars.withColumns({f"{prefix}support_diff": C() - F.col(f"{prefix}support"), f"{prefix}resistance_diff": F.col(f"{prefix}resistance") - C()}).drop("_i")
 
 
 PATTERNS = {

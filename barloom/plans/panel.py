@@ -201,7 +201,7 @@ def last_n_dates(spark, sf_dir):
 @query("concat_axis1", on_bars(f"select ticker, dt, close, lag(close) {O} as before, volume from bars"))
 def concat_axis1(spark, sf_dir):
     b = bars_daily(spark, sf_dir)
-    return b.select("ticker", "dt", "close").join(b.select("ticker", "dt", F.lag("close").over(fill.ORDER).alias("before"), "volume"), ["ticker", "dt"])
+    return b.select("ticker", "dt", "close").join(b.select("ticker", "dt", F.lag("close").over(fill.order()).alias("before"), "volume"), ["ticker", "dt"])
 
 
 @query("concat_axis0", on_bars("select ticker, dt, close, volume from bars where ticker in ('Brand#11', 'Brand#23')"))
@@ -251,5 +251,5 @@ def close_fill_window(spark, sf_dir):
     near = b.join(F.broadcast(span), (F.col("dt") >= F.col("a")) & (F.col("dt") < F.col("b"))).drop("a", "b")
     calendar = near.agg(F.collect_set("dt").alias("days"))
     grid = b.select("ticker").distinct().join(F.broadcast(calendar), F.lit(True)).select("ticker", F.explode("days").alias("dt"))
-    filled = grid.join(near, ["ticker", "dt"], "left").withColumn("close", F.coalesce(F.last("close", True).over(fill.BEFORE), F.first("close", True).over(fill.AFTER)))
+    filled = grid.join(near, ["ticker", "dt"], "left").withColumn("close", F.coalesce(F.last("close", True).over(fill.before()), F.first("close", True).over(fill.after())))
     return filled.join(F.broadcast(days), "dt", "left_semi").select("ticker", "dt", "close")

@@ -81,7 +81,7 @@ _ALL = [f"{p}pattern" for p, *_ in _MASKS.values()]
 def patterns_all(spark, sf_dir):
     """Every pattern, shifted by one row as it would feed a model."""
     rows = pat.all_patterns(bars_daily(spark, sf_dir))
-    return rows.select("ticker", "dt", *(F.lag(c).over(pat.ORDER).alias(c) for c in _ALL))
+    return rows.select("ticker", "dt", *(F.lag(c).over(pat.order()).alias(c) for c in _ALL))
 
 
 def _targets_sql(up: float, down: float, horizon: int) -> str:
