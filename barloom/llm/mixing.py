@@ -51,24 +51,29 @@ def coin(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _mixed(documents: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """documents with _mix: source_size, target and copies."""
+    targets = cut(targets, "targets")
+    right = targets.select(F.col("source").alias("_of"), F.struct("source_size", "target", "rate").alias("_source"))
+    if targets.count() <= BROADCAST_SOURCES:
+        right = F.broadcast(right)
+    joined = documents.join(right, F.col("source").eqNullSafe(F.col("_of")))
+    rate = F.col("_source.rate")
+    copies = F.floor(rate) + (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    return joined.select(*documents.columns, F.struct("_source.source_size", "_source.target", copies.alias("copies")).alias("_mix"))
+
+
 def with_copies(documents: DataFrame, targets: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """documents with source_size, target and copies: floor(rate), and one more with probability rate - floor(rate).
 
     Null text has size 0; rows that repeat a doc_id share its coin. Columns of documents that are called like those
     added here are replaced. Rows with a null source take the targets of the source null.
     """
-    targets = cut(source_targets(documents) if targets is None else targets, "targets")
-    rows = documents.drop("source_size", "target", "rate", "copies")
-    right = targets.withColumnRenamed("source", "source_of_target")
-    if targets.count() <= BROADCAST_SOURCES:
-        right = F.broadcast(right)
-    joined = rows.join(right, F.col("source").eqNullSafe(F.col("source_of_target")))
-    whole = F.floor("rate")
-    copies = (whole + (coin(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")).alias("copies")
-    return joined.select(*rows.columns, "source_size", "target", copies)
+    rows = documents.drop("source_size", "target", "copies")
+    return _mixed(rows, source_targets(documents) if targets is None else targets, seed).select(*rows.columns, "_mix.*")
 
 
 def mix(documents: DataFrame, seed: int = 0) -> DataFrame:
     """The mixed corpus: each document as often as with_copies says, columns as before."""
-    rows = with_copies(documents, seed=seed).where("copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*documents.columns)
+    rows = _mixed(documents, source_targets(documents), seed).where("_mix.copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select(*documents.columns)

@@ -29,6 +29,16 @@ def test_encoder_agrees_with_whole_texts(texts):
     assert n.tolist() == [len(w) for w in want]
 
 
+def test_words_by_merges():
+    assert ENCODER.merges is not None
+    rng = random.Random(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCéèçñßÄØŒſµªº")
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 12))) + rng.choice(["", ",", ".", "..", "!", "'s"]) for _ in range(4000)] + ["x" * 40, "İx", "The.", "a", ".", ","]
+    for k in range(0, len(words), 50):
+        text = " ".join(words[k : k + 50])
+        assert ENCODER.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_special_tokens_and_forgetting(monkeypatch):
     monkeypatch.setattr(token_files, "REMEMBER", 2)
     for t in ["a <|startoftext|> b<|endoftext|>c", "It's  5 o'clock\n\nΣΑΣ ΣΑΣ.", "x " * 50]:
