@@ -62,10 +62,10 @@ _TREND = f""", t as (
   select *, row_number() {O} - 1 as i, lag(close) {O} as c1, lag(close, 2) {O} as c2 from bars),
 l as (select *, coalesce(c1 - c2, 0) as slope, case when c2 is null then 0 else c2 - (c1 - c2) * (i - 2) end as start from t),
 y as (select *, slope * i + start as line from l)
-select ticker, dt, round(slope, 3) as trend_slope, round(start, 1) as trend_intercept, round(case when slope > 0 then line end, 2) as trend_support,
+select ticker, dt, round(slope, 2) as trend_slope, round(start, 2) as trend_intercept, round(case when slope > 0 then line end, 2) as trend_support,
   round(case when slope < 0 then line end, 2) as trend_resistance, round(close - case when slope > 0 then line end, 2) as trend_support_diff,
   round(case when slope < 0 then line end - close, 2) as trend_resistance_diff from y"""
-_TREND_DIGITS = {"trend_slope": 3, "trend_intercept": 1, "trend_support": 2, "trend_resistance": 2, "trend_support_diff": 2, "trend_resistance_diff": 2}
+_TREND_DIGITS = {"trend_slope": 2, "trend_intercept": 2, "trend_support": 2, "trend_resistance": 2, "trend_support_diff": 2, "trend_resistance_diff": 2}
 
 
 @query("trendline", on_bars(_TREND.replace("then line end - close", "then line - close end").replace("close - case when slope > 0 then line end", "case when slope > 0 then close - line end")))
