@@ -28,7 +28,7 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 STRETCH = regex.compile(r"\s*\S+|\s+")
 SHORT = 32
 #: Stretches and words that a task remembers before it starts anew.
-REMEMBER = 800_000
+REMEMBER = 400_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -53,7 +53,9 @@ class Vocabulary:
             self.bytes[k] = bytes(byte_of[c] for c in token) if token not in self.special else token.encode()
         for token, k in self.special.items():
             self.bytes[k] = token.encode()
-        self.of_byte = np.array([ids[c] for _, c in sorted(letters_of_bytes().items())], np.int32)
+        suffix = data["model"].get("end_of_word_suffix") or ""
+        letters = [c for _, c in sorted(letters_of_bytes().items())]
+        self.of_byte, self.of_last = (np.array([ids.get(c + end, -1) for c in letters], np.int32) for end in ("", suffix))
         merges = [m if isinstance(m, list) else m.split(" ") for m in data["model"]["merges"]]
         keys = np.array([ids[a] << 32 | ids[b] for a, b in merges], np.int64)
         made = np.array([ids[a + b] for a, b in merges], np.int32)
@@ -92,7 +94,9 @@ class Vocabulary:
         width = int(sizes[-1])
         columns = np.arange(width)
         parts = np.zeros((len(sizes), width), np.int32)
-        parts[columns < sizes[:, None]] = self.of_byte[np.frombuffer(data, np.uint8)]
+        raw = np.frombuffer(data, np.uint8)
+        parts[columns < sizes[:, None]] = self.of_byte[raw]
+        parts[np.arange(len(sizes)), sizes - 1] = self.of_last[raw[np.cumsum(sizes) - 1]]
         ranks = np.full((len(sizes), width), _NONE, np.int32)
         pairs = columns[1:] < sizes[:, None]
         ranks[:, :-1][pairs] = self.rank(parts[:, :-1][pairs], parts[:, 1:][pairs])
@@ -124,7 +128,7 @@ class Vocabulary:
 
     def _long(self, word: bytes) -> np.ndarray:
         ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
+        n, ids[-1] = len(ids), int(self.of_last[word[-1]])
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         first = self.rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
         heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(first) if r < _NONE]
@@ -273,10 +277,26 @@ def encoder_of(text: str) -> Encoder:
     return Encoder(Vocabulary(text))
 
 
-def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
+def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _texts(vocabulary: Vocabulary, ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The texts that runs of n ids spell. Bytes that aren't UTF-8 become U+FFFD."""
+    ids = ids.astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(vocabulary.sizes[ids])))[np.concatenate(([0], np.cumsum(n)))]
+    spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(vocabulary.spelled(ids))])
+    try:
+        return spelled.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode(errors="replace") for x in spelled.to_pylist()], pa.string())
+
+
+def encode(documents: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     """documents with ids (array<int>) and n_tokens; tokenizer is the path of a byte-level vocabulary file (JSON).
 
-    Null text counts as empty and has no ids. Columns called ids or n_tokens are replaced; rows may repeat.
+    Null text counts as empty and has no ids. Columns called ids or n_tokens are replaced; rows may repeat. With decoded,
+    text becomes what the ids spell, in the same pass.
     """
     rows = documents.drop("ids", "n_tokens")
     shared = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
@@ -284,18 +304,21 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value)
         for batch in batches:
-            column = batch.column("text")
-            _, offsets = flat(column)
-            for i, j in blocks(offsets, 1 << 20):
-                ids, n = encoder.encode([x or "" for x in column[i:j].to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lists, pa.array(n)], names=[*batch.schema.names, "ids", "n_tokens"])
+            place = batch.schema.get_field_index("text")
+            _, offsets = flat(batch.column(place))
+            for i, j in blocks(offsets, 1 << 19):
+                part = batch.slice(i, j - i)
+                ids, n = encoder.encode([x or "" for x in part.column(place).to_pylist()])
+                columns = part.columns
+                if decoded:
+                    columns[place] = _texts(encoder.vocabulary, ids, n)
+                yield pa.RecordBatch.from_arrays([*columns, _lists(ids, n), pa.array(n)], names=[*batch.schema.names, "ids", "n_tokens"])
 
     return map_batches(rows, task, f"{columns_of(rows)}, ids array<int>, n_tokens long")
 
 
 def decode(encoded: DataFrame, tokenizer: str, to: str = "decoded") -> DataFrame:
-    """encoded with column `to`: the text that column ids spells. Bytes that aren't UTF-8 become U+FFFD; null ids give null."""
+    """encoded with column `to`: the text that column ids spells; null ids give null."""
     rows = encoded.drop(to)
     shared = encoded.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
 
@@ -304,25 +327,18 @@ def decode(encoded: DataFrame, tokenizer: str, to: str = "decoded") -> DataFrame
         for batch in batches:
             column = batch.column("ids")
             sizes = np.asarray(column.value_lengths().fill_null(0), np.int64)
-            for i, j in blocks(np.concatenate(([0], np.cumsum(sizes))), 1 << 19):
+            for i, j in blocks(np.concatenate(([0], np.cumsum(sizes))), 1 << 18):
                 some = column[i:j]
-                ids = np.asarray(some.flatten(), np.int64)
-                ends = np.concatenate(([0], np.cumsum(vocabulary.sizes[ids])))[np.concatenate(([0], np.cumsum(sizes[i:j])))]
-                data = vocabulary.spelled(ids)
-                spelled = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                try:
-                    texts = spelled.cast(pa.large_string())
-                except pa.ArrowInvalid:
-                    texts = pa.array([x.decode(errors="replace") for x in spelled.to_pylist()], pa.large_string())
+                texts = _texts(vocabulary, np.asarray(some.flatten(), np.int64), sizes[i:j])
                 if some.null_count:
-                    texts = pa.array([t if ok else None for t, ok in zip(texts.to_pylist(), some.is_valid().to_pylist(), strict=True)], pa.large_string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, texts.cast(pa.string())], names=[*batch.schema.names, to])
+                    texts = pa.array([t if ok else None for t, ok in zip(texts.to_pylist(), some.is_valid().to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, texts], names=[*batch.schema.names, to])
 
     return map_batches(rows, task, f"{columns_of(rows)}, `{to}` string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids, in decimal with commas, and of the decoded text."""
+    """doc_id, n_tokens, and SHA-256 of the ids, in decimal with commas, and of the decoded text in column text."""
     return encoded.select(
-        "doc_id", "n_tokens", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+        "doc_id", "n_tokens", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")
     )

@@ -14,6 +14,8 @@ from ..functions.shipping import ship
 
 #: A word, as a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: The bytes that separate words.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -46,8 +48,14 @@ def cut(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand on the executors."""
+    """df.mapInArrow with this package at hand on the executors.
+
+    Texts are long, so where the session has Spark's default of 10,000 rows an Arrow batch, it gets BATCH_ROWS: several
+    copies of a batch exist at once in the JVM and in Python.
+    """
     ship(df.sparkSession)
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(task, schema)
 
 
@@ -68,7 +76,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
 
 
-def blocks(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows with about `limit` bytes each; a longer row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -117,7 +125,7 @@ _tables: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, from its bytes alone."""
     if len(_tables[0]) < len(text) + 1:
-        n = max(1 << 21, len(text)) + 1
+        n = max(1 << 19, len(text)) + 1
         _tables[:] = [_powers(_BASE, n), _powers(_BACK, n)]
     run = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_BYTE[text] * _tables[0][: len(text)], out=run[1:])

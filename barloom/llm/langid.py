@@ -23,11 +23,11 @@ ORDER = 3
 #: most so many characters; these bounds hold whatever the size of the table. More languages than the last are an error.
 SAMPLE, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 200
 #: Contexts of full length kept in the model, the most frequent first; MODEL_BYTES bounds the table of costs.
-MAX_CONTEXTS, MODEL_BYTES = 40_000, 1 << 27
+MAX_CONTEXTS, MODEL_BYTES = 24_000, 1 << 26
 #: What stands before the first byte of a text.
 PAD = 0x0A
 UNKNOWN = "und"
-_STEP = 1 << 19
+_STEP = 1 << 17
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

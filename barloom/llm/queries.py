@@ -28,8 +28,7 @@ def tokenizer_file(name: str) -> str:
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_50k.json")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    encoded = bpe.encode(documents, path).drop("text")
-    return bpe.digests(bpe.decode(encoded, path))
+    return bpe.digests(bpe.encode(documents, path, decoded=True))
 
 
 def op4_multiprobe_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
