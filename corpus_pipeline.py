@@ -35,8 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and the text that the ids decode to."""
     path = tokenizer_file("byte_bpe_50k.json")
-    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), path).drop("text")
-    return bpe.decode(encoded, path, "text").select("doc_id", "lang", "source", "n_tokens", "ids", "text")
+    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), path, decoded=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "text")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
