@@ -14,6 +14,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Pool
+from .bpe import Pool, Vocabulary
 from .common import blocks, cut, flat, map_batches, scratch
 
 MAGIC = b"IDPLANE1"
@@ -122,10 +123,12 @@ def read_file(source) -> Iterator[tuple[int | None, int, np.ndarray]]:
 
 
 class LibraryEncoder:
-    """Encodes texts with the tokenizers library, one call for each distinct word that a worker meets.
+    """Encodes texts as the tokenizers library does, each distinct word that a worker meets once.
 
     The tokenizer must drop white space and treat words apart, as word-level byte-pair encodings do; then a text's ids are
-    those of the stretches between its spaces and newlines.
+    those of the stretches between its spaces and newlines. Words of Latin letters, with a comma or full stop after them
+    or not, need no more of it than lower case and merges; those are done many at a time, provided that the library gives
+    the same ids for words made from its own vocabulary. All others go through the library.
     """
 
     def __init__(self, text: str):
@@ -136,6 +139,39 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.pool = Pool()
+        self.merges: Vocabulary | None = None
+        if json.loads(text)["model"].get("end_of_word_suffix"):
+            self.merges = Vocabulary(text)
+            self.marks = {c: self._by_library([c]) for c in ",."}
+            tokens = [t.removesuffix("</w>") for t in sorted(self.library.get_vocab())]
+            sample = [a.title() + b + c for a, b, c in zip(tokens[::23], tokens[7::23], ["", ",", "."] * len(tokens), strict=False) if self._stem(a.title() + b + c)]
+            mine, theirs = self._by_merges(sample, [self._stem(w) for w in sample]), self._by_library(sample)
+            if not sample or not all(np.array_equal(x, y) for x, y in zip(mine, theirs, strict=True)):
+                self.merges = None
+
+    def _stem(self, word: str) -> str:
+        """The word in lower case without its comma or full stop, if merges alone are enough for it, else nothing."""
+        stem = word[:-1] if word[-1:] in (",", ".") else word
+        if self.merges is None or not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
+            return ""
+        low = stem.lower()
+        return low if len(low) == len(stem) else ""
+
+    def _by_library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+    def _by_merges(self, words: list[str], stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = self.merges.merged([s.encode() for s in stems])
+        last = np.array([w[-1] for w in words])
+        ends = np.cumsum(sizes)
+        for mark, (mark_ids, _) in self.marks.items():
+            at = np.flatnonzero(last == mark)
+            ids = np.insert(ids, np.repeat(ends[at], len(mark_ids)), np.tile(mark_ids, len(at)))
+            sizes = sizes + np.where(last == mark, len(mark_ids), 0)
+            ends = np.cumsum(sizes)
+        return ids, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
@@ -143,11 +179,13 @@ class LibraryEncoder:
             self.pool = Pool()
         cut_up = [t.replace("\n", " ").split(" ") for t in texts]
         words = [w for c in cut_up for w in c]
-        new = list(set(words).difference(self.pool.at))
+        new = set(words).difference(self.pool.at)
         if new:
-            found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.pool.add(new, np.fromiter((k for x in found for k in x), np.int32, int(sizes.sum())), sizes)
+            plain = {w: s for w in new if (s := self._stem(w))}
+            if plain:
+                self.pool.add(list(plain), *self._by_merges(list(plain), list(plain.values())))
+            rest = [w for w in new if w not in plain]
+            self.pool.add(rest, *self._by_library(rest))
         index = self.pool.index(words)
         total = np.concatenate(([0], np.cumsum(self.pool.sizes[index])))
         ends = np.cumsum(np.array([len(c) for c in cut_up], np.int64))
