@@ -24,6 +24,8 @@ from .common import blocks, columns_of, cut, flat, map_batches, window_hashes, w
 SPAN, SEED = 20, 6
 #: Up to so many ids or positions (some 20 bytes each), a table of them is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Up to so many documents and spans together (some 50 bytes each), what is to be cut out of texts is broadcast.
+BROADCAST_SPANS = 500_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -203,5 +205,7 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) ->
     _, copies, settled = _found(documents, span, seed)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     changed = settled.select("doc_id", "spans").unionByName(copies.select("doc_id", whole.alias("spans"))).withColumnRenamed("spans", "_spans")
-    joined = rows.join(changed, "doc_id", "left").select(*documents.columns, "_spans")
+    changed = cut(changed, "spans")
+    n = changed.agg(F.sum(F.size("_spans") + 1)).first()[0] or 0
+    joined = rows.join(F.broadcast(changed) if n <= BROADCAST_SPANS else changed, "doc_id", "left").select(*documents.columns, "_spans")
     return map_batches(joined, _without, columns_of(rows))

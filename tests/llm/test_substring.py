@@ -60,10 +60,12 @@ def test_null_ids_repeated_rows_and_no_rows(docs):
     assert substring.repeats(docs([])).collect() == []
 
 
-def test_removal_from_texts(docs):
+def test_removal_from_texts(docs, monkeypatch):
     text = " ".join(map(str, range(30)))
     rows = [(1, text), (2, f"x  y\n{text} z"), (3, "a  b")]
     df = docs(rows, extra=["spans"])
-    out = substring.remove_repeats(df)
-    assert out.columns == df.columns
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: text, 2: "x y z", 3: "a  b"}
+    for limit in (substring.BROADCAST_SPANS, -1):
+        monkeypatch.setattr(substring, "BROADCAST_SPANS", limit)
+        out = substring.remove_repeats(df)
+        assert out.columns == df.columns
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: text, 2: "x y z", 3: "a  b"}
