@@ -23,7 +23,7 @@ from .common import by_key, cut, group_bounds, map_batches, mixed
 
 TABLES, WIDTH, SEED = 8, 2.0, 11
 #: Vectors, and queries, that meet in one shard; one that holds more than twice as many is split.
-SHARD = 4096
+SHARD = 32_768
 #: Up to so many shards, the table of those to split is broadcast (some 40 bytes each).
 BROADCAST_SHARDS = 500_000
 _POINT = "shard long, query boolean, point long, keys array<long>, vector array<double>"
@@ -147,8 +147,9 @@ def _scored(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
             vectors, queries = rows.filter(pa.array(~asks)), rows.filter(pa.array(asks))
             x, ids = _matrix(vectors.column("vector").combine_chunks()), vectors.column("point").to_numpy()
             held, code = np.unique(vectors.column("keys").combine_chunks().flatten().to_numpy(), return_inverse=True)  # a shard is of one table
-            for q in range(0, queries.num_rows, 256):
-                some = queries.slice(q, 256).combine_chunks()
+            chunk = max(16, (1 << 21) // max(1, len(x)))
+            for q in range(0, queries.num_rows, chunk):
+                some = queries.slice(q, chunk).combine_chunks()
                 y, asked = _matrix(some.column("vector").combine_chunks()), some.column("keys").combine_chunks()
                 wanted = asked.flatten().to_numpy()
                 at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
@@ -156,11 +157,9 @@ def _scored(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
                 visits = np.zeros((len(y), len(held)), bool)
                 visits[np.repeat(np.arange(len(y)), np.asarray(asked.value_lengths()))[hit], at[hit]] = True
                 score = np.where(visits[:, code], y @ x.T, -np.inf)
-                width = min(keep + 4, len(x))
-                best = np.argpartition(-score, width - 1, axis=1)[:, :width] if width < len(x) else np.tile(np.arange(len(x)), (len(y), 1))
-                i, j = np.repeat(np.arange(len(y)), best.shape[1]), best.reshape(-1)
-                real = np.isfinite(score[i, j])
-                i, j = i[real], j[real]
+                least = np.partition(score, len(x) - min(keep, len(x)), axis=1)[:, len(x) - min(keep, len(x))]
+                # The best `keep`, and whatever ties with the last of them.
+                i, j = np.nonzero(np.isfinite(score) & (score >= np.where(np.isfinite(least), least - 1e-9 * np.maximum(1, np.abs(least)), -np.inf)[:, None]))
                 exact = (y[i] * x[j]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some.column("point").to_numpy()[i]), pa.array(ids[j]), pa.array(exact)], names=["query", "point", "score"]
@@ -209,9 +208,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     split = split.select(cell.alias("shard"), "query", "point", "keys", "vector").repartition("shard").sortWithinPartitions("shard")
     found = map_batches(split, lambda b: _scored(b, k + 1), "query long, point long, score double")
     pairs = found.groupBy("query", "point").agg(F.max("score").alias("score"))
-    pairs = pairs.join(points.select("point", "ids"), "point").withColumn("least", F.element_at("ids", 1))
-    best = W.partitionBy("query").orderBy(F.desc("score"), "least")
-    pairs = pairs.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).select("query", "score", F.explode("ids").alias("vec_id"))
+    best = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
+    pairs = pairs.withColumn("nth", best).where(F.col("nth") <= k + 1).join(points.select("point", "ids"), "point")
+    pairs = pairs.select("query", "score", F.explode("ids").alias("vec_id"))
     answers = asked.join(pairs, "query").where("query_id <> vec_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
