@@ -3,6 +3,8 @@
 Vectors are scaled by the largest norm and lifted onto the unit sphere by one more component, so that the largest inner
 product is the least Euclidean distance. Each of TABLES tables cuts `depth` Gaussian projections into cells of WIDTH; a
 query visits its own cell and those reached by crossing the nearest boundaries, in the order of their estimated chance.
+The depth is the greatest at which SAMPLE queries, whose true neighbours are found by scoring all vectors, meet RECALL of
+them: how near neighbours are depends on the vectors and their number, so no formula of the number alone holds a recall.
 Buckets are dealt to shards of about SHARD vectors; within a shard, the visited buckets' vectors are scored exactly, and
 the best of each shard are merged. Shards that a large bucket makes too large are split, and so are their queries.
 """
@@ -26,11 +28,13 @@ TABLES, WIDTH, SEED = 8, 2.0, 11
 SHARD = 32_768
 #: Up to so many shards, the table of those to split is broadcast (some 40 bytes each).
 BROADCAST_SHARDS = 500_000
+#: Queries whose recall is measured against all vectors, and the recall of those that the depth must reach.
+SAMPLE, RECALL = 128, 0.95
 _POINT = "shard long, query boolean, point long, keys array<long>, vector array<double>"
 
 
 def depth_of(n: int) -> int:
-    """Projections in a key: the deeper, the more vectors there are, so that buckets keep their size."""
+    """The most projections in a key that n vectors are worth; fewer are taken where recall asks for them."""
     return max(3, round(math.log2(max(2, n)) / 1.65))
 
 
@@ -48,7 +52,7 @@ def visiting_order(depth: int, probes: int) -> np.ndarray:
     m = depth
     cost = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
     cost += [1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)]
-    rows, heap = [np.zeros(2 * m, np.int8)], [(cost[0], (0,))]
+    rows, heap = [np.zeros(2 * m, np.int8)], [(cost[0], (0,))] if m else []
     while heap and len(rows) < probes:
         total, chosen = heapq.heappop(heap)
         last = chosen[-1]
@@ -166,6 +170,55 @@ def _scored(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
                 )
 
 
+def _best_of_all(batches: Iterator[pa.RecordBatch], ids: np.ndarray, y: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """For each of the queries y (points `ids`), the best k other points of a task's rows, all of which are scored."""
+    score, point = np.zeros((len(y), 0)), np.zeros((len(y), 0), np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        here = batch.column("point").to_numpy()
+        more = y @ _matrix(batch.column("vector")).T
+        more[ids[:, None] == here[None, :]] = -np.inf
+        score, point = np.hstack((score, more)), np.hstack((point, np.broadcast_to(here, more.shape)))
+        if score.shape[1] > k:
+            top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            score, point = np.take_along_axis(score, top, 1), np.take_along_axis(point, top, 1)
+    i, j = np.nonzero(np.isfinite(score))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(point[i, j]), pa.array(score[i, j])], names=["query", "point", "score"])
+
+
+def _recall(tables: Tables, pairs: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """The mean share of true neighbours (rows of the second) in buckets that their query (the first) visits."""
+    met = []
+    for y, near in pairs:
+        visited, held = tables.of_queries(y[None, :])[0], tables.of_vectors(near)
+        met.append(np.any([np.isin(held[:, t], visited[t]) for t in range(tables.tables)], axis=0).mean())
+    return float(np.mean(met)) if met else 1.0
+
+
+def fitted_tables(points: DataFrame, asked: DataFrame, size: int, dims: int, largest: float, k: int) -> Tables:
+    """The deepest tables whose recall, over SAMPLE queries by hash against all points (point, vector), is RECALL at least.
+
+    Depth 0 puts all vectors in one bucket, so there is always an answer. Each task scores its rows and passes k on a query.
+    """
+    sample = points.join(asked.select(F.col("query").alias("point")).distinct(), "point", "left_semi").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).collect()
+    if not sample:
+        return Tables(dims, depth_of(size), largest)
+    ids, y = np.array([r["point"] for r in sample], np.int64), np.array([r["vector"] for r in sample], float)
+    best = map_batches(points.select("point", "vector"), lambda b: _best_of_all(b, ids, y, k), "query long, point long, score double")
+    nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "point"))
+    best = best.withColumn("nth", nth).where(F.col("nth") <= k).select("query", "point")
+    near: dict[int, list] = {}
+    for r in points.join(F.broadcast(best), "point").select("query", "vector").collect():
+        near.setdefault(r["query"], []).append(r["vector"])
+    pairs = [(v, np.array(near[i], float)) for i, v in zip(ids.tolist(), y, strict=True) if i in near]
+    for depth in range(depth_of(size), 0, -1):
+        tables = Tables(dims, depth, largest)
+        if _recall(tables, pairs) >= RECALL:
+            return tables
+    return Tables(dims, 0, largest, tables=1)
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     """vec_id, vector (array<double>): rows with an id whose components are all finite and not all zero, of the most common length."""
     vector = F.col("embedding").cast("array<double>")
@@ -195,7 +248,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     asked = queries.distinct().join(points.select("vector", "point"), "vector").select(F.col("vec_id").alias("query_id"), F.col("point").alias("query"))
     asked = cut(asked, "queries")
     marked = points.join(asked.select(F.col("query").alias("point"), F.lit(True).alias("query")).distinct(), "point", "left").select("point", F.coalesce("query", F.lit(False)).alias("query"), "vector")
-    tables = Tables(dims, depth_of(size), largest)
+    tables = fitted_tables(points, asked, size, dims, largest, k)
     shards = max(1, size // SHARD)
     dealt = cut(map_batches(marked, lambda b: _dealt(b, tables, shards), _POINT), "dealt")
     large = dealt.groupBy("shard").agg(F.count_if(~F.col("query")).alias("v"), F.count_if("query").alias("q")).where((F.col("v") > 2 * SHARD) | (F.col("q") > 2 * SHARD))

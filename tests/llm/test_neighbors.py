@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from barloom.llm import neighbors
@@ -39,6 +41,28 @@ def test_recall_and_scores_on_the_table(spark):
         assert found == sorted(found, key=lambda x: (-x[1], x[0])) and i not in dict(found)
 
 
+def test_recall_holds_for_many_vectors(spark, tmp_path):
+    x = np.random.default_rng(7).normal(size=(100_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "many.parquet", row_group_size=10_000)
+    got = collect(neighbors.nearest(spark.read.parquet(str(tmp_path / "many.parquet")), F.col("vec_id") % 1000 == 0))
+    x, want = x.astype(float), {}
+    for i in range(0, len(x), 1000):
+        score = x @ x[i]
+        score[i] = -np.inf
+        want[i] = [(j, score[j]) for j in np.argsort(-score)[:20]]
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
+def test_one_bucket_where_no_depth_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "RECALL", 1.1)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(400)]
+    got, want = collect(neighbors.nearest(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), F.col("vec_id") % 20 == 0)), brute(rows)
+    assert recall(got, want) == 1.0
+
+
 def test_lengths_that_differ(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=16) * rng.lognormal(0, 0.7)).tolist()) for i in range(1500)]
