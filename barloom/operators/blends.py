@@ -148,31 +148,48 @@ def selection(scores: DataFrame, folds: DataFrame, target: str, steps: int = 32,
     return {m: (counts[m] / total if total else 1 / len(models)) for m in models}
 
 
-def stack_lr(scores: DataFrame, folds: DataFrame, target: str, c: float = 1.0, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20) -> DataFrame:
-    """KEY, label, p: a balanced logistic regression on meta features, out of fold with the same gates; the mean elsewhere."""
+def stack_lr(scores: DataFrame, folds: DataFrame, target: str, c: float = 1.0, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20, apply: DataFrame | None = None) -> DataFrame:
+    """KEY, label, p: a balanced logistic regression on meta features, out of fold with the same gates; the mean elsewhere.
+
+    Rows of apply (scores of later dates) are scored by one fit on all of scores, or get the mean where those are of one class.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     wide = scores.where(F.col("target") == target)
     models = sorted(r["model"] for r in wide.select("model").distinct().collect())
-    meta = meta_features(wide, models)
-    features = [x for x in meta.columns if x not in (*KEY, "label")]
-    meta = VectorAssembler(inputCols=features, outputCol="raw_features").transform(meta.withColumn("n_high", F.col("n_high").cast("double"))).cache()
+
+    def assembled(rows: DataFrame) -> DataFrame:
+        meta = meta_features(rows, models)
+        features = [x for x in meta.columns if x not in (*KEY, "label")]
+        return VectorAssembler(inputCols=features, outputCol="raw_features").transform(meta.withColumn("n_high", F.col("n_high").cast("double")))
+
+    def fitted(train: DataFrame, test: DataFrame, n: int, pos: int) -> DataFrame:
+        train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
+        scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True).fit(train)
+        model = LogisticRegression(weightCol="weight", regParam=1 / (c * n), maxIter=50).fit(scaler.transform(train))
+        return model.transform(scaler.transform(test)).withColumn("q", vector_to_array("probability")[1])
+
+    meta = assembled(wide).cache()
     done = None
     gates = meta.join(F.broadcast(folds.where("role = 'train'")), "dt").groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     for r in gates.where((F.col("n") >= min_rows) & (F.col("pos") >= min_pos) & (F.col("n") - F.col("pos") >= min_neg)).orderBy("fold").collect():
         train = meta.join(F.broadcast(folds.where((F.col("role") == "train") & (F.col("fold") == r["fold"])).select("dt")), "dt", "left_semi")
         test = meta.join(F.broadcast(folds.where((F.col("role") == "test") & (F.col("fold") == r["fold"])).select("dt")), "dt", "left_semi")
-        train = train.withColumn("weight", F.when(F.col("label") == 1, r["n"] / (2 * r["pos"])).otherwise(r["n"] / (2 * (r["n"] - r["pos"]))))
-        scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(weightCol="weight", regParam=1 / (c * r["n"]), maxIter=50).fit(scaler.transform(train))
-        part = model.transform(scaler.transform(test)).select(*KEY, F.lit(r["fold"]).alias("fold"), vector_to_array("probability")[1].alias("q"))
+        part = fitted(train, test, r["n"], r["pos"]).select(*KEY, F.lit(r["fold"]).alias("fold"), "q")
         done = part if done is None else done.unionByName(part)
     if done is None:
-        return meta.select(*KEY, "label", F.col("mean").alias("p"))
-    latest = done.groupBy(*KEY).agg(F.max_by("q", "fold").alias("q"))
-    return meta.join(latest, KEY, "left").select(*KEY, "label", F.coalesce("q", "mean").alias("p"))
+        out = meta.select(*KEY, "label", F.col("mean").alias("p"))
+    else:
+        latest = done.groupBy(*KEY).agg(F.max_by("q", "fold").alias("q"))
+        out = meta.join(latest, KEY, "left").select(*KEY, "label", F.coalesce("q", "mean").alias("p"))
+    if apply is None:
+        return out
+    last = assembled(apply.where(F.col("target") == target))
+    n, pos = meta.agg(F.count("*"), F.sum("label")).first()
+    last = fitted(meta, last, n, pos) if pos and pos < n else last.withColumn("q", F.col("mean"))
+    return out.unionByName(last.select(*KEY, "label", F.col("q").alias("p")))
 
 
 def best_by_precision(metrics: DataFrame, min_recall: Column | float = 0.0, prefix: str = "ens_") -> DataFrame:

@@ -29,6 +29,11 @@ def valid_scores(spark, sf_dir):
     return fx.scores_synth(spark, sf_dir).join(F.broadcast(calendar.select("dt")), "dt", "left_semi")
 
 
+def apply_scores(spark, sf_dir):
+    calendar = spl.purged_split(bars_daily(spark, sf_dir), valid=180, min_train=45).where("split = 'apply'")
+    return fx.scores_synth(spark, sf_dir).join(F.broadcast(calendar.select("dt")), "dt", "left_semi")
+
+
 @query("isotonic_oof")
 def isotonic_oof(spark, sf_dir):
     return ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir), 500, 20, 20)
@@ -114,9 +119,8 @@ def meta_features(spark, sf_dir):
 
 @query("blend_stack_lr")
 def blend_stack_lr(spark, sf_dir):
-    calendar = spl.purged_split(bars_daily(spark, sf_dir), valid=90, min_train=45).where("split = 'valid'")
-    parts = spl.purged_folds(calendar.select("dt"), test=15, step=15)
-    return ble.stack_lr(valid_scores(spark, sf_dir).join(F.broadcast(calendar.select("dt")), "dt", "left_semi"), parts, "up", min_rows=300)
+    rows, last, parts = valid_scores(spark, sf_dir).cache(), apply_scores(spark, sf_dir), folds(spark, sf_dir).cache()
+    return ble.stack_lr(rows, parts, "down", apply=last).unionByName(ble.stack_lr(rows, parts, "up", apply=last))
 
 
 _ENS = """, ens as (select dt, ticker, target, 'ens_equal' as model, round(avg(p), 9) as p, any_value(label) as label from scores group by dt, ticker, target

@@ -124,3 +124,28 @@ def test_path_indicators(spark):
     b = bars(spark, [(d, 10.0 + d, 9.0 + d, 9.5 + d) for d in range(1, 21)])
     assert kama(b).where("kama is not null").count() == 11
     assert psar(b).where("psar_up is null").count() == 0 and psar(b.limit(0)).count() == 0
+
+
+def test_stack_lr_fits_the_last_dates(spark):
+    rows = [(d, f"t{i}", "up", m, (i + 0.5) / 20 if m == "good" else (i * 7 % 20 + 0.5) / 20, int(i > 12 or (i + d) % 9 == 0)) for d in range(8) for i in range(20) for m in ("bad", "good")]
+    scores = spark.createDataFrame(rows, "dt int, ticker string, target string, model string, p double, label int")
+    folds = spark.createDataFrame([(0, "train", 0), (0, "train", 1), (0, "test", 3)], "fold int, role string, dt int")
+    past, last = scores.where("dt < 6"), scores.where("dt >= 6").withColumn("label", F.lit(0))
+    got = {(r["dt"], r["ticker"]): r["p"] for r in blends.stack_lr(past, folds, "up", min_rows=40, min_pos=5, min_neg=5, apply=last).collect()}
+    assert len(got) == 160 and {d for d, _ in got} == set(range(8))
+    mean = {(d, t): p for d, t, p in scores.groupBy("dt", "ticker").agg(F.avg("p")).collect()}
+    assert all(abs(got[k] - mean[k]) < 1e-9 for k in got if k[0] in (0, 1, 2, 4, 5))
+    assert sum(abs(got[k] - mean[k]) > 1e-3 for k in got if k[0] in (3, 6, 7)) > 50
+    assert min(got[6, f"t{i}"] for i in range(15, 20)) > 0.5 > max(got[6, f"t{i}"] for i in range(5))
+    flat = blends.stack_lr(past.withColumn("label", F.lit(0)), folds, "up", apply=last).where("dt >= 6").collect()
+    assert len(flat) == 40 and all(abs(r["p"] - mean[r["dt"], r["ticker"]]) < 1e-9 for r in flat)
+
+
+def test_stack_query_has_both_targets_and_the_last_dates(spark, sf):
+    from barloom.plans import QUERIES
+    from barloom.plans.blending import apply_scores, valid_scores
+
+    want = valid_scores(spark, sf).unionByName(apply_scores(spark, sf)).select("dt", "ticker", "target").distinct()
+    got = QUERIES["blend_stack_lr"](spark, sf).cache()
+    assert {r["target"] for r in got.select("target").distinct().collect()} == {"down", "up"}
+    assert got.count() == want.count() and want.join(got, ["dt", "ticker", "target"], "left_anti").count() == 0
