@@ -31,11 +31,12 @@ def isotonic(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return p, np.repeat(values, sizes)
 
 
-def isotonic_oof(scores: DataFrame, folds: DataFrame, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20) -> DataFrame:
+def isotonic_oof(scores: DataFrame, folds: DataFrame, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20, apply: DataFrame | None = None) -> DataFrame:
     """scores with raw, covered and p calibrated out of fold: fitted on a fold's training dates, applied to its test dates.
 
     Where test windows overlap, the last fold that may be fitted counts; rows that none covers keep their raw score.
-    Training rows are reduced to their distinct scores before they are grouped.
+    Training rows are reduced to their distinct scores before they are grouped. Rows of apply (scores of later dates) follow,
+    calibrated by one fit on all of scores for each target and model, or raw where those are of one class.
     """
 
     def fit(key: tuple, train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
@@ -47,6 +48,15 @@ def isotonic_oof(scores: DataFrame, folds: DataFrame, min_rows: int = 2000, min_
         knots, values = isotonic(train["p"].to_numpy(), (train["pos"] / train["n"]).to_numpy(), train["n"].to_numpy(float))
         return out.assign(fitted=np.interp(out["p"], knots, values))
 
+    def fit_all(key: tuple, train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
+        n, pos = train["n"].sum(), train["pos"].sum()
+        out = test[["target", "model", "p"]].copy()
+        if not len(out) or not 0 < pos < n:
+            return out.iloc[:0].assign(fitted=0.0)
+        train = train.sort_values("p")
+        knots, values = isotonic(train["p"].to_numpy(), (train["pos"] / train["n"]).to_numpy(), train["n"].to_numpy(float))
+        return out.assign(fitted=np.interp(out["p"], knots, values))
+
     ship(scores.sparkSession)
     by = ["target", "model", "fold"]
     rows = scores.join(F.broadcast(folds), "dt")
@@ -56,8 +66,14 @@ def isotonic_oof(scores: DataFrame, folds: DataFrame, min_rows: int = 2000, min_
     fitted = fitted.withColumnsRenamed({c: f"_{c}" for c in (*by, "p")})  # names of their own, since both sides come from one table
     tested = rows.where("role = 'test'")
     latest = tested.join(fitted, [tested[c] == fitted[f"_{c}"] for c in (*by, "p")]).groupBy(*KEY, "model").agg(F.max_by("fitted", "fold").alias("fitted"))
-    joined = scores.join(latest, [*KEY, "model"], "left")
-    return joined.select(*KEY, "model", F.col("p").alias("raw"), F.coalesce("fitted", "p").alias("p"), "label", F.col("fitted").isNotNull().alias("covered"))
+    columns = [*KEY, "model", F.col("p").alias("raw"), F.coalesce("fitted", "p").alias("p"), "label", F.col("fitted").isNotNull().alias("covered")]
+    out = scores.join(latest, [*KEY, "model"], "left").select(*columns)
+    if apply is None:
+        return out
+    by = ["target", "model"]
+    train = scores.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    full = train.groupBy(*by).cogroup(apply.select(*by, "p").distinct().groupBy(*by)).applyInPandas(fit_all, "target string, model string, p double, fitted double")
+    return out.unionByName(apply.join(full, [*by, "p"], "left").select(*columns))
 
 
 def blend_equal(scores: DataFrame) -> DataFrame:

@@ -36,12 +36,12 @@ def apply_scores(spark, sf_dir):
 
 @query("isotonic_oof")
 def isotonic_oof(spark, sf_dir):
-    return ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir), 500, 20, 20)
+    return ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir), apply=apply_scores(spark, sf_dir))
 
 
 @query("isotonic_coverage")
 def isotonic_coverage(spark, sf_dir):
-    rows = ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir), 500, 20, 20)
+    rows = ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir))
     return rows.groupBy("target", "model").agg(F.round(100 * F.avg(F.col("covered").cast("int")), 4).alias("covered_pct"))
 
 

@@ -149,3 +149,13 @@ def test_stack_query_has_both_targets_and_the_last_dates(spark, sf):
     got = QUERIES["blend_stack_lr"](spark, sf).cache()
     assert {r["target"] for r in got.select("target").distinct().collect()} == {"down", "up"}
     assert got.count() == want.count() and want.join(got, ["dt", "ticker", "target"], "left_anti").count() == 0
+
+
+def test_isotonic_fit_of_all_rows_for_the_last_dates(spark):
+    rows = [(d, f"t{i}", "up", m, round(i / 40, 3), int(m == "m" and i >= 20)) for d in range(3) for i in range(40) for m in ("m", "none")]
+    scores = spark.createDataFrame(rows, "dt int, ticker string, target string, model string, p double, label int")
+    folds = spark.createDataFrame([(0, "train", 0), (0, "test", 2)], "fold int, role string, dt int")
+    got = blends.isotonic_oof(scores.where("dt < 2"), folds, apply=scores.where("dt = 2")).collect()
+    assert len(got) == len(rows)
+    assert all(r["p"] == (float(r["raw"] >= 0.5) if r["dt"] == 2 and r["model"] == "m" else r["raw"]) for r in got)
+    assert {(r["dt"], r["model"]) for r in got if r["covered"]} == {(2, "m")}
