@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..functions.scratch import scratch
 from ..operators import fill
 from ..sources import bars as src
 from . import fixtures as fx
@@ -18,9 +17,8 @@ SOME = ["Brand#11", "Brand#23", "Brand#45"]
 
 
 def _folder(spark) -> str:
-    """A new folder that executors share too where spark.checkpoint.dir says so."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{next(tempfile._get_candidate_names())}" if base else "file://" + tempfile.mkdtemp(prefix="spark-panel-")
+    """A new folder that executors share too."""
+    return scratch(spark, "panel")
 
 
 @query("bars_from_ticks", on_bars("select * from bars"))
