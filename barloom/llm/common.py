@@ -1,15 +1,14 @@
-"""What the operators of this package share: the shared scratch folder, word spans and grouped streams."""
+"""What the operators of this package share: batches, word spans and grouped streams."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scratch import cut, discard, scratch  # noqa: F401
 from ..functions.shipping import ship
 
 #: A word, as a Java regular expression.
@@ -23,40 +22,21 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not (conf.get("spark.master", "local") + "[").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-barloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/barloom-{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends in files that outlive any executor."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with this package at hand on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)
 
 
-def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand on the executors.
+def small_batches(spark: SparkSession) -> SparkSession:
+    """spark, with Arrow batches of BATCH_ROWS rows unless the application sets a size: for applications, not operators.
 
-    Texts are long, so where the session has Spark's default of 10,000 rows an Arrow batch, it gets BATCH_ROWS: several
-    copies of a batch exist at once in the JVM and in Python.
+    Texts are long, and several copies of a batch exist at once in the JVM and in Python.
     """
-    ship(df.sparkSession)
-    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(task, schema)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark.sparkContext.getConf().contains(name) and spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
 
 
 def columns_of(df: DataFrame) -> str:

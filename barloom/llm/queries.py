@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, mixing, neighbors, quality, simhash, substring, token_files, warc
+from .common import small_batches
 
 
 def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,7 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_llr_quality": op1_llr_quality,
     "op2_chat_snapshots": op2_chat_snapshots,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
@@ -77,6 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ppm_language": op10_ppm_language,
 }
 
+
+def _with_small_batches(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return wraps(f)(lambda spark, sf_dir: f(small_batches(spark), sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _with_small_batches(f) for name, f in _QUERIES.items()}
+
 ORACLES: dict[str, str] = {
     "op2_chat_snapshots": r"""
 with rows as (

@@ -95,7 +95,41 @@ def test_edges(spark):
     assert neighbors.nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
 
 
-def test_visiting_order():
-    order = neighbors.visiting_order(5, 60)
-    assert len({tuple(r) for r in order.tolist()}) == 60 and not order[0].any()
-    assert not (order[:, :5] & order[:, ::-1][:, :5]).any()
+def test_lengths_of_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(200)]
+    got = collect(neighbors.nearest(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), F.col("vec_id") % 20 == 0))
+    for n in (5, 8):
+        own = [(i, v) for i, v in rows if len(v) == n]
+        assert recall({i: got[i] for i, v in own if i % 20 == 0}, brute(own)) >= 0.9
+
+
+def test_probes_come_in_order_of_promise():
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=(5, 6))
+    tables = neighbors.Tables(6, 3, 1.0, cosine=0.6)
+    every = tables.of_queries(y, neighbors.CELLS**3)
+    assert all(len(set(every[i, t])) == neighbors.CELLS**3 for i in range(5) for t in range(tables.tables))
+    assert (tables.of_queries(y, 20) == every[:, :, :20]).all()
+    # Vectors at that angle mostly lie in the first buckets.
+    unit = y / np.linalg.norm(y, axis=1, keepdims=True)
+    noise = rng.normal(size=(2000, 6))
+    noise -= (noise @ unit[0])[:, None] * unit[0]
+    near = 0.6 * unit[0] + 0.8 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    held = tables.of_vectors(near)
+    hits = [np.isin(held[:, t], every[0, t, : neighbors.CELLS**3 // 3]).mean() for t in range(tables.tables)]
+    assert min(hits) > 0.6
+
+
+def test_only_visited_buckets_are_scored():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 8))
+    part = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(4001), pa.int32()), pa.array(np.arange(4000) % 50)), pa.array(np.arange(4000)), pa.ListArray.from_arrays(pa.array(np.arange(4001) * 8, pa.int32()), pa.array(x.reshape(-1)))], names=["buckets", "point", "vector"])
+    y = rng.normal(size=(30, 8))
+    ask = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(31) * 2, pa.int32()), pa.array(np.tile([3, 70], 30))), pa.array(np.arange(30)), pa.ListArray.from_arrays(pa.array(np.arange(31) * 8, pa.int32()), pa.array(y.reshape(-1)))], names=["buckets", "point", "vector"])
+    index = neighbors.Bucketed([part])
+    found = index.best([ask], 5).to_pydict()
+    assert index.scored == 30 * 80
+    for q in range(30):
+        want = sorted(((x[3::50] @ y[q])), reverse=True)[:5]
+        assert np.allclose(sorted((s for i, s in zip(found["query"], found["score"], strict=True) if i == q), reverse=True), want)
