@@ -28,6 +28,15 @@ def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(task, schema)
 
 
+#: Most tasks that read files; beyond so many files a task reads several.
+MAX_READERS = 50_000
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files, a row for each file, dealt evenly over a task for each: a number that is given isn't coalesced."""
+    return files.repartition(max(1, min(files.count(), MAX_READERS)))
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """spark, with Arrow batches of BATCH_ROWS rows unless the application sets a size: for applications, not operators.
 
@@ -39,6 +48,15 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a column of our own that none of df's has."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def columns_of(df: DataFrame) -> str:
     """df's columns, as a schema for map_batches."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -2,8 +2,10 @@
 
 In 64 dimensions a ball of radius 4 overlaps most median splits, so trees over all fingerprints would prune little. The
 trees therefore stand behind an exact sieve: of six blocks of a fingerprint, four differing bits leave two untouched, so
-a pair within the radius meets in one of 15 shards keyed by two blocks. Shards above MAX_SHARD are split by Hamming distance from
-a vantage point, sending what lies near the boundary to both sides; each shard is searched by a vantage-point tree.
+a pair within the radius meets in one of 15 shards keyed by two blocks. Each shard has a vantage-point tree: its points
+branch by their distance from a first vantage point and then from a second, and by the triangle inequality a branch meets
+only branches within the radius in both distances. Shards above MAX_SHARD are first split by Hamming distance from a
+vantage point, sending what lies near the boundary to both sides.
 """
 
 from __future__ import annotations
@@ -15,16 +17,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_key, cut, flat, group_bounds, map_batches
+from .common import by_key, cut, discard, flat, fresh, group_bounds, map_batches
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Larger shards are split by vantage points, for so many rounds; what is still larger is searched in pairs of parts.
 MAX_SHARD, ROUNDS = 8192, 3
-#: Leaves of the tree inside a shard, compared directly.
-LEAF = 256
+#: Pairs of points that a task looks at together.
+PAIRS = 1 << 21
 
 
 def _word_lists(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -58,14 +61,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, at = flat(batch.column("text"))
+        place = batch.schema.get_field_index("text")
+        data, at = flat(batch.column(place))
         found = np.array([fingerprint(data[at[r] : at[r + 1]].tobytes()) for r in range(batch.num_rows)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        rest = batch.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(found.view(np.int64))], names=[*rest.schema.names, "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null text counts as empty."""
-    return map_batches(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _fingerprints, "doc_id long, fp long")
+    """doc_id, fp (the 64 bits as a signed long), digest (a 64-bit hash of the text) of every row; null text counts as empty."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    return map_batches(rows, _fingerprints, "doc_id long, digest long, fp long")
 
 
 class Forest:
@@ -89,57 +95,52 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def _direct(x: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, forest: Forest, tile: int = 1024) -> None:
-    for p in range(0, len(a), tile):
-        for q in range(0, len(b), tile):
-            i, j = np.nonzero(np.bitwise_count(x[a[p : p + tile], None] ^ x[None, b[q : q + tile]]) <= radius)
-            forest.link(a[p + i], b[q + j])
+def tree_links(x: np.ndarray, bounds: np.ndarray, forest: Forest, radius: int = RADIUS, step: int = PAIRS) -> tuple[int, int]:
+    """Joins all points within radius of one shard, for shards bounds[k] to bounds[k + 1] of x; (pairs of one shard, pairs compared).
 
-
-def tree_links(x: np.ndarray, radius: int = RADIUS, leaf: int = LEAF) -> Forest:
-    """Joins all points of x within radius, by a vantage-point tree built on the way down.
-
-    A node splits its points at the median distance from its first point. By the triangle inequality a pair across the
-    split lies within radius of the boundary on both sides, so only those bands are searched against each other.
+    A shard's root branches by the distance from its first point, each branch by the distance from the point farthest
+    from that. Points in the order of those distances have the branches that the triangle inequality allows right behind
+    them: the first distance bounds a run of points, the second sieves it, and only what is left is compared.
     """
-    forest = Forest(len(x))
-    todo = [(np.arange(len(x)), None)]
-    while todo:
-        a, b = todo.pop()
-        if len(a) * len(a if b is None else b) <= leaf * leaf:
-            _direct(x, a, a if b is None else b, radius, forest)
-            continue
-        own = np.bitwise_count(x[a] ^ x[a[0]]).astype(np.int64)
-        other = own if b is None else np.bitwise_count(x[b] ^ x[a[0]]).astype(np.int64)
-        b_ = a if b is None else b
-        middle = int(np.median(np.concatenate((own, other))))
-        parts = [(a[own <= middle], b_[other <= middle]), (a[own > middle], b_[other > middle]), (a[(own <= middle) & (own > middle - radius)], b_[(other > middle) & (other <= middle + radius)])]
-        if b is not None:
-            parts.append((a[(own > middle) & (own <= middle + radius)], b[(other <= middle) & (other > middle - radius)]))
-        if sum(len(p) * len(q) for p, q in parts) > 0.95 * len(a) * len(b_):
-            _direct(x, a, b_, radius, forest)
-            continue
-        todo += [(p, None if b is None and k < 2 else q) for k, (p, q) in enumerate(parts) if len(p) and len(q)]
-    return forest
-
-
-def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From fingerprints sorted by shard: for each, the least one of its shard that links join it to."""
+    shard = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    one = np.bitwise_count(x ^ x[bounds[:-1]][shard]).astype(np.int64)
+    order = np.lexsort((one, shard))
+    far = order[bounds[1:] - 1] if len(shard) else order
+    two = np.bitwise_count(x ^ x[far][shard]).astype(np.int16)
+    key = (shard * 256 + one)[order]
+    two, points = two[order], x[order]
+    here = np.arange(len(x))
+    # The run of point i: those behind it in its shard, at most radius further from the first vantage point.
+    length = np.searchsorted(key, key + radius, "right") - here - 1
+    sizes = np.diff(bounds)
+    compared, ends = 0, np.cumsum(length)
+    a = 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, "right")))
+        i = np.repeat(here[a:b], length[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[a:b] - length[a:b] - (ends[a - 1] if a else 0), length[a:b])
+        near = np.abs(two[i] - two[j]) <= radius
+        i, j = i[near], j[near]
+        compared += len(i)
+        linked = np.bitwise_count(points[i] ^ points[j]) <= radius
+        forest.link(order[i[linked]], order[j[linked]])
+        a = b
+    return int((sizes * (sizes - 1) // 2).sum()), compared
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], counts: bool = False) -> Iterator[pa.RecordBatch]:
+    """From fingerprints sorted by shard: for each, the least one of its shard that links join it to; or what it took."""
     for table in by_key(batches, "shard"):
         keys, fps = table.column("shard").to_numpy(), np.ascontiguousarray(table.column("fp").to_numpy()).view(np.uint64)
-        bounds = group_bounds(keys)
-        sizes = np.diff(bounds)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        two = bounds[:-1][sizes == 2]
-        near = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= RADIUS]
-        out.append((fps[near + 1], fps[near]))
-        for k in np.flatnonzero(sizes > 2):
-            x = np.unique(fps[bounds[k] : bounds[k + 1]])
-            root = tree_links(x).roots(np.arange(len(x)))
-            moved = root != np.arange(len(x))
-            out.append((x[moved], x[root[moved]]))
-        a, b = (np.concatenate(c).view(np.int64) for c in zip(*out, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        order = np.lexsort((fps, keys))
+        fps, forest = fps[order], Forest(len(fps))
+        pairs, compared = tree_links(fps, group_bounds(keys[order]), forest)
+        if counts:
+            yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([compared])], names=["pairs", "compared"])
+            continue
+        root = forest.roots(np.arange(len(fps)))
+        moved = root != np.arange(len(fps))
+        yield pa.RecordBatch.from_arrays([pa.array(fps[moved].view(np.int64)), pa.array(fps[root[moved]].view(np.int64))], names=["a", "b"])
 
 
 def _split_by_vantage(shards: DataFrame, large: DataFrame) -> DataFrame:
@@ -153,8 +154,8 @@ def _split_by_vantage(shards: DataFrame, large: DataFrame) -> DataFrame:
     return rows.select("shard", "fp", F.explode(sides).alias("side")).select(F.xxhash64("shard", "side").alias("shard"), "fp")
 
 
-def links(points: DataFrame, max_shard: int = MAX_SHARD, rounds: int = ROUNDS) -> DataFrame:
-    """a, b: edges that join all fingerprints of points (distinct, column fp) within RADIUS into their components."""
+def _sharded(points: DataFrame, max_shard: int, rounds: int) -> DataFrame:
+    """shard, fp: every two fingerprints of points within RADIUS share a shard; sorted by shard within partitions."""
     fp, keys = F.col("fp"), []
     for n, pair in enumerate(combinations(BLOCKS, 2)):
         key = F.lit(n).cast("long")
@@ -180,14 +181,26 @@ def links(points: DataFrame, max_shard: int = MAX_SHARD, rounds: int = ROUNDS) -
         shards = shards.join(large.select("shard"), "shard", "left_anti")
     for other in done:
         shards = shards.unionByName(other)
-    return map_batches(shards.repartition("shard").sortWithinPartitions("shard"), _shard_links, "a long, b long")
+    return shards.repartition("shard").sortWithinPartitions("shard")
+
+
+def links(points: DataFrame, max_shard: int = MAX_SHARD, rounds: int = ROUNDS) -> DataFrame:
+    """a, b: edges that join all fingerprints of points (distinct, column fp) within RADIUS into their components."""
+    return map_batches(_sharded(points, max_shard, rounds), _shard_links, "a long, b long")
+
+
+def work(points: DataFrame, max_shard: int = MAX_SHARD, rounds: int = ROUNDS) -> DataFrame:
+    """pairs, compared: how many pairs of fingerprints share a shard, and how many the trees leave to compare."""
+    counted = map_batches(_sharded(points, max_shard, rounds), lambda b: _shard_links(b, True), "pairs long, compared long")
+    return counted.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the least node that each node of edges (a, b) reaches, itself included; for nodes with edges.
 
     Large star, small star: every node hands its neighbours the least one, in turn upwards and downwards, until nothing
-    changes. Each step reduces by key before it shuffles, and ends in a table of its own.
+    changes. Each step reduces by key before it shuffles, and ends in a table of its own: the joins read tables on both
+    sides, so that Spark may split the edges of a node that has very many.
     """
     greater = lambda e: e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now, last = cut(greater(edges), "edges"), None
@@ -197,11 +210,22 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        now = cut(greater(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "edges")
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        star = now.join(least, "a")
-        now = cut(greater(star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        up = cut(greater(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "edges")
+        discard(now, least)
+        least = cut(up.groupBy("a").agg(F.min("b").alias("m")), "least")
+        now = cut(greater(up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        discard(up, least)
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """of, first: for each fingerprint of rows (doc_id, digest, fp), the least (no id, doc_id, digest) that links reach."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    points = cut(rows.groupBy("fp").agg(first), "points")
+    roots = components(links(points.select("fp")))
+    named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    firsts = named.groupBy("root").agg(F.min("first").alias("first"))
+    return named.select("fp", "root").join(firsts, "root").select(F.col("fp").alias("of"), "first")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -211,15 +235,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     which is null where no row of it has one. Rows that repeat a doc_id each get a row.
     """
     rows = cut(fingerprints(documents), "fingerprints")
-    points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = components(links(points.select("fp")))
-    named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select(F.col("fp").alias("of"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = rows.join(_named(rows), F.col("fp") == F.col("of"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, that with the least doc_id; rows without doc_id stay."""
-    found = near_duplicates(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(found, documents["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group of near duplicates, that with the least doc_id.
+
+    Of rows that share the least doc_id, the first by a hash of its text stays, and of rows that share both, the first by
+    a hash of all columns that have an order. Rows without doc_id come last: one of them stays where a group has no others.
+    """
+    rows = cut(fingerprints(documents), "fingerprints")
+    joined = rows.join(_named(rows), F.col("fp") == F.col("of"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    gone_id, gone_digest = fresh(documents, "gone_id"), fresh(documents, "gone_digest")
+    key = documents["doc_id"].cast("long").eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col(gone_digest))
+    of = lambda df: df.select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest))
+    kept = documents.join(of(joined.where(~same).select("doc_id", "digest").distinct()), key, "left_anti")
+    repeated = cut(of(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")), "repeated-rows")
+    if repeated.isEmpty():
+        return kept
+    nth = fresh(documents, "nth")
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    window = W.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.xxhash64(*hashed))
+    some = kept.join(repeated, key, "left_semi").withColumn(nth, F.row_number().over(window)).where(F.col(nth) == 1)
+    return kept.join(repeated, key, "left_anti").unionByName(some.drop(nth))

@@ -63,24 +63,39 @@ def test_near_duplicates_against_brute_force(docs):
     assert simhash.near_duplicates(docs([])).collect() == []
 
 
+def direct(x, bounds, radius=4):
+    forest = simhash.Forest(len(x))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        i, j = np.nonzero(np.bitwise_count(x[a:b, None] ^ x[None, a:b]) <= radius)
+        forest.link(a + i, a + j)
+    return forest.roots(np.arange(len(x)))
+
+
 def test_tree_finds_every_pair():
     rng = np.random.default_rng(0)
-    x = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 12, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ rng.integers(0, 1 << 9, 4000, dtype=np.uint64)]))
-    want = simhash.Forest(len(x))
-    simhash._direct(x, np.arange(len(x)), np.arange(len(x)), 4, want)
-    every = np.arange(len(x))
-    assert (simhash.tree_links(x, 4, leaf=32).roots(every) == want.roots(every)).all()
+    x = np.concatenate([rng.integers(0, 1 << 63, 1500, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << rng.integers(0, 12, 2000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)) ^ rng.integers(0, 1 << 9, 2000, dtype=np.uint64)])
+    rng.shuffle(x)
+    for bounds in ([0, len(x)], [0, 1, 3, 3, 700, 702, 2000, len(x)], [0]):
+        some, bounds = x[: bounds[-1]], np.array(bounds)
+        for step in (1 << 20, 50):
+            if step == 50 and len(some) and len(bounds) == 2:
+                continue
+            forest = simhash.Forest(len(some))
+            pairs, compared = simhash.tree_links(some, bounds, forest, step=step)
+            assert (forest.roots(np.arange(len(some))) == direct(some, bounds)).all()
+            assert pairs == sum(n * (n - 1) // 2 for n in np.diff(bounds)) and (compared < 0.7 * pairs or not pairs)
 
 
 def test_large_shards_are_split(spark):
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 1 << 12, 600, dtype=np.uint64) << np.uint64(3) | rng.integers(0, 2, 600, dtype=np.uint64) << np.uint64(40))
     points = spark.createDataFrame([(int(v),) for v in x], "fp long")
-    forest = simhash.tree_links(x, 4)
-    roots = x[forest.roots(np.arange(len(x)))]
+    roots = x[direct(x, [0, len(x)])]
     want = {(int(a), int(b)) for a, b in zip(x, roots, strict=True) if a != b}
     got = {(r["node"], r["root"]) for r in simhash.components(simhash.links(points, max_shard=40, rounds=2)).collect() if r["node"] != r["root"]}
     assert got == want
+    done = simhash.work(points).first()
+    assert 0 < done["compared"] < done["pairs"]
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -91,5 +106,9 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_keep_one(docs):
-    df = docs([(1, "a b c d e"), (2, "a b c d e"), (3, "something else here now ok"), (None, "a b c d e")])
-    assert sorted((r["doc_id"] for r in simhash.keep_one(df).collect()), key=str) == [1, 3, None]
+    rows = [(1, "a b c d e"), (2, "a b c d e"), (3, "something else here now ok"), (None, "a b c d e"), (1, "a b c d e"), (3, "quite another text of its own"), (None, "alone alone again and again"), (None, "alone alone again and again"), (4, "quite another text of its own")]
+    for extra in ((), ("_gone", "_gone_id", "_gone_digest", "_nth", "fp", "digest")):
+        df = docs(rows, extra=extra)
+        out = simhash.keep_one(df)
+        assert out.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"][:5]) for r in out.collect()), key=str) == [(1, "a b c"), (3, "quite"), (3, "somet"), (None, "alone")]
