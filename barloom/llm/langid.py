@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, flat, map_batches
+from .common import columns_of, flat, fresh, map_batches
 
 ORDER = 3
-#: Training takes about so many labelled documents of each language, whole, by a hash of doc_id, and only those of at
-#: most so many characters; these bounds hold whatever the size of the table. More languages than the last are an error.
-SAMPLE, SAMPLE_CHARS, MAX_LANGUAGES = 400, 20_000, 200
-#: Contexts of full length kept in the model, the most frequent first; MODEL_BYTES bounds the table of costs.
-MAX_CONTEXTS, MODEL_BYTES = 24_000, 1 << 26
+#: Training takes about so many labelled documents of each language by a hash of doc_id, of a longer one a piece of so
+#: many characters from a place by another hash; these bounds hold whatever the size of the table.
+SAMPLE, SAMPLE_CHARS = 400, 20_000
+#: Languages whose costs stand side by side in one table.
+TOGETHER = 8
 #: What stands before the first byte of a text.
 PAD = 0x0A
 UNKNOWN = "und"
@@ -52,98 +52,136 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(documents: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """lang, text of about `sample` documents a language, chosen by a hash of doc_id among those not held out."""
-    rows = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    """lang, text of about `sample` documents a language, chosen by a hash of doc_id among those with a letter that are not held out."""
+    rows = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    # A row for each language: as many as the model has tables for.
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return rows.select("lang", "text")
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n)))), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where((draw < share) & (F.length("text") <= chars) & F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    n = F.length("text")
+    piece = F.when(n > chars, F.substr("text", (F.pmod(F.xxhash64("doc_id", F.lit(29)), n - chars + 1) + 1).cast("int"), F.lit(chars))).otherwise(F.col("text"))
+    return rows.where(draw < share).select("lang", piece.alias("text"))
+
+
+class Lookup:
+    """Where each of some distinct unsigned keys stands among them, by a hash table that is a quarter full."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(self.keys)
+        while len(todo):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]
+            left = self.slots[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys (unsigned 64-bit); -1 where there is none."""
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        wrong = np.flatnonzero((at >= 0) & (self.keys[at] != keys)) if len(self.keys) else at[:0]
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & (len(self.slots) - 1)
+            at[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[(at[wrong] >= 0) & (self.keys[at[wrong]] != keys[wrong])]
+        return at
+
+
+class Level:
+    """Contexts of k bytes: the bits of the bytes that some language saw after them, and of an escape from them."""
+
+    def __init__(self, seen: Lookup, bits: np.ndarray, contexts: Lookup, escape: np.ndarray):
+        self.seen, self.bits, self.contexts, self.escape = seen, bits, contexts, escape
 
 
 class Model:
-    """Costs in bits by context and byte for each language; see the module's text."""
+    """Costs in bits by context and byte for each language; see the module's text.
+
+    A byte that no language of a table saw in a context costs the escape there and what it costs in the next shorter one,
+    so only what training saw is kept, whole.
+    """
 
-    def __init__(self, grams: list[tuple[str, int, int]]):
-        self.languages = sorted({g[0] for g in grams})
+    def __init__(self, langs: np.ndarray, grams: np.ndarray, n: np.ndarray):
+        self.languages = sorted(set(langs.tolist()))
         number = {x: k for k, x in enumerate(self.languages)}
-        lang = np.array([number[g[0]] for g in grams], np.int64)
-        gram, n = (np.array([g[k] for g in grams], np.int64) for k in (1, 2))
-        columns = [gram >> 8 * (ORDER - k) & 255 for k in range(ORDER + 1)]
-        #: Bytes that training has not seen share class 0, whose cost is that of one such byte.
-        seen = np.unique(np.concatenate(columns)) if len(grams) else np.zeros(0, np.int64)
-        self.classes = np.zeros(256, np.int64)
-        self.classes[seen] = np.arange(1, len(seen) + 1)
-        self.size = size = len(seen) + 1
-        cls = [self.classes[c] for c in columns]
-        sums = np.zeros(size**ORDER, np.int64)
-        code = np.zeros(len(lang), np.int64)
-        for k in range(ORDER):
-            code = code * size + cls[k]
-        np.add.at(sums, code, n)
-        known = np.flatnonzero(sums)
-        most = max(1, min(MAX_CONTEXTS, MODEL_BYTES // (4 * size * max(1, len(self.languages)))))
-        known = np.sort(known[np.argsort(-sums[known], kind="stable")[:most]])
-        # Row numbers: contexts of each shorter length first, so that every context has a row to fall back to.
-        levels = [np.zeros(1, np.int64)]
-        for k in range(1, ORDER):
-            levels.append(np.unique(known % size**k))
-        levels.append(known)
-        starts = np.cumsum([0, *map(len, levels)])
-        self.row = np.zeros(size**ORDER, np.int32)
-        for k in range(1, ORDER + 1):
-            each = np.arange(size**ORDER, dtype=np.int64) % size**k if k < ORDER else np.arange(size**ORDER, dtype=np.int64)
-            at = np.searchsorted(levels[k], each)
-            hit = levels[k][np.minimum(at, len(levels[k]) - 1)] == each if len(levels[k]) else np.zeros(len(each), bool)
-            self.row[hit] = (starts[k] + at[hit]).astype(np.int32)
-        self.costs = np.zeros((starts[-1], size, max(1, len(self.languages))), np.float32)
-        for v in range(len(self.languages)):
-            self._fill(v, levels, starts, [c[lang == v] for c in cls], n[lang == v])
-
-    def _fill(self, v: int, levels: list[np.ndarray], starts: np.ndarray, cls: list[np.ndarray], n: np.ndarray) -> None:
-        size = self.size
-        above = np.full((1, size), 1 / 256)
-        of_above = np.zeros(1, np.int64)
-        unseen = max(1, 257 - size)
-        for k, contexts in enumerate(levels):
-            counts = np.zeros((len(contexts), size))
-            if len(n):
-                own = np.zeros(len(n), np.int64)
-                for c in cls[ORDER - k : ORDER]:
-                    own = own * size + c
-                at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-                here = contexts[at] == own
-                np.add.at(counts, (at[here], cls[ORDER][here]), n[here])
-            kinds, total = (counts > 0).sum(1, keepdims=True), counts.sum(1, keepdims=True)
-            fallback = above[of_above]
-            # Class 0 stands for `unseen` bytes, each as likely as its entry says.
-            left = ((counts == 0) * fallback * np.where(np.arange(size) == 0, unseen, 1)).sum(1, keepdims=True)
+        lang = np.fromiter((number[x] for x in langs.tolist()), np.int64, len(langs))
+        self.tables = []
+        for first in range(0, len(self.languages), TOGETHER):
+            own = (lang >= first) & (lang < first + TOGETHER)
+            self.tables.append(self._table(lang[own] - first, grams[own].astype(np.uint64), n[own], min(TOGETHER, len(self.languages) - first)))
+
+    @staticmethod
+    def _table(lang: np.ndarray, grams: np.ndarray, n: np.ndarray, languages: int) -> list[Level]:
+        levels: list[Level] = []
+        for k in range(ORDER + 1):
+            key = grams & np.uint64((1 << 8 * (k + 1)) - 1)
+            keys, at = np.unique(key, return_inverse=True)
+            contexts, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+            counts = np.zeros((len(keys), languages))
+            np.add.at(counts, (at, lang), n)
+            total, kinds, less = (np.zeros((len(contexts), languages)) for _ in range(3))
+            np.add.at(total, of, counts)
+            np.add.at(kinds, of, counts > 0)
+            # What a byte costs in the next shorter context, which every language that knows this one knows.
+            shorter = levels[-1].bits[levels[-1].seen.find(keys & np.uint64((1 << 8 * k) - 1))] if k else np.full(counts.shape, 8.0)
+            np.add.at(less, of, np.where(counts > 0, np.exp2(-shorter), 0.0))
             with np.errstate(divide="ignore", invalid="ignore"):
-                escaped = np.where(total > 0, kinds / (total + kinds), 1.0) * fallback / np.where(total > 0, left, 1.0)
-                here = np.where(counts > 0, counts / (total + kinds), escaped)
-            self.costs[starts[k] : starts[k + 1], :, v] = -np.log2(here)
-            above = here
-            if k + 1 < len(levels):
-                of_above = np.searchsorted(contexts, levels[k + 1] % size**k) if k else np.zeros(len(levels[1]), np.int64)
+                escape = np.where(total > 0, -np.log2(kinds / (total + kinds) / np.maximum(1e-15, 1 - less)), 0.0)
+                bits = np.where(counts > 0, -np.log2(counts / (total + kinds)[of]), escape[of] + shorter)
+            levels.append(Level(Lookup(keys), bits, Lookup(contexts), escape))
+        for level in levels:
+            level.bits, level.escape = level.bits.astype(np.float32), level.escape.astype(np.float32)
+        return levels
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """The bits of each gram's last byte after the ORDER before it (rows), in each language (columns)."""
+        return np.hstack([self._bits(levels, grams) for levels in self.tables]) if self.tables else np.zeros((len(grams), 1), np.float32)
+
+    @staticmethod
+    def _bits(levels: list[Level], grams: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(grams), levels[0].bits.shape[1]), np.float32)
+        rows = None
+        for k in range(ORDER, -1, -1):
+            at = levels[k].seen.find(grams)
+            if rows is None:
+                out = levels[k].bits[np.maximum(at, 0)]
+                rows = np.flatnonzero(at < 0)
+                out[rows] = 0
+            else:
+                hit = at >= 0
+                out[rows[hit]] += levels[k].bits[at[hit]]
+                rows = rows[~hit]
+            if not len(rows):
+                return out
+            grams = grams[at < 0]
+            context = levels[k].contexts.find(grams >> np.uint64(8))
+            known = context >= 0
+            out[rows[known]] += levels[k].escape[context[known]]
+            grams = grams & np.uint64((1 << 8 * k) - 1) if k else grams
+        out[rows] += 8.0
+        return out
 
     def code_lengths(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Bits for each text (rows) in each language (columns); text r has bytes at[r] to at[r + 1] of data."""
-        total = np.zeros((len(at) - 1, self.costs.shape[2]))
-        flat_costs = self.costs.reshape(-1, self.costs.shape[2])
+        total = np.zeros((len(at) - 1, max(1, len(self.languages))))
         for a in range(int(at[0]), int(at[-1]), _STEP):
             b = min(int(at[-1]), a + _STEP)
             first = max(0, a - ORDER)
-            c = self.classes[data[first:b]]
+            before = data[first:b].astype(np.uint64)
             begins = at[(at >= first) & (at < b)] - first
-            row, before = np.zeros(len(c), np.int64), c
-            for k in range(ORDER):
-                before = np.concatenate((self.classes[[PAD]], before[:-1]))
-                before[begins] = self.classes[PAD]
-                row += before * self.size**k
-            cost = flat_costs[(self.row[row].astype(np.int64) * self.size + c)[a - first :]]
+            gram = before.copy()
+            for k in range(1, ORDER + 1):
+                before = np.concatenate((np.array([PAD], np.uint64), before[:-1]))
+                before[begins] = PAD
+                gram |= before << np.uint64(8 * k)
+            cost = self.bits(gram[a - first :])
             run = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)))
             lo, hi = np.clip(at[:-1] - a, 0, b - a), np.clip(at[1:] - a, 0, b - a)
             total += run[hi] - run[lo]
@@ -153,23 +191,23 @@ class Model:
 def train(documents: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """A model from a bounded sample of documents that are not held out. Only the sample's byte counts reach the driver."""
     picked = training_sample(documents, sample, chars)
-    counts = map_batches(picked, _grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model([tuple(r) for r in counts.collect()])
+    counts = map_batches(picked, _grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    return Model(np.array(counts.column("lang").to_pylist(), object), counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
-def _verdicts(m: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verdicts(m: Model, batch: pa.RecordBatch, letters: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row: the language's number, or -1; its share; the bits a byte of its code."""
     data, at = flat(batch.column("text"))
     bits = m.code_lengths(data, at)
     best = bits.argmin(1)
     least = bits[np.arange(len(bits)), best]
     share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-    ok = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool) & (len(m.languages) > 0)
+    ok = batch.column(letters).to_numpy(zero_copy_only=False).astype(bool) & (len(m.languages) > 0)
     return np.where(ok, best, -1), np.where(ok, share, 0.0), np.where(ok, least / np.maximum(1, np.diff(at)), np.nan)
 
 
 def _letters() -> Column:
-    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
 def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
@@ -184,13 +222,13 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, UNKNOWN], object)
         for batch in batches:
-            best, share, per_byte = _verdicts(shared.value, batch)
+            best, share, per_byte = _verdicts(shared.value, batch, "letters")
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(share), pa.array(per_byte, mask=best < 0)],
                 names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
             )
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", _letters())
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", _letters().alias("letters"))
     return map_batches(rows, score, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
@@ -199,12 +237,15 @@ REJECT_BITS = 5.5
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """documents in a learned language: those with a letter whose best code takes at most REJECT_BITS a byte."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents))
+    """documents in a learned language: those with a letter whose best code takes at most REJECT_BITS a byte.
+
+    Null and empty texts have no letter and go; rows that repeat are judged alike. Where nothing is learned, nothing stays.
+    """
+    shared, letters = documents.sparkSession.sparkContext.broadcast(train(documents)), fresh(documents, "letters")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, _, per_byte = _verdicts(shared.value, batch)
-            yield batch.drop_columns(["_letters"]).filter(pa.array((best >= 0) & ~(per_byte > REJECT_BITS)))
+            best, _, per_byte = _verdicts(shared.value, batch, letters)
+            yield batch.drop_columns([letters]).filter(pa.array((best >= 0) & ~(per_byte > REJECT_BITS)))
 
-    return map_batches(documents.select(*documents.columns, _letters()), keep, columns_of(documents))
+    return map_batches(documents.select(*documents.columns, _letters().alias(letters)), keep, columns_of(documents))

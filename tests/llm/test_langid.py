@@ -12,14 +12,7 @@ from barloom.llm import langid
 
 def slow_bits(training, text, order=langid.ORDER):
     """Code length by method C with exclusions, from dictionaries."""
-    counts = {}
-    seen = {langid.PAD} | {b for texts in training.values() for t in texts for b in t}
     out = []
-    full = Counter()
-    for texts in training.values():
-        for t in texts:
-            p = bytes([langid.PAD]) * order + t
-            full.update(p[i : i + order] for i in range(len(t)))
     for lang in sorted(training):
         counts = {}
         for t in training[lang]:
@@ -27,9 +20,6 @@ def slow_bits(training, text, order=langid.ORDER):
             for i in range(order, len(p)):
                 for k in range(order + 1):
                     counts.setdefault(p[i - k : i], Counter())[p[i]] += 1
-        every = set(full)
-        contexts = {c[order - k :] for c in every for k in range(order + 1)}
-
         def chance(context, byte):
             if context is None:
                 return 1 / 256
@@ -45,10 +35,7 @@ def slow_bits(training, text, order=langid.ORDER):
 
         p, bits = bytes([langid.PAD]) * order + text, 0.0
         for i in range(order, len(p)):
-            context = p[i - order : i]
-            while context not in contexts or any(b not in seen for b in context):
-                context = context[1:]
-            bits -= math.log2(chance(context, p[i]))
+            bits -= math.log2(chance(p[i - order : i], p[i]))
         out.append(bits)
     return out
 
@@ -65,7 +52,7 @@ def model_of(training, order=langid.ORDER):
             p = bytes([langid.PAD]) * order + t
             for i in range(len(t)):
                 grams[lang, int.from_bytes(p[i : i + order + 1], "big")] += 1
-    return langid.Model([(a, g, n) for (a, g), n in grams.items()])
+    return langid.Model(np.array([a for a, _ in grams], object), np.array([g for _, g in grams], np.int64), np.array(list(grams.values()), np.int64))
 
 
 def test_code_lengths_against_dictionaries(training, monkeypatch):
@@ -81,8 +68,28 @@ def test_code_lengths_against_dictionaries(training, monkeypatch):
 
 def test_costs_are_a_distribution(training):
     model = model_of(training)
-    weights = np.where(np.arange(model.size) == 0, 257 - model.size, 1)[None, :, None]
-    assert np.allclose((np.exp2(-model.costs) * weights).sum(1), 1, atol=1e-5)
+    for context in (b"\n\n\n", b"the", b"zzz", b"la ", b"at\x00"):
+        grams = (int.from_bytes(context, "big") << 8) + np.arange(256)
+        assert np.allclose(np.exp2(-model.bits(grams.astype(np.uint64)).astype(float)).sum(0), 1, atol=1e-4)
+
+
+def test_many_languages_keep_their_own_contexts(monkeypatch):
+    rng = random.Random(5)
+    training = {f"l{k:03}": [" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(5)).encode()] for k in range(230)}
+    model = model_of(training)
+    assert len(model.languages) == 230 and len(model.tables) == 29
+    some = [training[x][0] for x in ("l000", "l017", "l229")]
+    data, at = np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
+    bits = model.code_lengths(data, at)
+    assert bits.argmin(1).tolist() == [0, 17, 229]
+    few = {x: training[x] for x in ("l000", "l017", "l229")}
+    assert np.allclose(bits[:, [0, 17, 229]], [slow_bits(few, t) for t in some], rtol=1e-5)
+
+
+def test_a_language_of_long_documents_is_learned(docs):
+    long = " ".join(["grande", "maison", "été", "rivière"] * 20_000)
+    rows = [(i, "the cat and the hat of the house", "en") for i in range(40)] + [(100 + i, long, "fr") for i in range(8)] + [(500, "maison grande été", None)]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(rows)).collect()}[500] == "fr"
 
 
 def test_held_out_accuracy(spark):
@@ -100,7 +107,7 @@ def test_edges(docs):
     say = lambda words: " ".join(rng.choices(words, k=40))
     rows = [(i, say(["the", "and", "of", "cat"]), "en") for i in range(20)] + [(50 + i, say(["été", "la", "mer"]), "fr") for i in range(20)]
     rows += [(100, None), (101, ""), (102, "12 34 !!"), (103, "x" * 300_000), (104, "la mer été", None), (None, "the cat"), (104, "la mer été", None), (105, "日本語の文" * 30, None)]
-    df = docs(rows, extra=["held_out", "letters", "score"])
+    df = docs(rows, extra=["held_out", "letters", "score", "_letters", "__letters"])
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(df).collect()}
     assert {(100, "und"), (101, "und"), (102, "und"), (104, "fr"), (None, "en"), (3, "en"), (55, "fr")} <= got
     assert langid.identify(df).count() == len(rows)
