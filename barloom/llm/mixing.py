@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 #: Sources, in order, weigh these in turn.
 WEIGHTS = (5, 2, 1)
@@ -51,16 +51,18 @@ def coin(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def _mixed(documents: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
-    """documents with _mix: source_size, target and copies."""
+def _mixed(documents: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, str]:
+    """documents with one more column, a struct of source_size, target and copies, and that column's name."""
     targets = cut(targets, "targets")
-    right = targets.select(F.col("source").alias("_of"), F.struct("source_size", "target", "rate").alias("_source"))
+    of, found, mixed = (fresh(documents, name) for name in ("of", "source", "mix"))
+    right = targets.select(F.col("source").alias(of), F.struct("source_size", "target", "rate").alias(found))
     if targets.count() <= BROADCAST_SOURCES:
         right = F.broadcast(right)
-    joined = documents.join(right, F.col("source").eqNullSafe(F.col("_of")))
-    rate = F.col("_source.rate")
+    joined = documents.join(right, documents["source"].eqNullSafe(F.col(of)))
+    rate = F.col(found)["rate"]
     copies = F.floor(rate) + (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select(*documents.columns, F.struct("_source.source_size", "_source.target", copies.alias("copies")).alias("_mix"))
+    struct = F.struct(F.col(found)["source_size"].alias("source_size"), F.col(found)["target"].alias("target"), copies.alias("copies"))
+    return joined.select(*documents.columns, struct.alias(mixed)), mixed
 
 
 def with_copies(documents: DataFrame, targets: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -69,11 +71,16 @@ def with_copies(documents: DataFrame, targets: DataFrame | None = None, seed: in
     Null text has size 0; rows that repeat a doc_id share its coin. Columns of documents that are called like those
     added here are replaced. Rows with a null source take the targets of the source null.
     """
-    rows = documents.drop("source_size", "target", "copies")
-    return _mixed(rows, source_targets(documents) if targets is None else targets, seed).select(*rows.columns, "_mix.*")
+    documents = documents.drop("source_size", "target", "copies")
+    rows, mixed = _mixed(documents, source_targets(documents) if targets is None else targets, seed)
+    return rows.select(*documents.columns, f"{mixed}.*")
 
 
 def mix(documents: DataFrame, seed: int = 0) -> DataFrame:
-    """The mixed corpus: each document as often as with_copies says, columns as before."""
-    rows = _mixed(documents, source_targets(documents), seed).where("_mix.copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select(*documents.columns)
+    """The mixed corpus: each document as often as with_copies says, columns as before, whatever their names.
+
+    A source without words has rate 0, so its documents go. No rows: none.
+    """
+    rows, mixed = _mixed(documents, source_targets(documents), seed)
+    each = F.explode(F.sequence(F.lit(1), F.col(mixed)["copies"].cast("int"))).alias(fresh(documents, "copy"))
+    return rows.where(F.col(mixed)["copies"] > 0).select(*documents.columns, each).select(*documents.columns)

@@ -27,7 +27,7 @@ def water(sizes):
 
 def test_targets_and_copies(docs, monkeypatch):
     rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 9}") for i in range(300)] + [(1000 + i, "x y z", "en", None) for i in range(500)] + [(2000, None, "en", "s1"), (2001, "", "en", "empty"), (None, "a b", "en", "Ünï"), (5, "w w", "en", "s5")]
-    df = docs(rows, extra=["rate", "copies", "target"])
+    df = docs(rows, extra=["rate", "copies", "target", "_copy", "_of", "_source", "_mix"])
     sizes = {}
     for _, text, _, source in rows:
         sizes[source] = sizes.get(source, 0) + len((text or "").split())
@@ -41,7 +41,7 @@ def test_targets_and_copies(docs, monkeypatch):
     assert sorted(map(str, again.select("doc_id", "copies").collect())) == first
     assert again.count() == len(rows) and again.where("copies > 2 or copies < 0").count() == 0
     mixed = mixing.mix(df)
-    assert mixed.columns == df.columns and mixed.count() == again.agg({"copies": "sum"}).first()[0]
+    assert mixed.columns == df.columns and mixed.where("_copy <> 'clash'").isEmpty() and mixed.count() == again.agg({"copies": "sum"}).first()[0]
     taken = {r["source"]: r["n"] for r in mixed.withColumn("n", mixing.n_words(mixed["text"])).groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
     assert abs(taken[None] - want[None]) < 0.1 * want[None]
     assert mixing.with_copies(docs([])).collect() == [] and mixing.mix(docs([(1, None)])).collect() == []
