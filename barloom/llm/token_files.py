@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import Pool, Vocabulary
-from .common import blocks, cut, flat, map_batches, scratch
+from .common import blocks, cut, flat, map_batches, scratch, spread
 
 MAGIC = b"IDPLANE1"
 #: Ids in a block; ids after which a file is closed.
@@ -126,12 +126,12 @@ class LibraryEncoder:
     """Encodes texts as the tokenizers library does, each distinct word that a worker meets once.
 
     The tokenizer must drop white space and treat words apart, as word-level byte-pair encodings do; then a text's ids are
-    those of the stretches between its spaces and newlines. Words of Latin letters, with a comma or full stop after them
-    or not, need no more of it than lower case and merges; those are done many at a time, provided that the library gives
-    the same ids for words made from its own vocabulary. All others go through the library.
+    those of the stretches between its spaces and newlines. With latin_merges, words of Latin letters, with a comma or full
+    stop after them or not, need no more of it than lower case and merges, which are done many at a time; a tokenizer
+    whose own vocabulary says otherwise is refused. All other words, and without latin_merges all, go through the library.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, latin_merges: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -140,14 +140,16 @@ class LibraryEncoder:
         self.library.no_padding()
         self.pool = Pool()
         self.merges: Vocabulary | None = None
-        if json.loads(text)["model"].get("end_of_word_suffix"):
+        if latin_merges:
+            if not json.loads(text)["model"].get("end_of_word_suffix"):
+                raise ValueError("latin_merges needs a vocabulary with a suffix at the end of words")
             self.merges = Vocabulary(text)
             self.marks = {c: self._by_library([c]) for c in ",."}
             tokens = [t.removesuffix("</w>") for t in sorted(self.library.get_vocab())]
             sample = [a.title() + b + c for a, b, c in zip(tokens[::23], tokens[7::23], ["", ",", "."] * len(tokens), strict=False) if self._stem(a.title() + b + c)]
             mine, theirs = self._by_merges(sample, [self._stem(w) for w in sample]), self._by_library(sample)
             if not sample or not all(np.array_equal(x, y) for x, y in zip(mine, theirs, strict=True)):
-                self.merges = None
+                raise ValueError("this tokenizer treats Latin words in another way: set latin_merges to False")
 
     def _stem(self, word: str) -> str:
         """The word in lower case without its comma or full stop, if merges alone are enough for it, else nothing."""
@@ -193,16 +195,18 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(text: str) -> LibraryEncoder:
-    return LibraryEncoder(text)
+def encoder_of(text: str, latin_merges: bool) -> LibraryEncoder:
+    return LibraryEncoder(text, latin_merges)
 
 
-def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None, end: int = END, file_ids: int = FILE_IDS) -> DataFrame:
+def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None, end: int = END, file_ids: int = FILE_IDS, latin_merges: bool = True) -> DataFrame:
     """Write the ids of all documents, each with `end` after it, in ascending doc_id order; returns the files.
 
     file, base (ids in all files before it), n_ids, documents. Null text counts as empty. Null doc_ids come first; rows
     of one doc_id follow a hash of their text, so rows repeated as a whole are next to each other. Documents are dealt to
     tasks by ranges of doc_id; each task writes files of its own, and only those of attempts that counted are named.
+    The folder is opened by pyarrow (file, s3, gs, hdfs), so the workers need its credentials. latin_merges: see
+    LibraryEncoder.
     """
     shared = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
     folder = folder or scratch(documents.sparkSession, "tokens")
@@ -210,7 +214,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, folder: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        encoder, part, nth, writer, name = encoder_of(shared.value), TaskContext.get().partitionId(), 0, None, ""
+        encoder, part, nth, writer, name = encoder_of(shared.value, latin_merges), TaskContext.get().partitionId(), 0, None, ""
 
         def done() -> pa.RecordBatch:
             writer.close()
@@ -260,4 +264,4 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return map_batches(files.select("file", "base").repartition("file"), read, "doc_id long, start long, n_tokens long, ids binary")
+    return map_batches(spread(files.select("file", "base")), read, "doc_id long, start long, n_tokens long, ids binary")
