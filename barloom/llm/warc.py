@@ -1,9 +1,15 @@
-"""WARC: one gzip member per record, written by tasks and read back record by record."""
+"""WARC: one gzip member per record, written by tasks and read back record by record.
+
+The reader takes any archive of one member a record: of whatever record types, with or without digests, and with its own
+records' ids beside those of others. Archives are opened by pyarrow (file, s3, gs, hdfs).
+"""
 
 from __future__ import annotations
 
 import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -13,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, scratch
+from .common import cut, map_batches, scratch, spread
 
 #: Payloads of fewer bytes are never replaced by a revisit.
 MIN_REVISIT = 1000
@@ -46,8 +52,15 @@ def _named(page_id: int | None) -> str:
     return f"<urn:x-page:{'null' if page_id is None else page_id}>"
 
 
-def _page(name: str) -> int | None:
-    return None if name == "<urn:x-page:null>" else int(name.removeprefix("<urn:x-page:").removesuffix(">"))
+def _page(name: str | None) -> int | None:
+    """The page_id in a record id of ours; null in others."""
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
+    return int(found[1]) if found else None
+
+
+def _target(url: str | None) -> str:
+    """The URL, but for control characters and blanks at its ends, which a header can't hold: those are percent-encoded."""
+    return re.sub(r"[\x00-\x1f\x7f]|^ +| +$", lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), url) if url else "urn:x-no-url"
 
 
 def _digest(data: bytes) -> str:
@@ -62,7 +75,7 @@ def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {_named(page_id)}",
-        f"WARC-Target-URI: {' '.join((url or 'urn:x-no-url').split())}",
+        f"WARC-Target-URI: {_target(url)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: {_digest(payload)}",
@@ -123,48 +136,107 @@ def members(stream, chunk: int = CHUNK) -> Iterator[bytes]:
         rest = rest or stream.read(chunk)
 
 
+def fields_of(head: bytes) -> dict[str, str]:
+    """The header fields under their names in lower case; a line that begins with a blank goes on with the one before."""
+    fields: dict[str, str] = {}
+    name = ""
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+            continue
+        name, mark, value = line.partition(":")
+        name = name.strip().lower()
+        if not mark or not name:
+            raise WarcError(f"a header line without a name: {line[:80]}")
+        fields[name] = value.strip()
+    return fields
+
+
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
     """A record's header fields and its block, framed by Content-Length."""
     head, mark, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not mark or not lines[0].startswith("WARC/1."):
+    if not mark or not head.startswith(b"WARC/"):
         raise WarcError("not a WARC record")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    size = int(fields["Content-Length"])
+    fields = fields_of(head)
+    if not fields.get("content-length", "").isdigit():
+        raise WarcError(f"{fields.get('warc-record-id')}: no Content-Length")
+    size = int(fields["content-length"])
     if rest[size:] != b"\r\n\r\n":
-        raise WarcError(f"{fields.get('WARC-Record-ID')}: the block isn't {size} bytes long")
+        raise WarcError(f"{fields.get('warc-record-id')}: the block isn't {size} bytes long")
     return fields, rest[:size]
 
 
+def _known_digest(value: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a header such as sha1:BASE32 or sha256:hex; nothing where it says neither."""
+    name, _, text = (value or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size = hashlib.new(name).digest_size
+    try:
+        found = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except (ValueError, binascii.Error):
+        return None
+    return (name, found) if len(found) == size else None
+
+
+def _differs(data: bytes, digest: tuple[str, bytes] | None) -> bool:
+    return digest is not None and hashlib.new(digest[0], data).digest() != digest[1]
+
+
 def checked(record: bytes) -> dict:
-    """A record as a row; raises WarcError where a digest or length differs from what the record says."""
+    """A record as a row; raises WarcError where a digest or length differs from what the record says.
+
+    A block of HTTP is split into its head and payload; any other block is its own payload. Digests that are missing, or
+    of an unknown kind, are not verified; nor are the payload's where it was cut short (WARC-Truncated) or sent in chunks.
+    payload_digest is the SHA-1 that the record gives, or else that of the payload at hand. A revisit has no payload: its
+    length is that of its HTTP head, if it has one, and its digest the record's.
+    """
     fields, block = parsed(record)
-    if _digest(block) != fields["WARC-Block-Digest"]:
-        raise WarcError(f"{fields['WARC-Record-ID']}: block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = int(next(x.split(b":")[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-    revisit = fields["WARC-Type"] == "revisit"
-    if not revisit and (len(payload) != length or _digest(payload) != fields["WARC-Payload-Digest"]):
-        raise WarcError(f"{fields['WARC-Record-ID']}: payload digest or length differs")
+    name, kind = fields.get("warc-record-id"), fields.get("warc-type", "unknown")
+    if _differs(block, _known_digest(fields.get("warc-block-digest"))):
+        raise WarcError(f"{name}: block digest differs")
+    payload, length = block, None
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    sent = {}
+    if http:
+        head, _, payload = block.partition(b"\r\n\r\n")
+        for line in head.split(b"\r\n")[1:]:
+            key, _, value = line.partition(b":")
+            sent[key.strip().lower()] = value.strip()
+        if sent.get(b"content-length", b"").isdigit():
+            length = int(sent[b"content-length"])
+    revisit, digest = kind == "revisit", _known_digest(fields.get("warc-payload-digest"))
+    if not revisit and not {b"transfer-encoding"} & sent.keys() and "warc-truncated" not in fields:
+        if length is not None and b"content-encoding" not in sent and kind == "response" and len(payload) != length:
+            raise WarcError(f"{name}: payload length differs")
+        if _differs(payload, digest):
+            raise WarcError(f"{name}: payload digest differs")
+    sha1 = digest[1] if digest is not None and digest[0] == "sha1" else None if revisit else hashlib.sha1(payload).digest()
+    url = fields.get("warc-target-uri", "").removeprefix("<").removesuffix(">")
     return {
-        "page_id": _page(fields["WARC-Record-ID"]),
-        "url": None if fields["WARC-Target-URI"] == "urn:x-no-url" else fields["WARC-Target-URI"],
-        "payload_bytes": length,
-        "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
-        "record_type": fields["WARC-Type"],
-        "refers_to": _page(fields["WARC-Refers-To"]) if revisit else None,
+        "page_id": _page(name),
+        "url": None if url in ("", "urn:x-no-url") else url,
+        "payload_bytes": length if revisit else len(payload),
+        "payload_digest": sha1.hex() if sha1 is not None else None,
+        "record_type": kind,
+        "refers_to": _page(fields.get("warc-refers-to")),
         "payload": None if revisit else payload,
+        "record_id": name,
     }
 
 
-_ROW = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_ROW = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string"
 _ARROW = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
+    [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string())]
 )
 
 
 def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the files named in column file; payload is null in revisits, and everywhere without payloads."""
+    """The records of the files named in column file, in the order of each file; see `checked`.
+
+    payload is null in revisits, and everywhere without payloads. page_id and refers_to are null in records of others.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +255,7 @@ def read_warc(files: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return map_batches(files.select("file").repartition("file"), read, _ROW)
+    return map_batches(spread(files.select("file")), read, _ROW)
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -103,3 +103,37 @@ def test_warc_reader_checks():
     for broken in (record.replace(b"payload\r\n", b"pAyload\r\n"), record.replace(b"WARC/1.1", b"NOPE/1.1"), record + b"x"):
         with pytest.raises(warc.WarcError):
             warc.checked(broken)
+
+
+def foreign(kind, block, *lines):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *lines]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_reader_on_archives_of_others(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    hexed = "sha256:" + hashlib.sha256(b"told").hexdigest()
+    records = [
+        foreign("warcinfo", b"software: x\r\n", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "WARC-Record-ID:<urn:uuid:2>", "WARC-Target-URI: <http://a/>", "Content-Type: application/http; msgtype=request"),
+        foreign("response", page, "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: http://a/", "Content-Type: application/http;msgtype=response", "WARC-Payload-Digest: sha1:WRONGWRONGWRONGWRONGWRONGWRONGWR"),
+        foreign("resource", b"told", "warc-record-id: <urn:uuid:4>", "X-Long: one", "\ttwo", f"WARC-Payload-Digest: {hexed}"),
+        foreign("revisit", b"", "WARC-Record-ID: <urn:uuid:5>", "WARC-Refers-To: <urn:uuid:3>"),
+        foreign("metadata", b"", "WARC-Block-Digest: crc32:00"),
+    ]
+    packed = b"".join(c.compress(r) + c.flush() for r in records for c in [zlib.compressobj(6, zlib.DEFLATED, 31)])
+    (tmp_path / "other.warc.gz").write_bytes(packed)
+    got = warc.read_warc(spark.createDataFrame([(f"file://{tmp_path}/other.warc.gz",)], "file string")).collect()
+    assert [(r["record_type"], r["record_id"], r["url"], r["payload_bytes"]) for r in got] == [
+        ("warcinfo", "<urn:uuid:1>", None, 13), ("request", "<urn:uuid:2>", "http://a/", 0), ("response", "<urn:uuid:3>", "http://a/", 15),
+        ("resource", "<urn:uuid:4>", None, 4), ("revisit", "<urn:uuid:5>", None, None), ("metadata", None, None, 0),
+    ]
+    assert all(r["page_id"] is None and r["refers_to"] is None for r in got)
+    for bad in (foreign("resource", b"tald", f"WARC-Payload-Digest: {hexed}"), foreign("resource", b"", "no colon here"), b"WARC/1.0\r\nA: b\r\n\r\n\r\n\r\n"):
+        with pytest.raises(warc.WarcError):
+            warc.checked(bad)
+
+
+def test_urls_stay_as_they_are():
+    for url, want in (("http://a/ü b?c=%20", "http://a/ü b?c=%20"), (None, None), ("", None), (" a\r\nb ", "%20a%0D%0Ab%20")):
+        assert warc.checked(zlib.decompress(warc.member(1, url, b"x", None), 31))["url"] == want
