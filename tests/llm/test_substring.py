@@ -60,10 +60,22 @@ def test_null_ids_repeated_rows_and_no_rows(docs):
     assert substring.repeats(docs([])).collect() == []
 
 
+def test_one_id_with_several_texts(docs):
+    first, second = " ".join(map(str, range(30))), " ".join(map(str, range(100, 125)))
+    rows = [(1, first), (1, second), (1, second), (2, second + " x"), (3, "y " + first), (None, first)]
+    df = docs(rows)
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.repeats(df).collect()]
+    assert sorted(got, key=str) == [(1, 25, 0), (1, 25, 0), (1, 30, 0), (2, 26, 25), (3, 31, 30), (None, 30, 0)]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in substring.remove_repeats(df).collect()) == sorted([("1", first), ("1", second), ("1", second), ("2", "x"), ("3", "y"), ("None", first)])
+    # The longer text of one id may repeat the shorter one: the later by hash loses, and only that.
+    both = [r["n_removed"] for r in substring.repeats(docs([(1, first), (1, f"{first} and more")])).collect()]
+    assert sorted(both) == [0, 30]
+
+
 def test_removal_from_texts(docs, monkeypatch):
     text = " ".join(map(str, range(30)))
     rows = [(1, text), (2, f"x  y\n{text} z"), (3, "a  b")]
-    df = docs(rows, extra=["spans"])
+    df = docs(rows, extra=["spans", "_spans", "_of_doc_id", "th"])
     for limit in (substring.BROADCAST_SPANS, -1):
         monkeypatch.setattr(substring, "BROADCAST_SPANS", limit)
         out = substring.remove_repeats(df)
