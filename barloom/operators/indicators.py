@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.windows import C, H, L, V, order, ema, full, last, prev, ratio, running, sma
+from ..functions.windows import C, H, L, V, full, last, order, prev, ratio, running, sma, with_emas, with_recurrence
+from .fill import fill_gaps, pct_change
+from .path_indicators import psar
 
 #: The moving averages.
 AVERAGES = (1, 2, 5, 10, 15, 20, 25, 50, 100)
@@ -54,15 +56,20 @@ def typical() -> Column:
     return (H() + L() + C()) / 3
 
 
+def of_period(n: int) -> float:
+    """The alpha of an exponential mean over n rows."""
+    return 2 / (n + 1)
+
+
 @indicator("ema_12")
 def ema_12(b):
-    return b.withColumn("ema_12", ema("close", 12))
+    return with_emas(b, {"ema_12": ("close", of_period(12))})
 
 
 def _macd(b: DataFrame, x: str, name: str, relative: bool) -> DataFrame:
-    b = b.withColumns({"_fast": ema(x, 12), "_slow": ema(x, 26)})
+    b = with_emas(b, {"_fast": (x, of_period(12)), "_slow": (x, of_period(26))})
     b = b.withColumn(name, 100 * ratio(F.col("_fast") - F.col("_slow"), F.col("_slow")) if relative else F.col("_fast") - F.col("_slow"))
-    b = b.withColumn(f"{name}_signal", ema(name, 9))
+    b = with_emas(b, {f"{name}_signal": (name, of_period(9))})
     return b.withColumn(f"{name}_hist", F.col(name) - F.col(f"{name}_signal")).drop("_fast", "_slow")
 
 
@@ -83,37 +90,37 @@ def pvo(b):
 
 @indicator("trix")
 def trix(b):
-    b = b.withColumn("_e1", ema("close", 15))
-    b = b.withColumn("_e2", ema("_e1", 15))
-    b = b.withColumn("_e3", ema("_e2", 15))
+    for x, e in (("close", "_e1"), ("_e1", "_e2"), ("_e2", "_e3")):
+        b = with_emas(b, {e: (x, of_period(15))})
     return b.withColumn("trix", 100 * (ratio(F.col("_e3"), prev("_e3")) - 1)).drop("_e1", "_e2", "_e3")
 
 
 @indicator("tsi")
 def tsi(b):
     b = b.withColumn("_d", C() - prev("close"))
-    b = b.withColumns({"_a": ema("_d", 25), "_b": ema(F.abs("_d"), 25)})
-    return b.withColumn("tsi", 100 * ratio(ema("_a", 13), ema("_b", 13))).drop("_d", "_a", "_b")
+    b = with_emas(b, {"_a": ("_d", of_period(25)), "_b": (F.abs("_d"), of_period(25))})
+    b = with_emas(b, {"_a2": ("_a", of_period(13)), "_b2": ("_b", of_period(13))})
+    return b.withColumn("tsi", 100 * ratio(F.col("_a2"), F.col("_b2"))).drop("_d", "_a", "_b", "_a2", "_b2")
 
 
-def _with_rsi(b: DataFrame, n: int = 14) -> DataFrame:
+def _with_rsi(b: DataFrame, name: str, n: int = 14) -> DataFrame:
     b = b.withColumn("_d", C() - prev("close"))
-    b = b.withColumns({"_g": ema(F.greatest("_d", F.lit(0.0)) + 0 * F.col("_d"), alpha=1 / n), "_l": ema(F.greatest(-F.col("_d"), F.lit(0.0)) + 0 * F.col("_d"), alpha=1 / n)})
-    return b.withColumn("rsi", 100 * ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_d", "_g", "_l")
+    b = with_emas(b, {"_g": (F.greatest("_d", F.lit(0.0)) + 0 * F.col("_d"), 1 / n), "_l": (F.greatest(-F.col("_d"), F.lit(0.0)) + 0 * F.col("_d"), 1 / n)})
+    return b.withColumn(name, 100 * ratio(F.col("_g"), F.col("_g") + F.col("_l"))).drop("_d", "_g", "_l")
 
 
 @indicator("rsi")
 def rsi(b):
-    return _with_rsi(b)
+    return _with_rsi(b, "rsi")
 
 
 @indicator("stoch_rsi", "stoch_rsi_k", "stoch_rsi_d")
 def stoch_rsi(b):
-    b = _with_rsi(b)
-    lo, hi = full(F.min, "rsi", 14), full(F.max, "rsi", 14)
-    b = b.withColumn("stoch_rsi", ratio(F.col("rsi") - lo, hi - lo))
+    b = _with_rsi(b, "_rsi")
+    lo, hi = full(F.min, "_rsi", 14), full(F.max, "_rsi", 14)
+    b = b.withColumn("stoch_rsi", ratio(F.col("_rsi") - lo, hi - lo))
     b = b.withColumn("stoch_rsi_k", sma("stoch_rsi", 3))
-    return b.withColumn("stoch_rsi_d", sma("stoch_rsi_k", 3)).drop("rsi")
+    return b.withColumn("stoch_rsi_d", sma("stoch_rsi_k", 3)).drop("_rsi")
 
 
 @indicator("stoch_k", "stoch_d")
@@ -177,7 +184,7 @@ def donchian(b):
 @indicator("true_range", "atr")
 def atr(b):
     b = b.withColumn("true_range", true_range())
-    return b.withColumn("atr", ema("true_range", alpha=1 / 14))
+    return with_emas(b, {"atr": ("true_range", 1 / 14)})
 
 
 @indicator("ulcer")
@@ -210,7 +217,7 @@ def cmf(b):
 @indicator("force_index")
 def force_index(b):
     b = b.withColumn("_f", (C() - prev("close")) * V())
-    return b.withColumn("force_index", ema("_f", 13)).drop("_f")
+    return with_emas(b, {"force_index": ("_f", of_period(13))}).drop("_f")
 
 
 @indicator("eom", "eom_sma")
@@ -257,8 +264,8 @@ def vortex(b):
 
 @indicator("mass_index")
 def mass_index(b):
-    b = b.withColumn("_e1", ema(H() - L(), 9))
-    b = b.withColumn("_e2", ema("_e1", 9))
+    b = with_emas(b, {"_e1": (H() - L(), of_period(9))})
+    b = with_emas(b, {"_e2": ("_e1", of_period(9))})
     b = b.withColumn("_r", ratio(F.col("_e1"), F.col("_e2")))
     return b.withColumn("mass_index", full(F.sum, "_r", 25)).drop("_e1", "_e2", "_r")
 
@@ -294,10 +301,10 @@ def cci(b):
 def adx(b):
     up, down = H() - prev("high"), prev("low") - L()
     b = b.withColumns({"_p": F.when((up > down) & (up > 0), up).when(up.isNotNull(), 0.0), "_n": F.when((down > up) & (down > 0), down).when(up.isNotNull(), 0.0), "_tr": true_range() + 0 * prev("close")})
-    b = b.withColumns({"_a": ema("_tr", alpha=1 / 14), "_p": ema("_p", alpha=1 / 14), "_n": ema("_n", alpha=1 / 14)})
-    b = b.withColumns({"adx_pos": 100 * ratio(F.col("_p"), F.col("_a")), "adx_neg": 100 * ratio(F.col("_n"), F.col("_a"))})
+    b = with_emas(b, {"_a": ("_tr", 1 / 14), "_up": ("_p", 1 / 14), "_down": ("_n", 1 / 14)})
+    b = b.withColumns({"adx_pos": 100 * ratio(F.col("_up"), F.col("_a")), "adx_neg": 100 * ratio(F.col("_down"), F.col("_a"))})
     b = b.withColumn("_dx", 100 * ratio(F.abs(F.col("adx_pos") - F.col("adx_neg")), F.col("adx_pos") + F.col("adx_neg")))
-    return b.withColumn("adx", ema("_dx", alpha=1 / 14)).drop("_p", "_n", "_tr", "_a", "_dx")
+    return with_emas(b, {"adx": ("_dx", 1 / 14)}).drop("_p", "_n", "_tr", "_a", "_up", "_down", "_dx")
 
 
 @indicator("aroon_up", "aroon_down", "aroon_diff")
@@ -315,16 +322,61 @@ def aroon(b):
 
 @indicator("stc")
 def stc(b):
-    b = b.withColumns({"_fast": ema("close", 23), "_slow": ema("close", 50)})
+    b = with_emas(b, {"_fast": ("close", of_period(23)), "_slow": ("close", of_period(50))})
     b = b.withColumn("_x", F.col("_fast") - F.col("_slow"))
     for _ in range(2):
         lo, hi = full(F.min, "_x", 10), full(F.max, "_x", 10)
         b = b.withColumn("_k", 100 * ratio(F.col("_x") - lo, hi - lo))
-        b = b.withColumn("_x", ema("_k", 3))
+        b = with_emas(b.drop("_x"), {"_x": ("_k", of_period(3))})
     return b.withColumn("stc", F.col("_x")).drop("_fast", "_slow", "_x", "_k")
 
 
+@indicator("kama")
+def kama(b, n: int = 10, fast: int = 2, slow: int = 30):
+    """The adaptive mean: from the n-th close on, alpha goes from slow to fast with the share of a path that was progress."""
+    b = b.withColumns({"_i": F.row_number().over(order()), "_m": F.abs(C() - prev("close"))})
+    b = b.withColumns({"_path": full(F.sum, "_m", n), "_way": F.abs(C() - prev("close", n))})
+    e = F.when(F.col("_path") > 0, F.col("_way") / F.col("_path")).otherwise(0.0)
+    c = F.pow(e * (of_period(fast) - of_period(slow)) + of_period(slow), 2)
+    return with_recurrence(b, "kama", F.when(F.col("_i") >= n, C()), c).drop("_i", "_m", "_path", "_way")
+
+
 @indicator("daily_return", "log_return", "cum_return")
 def returns(b):
     first = F.first("close").over(order().rowsBetween(W.unboundedPreceding, 0))
     return b.withColumns({"daily_return": 100 * (ratio(C(), prev("close")) - 1), "log_return": F.log(ratio(C(), prev("close"))), "cum_return": 100 * (ratio(C(), first) - 1)})
+
+
+#: The columns of all_indicators that count or flag; the others are real numbers.
+FLAGS = ("bb_hi", "bb_li", "psar_up_flag", "psar_down_flag")
+
+
+#: Indicators in one chain of windows; longer chains make plans deeper than Spark's planner goes.
+CHAIN = 6
+
+
+def all_indicators(bars: DataFrame, fill: bool = True) -> DataFrame:
+    """ticker, dt and every indicator, moving average, cross and the change of close of bars; one column each.
+
+    With fill, values that are missing or infinite take the ticker's last one before, or 0 where there is none. Bars
+    without high or low have no parabolic stop. The indicators go in chains of CHAIN, side by side, which join on the key;
+    within a chain all windows share one exchange. bars are read once for each chain, so hand over a table.
+    """
+    real = [*(f"sma_{n}" for n in AVERAGES), "pct_change", *(c for f in INDICATORS.values() for c in f.columns if c not in FLAGS), "psar_up", "psar_down"]
+    whole = [*(f"cross_{f}_{s}" for f, s in combinations(AVERAGES, 2)), *FLAGS]
+    key, every = ["ticker", "dt"], list(INDICATORS.values())
+    chains = [add_crosses(bars).withColumn("pct_change", pct_change("close")), psar(bars)]
+    for k in range(0, len(every), CHAIN):
+        rows = bars
+        for f in every[k : k + CHAIN]:
+            rows = f(rows)
+        chains.append(rows)
+    done = bars.select(key)
+    for rows in chains:
+        columns = [c for c in [*real, *whole] if c in rows.columns]
+        if fill:
+            rows = fill_gaps(rows, [c for c in columns if c in real], backward=False)
+        done = done.join(rows.select(*key, *columns), key, "left")
+    if fill:
+        done = fill_gaps(done, ["psar_up", "psar_down"], backward=False)  # bars that the parabolic stop has no row for
+    return done.select(*key, *real, *(F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in whole))

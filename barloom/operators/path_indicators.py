@@ -1,67 +1,62 @@
-"""Indicators whose state depends on a ticker's whole path: one ordered pass per ticker."""
+"""The parabolic stop and reverse: each row's state hangs on the row before, so each ticker is one ordered pass."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
-
-def _kama(close: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    out, (a, b) = np.full(len(close), np.nan), (2 / (fast + 1), 2 / (slow + 1))
-    moves = np.abs(np.diff(close, prepend=close[:1]))
-    value = close[n - 1] if len(close) >= n else np.nan
-    for t in range(n - 1, len(close)):
-        if t >= n:
-            path = moves[t - n + 1 : t + 1].sum()
-            e = abs(close[t] - close[t - n]) / path if path else 0.0
-            value += (e * (a - b) + b) ** 2 * (close[t] - value)
-        out[t] = value
-    return out
-
-
-def _psar(high: np.ndarray, low: np.ndarray, step: float = 0.02, most: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
-    """(stop, rising) of the parabolic stop-and-reverse rule."""
-    stop, rising = np.full(len(high), np.nan), np.ones(len(high), bool)
-    if not len(high):
-        return stop, rising
-    up, sar, extreme, a = True, low[0], high[0], step
-    stop[0] = sar
-    for t in range(1, len(high)):
-        sar += a * (extreme - sar)
-        sar = min(sar, *low[max(0, t - 2) : t]) if up else max(sar, *high[max(0, t - 2) : t])
-        if (up and low[t] < sar) or (not up and high[t] > sar):
-            up, sar, a = not up, extreme, step
-            extreme = high[t] if up else low[t]
-        elif (up and high[t] > extreme) or (not up and low[t] < extreme):
-            extreme, a = (high[t] if up else low[t]), min(most, a + step)
-        stop[t], rising[t] = sar, up
-    return stop, rising
-
-
-def kama(bars: DataFrame) -> DataFrame:
-    """kama: the adaptive mean, whose state depends on its whole path; one ordered pass per ticker."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        return pdf.assign(kama=_kama(pdf["close"].to_numpy(float)))
-
-    ship(bars.sparkSession)
-    return bars.select("ticker", "dt", "close").groupBy("ticker").applyInPandas(one, "ticker string, dt date, close double, kama double")
+#: What the stop's pace begins with and grows by, and its most.
+STEP, MOST = 0.02, 0.2
+_COLUMNS = ["ticker", "dt", "psar_up", "psar_down", "psar_up_flag", "psar_down_flag"]
+
+
+class Stop:
+    """The rule's state: the stop, whether it rises, the extreme since it turned, the pace, and the last two bars."""
+
+    def __init__(self, high: float, low: float):
+        self.up, self.stop, self.extreme, self.pace = True, low, high, STEP
+        self.highs, self.lows = [high], [low]
+
+    def next(self, high: float, low: float) -> bool:
+        """Takes the next bar; True if the stop turns."""
+        self.stop += self.pace * (self.extreme - self.stop)
+        self.stop = min(self.stop, *self.lows) if self.up else max(self.stop, *self.highs)
+        turned = low < self.stop if self.up else high > self.stop
+        if turned:
+            self.up, self.stop, self.pace = not self.up, self.extreme, STEP
+            self.extreme = high if self.up else low
+        elif (high > self.extreme) if self.up else (low < self.extreme):
+            self.extreme, self.pace = high if self.up else low, min(MOST, self.pace + STEP)
+        self.highs, self.lows = [*self.highs[-1:], high], [*self.lows[-1:], low]
+        return turned
+
+
+def _pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over bars sorted by ticker and date: the state goes on from batch to batch, so no task holds a whole ticker."""
+    ticker, state = None, None
+    for batch in batches:
+        rows = []
+        for t, dt, high, low in batch[["ticker", "dt", "high", "low"]].itertuples(index=False, name=None):
+            if state is None or t != ticker:
+                ticker, state, turned = t, Stop(high, low), False
+            else:
+                turned = state.next(high, low)
+            up = state.up
+            rows.append((t, dt, state.stop if up else None, None if up else state.stop, int(turned and up), int(turned and not up)))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def psar(bars: DataFrame) -> DataFrame:
-    """psar_up, psar_down, psar_up_flag, psar_down_flag (1 where the stop turns); one ordered pass per ticker."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt")
-        stop, up = _psar(pdf["high"].to_numpy(float), pdf["low"].to_numpy(float))
-        turned = np.concatenate(([False], up[1:] != up[:-1])) if len(up) else up
-        return pd.DataFrame(
-            {"ticker": pdf["ticker"], "dt": pdf["dt"], "psar_up": np.where(up, stop, np.nan), "psar_down": np.where(up, np.nan, stop), "psar_up_flag": (turned & up).astype(int), "psar_down_flag": (turned & ~up).astype(int)}
-        )
+    """psar_up, psar_down (the one that holds), psar_up_flag, psar_down_flag (1 where the stop turns that way).
 
+    Rows without high or low take no part.
+    """
     ship(bars.sparkSession)
-    return bars.select("ticker", "dt", "high", "low").groupBy("ticker").applyInPandas(one, "ticker string, dt date, psar_up double, psar_down double, psar_up_flag int, psar_down_flag int")
+    rows = bars.select("ticker", "dt", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low")).where("high is not null and low is not null")
+    ordered = rows.repartition("ticker").sortWithinPartitions("ticker", "dt")
+    return ordered.mapInPandas(_pass, "ticker string, dt date, psar_up double, psar_down double, psar_up_flag int, psar_down_flag int")

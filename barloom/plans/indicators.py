@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.windows import memory
+from ..functions.scratch import cut
 from ..operators import indicators as ind
 from ..operators import path_indicators
 from .fixtures import bars_daily, on_bars, rolling
 from .registry import query
 
+#: Columns of sums and products in one order, equal to the last bit in both engines; their decimals often end in a 5.
+_EXACT = ("psar_up", "psar_down")
+#: Added before rounding where many columns meet: quotients of prices often lie just between two decimals.
+_NUDGE = 1e-9
 #: Decimals that both engines round to, where sums of doubles come in another order.
 DIGITS = 4
 
@@ -32,7 +36,7 @@ def _run(x: str) -> str:
 
 def _ema(x: str, n: int | None = None, alpha: float | None = None) -> str:
     a = alpha if alpha is not None else 2 / (n + 1)
-    return f"list_reduce(list({x}) filter ({x} is not null) over {rolling(memory(a))}, lambda e, v: e + {a!r} * (v - e))"
+    return f"list_reduce(list({x}) filter ({x} is not null) over (partition by ticker order by dt rows between unbounded preceding and current row), lambda e, v: e + {a!r} * (v - e))"
 
 
 def _ratio(a: str, b: str) -> str:
@@ -159,7 +163,8 @@ def _register(name: str, f) -> None:
 
 
 for _name, _f in ind.INDICATORS.items():
-    _register(_name, _f)
+    if _name in STEPS:
+        _register(_name, _f)
 
 
 @query("sma_all", on_bars(" select ticker, dt, " + ", ".join(f"round({_sma('close', n)}, {DIGITS}) as sma_{n}" for n in ind.AVERAGES) + " from bars"))
@@ -178,23 +183,61 @@ def ma_cross(spark, sf_dir):
     return ind.add_crosses(bars_daily(spark, sf_dir)).select("ticker", "dt", *(f"cross_{f}_{s}" for f, s in _PAIRS))
 
 
-@query("ind_kama")
+_KAMA = f""", k0 as (select ticker, dt, close, row_number() over o as i, abs(close - lag(close) over o) as m, abs(close - lag(close, 10) over o) as way from bars window o as (partition by ticker order by dt)),
+k1 as (select *, case when count(m) over {rolling(10)} = 10 then sum(m) over {rolling(10)} end as path from k0),
+k2 as materialized (select ticker, dt, i, close, power(case when path > 0 then way / path else 0.0 end * (2 / 3.0::double - 2 / 31.0::double) + 2 / 31.0::double, 2) as c from k1),
+kr as (select ticker, i, close as kama from k2 where i = 10
+  union all select k2.ticker, k2.i, kr.kama + k2.c * (k2.close - kr.kama) from kr join k2 on k2.ticker = kr.ticker and k2.i = kr.i + 1),
+j_kama as (select ticker, dt, kama from k2 left join kr using (ticker, i))"""
+#: The state of the parabolic rule after each bar: whether the stop rises, the stop, the extreme, the pace, whether it turned.
+_PSAR = """, p0 as materialized (select ticker, dt, high, low, row_number() over o as i, lag(low) over o as l1, lag(low, 2) over o as l2, lag(high) over o as h1, lag(high, 2) over o as h2
+  from bars where high is not null and low is not null window o as (partition by ticker order by dt)),
+pr as (select ticker, i, true as up, low as stop, high as extreme, 0.02::double as pace, false as turned from p0 where i = 1
+  union all select ticker, i, up <> turned, case when turned then extreme else stop end,
+    case when turned then (case when up then low else high end) when (up and high > extreme) or (not up and low < extreme) then (case when up then high else low end) else extreme end,
+    case when turned then 0.02::double when (up and high > extreme) or (not up and low < extreme) then least(0.2::double, pace + 0.02::double) else pace end, turned
+  from (select *, case when up then low < stop else high > stop end as turned
+    from (select p0.ticker, p0.i, pr.up, pr.extreme, pr.pace, p0.high, p0.low,
+        case when pr.up then least(pr.stop + pr.pace * (pr.extreme - pr.stop), l1, coalesce(l2, l1)) else greatest(pr.stop + pr.pace * (pr.extreme - pr.stop), h1, coalesce(h2, h1)) end as stop
+      from pr join p0 on p0.ticker = pr.ticker and p0.i = pr.i + 1))),
+j_psar as (select ticker, dt, case when up then stop end as psar_up, case when not up then stop end as psar_down, (turned and up)::int as psar_up_flag, (turned and not up)::int as psar_down_flag from p0 join pr using (ticker, i))"""
+
+
+def _recursive(sql: str) -> str:
+    return on_bars(sql).replace("with bars as (", "with recursive bars as materialized (", 1)
+
+
+@query("ind_kama", _recursive(_KAMA + f" select ticker, dt, round(kama, {DIGITS}) as kama from j_kama"))
 def kama(spark, sf_dir):
-    return path_indicators.kama(bars_daily(spark, sf_dir))
+    return ind.kama(bars_daily(spark, sf_dir)).select("ticker", "dt", F.round("kama", DIGITS).alias("kama"))
 
 
-@query("ind_psar")
+@query("ind_psar", _recursive(_PSAR + " select ticker, dt, psar_up, psar_down, psar_up_flag, psar_down_flag from j_psar"))
 def psar(spark, sf_dir):
     return path_indicators.psar(bars_daily(spark, sf_dir))
 
 
-#: Indicators of windows alone; those of exponential means come one by one, as ind_*.
-_WINDOWED = ("stochastic", "williams_r", "roc", "ao", "bollinger", "keltner", "donchian", "ulcer", "obv", "adi", "cmf", "vpt", "vwap", "mfi", "dpo", "ichimoku", "returns")
-
-
-@query("all_indicators")
+def _all_sql() -> str:
+    """Every indicator by its own chain, side by side, with the fill that all_indicators ends in."""
+    parts = {n: f" as (with {_chain(*STEPS[n]).removeprefix(', ')} select ticker, dt, {', '.join(f.columns)} from done)" for n, f in ind.INDICATORS.items() if n in STEPS}
+    average = ", ".join(f"{_sma('close', n)} as sma_{n}" for n in ind.AVERAGES)
+    parts["average"] = f" as (select ticker, dt, {average}, close / nullif({_prev('close')}, 0) - 1 as pct_change from bars)"
+    parts["cross"] = f" as (with {_CROSSES.removeprefix(', ')})"
+    real = [c for n, f in ind.INDICATORS.items() for c in f.columns if c not in ind.FLAGS] + ["psar_up", "psar_down", "pct_change"] + [f"sma_{n}" for n in ind.AVERAGES]
+    whole = [*ind.FLAGS, *(f"cross_{f}_{s}" for f, s in _PAIRS)]
+    filled = lambda c: f"coalesce(last_value(case when isfinite({c}) then {c} end ignore nulls) over (partition by ticker order by dt rows between unbounded preceding and current row), 0.0)"
+    return (
+        _KAMA
+        + _PSAR
+        + "".join(f", j_{n}{sql}" for n, sql in parts.items())
+        + " select ticker, dt, "
+        + ", ".join([f"round({filled(c)} + {_NUDGE}, {DIGITS}) as {c}" if c not in _EXACT else f"{filled(c)} as {c}" for c in real] + [f"coalesce({c}, 0)::int as {c}" for c in whole])
+        + " from bars "
+        + " ".join(f"left join j_{n} using (ticker, dt)" for n in [*parts, "kama", "psar"])
+    )
+
+
+@query("all_indicators", _recursive(_all_sql()))
 def all_indicators(spark, sf_dir):
-    bars = bars_daily(spark, sf_dir)
-    for name in _WINDOWED:
-        bars = ind.INDICATORS[name](bars)
-    return bars
+    rows = ind.all_indicators(cut(bars_daily(spark, sf_dir), "bars"))
+    return rows.select(*(F.round(F.col(c) + _NUDGE, DIGITS).alias(c) if t == "double" and c not in _EXACT else F.col(c) for c, t in rows.dtypes))

@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import ema
+from barloom.functions.windows import with_emas
 from barloom.operators import blends, fill, labels, metrics, quality, reduction, report, splits
-from barloom.operators.path_indicators import kama, psar
+from barloom.operators.indicators import kama
+from barloom.operators.path_indicators import psar
 
 
 def bars(spark, rows):
@@ -31,13 +32,19 @@ def test_fill_orders(spark):
     assert get(False) == [0.0, 0.0, 2.0, 2.0, 0.0]
 
 
-def test_ema_against_pandas(spark):
+@pytest.mark.parametrize("span", [1, 2, 12, 50, 200, 3000])
+def test_ema_against_a_full_recursion(spark, span):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=900).cumsum()
-    df = spark.createDataFrame([("A", i, float(v) if i > 3 else None) for i, v in enumerate(x)], "ticker string, dt int, close double")
-    got = [r["e"] for r in df.select("dt", ema("close", 12).alias("e")).orderBy("dt").collect()]
-    want = pd.Series(x).where(np.arange(900) > 3).ewm(span=12, adjust=False).mean()
-    assert got[:4] == [None] * 4 and np.allclose(got[4:], want[4:], rtol=1e-12)
+    x = rng.normal(size=9000).cumsum() * 1e5
+    gone = rng.random(9000) < 0.1
+    gone[:4] = True
+    df = spark.createDataFrame([("A", i, None if gone[i] else float(v)) for i, v in enumerate(x)], "ticker string, dt int, close double")
+    got = [r["e"] for r in with_emas(df, {"e": ("close", 2 / (span + 1))}).orderBy("dt").collect()]
+    want, e = [], None
+    for v, g in zip(x, gone, strict=True):
+        e = e if g else v if e is None else e + 2 / (span + 1) * (v - e)
+        want.append(e)
+    assert got[:4] == [None] * 4 and np.allclose(got[4:], want[4:], rtol=1e-11, atol=1e-6)
 
 
 def test_average_precision_ties_and_one_class(spark):
