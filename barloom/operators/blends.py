@@ -100,16 +100,27 @@ def blended(scores: DataFrame, weights: DataFrame, extra: list[str] = [], logit:
 def weight_search(scores: DataFrame, folds: DataFrame, trials: int = 300, seed: int = 42, recency: DataFrame | None = None, logit: bool = False) -> DataFrame:
     """target, trial, score, model, w: the weights with the best mean average precision over the folds' test dates.
 
-    All trials and folds are one shuffle: blends are summed by key and trial, then reduced by target, trial and fold. The
-    first trial wins ties. Trials (a parameter) bound the table of weights that is broadcast.
+    A key's scores meet in one row first, which then blends them for every trial by itself: what is shuffled for all
+    trials and folds are the blends, reduced to distinct scores on the way. The first trial wins ties. The number of trials
+    is a parameter and bounds the table of weights that each row meets, as folds are bounded by their dates.
     """
+    spark = scores.sparkSession
     models = sorted(r["model"] for r in scores.select("model").distinct().collect())
-    weights = random_weights(scores.sparkSession, models, trials, seed)
-    tests = folds.where("role = 'test'").select("fold", "dt")
-    tried = blended(scores.join(F.broadcast(tests.select("dt").distinct()), "dt", "left_semi"), weights, ["trial"], logit)
+    weights = random_weights(spark, models, trials, seed)
+    tests = folds.where("role = 'test'").groupBy("dt").agg(F.collect_list("fold").alias("folds"))
+    x = F.log(F.col("p") / (1 - F.col("p"))) if logit else F.col("p")
+    wide = scores.join(F.broadcast(tests), "dt").groupBy(*KEY).agg(F.first("folds").alias("folds"), F.first("label").alias("label"), *(F.max(F.when(F.col("model") == m, x)).alias(f"x{k}") for k, m in enumerate(models)))
+    columns = ["target", "folds", "label", *(f"x{k}" for k in range(len(models)))]
     if recency is not None:
-        tried = tried.join(F.broadcast(recency), "dt")
-    by_fold = average_precision(tried.join(F.broadcast(tests), "dt"), ["target", "trial", "fold"], "weight" if recency is not None else None)
+        wide, columns = wide.join(F.broadcast(recency), "dt"), [*columns, "weight"]
+    sets = weights.groupBy("trial").agg(*(F.max(F.when(F.col("model") == m, F.col("w"))).alias(f"w{k}") for k, m in enumerate(models)))
+    total = F.lit(0.0)
+    for k in range(len(models)):  # a model without a score for the key counts for nothing
+        total = total + F.coalesce(F.round(F.col(f"w{k}") * F.col(f"x{k}"), 12), F.lit(0.0))
+    p = 1 / (1 + F.exp(-total)) if logit else total
+    tried = wide.select(*columns).repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(sets), F.lit(True))
+    tried = tried.select("target", "trial", F.explode("folds").alias("fold"), F.round(p, DIGITS).alias("p"), "label", *(["weight"] if recency is not None else []))
+    by_fold = average_precision(tried, ["target", "trial", "fold"], "weight" if recency is not None else None)
     means = by_fold.groupBy("target", "trial").agg(F.round(F.avg("ap"), 9).alias("score"))
     best = means.groupBy("target").agg(F.max(F.struct("score", (-F.col("trial")).alias("t"))).alias("b")).select("target", (-F.col("b.t")).alias("trial"), F.col("b.score").alias("score"))
     return best.join(weights, "trial").select("target", "trial", "score", "model", "w")

@@ -23,12 +23,29 @@ def rates(table: DataFrame) -> DataFrame:
     )
 
 
+#: Ranges of scores between 0 and 1 whose running sums are found apart; what lies outside goes to the first and last.
+RANGES = 1024
+
+
 def _curve(scores: DataFrame, by: list[str], weight: str | None) -> DataFrame:
-    """by, p, w, wp and their sums from the greatest p down: one row per distinct score."""
+    """by, p, w, wp and their sums from the greatest p down: one row per distinct score; n and pos, their totals.
+
+    The running sum goes within a range of scores, over the totals of the ranges above: no task needs all of a group.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
     points = scores.groupBy(*by, "p").agg(F.sum(w).alias("w"), F.sum(w * F.col("label")).alias("wp"))
-    down = W.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    return points.withColumns({"cw": F.sum("w").over(down), "cp": F.sum("wp").over(down), "pos": F.sum("wp").over(W.partitionBy(*by))})
+    points = points.withColumn("_r", F.least(F.greatest(F.floor(F.col("p") * RANGES), F.lit(0)), F.lit(RANGES - 1)))
+    ranges = points.groupBy(*by, "_r").agg(F.sum("w").alias("_w"), F.sum("wp").alias("_wp"))
+    above = W.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(*by)
+    ranges = ranges.select(
+        *(F.col(c).alias(f"_{c}") for c in by), F.col("_r").alias("_of"), *(F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}0") for c in ("_w", "_wp")), F.sum("_w").over(every).alias("n"), F.sum("_wp").over(every).alias("pos")
+    )
+    down = W.partitionBy(*by, "_r").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    points = points.withColumns({"cw": F.sum("w").over(down), "cp": F.sum("wp").over(down)})
+    same = [points[c].eqNullSafe(ranges[f"_{c}"]) for c in by]
+    joined = points.join(ranges, [*same, points["_r"] == ranges["_of"]])
+    return joined.select(*by, "p", "w", "wp", (F.col("cw") + F.col("_w0")).alias("cw"), (F.col("cp") + F.col("_wp0")).alias("cp"), "n", "pos")
 
 
 def average_precision(scores: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
@@ -54,15 +71,29 @@ def threshold_f1(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def threshold_quantile_f1(scores: DataFrame, by: list[str], grid: int = 199) -> DataFrame:
-    """by, threshold: the best F1 among quantiles from .01 to .99, the first on ties; 0.5 where all scores are equal."""
-    steps = [0.01 + 0.98 * k / (grid - 1) for k in range(grid)]
-    marks = scores.groupBy(*by).agg(F.expr(f"percentile(p, array({', '.join(f'{s:.17g}D' for s in steps)}))").alias("q"), (F.min("p") == F.max("p")).alias("flat"))
-    marks = marks.select(*by, "flat", F.explode(F.array_distinct(F.transform("q", lambda x: F.round(x, 9)))).alias("threshold"))
-    hit = F.col("p") >= F.col("threshold")
-    tested = scores.join(F.broadcast(marks), by).groupBy(*by, "threshold", "flat").agg(F.count_if(hit & (F.col("label") == 1)).alias("tp"), F.count_if(hit).alias("picked"), F.sum("label").alias("pos"))
-    f1 = F.when(F.col("picked") + F.col("pos") > 0, 2 * F.col("tp") / (F.col("picked") + F.col("pos"))).otherwise(0.0)
-    best = tested.groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("q"))).alias("best"), F.bool_or("flat").alias("flat"))
-    return best.select(*by, F.when(F.col("flat"), 0.5).otherwise(-F.col("best.q")).alias("threshold"))
+    """by, threshold: the best F1 among quantiles from .01 to .99, the first on ties; 0.5 where all scores are equal.
+
+    A quantile lies between the scores at two neighbouring ranks. Every distinct score knows the ranks that it holds, so it
+    knows which quantiles it bounds from below or above, and what its threshold would pick.
+    """
+    place = lambda k: F.lit(0.01) + F.lit(0.98) * k / (grid - 1)
+    rows = _curve(scores, by, None).withColumns({"a": F.col("n") - F.col("cw"), "b": F.col("n") - F.col("cw") + F.col("w") - 1})
+    # The quantiles whose place among the ranks, down or up to a whole one, may lie within [a, b].
+    span = F.greatest(F.col("n") - 1, F.lit(1.0))
+    first = F.greatest(F.floor(((F.col("a") - 1) / span - 0.01) / 0.98 * (grid - 1)).cast("int") - 1, F.lit(0))
+    last = F.least(F.ceil(((F.col("b") + 1) / span - 0.01) / 0.98 * (grid - 1)).cast("int") + 1, F.lit(grid - 1))
+    near = F.when(first <= last, F.sequence(first, last))
+    rows = rows.select(*by, "p", "cw", "cp", "n", "pos", "a", "b", F.explode(near).alias("k")).withColumn("at", place(F.col("k")) * (F.col("n") - 1))
+    held = F.struct("p", "cw", "cp")
+    low, high = (F.max(F.when((f("at") >= F.col("a")) & (f("at") <= F.col("b")), held)).alias(c) for f, c in ((F.floor, "low"), (F.ceil, "high")))
+    marks = rows.groupBy(*by, "k").agg(low, high, F.max("at").alias("at"), F.max("pos").alias("pos"))
+    marks = marks.where("low is not null and high is not null")
+    t = F.round(F.col("low.p") + (F.col("high.p") - F.col("low.p")) * (F.col("at") - F.floor("at")), 9)
+    marks = marks.withColumn("threshold", t).withColumn("met", F.when(F.col("threshold") <= F.col("low.p"), F.col("low")).otherwise(F.col("high")))
+    f1 = F.when(F.col("met.cw") + F.col("pos") > 0, 2 * F.col("met.cp") / (F.col("met.cw") + F.col("pos"))).otherwise(0.0)
+    best = marks.groupBy(*by).agg(F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("q"))).alias("best"))
+    flat = scores.groupBy(*by).agg((F.min("p") == F.max("p")).alias("flat"))
+    return best.join(flat, by).select(*by, F.when(F.col("flat"), 0.5).otherwise(-F.col("best.q")).alias("threshold"))
 
 
 def regression_metrics(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,20 +43,38 @@ def purged_folds(dates: DataFrame, test: int = 15, step: int = 3, purge: int = 3
     return each.select("fold", role.alias("role"), "dt").where("role is not null")
 
 
-def undersample(df: DataFrame, label: str, keys: list[str], max_rows: int, max_pos: int, ratio: float, seed: int = 42) -> DataFrame:
-    """At most max_pos positives and ratio negatives to each positive, then max_rows, by MD5 of keys and seed; only if there are more than max_rows.
+#: Hexadecimal digits of a draw by which rows are counted before any are ranked: 65,536 ranges of draws.
+DIGITS = 4
+
+
+def _first_drawn(rows: DataFrame, by: str, allowed: DataFrame) -> DataFrame:
+    """rows whose _draw is among the first `allowed` (by, most) of their class; null most keeps all.
 
-    A row's turn among its class decides; classes are numbered by their own window over the hash alone.
+    Counts by range of draws find the range where a class fills up; only that range's rows are ranked.
     """
+    rows = rows.withColumn("_range", F.substring("_draw", 1, DIGITS))
+    counts = rows.groupBy(by, "_range").agg(F.count("*").alias("_k"))
+    before = W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0)))
+    full = counts.join(allowed, by).where("_before <= most and _before + _k > most").select(F.col(by).alias("_of"), F.col("_range").alias("_last"), (F.col("most") - F.col("_before")).alias("_left"))
+    marked = rows.join(F.broadcast(full), F.col(by) == F.col("_of"), "left")  # a row for each class
+    inside = marked.where("_last is null or _range < _last")
+    edge = marked.where("_range = _last").withColumn("_nth", F.row_number().over(W.partitionBy(by, "_range").orderBy("_draw"))).where("_nth <= _left").drop("_nth")
+    return inside.unionByName(edge).drop("_range", "_of", "_last", "_left")
+
+
+def undersample(df: DataFrame, label: str, keys: list[str], max_rows: int, max_pos: int, ratio: float, seed: int = 42) -> DataFrame:
+    """At most max_pos positives and ratio negatives to each positive, then max_rows, by MD5 of keys and seed; only if there are more than max_rows."""
+    sizes = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(label)), F.lit(0)).alias("pos")).first()
+    if sizes["n"] <= max_rows:
+        return df
     draw = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))))
-    rows = df.withColumn("_draw", draw)
-    sizes = rows.agg(F.count("*").alias("_n"), F.sum(F.col(label)).alias("_pos"))
-    rows = rows.crossJoin(F.broadcast(sizes)).withColumn("_nth", F.row_number().over(W.partitionBy(label).orderBy("_draw")))
-    keep_pos = F.least(F.col("_pos"), F.lit(max_pos))
-    allowed = F.when(F.col(label) == 1, keep_pos).otherwise(F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.greatest(keep_pos, F.lit(1)))))
-    kept = rows.where((F.col("_n") <= max_rows) | (F.col("_nth") <= allowed))
-    kept = kept.withColumn("_turn", F.row_number().over(W.orderBy("_draw"))).where((F.col("_n") <= max_rows) | (F.col("_turn") <= max_rows))
-    return kept.drop("_draw", "_n", "_pos", "_nth", "_turn")
+    keep_pos = min(int(sizes["pos"]), max_pos)
+    limits = [(1, keep_pos), (0, max(1, int(ratio * max(keep_pos, 1))))]
+    spark = df.sparkSession
+    kept = _first_drawn(df.withColumns({"_draw": draw, "_class": F.col(label).cast("int")}), "_class", spark.createDataFrame(limits, "_class int, most long"))
+    kept = _first_drawn(kept.withColumn("_class", F.lit(0)), "_class", spark.createDataFrame([(0, max_rows)], "_class int, most long"))
+    return kept.drop("_draw", "_class")
 
 
 def row_gate(df: DataFrame, calendar: DataFrame, keys: list[str], min_train: int = 500, min_valid: int = 50) -> DataFrame:
@@ -71,7 +89,10 @@ def recency_weights(dates: DataFrame, alpha: float = 3.0) -> DataFrame:
     return numbered_dates(dates).select("dt", F.exp(F.lit(alpha) * F.col("pos") / (F.col("n") - 1 + 1e-9)).alias("weight"))
 
 
-def class_weight(label: Column, by: list[str]) -> Column:
-    """n / (2 * n of the row's class) within each group; a sum by key, joined as a window over (by, label)."""
-    everything = F.count("*").over(W.partitionBy(*by))
-    return everything / (2 * F.count("*").over(W.partitionBy(*by, label)))
+def with_class_weight(df: DataFrame, label: str, by: list[str], name: str = "weight") -> DataFrame:
+    """df with n / (2 * n of the row's class) within each group: counts by group and class, joined back."""
+    counts = df.groupBy(*by, label).agg(F.count("*").alias("_k"))
+    counts = counts.withColumn("_n", F.sum("_k").over(W.partitionBy(*by)))
+    counts = counts.select(*(F.col(c).alias(f"_{c}") for c in (*by, label)), (F.col("_n") / (2 * F.col("_k"))).alias(name))
+    same = [df[c].eqNullSafe(counts[f"_{c}"]) for c in (*by, label)]
+    return df.join(counts, same).select(*df.columns, name)

@@ -74,7 +74,8 @@ def recency_weight(spark, sf_dir):
 
 @query("class_weight", on_bars(fx.LABELLED + " select ticker, dt, round(count(*) over (partition by ticker) / (2.0 * count(*) over (partition by ticker, target_up)), 6) as weight from labelled"))
 def class_weight(spark, sf_dir):
-    return fx.labelled(spark, sf_dir).select("ticker", "dt", F.round(spl.class_weight(F.col("target_up"), ["ticker"]), 6).alias("weight"))
+    rows = fx.labelled(spark, sf_dir).select("ticker", "dt", "target_up")
+    return _rounded(spl.with_class_weight(rows, "target_up", ["ticker"]).select("ticker", "dt", "weight"), ["weight"])
 
 
 BY = ["target", "model"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,8 +40,14 @@ BARS = """bars as (
 
 
 def on_bars(sql: str) -> str:
-    """SQL that may start with more common tables (`, x as (...) select ...`) over bars."""
-    return f"with {BARS}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+    """SQL that may start with more common tables (`, x as (...) select ...`) over bars, each computed once."""
+    whole = f"with {BARS}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+    return re.sub(r"\b(\w+) as \((?=\s*select\b)", r"\1 as materialized (", whole)
+
+
+def on_bars_recursive(sql: str) -> str:
+    """on_bars for common tables that may refer to themselves; only those that say so, and bars, are computed once."""
+    return f"with recursive {BARS}".replace("bars as (", "bars as materialized (", 1) + sql
 
 
 def rolling(n: int) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import cut
 from ..operators import indicators as ind
 from ..operators import path_indicators
-from .fixtures import bars_daily, on_bars, rolling
+from .fixtures import bars_daily, on_bars, on_bars_recursive, rolling
 from .registry import query
 
 #: Columns of sums and products in one order, equal to the last bit in both engines; their decimals often end in a 5.
@@ -203,16 +203,12 @@ pr as (select ticker, i, true as up, low as stop, high as extreme, 0.02::double
 j_psar as (select ticker, dt, case when up then stop end as psar_up, case when not up then stop end as psar_down, (turned and up)::int as psar_up_flag, (turned and not up)::int as psar_down_flag from p0 join pr using (ticker, i))"""
 
 
-def _recursive(sql: str) -> str:
-    return on_bars(sql).replace("with bars as (", "with recursive bars as materialized (", 1)
-
-
-@query("ind_kama", _recursive(_KAMA + f" select ticker, dt, round(kama, {DIGITS}) as kama from j_kama"))
+@query("ind_kama", on_bars_recursive(_KAMA + f" select ticker, dt, round(kama, {DIGITS}) as kama from j_kama"))
 def kama(spark, sf_dir):
     return ind.kama(bars_daily(spark, sf_dir)).select("ticker", "dt", F.round("kama", DIGITS).alias("kama"))
 
 
-@query("ind_psar", _recursive(_PSAR + " select ticker, dt, psar_up, psar_down, psar_up_flag, psar_down_flag from j_psar"))
+@query("ind_psar", on_bars_recursive(_PSAR + " select ticker, dt, psar_up, psar_down, psar_up_flag, psar_down_flag from j_psar"))
 def psar(spark, sf_dir):
     return path_indicators.psar(bars_daily(spark, sf_dir))
 
@@ -237,7 +233,7 @@ def _all_sql() -> str:
     )
 
 
-@query("all_indicators", _recursive(_all_sql()))
+@query("all_indicators", on_bars_recursive(_all_sql()))
 def all_indicators(spark, sf_dir):
     rows = ind.all_indicators(cut(bars_daily(spark, sf_dir), "bars"))
     return rows.select(*(F.round(F.col(c) + _NUDGE, DIGITS).alias(c) if t == "double" and c not in _EXACT else F.col(c) for c, t in rows.dtypes))

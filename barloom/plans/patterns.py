@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as lab
 from ..operators import patterns as pat
+from ..operators.fill import shift_features
 from . import fixtures as fx
 from .fixtures import DOWN, HORIZON, UP, bars_daily, on_bars, rolling
 from .registry import query
@@ -68,20 +69,31 @@ select ticker, dt, round(slope, 2) as trend_slope, round(start, 2) as trend_inte
 _TREND_DIGITS = {"trend_slope": 2, "trend_intercept": 2, "trend_support": 2, "trend_resistance": 2, "trend_support_diff": 2, "trend_resistance_diff": 2}
 
 
-@query("trendline", on_bars(_TREND.replace("then line end - close", "then line - close end").replace("close - case when slope > 0 then line end", "case when slope > 0 then close - line end")))
+_TREND = _TREND.replace("then line end - close", "then line - close end").replace("close - case when slope > 0 then line end", "case when slope > 0 then close - line end")
+
+
+@query("trendline", on_bars(_TREND))
 def trendline(spark, sf_dir):
     rows = pat.trendline(bars_daily(spark, sf_dir))
     return rows.select("ticker", "dt", *(F.round(c, d).alias(c) for c, d in _TREND_DIGITS.items()))
 
 
-_ALL = [f"{p}pattern" for p, *_ in _MASKS.values()]
+_SR_DIGITS = dict.fromkeys(("sr_support", "sr_resistance", "sr_support_diff", "sr_resistance_diff"), 4)
+_ALL = [f"{p}{c}" for p, *_ in _MASKS.values() for c in ("high_roll_max", "low_roll_min", "pattern")] + [*_SR_DIGITS, *_TREND_DIGITS]
+_PATTERNS_SQL = (
+    _BASE
+    + ", p as (select ticker, dt, " + ", ".join(f"rh as {p}high_roll_max, rl as {p}low_roll_min, {_case(u, d)} as {p}pattern" for p, u, d in _MASKS.values()) + " from b)"
+    + f", sr as (with {_SR.removeprefix(', ')}), tr as (with {_TREND.removeprefix(', ')})"
+    + " select ticker, dt, " + ", ".join(f"lag({c}) {O} as {c}" for c in _ALL) + " from p join sr using (ticker, dt) join tr using (ticker, dt)"
+)
 
 
-@query("patterns_all", on_bars(f"{_BASE}, p as (select ticker, dt, " + ", ".join(f"{_case(u, d)} as {p}pattern" for p, u, d in _MASKS.values()) + " from b) select ticker, dt, " + ", ".join(f"lag({c}) {O} as {c}" for c in _ALL) + " from p"))
+@query("patterns_all", on_bars(_PATTERNS_SQL))
 def patterns_all(spark, sf_dir):
-    """Every pattern, shifted by one row as it would feed a model."""
+    """Every column of every pattern, shifted by one row as it would feed a model."""
     rows = pat.all_patterns(bars_daily(spark, sf_dir))
-    return rows.select("ticker", "dt", *(F.lag(c).over(pat.order()).alias(c) for c in _ALL))
+    rows = rows.withColumns({c: F.round(c, d) for c, d in (_SR_DIGITS | _TREND_DIGITS).items()})
+    return shift_features(rows, _ALL, 1).select("ticker", "dt", *_ALL)
 
 
 def _targets_sql(up: float, down: float, horizon: int) -> str:
