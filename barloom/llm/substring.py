@@ -157,8 +157,8 @@ def _longs(keys: list[str]) -> str:
     return ", ".join(f"{k} long" for k in keys)
 
 
-def _found(documents: DataFrame, span: int, seed: int) -> tuple[list[str], DataFrame, DataFrame, DataFrame]:
-    """What names a document, a sketch of each, n_words of later copies of whole documents, n_removed and spans of others.
+def _found(documents: DataFrame, span: int, seed: int) -> tuple[list[str], DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What names a document, each one's text, a sketch of each, n_words of later copies of whole documents, n_removed and spans of others.
 
     doc_id names a document; where rows of one doc_id have different texts, doc_id and a hash of the text do.
     """
@@ -167,6 +167,8 @@ def _found(documents: DataFrame, span: int, seed: int) -> tuple[list[str], DataF
     named = sketches.where(F.col("doc_id").isNotNull())
     keys = ["doc_id"] if named.groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").isEmpty() else ["doc_id", "th"]
 
+    texts = texts.select(*keys, "text")  # one form for all joins, so that they share an exchange
+
     long_ones = named.where(F.col("n_words") >= span).select(*keys, "n_words", "digest")
     firsts = cut(long_ones.groupBy("digest").agg(F.min(F.struct(*keys)).alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
     copies = cut(long_ones.join(firsts, "digest").where(F.struct(*keys) > F.col("first")).select(*keys, "n_words").distinct(), "copies")
@@ -182,7 +184,7 @@ def _found(documents: DataFrame, span: int, seed: int) -> tuple[list[str], DataF
     stay = windows.groupBy("h", "g").agg(F.min(F.struct(*keys, "pos")).alias("first")).select("first.*").groupBy(*keys).agg(F.collect_list("pos").alias("stay"))
     sizes = named.select(*keys, "n_words").dropDuplicates(keys)
     settled = map_batches(marks.join(sizes, keys).join(stay, keys, "left"), lambda x: _settle(x, keys, span, seed), f"{_longs(keys)}, n_removed long, {_SPANS_SQL}")
-    return keys, sketches, copies, settled.where("n_removed > 0")
+    return keys, texts, sketches, copies, settled.where("n_removed > 0")
 
 
 def repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
@@ -192,8 +194,8 @@ def repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFra
     a doc_id with one text are one document; with several texts, each text is a document, in the order of a hash. Rows
     without doc_id lose nothing and count for nothing. Other columns take no part. No rows: none.
     """
-    keys, sketches, copies, settled = _found(documents, span, seed)
-    digests = map_batches(_texts(documents).join(settled, keys).select(*keys, "text", "n_removed", "spans"), lambda x: _digest(x, keys), f"{_longs(keys)}, n_removed long, kept binary, {_SPANS_SQL}")
+    keys, texts, sketches, copies, settled = _found(documents, span, seed)
+    digests = map_batches(texts.join(settled, keys), lambda x: _digest(x, keys), f"{_longs(keys)}, n_removed long, kept binary, {_SPANS_SQL}")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     gone = copies.select(*keys, F.col("n_words").alias("n_removed"), F.unhex(F.lit(EMPTY)).alias("kept"), whole.alias("spans"))
     changed = digests.dropDuplicates(keys).unionByName(gone)
@@ -218,7 +220,7 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) ->
     Null text stays null; which rows are one document, and which lose nothing, is as in `repeats`.
     """
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    keys, sketches, copies, settled = _found(documents, span, seed)
+    keys, _, sketches, copies, settled = _found(documents, span, seed)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     changed = cut(settled.select(*keys, "spans").unionByName(copies.select(*keys, whole.alias("spans"))), "spans")
     discard(sketches, copies)
