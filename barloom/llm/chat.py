@@ -10,27 +10,32 @@ from pyspark.sql import functions as F
 BLOCK = 512
 
 
+def _after(totals: DataFrame, sums: dict) -> DataFrame:
+    """conv_id, block and for each name of sums the total (by its function) over the conversation's earlier blocks."""
+    earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return totals.select("conv_id", "block", *(F.coalesce(f(c).over(earlier), F.lit(0)).alias(c) for c, f in sums.items()))
+
+
 def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, turn, n, h1, h2: after each turn, the number of rows so far and a rolling 128-bit hash of them.
 
-    The hash is the xor of one hash per row over (turn, role, text), so it rolls within blocks of `block` turn numbers
-    and the blocks' totals roll over the conversation: no task needs a whole conversation. Rows without conv_id take no
-    part; exact repeats of a row count once; null turn counts as -1, null role and text as empty.
+    The hash is the xor of one hash per turn over its place among the conversation's turns and its rows' roles and texts, so
+    it doesn't matter whether turns count from 0 or 1 or leave gaps. Places and hashes roll within blocks of `block` turn
+    numbers and the blocks' totals over the conversation: no task needs a whole conversation. Rows without conv_id take
+    no part; exact repeats of a row count once; null turn counts as -1, null role and text as empty.
     """
     turn, role, text = F.coalesce("turn", F.lit(-1)), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = conversations.where("conv_id is not null").select(
-        "conv_id", turn.alias("turn"), F.xxhash64(turn, role, text, F.lit(1)).alias("a"), F.xxhash64(turn, role, text, F.lit(2)).alias("b")
-    )
+    rows = conversations.where("conv_id is not null").select("conv_id", turn.alias("turn"), F.xxhash64(role, text, F.lit(1)).alias("a"), F.xxhash64(role, text, F.lit(2)).alias("b"))
     turns = rows.distinct().groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     turns = turns.withColumn("block", F.floor(F.col("turn") / block))
+    within = W.partitionBy("conv_id", "block").orderBy("turn")
+    turns = turns.withColumn("nth", F.row_number().over(within))
+    before = _after(turns.groupBy("conv_id", "block").agg(F.count("*").alias("places")), {"places": F.sum})
+    place = F.col("places") + F.col("nth")
+    turns = turns.join(before, ["conv_id", "block"]).select("conv_id", "block", "turn", "n", *(F.xxhash64(place, "n", c).alias(c) for c in "ab"))
     totals = turns.groupBy("conv_id", "block").agg(F.sum("n").alias("n0"), F.bit_xor("a").alias("a0"), F.bit_xor("b").alias("b0"))
-    earlier = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        "conv_id",
-        "block",
-        *(F.coalesce(f(c).over(earlier), F.lit(0)).alias(c) for f, c in ((F.sum, "n0"), (F.bit_xor, "a0"), (F.bit_xor, "b0"))),
-    )
-    so_far = W.partitionBy("conv_id", "block").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
+    offsets = _after(totals, {"n0": F.sum, "a0": F.bit_xor, "b0": F.bit_xor})
+    so_far = within.rowsBetween(W.unboundedPreceding, 0)
     rolled = turns.select(
         "conv_id", "block", "turn", F.sum("n").over(so_far).alias("n"), F.bit_xor("a").over(so_far).alias("a"), F.bit_xor("b").over(so_far).alias("b")
     )
@@ -42,7 +47,7 @@ def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 def maximal(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, n_turns, n_copies of the conversations that no longer one begins with.
 
-    Conversations equal in every turn are one; the smallest conv_id stands for all n_copies of them.
+    Conversations equal in every turn are one; the smallest conv_id stands for all n_copies of them. No rows: none.
     """
     prefixes = prefix_hashes(conversations, block)
     ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", "h1", "h2")).alias("end")).select("conv_id", "end.*")
@@ -57,13 +62,14 @@ def maximal(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 def render(conversations: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, part, n_turns, n_copies, rendered: `<|role|>`, newline, text, `<|end|>`, newline for each turn in order.
 
-    Turns with one number come in the order of role and text. A part holds the turns of one block of turn numbers.
+    Turns with one number come in the order of role and text; exact repeats of a row are dropped before any rows meet. A
+    part holds the distinct rows of one block of turn numbers.
     """
     rows = conversations.where("conv_id is not null").select(
         "conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = rows.join(kept, "conv_id").withColumn("part", F.floor(F.col("turn") / block))
-    turns = F.array_distinct(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))))
+    rows = rows.distinct().join(kept, "conv_id").withColumn("part", F.floor(F.col("turn") / block))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     parts = rows.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), turns.alias("turns"))
     line = F.transform("turns", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["text"], F.lit("<|end|>\n")))
     return parts.select("conv_id", "part", "n_turns", "n_copies", F.array_join(line, "").alias("rendered"))

@@ -92,12 +92,12 @@ with rows as (
   select distinct conv_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text
   from conversations where conv_id is not null),
 turns as (
-  select conv_id, turn, count(*) as n,
+  select conv_id, turn, row_number() over (partition by conv_id order by turn) as place, count(*) as n,
     string_agg(role || chr(31) || text || chr(30), '' order by role, text) as said,
     string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by role, text) as shown
   from rows group by conv_id, turn),
 prefixes as (
-  select conv_id, turn, sum(n) over w as n, md5(string_agg(turn || ':' || said, '') over w) as h
+  select conv_id, turn, sum(n) over w as n, md5(string_agg(place || ':' || said, '') over w) as h
   from turns window w as (partition by conv_id order by turn rows between unbounded preceding and current row)),
 ends as (select conv_id, max(n) as n, arg_max(h, n) as h from prefixes group by conv_id),
 whole as (select n, h, min(conv_id) as conv_id, count(*) as n_copies from ends group by n, h),

@@ -51,7 +51,9 @@ def kept_chats(rows):
     turns = {}
     for c, t, r, x in {(c, -1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c is not None}:
         turns.setdefault(c, []).append((t, r, x))
-    whole = {c: tuple(sorted(v)) for c, v in turns.items()}
+    said = {c: sorted(v) for c, v in turns.items()}
+    places = {c: {t: k for k, t in enumerate(sorted({x[0] for x in v}))} for c, v in said.items()}
+    whole = {c: tuple((places[c][t], r, x) for t, r, x in v) for c, v in said.items()}
     out = {}
     for c, v in whole.items():
         longer = any(len(w) > len(v) and w[: len(v)] == v and w[len(v)][0] > v[-1][0] for w in whole.values())
@@ -64,6 +66,7 @@ def kept_chats(rows):
 def test_chat_collapse(spark, block):
     talk = [(k, "user" if k % 2 == 0 else "assistant", f"line {k}") for k in range(7)]
     rows = [(c, *t) for c, n in ((1, 3), (2, 7), (3, 7), (4, 1), (9, 2)) for t in talk[:n]]
+    rows += [(20, k + 1, r, x) for k, r, x in talk[:5]] + [(21, 3 * k, r, x) for k, r, x in talk] + [(22, k + 1, r, "other " + x) for k, r, x in talk[:2]]
     rows += [(5, 0, "user", "line 0"), (5, 1, "assistant", "other"), (6, 0, None, None), (6, None, "user", "x"), (7, 0, "user", "a"), (7, 0, "user", "b"), (8, 0, "user", "a"), (None, 0, "user", "lost"), (2, 0, "user", "line 0")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, n int")
     parts = chat.format_chats(df, block).collect()
