@@ -187,12 +187,37 @@ class Pool:
         return gathered(self.data, self.starts[index], self.sizes[index])
 
 
+def checked(text: str) -> str:
+    """text, a vocabulary file, if it is of the kind that Encoder encodes like the tokenizers library, else ValueError.
+
+    That is: byte-level BPE without a normaliser, cut by the pattern WORDS without a blank put in front, no end-of-word
+    marks, no unknown token, dropout or whole-word shortcut, and special tokens that are found anywhere as they are.
+    """
+    data = json.loads(text)
+    model, cut = data["model"], data.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, bad in {
+            "normalizer": data.get("normalizer"),
+            "pre_tokenizer": cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True),
+            "decoder": (data.get("decoder") or {}).get("type") != "ByteLevel",
+            "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            "added_tokens": any(t.get(k) for t in data["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) or any(t["normalized"] and not t["special"] and data.get("normalizer") for t in data["added_tokens"]),
+        }.items()
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"a vocabulary file of another kind: {', '.join(wrong)}")
+    return text
+
+
 class Encoder:
     """Encodes texts, remembering what it has seen. Special tokens in a text get their own ids."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.firsts = "".join(sorted({x[0] for x in vocabulary.special}))
         self._forget()
 
     def _forget(self) -> None:
@@ -225,7 +250,7 @@ class Encoder:
             pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = " " + pieces[0]
             cut.append(pieces)
-            if self.special is not None and "<" in text and self.special.search(text):
+            if any(c in text for c in self.firsts) and self.special.search(text):
                 odd.add(k)
                 cut[k] = []
         keys = [x for pieces in cut for x in pieces]
@@ -274,7 +299,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder_of(text: str) -> Encoder:
     """The encoder that the tasks of one worker share, with what it remembers."""
-    return Encoder(Vocabulary(text))
+    return Encoder(Vocabulary(checked(text)))
 
 
 def _lists(ids: np.ndarray, n: np.ndarray) -> pa.ListArray:
@@ -295,7 +320,7 @@ def _texts(vocabulary: Vocabulary, ids: np.ndarray, n: np.ndarray) -> pa.Array:
 def encode(documents: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     """documents with ids (array<int>) and n_tokens; tokenizer is the path of a byte-level vocabulary file (JSON).
 
-    Null text counts as empty and has no ids. Columns called ids or n_tokens are replaced; rows may repeat. With decoded,
+    A file of another kind raises ValueError; see `checked`. Null text counts as empty and has no ids. Columns called ids or n_tokens are replaced; rows may repeat. With decoded,
     text becomes what the ids spell, in the same pass.
     """
     rows = documents.drop("ids", "n_tokens")

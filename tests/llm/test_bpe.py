@@ -74,3 +74,19 @@ def test_decoding_broken_sequences(spark):
     df = spark.createDataFrame([(1, [164, 101]), (2, []), (3, None)], "doc_id long, ids array<int>")
     got = {r["doc_id"]: r["decoded"] for r in bpe.decode(df, PATH).collect()}
     assert got == {1: LIBRARY.decode([164, 101], skip_special_tokens=False), 2: "", 3: None}
+
+
+def test_other_specials_and_files_of_another_kind():
+    import json
+
+    data = json.loads(open(PATH).read())
+    data["added_tokens"].append({"id": 50257, "content": "[[end]]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    text = json.dumps(data)
+    library, encoder = Tokenizer.from_str(text), bpe.Encoder(bpe.Vocabulary(bpe.checked(text)))
+    for t in ("a [[end]] b", "[[end]][[end]]", "[[en d]] <|endoftext|>", "plain  text"):
+        assert encoder.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        bpe.checked(open(P.path("word_bpe_49k.json")).read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"added_tokens": [data["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.checked(json.dumps(data | change))
