@@ -2,35 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .metrics import average_precision
+from .metrics import average_precision, regression_metrics, threshold_quantile_f1
+from .quality import model_quality
+from .splits import undersample
 
-#: Trials of each kind of classifier, as the tuning budget.
-TRIALS = {"gbt": 12, "forest": 8, "logistic": 10}
+#: Trials of each kind of classifier: the tuning budget for one target.
+TRIALS = {"gbt": 12, "logistic": 10, "forest": 8, "tree": 8}
+#: Rows that tuning sees at most; the fit that is kept sees all.
+TUNING_ROWS = 180_000
+#: Fits that run at a time, each a distributed job.
+AT_ONCE = 4
 CLIP = 1e-6
 
 
-def param_samples(spark: SparkSession, trials: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
-    """model, trial, depth, trees, step, subsample, min_leaf, reg: random settings from MD5 draws, log-uniform where scales matter."""
-    rows = spark.createDataFrame(list((trials or TRIALS).items()), "model string, n int").select("model", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("trial"))
-    draw = lambda name: F.conv(F.substring(F.md5(F.concat_ws("|", "model", F.col("trial").cast("string"), F.lit(f"{name}:{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+def param_samples(groups: DataFrame, trials: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
+    """groups' columns, model, trial and random settings for each group (target, n) of rows to tune on and each trial.
+
+    Settings come from MD5 draws over target, model and trial, log-uniform where scales matter. A leaf has 5 to 80 rows,
+    but no more than a twentieth of the group's.
+    """
+    kinds = F.array(*(F.struct(F.lit(m).alias("model"), F.sequence(F.lit(0), F.lit(k - 1)).alias("trials")) for m, k in (trials or TRIALS).items()))
+    rows = groups.select(*groups.columns, F.explode(kinds).alias("k")).select(*groups.columns, "k.model", F.explode("k.trials").alias("trial"))
+    draw = lambda name: F.conv(F.substring(F.md5(F.concat_ws("|", "target", "model", F.col("trial").cast("string"), F.lit(f"{name}:{seed}"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     spread = lambda u, low, high: F.exp(F.log(F.lit(low)) + u * (F.log(F.lit(high)) - F.log(F.lit(low))))
     return rows.select(
+        *groups.columns,
         "model",
         "trial",
-        (3 + F.floor(draw("depth") * 4)).cast("int").alias("depth"),
-        (10 + 10 * F.floor(draw("trees") * 3)).cast("int").alias("trees"),
+        (3 + F.floor(draw("depth") * 3)).cast("int").alias("depth"),
+        (8 + 4 * F.floor(draw("trees") * 3)).cast("int").alias("trees"),
         F.round(spread(draw("step"), 0.03, 0.3), 6).alias("step"),
         F.round(0.6 + 0.4 * draw("subsample"), 6).alias("subsample"),
-        spread(draw("leaf"), 5.0, 80.0).cast("int").alias("min_leaf"),
+        F.greatest(F.lit(1), F.least(F.floor(F.col("n") / 20), F.floor(spread(draw("leaf"), 5.0, 80.0)))).cast("int").alias("min_leaf"),
         F.round(spread(draw("reg"), 1e-4, 1.0), 8).alias("reg"),
     )
 
@@ -40,6 +58,8 @@ def _estimator(p: dict):
         return GBTClassifier(weightCol="weight", maxDepth=p["depth"], maxIter=p["trees"], stepSize=p["step"], subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], seed=42)
     if p["model"] == "forest":
         return RandomForestClassifier(weightCol="weight", maxDepth=p["depth"], numTrees=p["trees"], subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], featureSubsetStrategy="sqrt", seed=42)
+    if p["model"] == "tree":
+        return DecisionTreeClassifier(weightCol="weight", maxDepth=p["depth"] + 2, minInstancesPerNode=p["min_leaf"], seed=42)
     return LogisticRegression(weightCol="weight", regParam=p["reg"], maxIter=50)
 
 
@@ -61,76 +81,201 @@ def score_classifier(model: PipelineModel, rows: DataFrame, keys: list[str]) ->
     return model.transform(rows).select(*keys, p.alias("p"), *(["label"] if "label" in rows.columns else []))
 
 
-def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], params: list[dict], refit: bool = True) -> dict[str, tuple[PipelineModel, dict]]:
-    """For each kind of model, the trial with the best average precision on valid, fitted again on both.
+def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], params: list[dict], keys: list[str], refit: bool = True) -> dict[str, tuple[PipelineModel, dict]]:
+    """For each kind of model, the trial with the best average precision on valid, fitted again on both sets.
 
-    Trials run one after another; each is a distributed fit.
+    Its info holds that precision, the first of the best trials' settings, and the threshold with the best F1 on valid.
+    Trials see TUNING_ROWS at most, by a hash of keys; AT_ONCE of them run together. No trial can be fitted on one class.
     """
-    best: dict[str, tuple[float, dict]] = {}
+    some = undersample(train, "label", keys, TUNING_ROWS, TUNING_ROWS, 4.0).cache()
     both = train.unionByName(valid)
-    for p in params:
-        scored = score_classifier(_pipeline(p, features).fit(_weighted(train)), valid, [])
-        ap = average_precision(scored.withColumn("all", F.lit(1)), ["all"]).first()["ap"]
-        if p["model"] not in best or ap > best[p["model"]][0]:
-            best[p["model"]] = (ap, p)
-    return {m: (_pipeline(p, features).fit(_weighted(both if refit else train)), p | {"valid_ap": ap}) for m, (ap, p) in best.items()}
 
+    def tried(p: dict) -> tuple[float, float]:
+        scored = score_classifier(_pipeline(p, features).fit(_weighted(some)), valid, []).withColumn("all", F.lit(1)).cache()
+        found = average_precision(scored, ["all"]).first()["ap"], threshold_quantile_f1(scored, ["all"]).first()["threshold"]
+        scored.unpersist()
+        return found
+
+    def fitted(p: dict) -> PipelineModel:
+        return _pipeline(p, features).fit(_weighted(both if refit else train))
+
+    n, pos = some.agg(F.count("*"), F.sum("label")).first()
+    if not pos or pos == n:
+        some.unpersist()
+        return {}
+    best: dict[str, dict] = {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for p, (ap, threshold) in zip(params, pool.map(inheritable_thread_target(tried), params), strict=True):
+            if p["model"] not in best or ap > best[p["model"]]["valid_ap"]:
+                best[p["model"]] = p | {"valid_ap": ap, "threshold": threshold}
+        some.unpersist()
+        return dict(zip(best, zip(pool.map(inheritable_thread_target(fitted), best.values()), best.values(), strict=True), strict=True))
+
+
+def score_all(models: dict[str, tuple[PipelineModel, dict]], rows: DataFrame, wanted: list[str], keys: list[str]) -> DataFrame:
+    """keys, model, p, pred for every wanted model: pred is 1 from the model's own threshold on; a missing model scores 0."""
+    out = None
+    for name in wanted:
+        if name in models:
+            model, info = models[name]
+            part = score_classifier(model, rows, keys).select(*keys, F.lit(name).alias("model"), "p", (F.col("p") >= float(info["threshold"])).cast("int").alias("pred"))
+        else:
+            part = rows.select(*keys, F.lit(name).alias("model"), F.lit(0.0).alias("p"), F.lit(0).alias("pred"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Kinds of regression, by what they see, and the random settings tried for each (ticker, target, kind).
+KINDS, CONFIGS = ("linear", "quadratic"), 4
+MIN_TRAIN, MIN_VALID = 500, 50
+
+
+def _terms(features: list[str]) -> list[Column]:
+    """1, the features, and their squares."""
+    x = [F.col(f).cast("double") for f in features]
+    return [F.lit(1.0), *x, *(v * v for v in x)]
+
+
+def _sums(rows: DataFrame, features: list[str]) -> DataFrame:
+    """ticker, target, n, xx (products of terms, the upper triangle by rows), xy: all that a ridge regression needs."""
+    x = _terms(features)
+    k = len(x)
+    xx = F.array(*(F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)))
+    return rows.where("y is not null").groupBy("ticker", "target").agg(F.count("*").alias("n"), xx.alias("xx"), F.array(*(F.sum(v * F.col("y")) for v in x)).alias("xy"))
 
-def fit_regressors(rows: DataFrame, features: list[str], ridge: float = 1e-3) -> DataFrame:
-    """ticker, target, n, intercept, coefficients (array): a ridge regression for each, from sums of products.
 
-    The sums combine before the one shuffle; what is solved per group is a matrix of the features' number.
-    """
-    x = [F.lit(1.0), *(F.col(f).cast("double") for f in features)]
-    k = len(x)
-    products = [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k)]
-    sums = rows.groupBy("ticker", "target").agg(F.count("*").alias("n"), *products, *(F.sum(x[i] * F.col("y")).alias(f"y{i}") for i in range(k)))
+def _ridge_of(ticker: str, target: str, kind: str, config: int) -> float:
+    """The penalty of a configuration, log-uniform from 1e-4 to 1 by MD5."""
+    u = int(hashlib.md5(f"{ticker}|{target}|{kind}|{config}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    return float(np.exp(np.log(1e-4) * (1 - u)))
+
+
+def solved(xx: np.ndarray, xy: np.ndarray, used: int, ridge: float) -> np.ndarray:
+    """Coefficients of the first `used` terms (the others 0), standardised for the penalty; the constant goes without."""
+    k = len(xy)
+    a = np.zeros((k, k))
+    a[np.triu_indices(k)] = xx
+    a = (a + np.triu(a, 1).T)[:used, :used]
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-12))
+    a = a / np.outer(scale, scale) + ridge * np.diag([0.0] + [1.0] * (used - 1))
+    return np.concatenate((np.linalg.lstsq(a, xy[:used] / scale, rcond=None)[0] / scale, np.zeros(k - used)))
+
+
+_MODELS = "ticker string, target string, model string, config int, ridge double, n long, coefficients array<double>"
+
+
+def _candidates(sums: DataFrame, n_features: int, chosen: bool) -> DataFrame:
+    """_MODELS: every configuration of every kind, or with `chosen` those that columns model and config name."""
 
     def solve(batches):
         for pdf in batches:
             out = []
             for r in pdf.to_dict("records"):
-                a = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-                b = np.array([r[f"y{i}"] for i in range(k)], float)
-                scale = np.sqrt(np.maximum(np.diag(a), 1e-12))
-                a = a / np.outer(scale, scale) + ridge * np.diag([0.0] + [1.0] * (k - 1))
-                w = np.linalg.lstsq(a, b / scale, rcond=None)[0] / scale
-                out.append((r["ticker"], r["target"], int(r["n"]), float(w[0]), w[1:].tolist()))
-            yield pd.DataFrame(out, columns=["ticker", "target", "n", "intercept", "coefficients"])
+                for kind, config in [(r["model"], r["config"])] if chosen else [(kind, c) for kind in KINDS for c in range(CONFIGS)]:
+                    ridge = _ridge_of(r["ticker"], r["target"], kind, int(config))
+                    used = 1 + n_features * (1 if kind == "linear" else 2)
+                    w = solved(np.array(r["xx"], float), np.array(r["xy"], float), used, ridge)
+                    out.append((r["ticker"], r["target"], kind, int(config), ridge, int(r["n"]), w.tolist()))
+            yield pd.DataFrame(out, columns=["ticker", "target", "model", "config", "ridge", "n", "coefficients"])
 
-    return sums.mapInPandas(solve, "ticker string, target string, n long, intercept double, coefficients array<double>")
+    return sums.mapInPandas(solve, _MODELS)
 
 
-def apply_regressors(models: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """dt, ticker, target, pred: each ticker's regressions on its rows."""
-    x = F.array(*(F.col(f).cast("double") for f in features))
-    dot = F.aggregate(F.zip_with("coefficients", "x", lambda c, v: c * v), F.lit(0.0), lambda a, v: a + v)
-    return rows.withColumn("x", x).join(models, "ticker").select("dt", "ticker", "target", (F.col("intercept") + dot).alias("pred"))
+def tune_regressors(train: DataFrame, valid: DataFrame, features: list[str], gate: bool = True) -> DataFrame:
+    """ticker, target, model, config, ridge, mae, rmse, r2, quality_score: for each group and kind, the best on valid.
+
+    Groups have MIN_TRAIN rows in train and MIN_VALID in valid at least. Of a kind's configurations, those that the quality
+    gate lets through compete (with gate), by RMSE, then by number; a kind of which none passes has no row.
+    """
+    enough = train.groupBy("ticker", "target").agg(F.count("y").alias("a")).join(valid.groupBy("ticker", "target").agg(F.count("y").alias("b")), ["ticker", "target"])
+    enough = enough.where((F.col("a") >= MIN_TRAIN) & (F.col("b") >= MIN_VALID)).select("ticker", "target")
+    tried = _candidates(_sums(train, features).join(enough, ["ticker", "target"], "left_semi"), len(features), False)
+    rows = apply_regressors(tried, valid, features, ["y", "config", "ridge"]).where("y is not null")
+    by = ["ticker", "target", "model", "config", "ridge"]
+    measured = regression_metrics(rows, by).join(model_quality(rows, by).select(*by, "quality_score", "is_valid"), by)
+    if gate:
+        measured = measured.where("is_valid")
+    best = F.row_number().over(W.partitionBy("ticker", "target", "model").orderBy("rmse", "config"))
+    return measured.withColumn("_nth", best).where("_nth = 1").select(*by, "mae", "rmse", "r2", "quality_score")
+
+
+def fit_regressors(rows: DataFrame, features: list[str], tuned: DataFrame) -> DataFrame:
+    """ticker, target, model, config, ridge, n, coefficients: what tuned names, fitted on rows, from sums of products.
+
+    The sums combine before the one shuffle; what is solved per group is a matrix of the terms' number.
+    """
+    return _candidates(_sums(rows, features).join(tuned.select("ticker", "target", "model", "config"), ["ticker", "target"]), len(features), True)
+
+
+def apply_regressors(models: DataFrame, rows: DataFrame, features: list[str], keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """dt, ticker, target, model, keep, pred: each ticker's regressions on its rows; rows that have a target meet those of it."""
+    on = ["ticker", "target"] if "target" in rows.columns else ["ticker"]
+    dot = F.aggregate(F.zip_with("coefficients", F.array(*_terms(features)), lambda c, v: c * v), F.lit(0.0), lambda a, v: a + v)
+    return rows.join(models, on).select("dt", "ticker", "target", "model", *keep, dot.alias("pred"))
 
 
 class ModelStore:
-    """Fitted pipelines in a folder, and a table of their keys, settings and scores."""
+    """Fitted models in a folder, and a table of their keys, versions, settings and scores; the latest version counts.
 
-    SCHEMA = "target string, model string, path string, params map<string,string>, valid_ap double"
+    Pipelines are kept by (target, model), and many small models by (ticker, target, model) in one table.
+    """
+
+    SCHEMA = "target string, model string, version long, path string, params map<string,string>, valid_ap double"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def save(self, target: str, name: str, model: PipelineModel, info: dict) -> None:
-        path = f"{self.folder}/{target}/{name}"
+    def _table(self, name: str, schema: str) -> DataFrame:
+        """All rows of a table of the store; none where nothing is stored yet."""
+        conf, path = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        if not path.getFileSystem(conf).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+
+    def save(self, target: str, name: str, model: PipelineModel, info: dict) -> int:
+        """Adds a version of a pipeline and returns its number; earlier ones stay."""
+        version = 1 + (self.registry().where((F.col("target") == target) & (F.col("model") == name)).agg(F.max("version")).first()[0] or 0)
+        path = f"{self.folder}/pipelines/{target}/{name}/{version}"
         model.write().overwrite().save(path)
-        row = (target, name, path, {k: str(v) for k, v in info.items()}, float(info.get("valid_ap", float("nan"))))
+        row = (target, name, version, path, {k: str(v) for k, v in info.items()}, float(info.get("valid_ap", float("nan"))))
         self.spark.createDataFrame([row], self.SCHEMA).write.mode("append").parquet(f"{self.folder}/registry")
+        return version
 
     def registry(self) -> DataFrame:
-        conf, path = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/registry")
-        if not path.getFileSystem(conf).exists(path):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/registry").dropDuplicates(["target", "model"])
+        """The latest version of each (target, model)."""
+        nth = F.row_number().over(W.partitionBy("target", "model").orderBy(F.desc("version"), "path"))
+        return self._table("registry", self.SCHEMA).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
-    def load(self, target: str, name: str) -> PipelineModel:
-        return PipelineModel.load(f"{self.folder}/{target}/{name}")
+    def load(self, target: str, name: str) -> tuple[PipelineModel, dict]:
+        """The latest version of a pipeline, and its info; KeyError where there is none."""
+        row = self.registry().where((F.col("target") == target) & (F.col("model") == name)).first()
+        if row is None:
+            raise KeyError((target, name))
+        return PipelineModel.load(row["path"]), dict(row["params"]) | {"valid_ap": row["valid_ap"]}
 
     def missing(self, wanted: DataFrame) -> DataFrame:
-        """What of wanted (target, model) is to be trained: in `auto` mode all that isn't registered yet."""
+        """What of wanted (target, model) isn't registered yet."""
         return wanted.join(self.registry().select("target", "model"), ["target", "model"], "left_anti")
+
+    def models(self, target: str, names: list[str], fit: Callable[[list[str]], dict[str, tuple[PipelineModel, dict]]], mode: str = "auto") -> dict[str, tuple[PipelineModel, dict]]:
+        """The models of a target by name. Mode `load` takes what is stored, `train` fits all anew, `auto` fits what is missing."""
+        have = {r["model"] for r in self.registry().where(F.col("target") == target).select("model").collect()} if mode != "train" else set()
+        wanted = [n for n in names if n not in have] if mode != "load" else []
+        for name, (model, info) in (fit(wanted) if wanted else {}).items():
+            self.save(target, name, model, info)
+            have.add(name)
+        return {n: self.load(target, n) for n in names if n in have}
+
+    def save_regressors(self, models: DataFrame) -> None:
+        """Adds a version of every (ticker, target, model) of models."""
+        version = 1 + (self._table("regressors", f"{_MODELS}, version long").agg(F.max("version")).first()[0] or 0)
+        models.withColumn("version", F.lit(version).cast("long")).write.mode("append").parquet(f"{self.folder}/regressors")
+
+    def regressors(self) -> DataFrame:
+        """The latest version of each (ticker, target, model)."""
+        nth = F.row_number().over(W.partitionBy("ticker", "target", "model").orderBy(F.desc("version"), "config"))
+        return self._table("regressors", f"{_MODELS}, version long").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+    def missing_regressors(self, wanted: DataFrame) -> DataFrame:
+        """What of wanted (ticker, target, model) isn't stored yet."""
+        return wanted.join(self.regressors().select("ticker", "target", "model"), ["ticker", "target", "model"], "left_anti")

@@ -34,11 +34,11 @@ def linear_calibration(rows: DataFrame) -> DataFrame:
     return sums.select(*MODEL, slope.alias("slope"), F.when(few, 0.0).when(flat, F.col("d")).otherwise(F.col("i")).alias("intercept"))
 
 
-def model_quality(rows: DataFrame) -> DataFrame:
-    """MODEL, errors relative to the range of y, quality_score, is_valid and reasons."""
+def model_quality(rows: DataFrame, by: list[str] = MODEL) -> DataFrame:  # noqa: B006
+    """by (the ticker among it), errors relative to the range of y, quality_score, is_valid and reasons."""
     e = F.col("y") - F.col("pred")
-    s = rows.groupBy(*MODEL).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop("y").alias("y_var"), (F.max("y") - F.min("y") + 1e-9).alias("span"), F.count("*").alias("n"))
-    s = s.select(*MODEL, asset_type(F.col("ticker")).alias("asset_type"), (F.col("mae") / F.col("span")).alias("mae_pct"), (F.sqrt("mse") / F.col("span")).alias("rmse_pct"), F.when(F.col("y_var") * F.col("n") > 1e-12, 1 - F.col("mse") / F.col("y_var")).otherwise(0.0).alias("r2"), "y_var")
+    s = rows.groupBy(*by).agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.var_pop("y").alias("y_var"), (F.max("y") - F.min("y") + 1e-9).alias("span"), F.count("*").alias("n"))
+    s = s.select(*by, asset_type(F.col("ticker")).alias("asset_type"), (F.col("mae") / F.col("span")).alias("mae_pct"), (F.sqrt("mse") / F.col("span")).alias("rmse_pct"), F.when(F.col("y_var") * F.col("n") > 1e-12, 1 - F.col("mse") / F.col("y_var")).otherwise(0.0).alias("r2"), "y_var")
     flat = F.col("y_var") < LOW_VARIANCE
     limit = F.when(F.col("asset_type") == "index_commodity", MAX_RMSE_INDEX).otherwise(MAX_RMSE)
     bad = {"r2": F.col("r2") < MIN_R2, "rmse": F.col("rmse_pct") > limit, "mae": F.col("mae_pct") > MAX_MAE}
@@ -46,7 +46,7 @@ def model_quality(rows: DataFrame) -> DataFrame:
     score = off(off(off(F.lit(1.0), bad["r2"], 0.3), bad["rmse"], 0.4), bad["mae"], 0.3)
     score = F.when(flat, 0.8).otherwise(score) + F.when(F.col("r2") > 0.3, 0.2).when(F.col("r2") > 0, 0.1).otherwise(0.0)
     reasons = F.when(flat, F.array(F.lit("low variance"))).otherwise(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in bad.items()))))
-    return s.select(*MODEL, "asset_type", "mae_pct", "rmse_pct", "r2", F.least(F.lit(1.0), score).alias("quality_score"), (flat | ~(bad["r2"] | bad["rmse"] | bad["mae"])).alias("is_valid"), F.array_join(reasons, ",").alias("reasons"))
+    return s.select(*by, "asset_type", "mae_pct", "rmse_pct", "r2", F.least(F.lit(1.0), score).alias("quality_score"), (flat | ~(bad["r2"] | bad["rmse"] | bad["mae"])).alias("is_valid"), F.array_join(reasons, ",").alias("reasons"))
 
 
 def clipped(x: Column, target: Column) -> Column:

@@ -4,38 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
 from ..operators import indicators as ind
 from ..operators import models as mod
 from ..operators import patterns as pat
 from ..operators import reduction as red
 from ..operators import splits as spl
 from ..operators.fill import pct_change, stack_long
-from ..operators.quality import MODEL
-from ..operators.metrics import regression_metrics
 from . import fixtures as fx
 from .blending import _targets
-from .evaluation import _rounded
-from .fixtures import bars_daily, on_bars, rolling
+from .evaluation import _rounded, _split_sql
+from .fixtures import bars_daily, on_bars, on_bars_recursive
+from .indicators import _CROSSES as CROSSES
+from .indicators import _sma as SMA  # noqa: N812
 from .panel import _folder
+from .patterns import _ALL as PATTERN_COLUMNS
+from .patterns import _UNSHIFTED as PATTERNS
 from .registry import query
 
-FEATURES = ["pct_change", "sma_5", "sma_20", "volume", "tri_pattern", "mtb_pattern"]
+_PAIRS = [(f, s) for f in ind.AVERAGES for s in ind.AVERAGES if f < s]
+#: Every feature that the pipeline makes itself: averages, crosses, the change of close, and all patterns' columns.
+FEATURES = [*(f"sma_{n}" for n in ind.AVERAGES), *(f"cross_{f}_{s}" for f, s in _PAIRS), "pct_change", *PATTERN_COLUMNS]
+#: What the regressions see; their terms' products are one row a group.
+LINEAR = ["pct_change", "sma_5", "sma_20", "sma_50", "sr_support_diff", "tri_pattern"]
+#: Decimals of features, so that both engines agree where bins and counts of values hang on them.
+DIGITS = 4
 
 
 def features(spark, sf_dir):
-    bars = bars_daily(spark, sf_dir)
-    rows = ind.add_smas(bars, (5, 20)).withColumn("pct_change", pct_change())
-    rows = pat.multi_top_bottom(pat.triangle(rows))
-    return rows.select("ticker", "dt", *(F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 6).alias(c) for c in FEATURES))
+    rows = ind.add_crosses(bars_daily(spark, sf_dir)).withColumn("pct_change", pct_change())
+    rows = pat.all_patterns(rows)
+    return rows.select("ticker", "dt", *(F.round(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), DIGITS).alias(c) for c in FEATURES))
 
 
-_SMA = lambda n: f"case when count(close) over {rolling(n)} = {n} then avg(close) over {rolling(n)} end"
-_WIDE = f""", fb as (select *, max(high) over {rolling(3)} as rh, min(low) over {rolling(3)} as rl, count(*) over {rolling(3)} as nn, lag(high) over o as ph, lag(low) over o as pl, lag(close) over o as pc,
-  {_SMA(5)} as s5, {_SMA(20)} as s20 from bars window o as (partition by ticker order by dt)),
-wide as (select ticker, dt, round(coalesce(close / nullif(pc, 0) - 1, 0), 6) as pct_change, round(coalesce(s5, 0), 6) as sma_5, round(coalesce(s20, 0), 6) as sma_20, volume::double as volume,
-  (case when nn = 3 and rh <= ph and rl >= pl and close < pc then -1 when nn = 3 and rh >= ph and rl <= pl and close > pc then 1 else 0 end)::double as tri_pattern, 0.0::double as mtb_pattern from fb),
+_WIDE = (
+    f""", favg as (select ticker, dt, {', '.join(f"{SMA("close", n)} as sma_{n}" for n in ind.AVERAGES)}, close / nullif(lag(close) over (partition by ticker order by dt), 0) - 1 as pct_change from bars),
+fcross as (with {CROSSES.removeprefix(', ')}), fpat as (with {PATTERNS.removeprefix(', ')}),
+wide as (select ticker, dt, {', '.join(f"round(coalesce({c}::double, 0), {DIGITS}) as {c}" for c in FEATURES)} from favg join fcross using (ticker, dt) join fpat using (ticker, dt)),
 long as (unpivot wide on {', '.join(FEATURES)} into name feature value value),
 stats as (select ticker, feature, count(distinct value) as kinds, var_samp(value) as variance from long group by ticker, feature)"""
+)
 
 
 def _long(spark, sf_dir):
@@ -60,7 +68,7 @@ def discrete_flag(spark, sf_dir):
 _MI = (
     _WIDE
     + fx.LABELLED
-    + """, bin as (select *, case when feature like '%pattern' then value else floor(percent_rank() over (partition by ticker, feature order by value) * 8) end as x from long),
+    + """, bin as (select *, case when feature like '%pattern' or feature like 'cross_%' then value else floor(percent_rank() over (partition by ticker, feature order by value) * 8) end as x from long),
 lab as (select ticker, dt, unnest([{'label': 'u', 'y': target_up}, {'label': 'd', 'y': target_down}]) as l from labelled),
 cell as (select bin.ticker, feature, l.label as label, x, l.y as y, count(*) as n from bin join lab on bin.ticker = lab.ticker and bin.dt = lab.dt group by all),
 tot as (select *, sum(n) over (partition by ticker, feature, label, x) as nx, sum(n) over (partition by ticker, feature, label, y) as ny, sum(n) over (partition by ticker, feature, label) as na from cell),
@@ -94,84 +102,123 @@ def anchor_features(spark, sf_dir):
     return red.with_anchors(red.rank_top(_mi(spark, sf_dir), "mi", 0.5, 3), red.feature_stats(_long(spark, sf_dir)))
 
 
-@query("variance_fallback", on_bars(_MI + ", part_of as (select * from mi where ticker <> 'Brand#11') select stats.ticker, stats.feature, round(case when stats.ticker = 'Brand#11' then variance else mi end, 4) as score, stats.ticker = 'Brand#11' as by_variance from stats left join part_of using (ticker, feature)"))
+@query("variance_fallback", on_bars(_MI + ", flat as (select ticker, max(mi) <= 0 as flat from mi group by ticker) select stats.ticker, stats.feature, round(case when coalesce(flat, true) then coalesce(variance, 0.0) else coalesce(mi, 0.0) end, 4) as score, coalesce(flat, true) as by_variance from stats left join mi using (ticker, feature) left join flat using (ticker)"))
 def variance_fallback(spark, sf_dir):
-    rows = red.variance_fallback(_mi(spark, sf_dir).where("ticker <> 'Brand#11'"), red.feature_stats(_long(spark, sf_dir)))
-    return _rounded(rows, ["score"], 4)
+    return _rounded(red.variance_fallback(_mi(spark, sf_dir), red.feature_stats(_long(spark, sf_dir))), ["score"], 4)
 
 
-_PAIRS = [(a, b) for i, a in enumerate(FEATURES[:5]) for b in FEATURES[:5][i + 1 :]]
-_COR = _WIDE + ", cors as (" + " union all ".join(f"select ticker, '{a}' as a, '{b}' as b, corr({a}, {b}) * count(*) / (count(*) - 1) as r from wide group by ticker" for a, b in _PAIRS) + ")"
+_COR = """, cors as (select x.ticker, x.feature as a, y.feature as b, case when var_pop(x.value) > 0 and var_pop(y.value) > 0 then corr(x.value, y.value) * count(*) / (count(*) - 1) end as r
+  from (select *, list_position(%s, feature) as k from long) x join (select *, list_position(%s, feature) as k from long) y on x.ticker = y.ticker and x.dt = y.dt and x.k < y.k group by x.ticker, x.feature, y.feature)""" % ((repr(FEATURES),) * 2)
 
 
-@query("feature_corr", on_bars(_COR + " select ticker, a, b, round(r, 6) as r from cors"))
+@query("feature_corr", on_bars(_WIDE + _COR + f" select ticker, a, b, round(r, {DIGITS}) as r from cors"))
 def feature_corr(spark, sf_dir):
-    return _rounded(red.correlations(features(spark, sf_dir), FEATURES[:5]), ["r"])
+    return _rounded(red.correlations(features(spark, sf_dir), FEATURES), ["r"], DIGITS)
+
+
+#: Features that correlate as much as this, to four decimals, are alike; at least so many stay.
+LIMIT, LEAST = 0.95, 12
 
 
 def _kept(spark, sf_dir):
-    ranked = red.rank_top(_mi(spark, sf_dir).where(F.col("feature") != "mtb_pattern"), "mi", 1.0, 1)
-    return red.decorrelated(ranked, red.correlations(features(spark, sf_dir), FEATURES[:5]), 0.3)
+    ranked = red.rank_top(_mi(spark, sf_dir), "mi", 0.85, LEAST)
+    return red.decorrelated(ranked, _rounded(red.correlations(features(spark, sf_dir), FEATURES), ["r"], DIGITS), LIMIT, LEAST)
+
+
+_GREEDY = (
+    _MI
+    + _COR
+    + f""", top85 as (select ticker, feature, rank from rk where rank <= least(nf, greatest({LEAST}, ceil(nf * 0.85)))),
+high as (select ticker, feature, list(other) as alike from (select ticker, a as feature, b as other, r from cors union all select ticker, b, a, r from cors) where abs(round(r, {DIGITS})) >= {LIMIT} group by ticker, feature),
+todo as (select top85.ticker, top85.feature, top85.rank, coalesce(alike, []) as alike from top85 left join high on high.ticker = top85.ticker and high.feature = top85.feature),
+walk as (select ticker, rank, [feature] as kept, []::varchar[] as gone from todo where rank = 1
+  union all select t.ticker, t.rank, case when list_has_any(w.kept, t.alike) then w.kept else list_append(w.kept, t.feature) end, case when list_has_any(w.kept, t.alike) then list_append(w.gone, t.feature) else w.gone end
+  from walk w join todo t on t.ticker = w.ticker and t.rank = w.rank + 1),
+ends as (select ticker, arg_max(kept, rank) as kept, arg_max(gone, rank) as gone from walk group by ticker),
+done as (select todo.ticker, feature, rank, list_contains(list_concat(kept, gone[1:greatest(0, {LEAST} - len(kept))]), feature) as kept from todo join ends on ends.ticker = todo.ticker)"""
+)
 
 
-@query("greedy_decorrelate")
+@query("greedy_decorrelate", on_bars_recursive(_GREEDY + " select ticker, feature, rank, kept from done"))
 def greedy_decorrelate(spark, sf_dir):
     return _kept(spark, sf_dir)
 
 
-@query("reduction_report")
+@query("reduction_report", on_bars_recursive(_GREEDY + """, per as (select ticker, count(*) as n from done where kept group by ticker)
+select sum(n)::bigint as kept, min(n) as least, quantile_cont(n, 0.5) as median, max(n) as most, (select count(*) from stats) as features, round(100.0 * sum(n) / (select count(*) from stats), 4) as pct from per"""))
 def reduction_report(spark, sf_dir):
     return red.reduction_report(_kept(spark, sf_dir).where("kept"), red.feature_stats(_long(spark, sf_dir)))
 
 
-# Training. The queries fit few trials; TRIALS holds the full budget.
+# Training: both targets, every kind of model, the whole budget of trials.
+
+TARGETS = {"up": "target_up", "down": "target_down"}
+_STORES: dict[tuple[str, str], mod.ModelStore] = {}
+
+
+def _labelled_sets(spark, sf_dir):
+    """features with both targets and the split of their date."""
+    rows = features(spark, sf_dir).join(fx.labelled(spark, sf_dir).select("ticker", "dt", *TARGETS.values()), ["ticker", "dt"])
+    return rows.join(F.broadcast(spl.purged_split(bars_daily(spark, sf_dir)).select("dt", "split")), "dt")
+
+
+def _groups(spark, sf_dir):
+    """target, n, pos of the rows to tune on."""
+    train = fx.labelled(spark, sf_dir).join(F.broadcast(spl.purged_split(bars_daily(spark, sf_dir)).where("split = 'train'").select("dt")), "dt", "left_semi")
+    both = F.array(*(F.struct(F.lit(t).alias("target"), F.col(c).alias("y")) for t, c in TARGETS.items()))
+    return train.select(F.explode(both).alias("t")).groupBy("t.target").agg(F.count("*").alias("n"), F.sum("t.y").alias("pos"))
+
+
+def _models(spark, sf_dir):
+    """({target: models by name}, rows to score): trained once an application, and taken from the store after that."""
+    rows = cut(_labelled_sets(spark, sf_dir), "labelled-sets")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    store = _STORES.setdefault(key, mod.ModelStore(spark, _folder(spark)))
+    params = [r.asDict() for r in mod.param_samples(_groups(spark, sf_dir)).orderBy("target", "model", "trial").collect()]
 
+    def fit(target: str, names: list[str]):
+        train, valid = (rows.where(F.col("split") == s).withColumn("label", F.col(TARGETS[target])).select("ticker", "dt", *FEATURES, "label") for s in ("train", "valid"))
+        return mod.fit_classifiers(train, valid, FEATURES, [p for p in params if p["target"] == target and p["model"] in names], ["ticker", "dt"])
 
-def _sets(spark, sf_dir):
-    rows = features(spark, sf_dir).join(fx.labelled(spark, sf_dir).select("ticker", "dt", F.col("target_up").alias("label")), ["ticker", "dt"])
-    calendar = F.broadcast(spl.purged_split(bars_daily(spark, sf_dir)).select("dt", "split"))
-    rows = rows.join(calendar, "dt")
-    return [rows.where(F.col("split") == s).drop("split") for s in ("train", "valid", "apply")]
+    return store, {t: store.models(t, list(mod.TRIALS), lambda names, t=t: fit(t, names)) for t in TARGETS}, rows.where("split = 'apply'")
 
 
-def _fitted(spark, sf_dir):
-    train, valid, now = _sets(spark, sf_dir)
-    train, valid = train.cache(), valid.cache()
-    params = [r.asDict() for r in mod.param_samples(spark, {"logistic": 2, "forest": 1}).collect()]
-    return mod.fit_classifiers(train, valid, FEATURES, params), now
+_DRAW = lambda name: f"cast('0x' || substr(md5(target || '|' || model || '|' || trial || '|{name}:42'), 1, 13) as bigint) / 4503599627370496.0"
+_SPREAD = lambda name, low, high: f"exp(ln({low}) + {_DRAW(name)} * (ln({high}) - ln({low})))"
 
 
-@query("param_samples")
+@query("param_samples", on_bars(_split_sql() + fx.LABELLED + f""", tuned as (select target_up, target_down from labelled where dt in (select dt from calendar where split = 'train')),
+groups as (select 'up' as target, count(*) as n, sum(target_up)::bigint as pos from tuned union all select 'down', count(*), sum(target_down)::bigint from tuned),
+kinds as (select unnest([{', '.join(f"{{'model': '{m}', 'k': {k}}}" for m, k in mod.TRIALS.items())}]) as m),
+drawn as (select target, n, pos, m.model as model, unnest(range(m.k))::int as trial from groups, kinds)
+select target, n, pos, model, trial, (3 + floor({_DRAW('depth')} * 3))::int as depth, (8 + 4 * floor({_DRAW('trees')} * 3))::int as trees, round({_SPREAD('step', 0.03, 0.3)}, 6) as step,
+  round(0.6 + 0.4 * {_DRAW('subsample')}, 6) as subsample, greatest(1, least(floor(n / 20), floor({_SPREAD('leaf', 5.0, 80.0)})))::int as min_leaf, round({_SPREAD('reg', 1e-4, 1.0)}, 8) as reg from drawn"""))
 def param_samples(spark, sf_dir):
-    return mod.param_samples(spark)
+    return mod.param_samples(_groups(spark, sf_dir))
 
 
 @query("fit_classifiers")
 def fit_classifiers(spark, sf_dir):
-    found, _ = _fitted(spark, sf_dir)
-    return spark.createDataFrame([(m, float(p["valid_ap"]), {k: str(v) for k, v in p.items()}) for m, (_, p) in sorted(found.items())], "model string, valid_ap double, params map<string,string>")
+    store, _, _ = _models(spark, sf_dir)
+    return store.registry().select("target", "model", "version", "valid_ap", F.col("params")["threshold"].cast("double").alias("threshold"), "params")
 
 
 @query("score_classifiers")
 def score_classifiers(spark, sf_dir):
-    found, now = _fitted(spark, sf_dir)
-    parts = [mod.score_classifier(m, now, ["dt", "ticker"]).select("dt", "ticker", F.lit(name).alias("model"), "p", (F.col("p") >= 0.5).cast("int").alias("pred")) for name, (m, _) in sorted(found.items())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    _, models, now = _models(spark, sf_dir)
+    up, down = (mod.score_all(models[t], now, list(mod.TRIALS), ["dt", "ticker"]).withColumn("target", F.lit(t)) for t in TARGETS)
+    return up.unionByName(down)
 
 
 @query("model_store")
 def model_store(spark, sf_dir):
-    """Saves what is trained, loads it again, and lists what of a wish list is left to train."""
-    found, now = _fitted(spark, sf_dir)
-    store = mod.ModelStore(spark, _folder(spark))
-    for name, (model, info) in found.items():
-        store.save("up", name, model, info)
-    loaded = mod.score_classifier(store.load("up", "logistic"), now, ["dt", "ticker"]).agg(F.count("*").alias("rows"))
-    wanted = spark.createDataFrame([("up", "logistic"), ("up", "forest"), ("down", "logistic")], "target string, model string")
-    return store.missing(wanted).join(loaded, F.lit(True))
+    """Every (target, model, ticker) that is stored, pipelines and regressions, with its version and what it says of the last dates."""
+    store, models, now = _models(spark, sf_dir)
+    if store.regressors().isEmpty():
+        store.save_regressors(_regressors(spark, sf_dir))
+    pipelines = store.registry().select(F.lit(None).cast("string").alias("ticker"), "target", "model", "version", F.lit(None).cast("int").alias("config"))
+    wanted = store.missing(spark.createDataFrame([(t, m) for t in TARGETS for m in mod.TRIALS], "target string, model string"))
+    return pipelines.unionByName(store.regressors().select("ticker", "target", "model", "version", "config")).join(wanted.agg(F.count("*").alias("left_to_train")), F.lit(True))
 
 
 def _regression(spark, sf_dir):
@@ -179,23 +226,26 @@ def _regression(spark, sf_dir):
     return rows.join(F.broadcast(spl.purged_split(bars_daily(spark, sf_dir)).select("dt", "split")), "dt")
 
 
+def _tuned(rows):
+    return mod.tune_regressors(rows.where("split = 'train'"), rows.where("split = 'valid'"), LINEAR)
+
+
+def _regressors(spark, sf_dir):
+    rows = cut(_regression(spark, sf_dir).select("dt", "ticker", "target", "y", "split", *LINEAR), "regression-rows")
+    return mod.fit_regressors(rows.where("split in ('train', 'valid')"), LINEAR, cut(_tuned(rows), "tuned"))
+
+
 @query("fit_regressors_by_ticker")
 def fit_regressors_by_ticker(spark, sf_dir):
-    return mod.fit_regressors(_regression(spark, sf_dir).where("split = 'train'"), FEATURES[:4])
+    return _regressors(spark, sf_dir)
 
 
 @query("apply_regressors")
 def apply_regressors(spark, sf_dir):
-    rows = _regression(spark, sf_dir)
-    models = mod.fit_regressors(rows.where("split in ('train', 'valid')"), FEATURES[:4])
-    return mod.apply_regressors(models, rows.where("split = 'apply'").dropDuplicates(["dt", "ticker"]).drop("target", "y"), FEATURES[:4])
+    rows = _regression(spark, sf_dir).where("split = 'apply'").select("dt", "ticker", "target", *LINEAR)
+    return mod.apply_regressors(_regressors(spark, sf_dir), rows, LINEAR)
 
 
 @query("regressor_valid_metrics")
 def regressor_valid_metrics(spark, sf_dir):
-    rows = _regression(spark, sf_dir)
-    models = mod.fit_regressors(rows.where("split = 'train'"), FEATURES[:4])
-    valid = rows.where("split = 'valid'")
-    scored = mod.apply_regressors(models, valid.dropDuplicates(["dt", "ticker"]).drop("target", "y"), FEATURES[:4])
-    joined = scored.join(valid.select("dt", "ticker", "target", "y"), ["dt", "ticker", "target"]).withColumn("model", F.lit("ridge"))
-    return regression_metrics(joined, MODEL)
+    return _tuned(cut(_regression(spark, sf_dir).select("dt", "ticker", "target", "y", "split", *LINEAR), "regression-rows"))

@@ -84,11 +84,12 @@ _PATTERNS_SQL = (
     _BASE
     + ", p as (select ticker, dt, " + ", ".join(f"rh as {p}high_roll_max, rl as {p}low_roll_min, {_case(u, d)} as {p}pattern" for p, u, d in _MASKS.values()) + " from b)"
     + f", sr as (with {_SR.removeprefix(', ')}), tr as (with {_TREND.removeprefix(', ')})"
-    + " select ticker, dt, " + ", ".join(f"lag({c}) {O} as {c}" for c in _ALL) + " from p join sr using (ticker, dt) join tr using (ticker, dt)"
+    + ", u as (select ticker, dt, " + ", ".join(_ALL) + " from p join sr using (ticker, dt) join tr using (ticker, dt))"
 )
+_UNSHIFTED = _PATTERNS_SQL + " select * from u"
 
 
-@query("patterns_all", on_bars(_PATTERNS_SQL))
+@query("patterns_all", on_bars(_PATTERNS_SQL + " select ticker, dt, " + ", ".join(f"lag({c}) {O} as {c}" for c in _ALL) + " from u"))
 def patterns_all(spark, sf_dir):
     """Every column of every pattern, shifted by one row as it would feed a model."""
     rows = pat.all_patterns(bars_daily(spark, sf_dir))
