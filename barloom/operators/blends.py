@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut, discard
 from ..functions.shipping import ship
 from .metrics import average_precision
 
@@ -156,7 +157,7 @@ def selection(scores: DataFrame, folds: DataFrame, target: str, steps: int = 32,
     models = sorted(r["model"] for r in wide.select("model").distinct().collect())
     tests = folds.where("role = 'test'").select("fold", "dt")
     rows = wide.groupBy("dt", "ticker").pivot("model", models).agg(F.first("p")).join(wide.groupBy("dt", "ticker").agg(F.first("label").alias("label")), ["dt", "ticker"])
-    rows = rows.join(F.broadcast(tests), "dt").cache()
+    rows = cut(rows.join(F.broadcast(tests), "dt"), "selection-rows")
     counts, best = dict.fromkeys(models, 0), -1.0
     for step in range(steps):
         current = sum((F.col(m) * (counts[m] / max(1, step)) for m in models[1:]), F.col(models[0]) * (counts[models[0]] / max(1, step)))
@@ -170,7 +171,7 @@ def selection(scores: DataFrame, folds: DataFrame, target: str, steps: int = 32,
         if chosen is None:
             break
         counts[chosen] += 1
-    rows.unpersist()
+    discard(rows)
     total = sum(counts.values())
     return {m: (counts[m] / total if total else 1 / len(models)) for m in models}
 
@@ -198,7 +199,7 @@ def stack_lr(scores: DataFrame, folds: DataFrame, target: str, c: float = 1.0, m
         model = LogisticRegression(weightCol="weight", regParam=1 / (c * n), maxIter=50).fit(scaler.transform(train))
         return model.transform(scaler.transform(test)).withColumn("q", vector_to_array("probability")[1])
 
-    meta = assembled(wide).cache()
+    meta = cut(assembled(wide), "meta-features")
     done = None
     gates = meta.join(F.broadcast(folds.where("role = 'train'")), "dt").groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
     for r in gates.where((F.col("n") >= min_rows) & (F.col("pos") >= min_pos) & (F.col("n") - F.col("pos") >= min_neg)).orderBy("fold").collect():

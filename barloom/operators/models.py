@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut, discard
 from .metrics import average_precision, regression_metrics, threshold_quantile_f1
 from .quality import model_quality
 from .splits import undersample
@@ -26,7 +27,7 @@ TRIALS = {"gbt": 12, "logistic": 10, "forest": 8, "tree": 8}
 #: Rows that tuning sees at most; the fit that is kept sees all.
 TUNING_ROWS = 180_000
 #: Fits that run at a time, each a distributed job.
-AT_ONCE = 4
+AT_ONCE = 8
 CLIP = 1e-6
 
 
@@ -87,29 +88,31 @@ def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], par
     Its info holds that precision, the first of the best trials' settings, and the threshold with the best F1 on valid.
     Trials see TUNING_ROWS at most, by a hash of keys; AT_ONCE of them run together. No trial can be fitted on one class.
     """
-    some = undersample(train, "label", keys, TUNING_ROWS, TUNING_ROWS, 4.0).cache()
-    both = train.unionByName(valid)
+    some = cut(undersample(train, "label", keys, TUNING_ROWS, TUNING_ROWS, 4.0), "tuning-rows")
+    both, by = train.unionByName(valid), ["all"]
 
-    def tried(p: dict) -> tuple[float, float]:
-        scored = score_classifier(_pipeline(p, features).fit(_weighted(some)), valid, []).withColumn("all", F.lit(1)).cache()
-        found = average_precision(scored, ["all"]).first()["ap"], threshold_quantile_f1(scored, ["all"]).first()["threshold"]
-        scored.unpersist()
-        return found
+    def tried(p: dict) -> tuple[float, PipelineModel]:
+        model = _pipeline(p, features).fit(_weighted(some))
+        return average_precision(score_classifier(model, valid, []).withColumn("all", F.lit(1)), by).first()["ap"], model
 
-    def fitted(p: dict) -> PipelineModel:
-        return _pipeline(p, features).fit(_weighted(both if refit else train))
+    def finished(found: tuple[dict, PipelineModel]) -> tuple[PipelineModel, dict]:
+        p, model = found
+        threshold = threshold_quantile_f1(score_classifier(model, valid, []).withColumn("all", F.lit(1)), by).first()["threshold"]
+        return _pipeline(p, features).fit(_weighted(both if refit else train)), p | {"threshold": threshold}
 
     n, pos = some.agg(F.count("*"), F.sum("label")).first()
-    if not pos or pos == n:
-        some.unpersist()
+    if not pos or pos == n or valid.isEmpty():
+        discard(some)
         return {}
-    best: dict[str, dict] = {}
+    best: dict[str, tuple[dict, PipelineModel]] = {}
+    share = inheritable_thread_target(train.sparkSession)
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        for p, (ap, threshold) in zip(params, pool.map(inheritable_thread_target(tried), params), strict=True):
-            if p["model"] not in best or ap > best[p["model"]]["valid_ap"]:
-                best[p["model"]] = p | {"valid_ap": ap, "threshold": threshold}
-        some.unpersist()
-        return dict(zip(best, zip(pool.map(inheritable_thread_target(fitted), best.values()), best.values(), strict=True), strict=True))
+        for p, (ap, model) in zip(params, pool.map(share(tried), params), strict=True):
+            if p["model"] not in best or ap > best[p["model"]][0]["valid_ap"]:
+                best[p["model"]] = (p | {"valid_ap": ap}, model)
+        done = dict(zip(best, pool.map(share(finished), best.values()), strict=True))
+    discard(some)
+    return done
 
 
 def score_all(models: dict[str, tuple[PipelineModel, dict]], rows: DataFrame, wanted: list[str], keys: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
 from ..operators import blends as ble
 from ..operators import quality as qua
 from ..operators import report as rep
@@ -119,7 +120,7 @@ def meta_features(spark, sf_dir):
 
 @query("blend_stack_lr")
 def blend_stack_lr(spark, sf_dir):
-    rows, last, parts = valid_scores(spark, sf_dir).cache(), apply_scores(spark, sf_dir), folds(spark, sf_dir).cache()
+    rows, last, parts = cut(valid_scores(spark, sf_dir), "valid-scores"), apply_scores(spark, sf_dir), cut(folds(spark, sf_dir), "folds")
     return ble.stack_lr(rows, parts, "down", apply=last).unionByName(ble.stack_lr(rows, parts, "up", apply=last))
 
 
