@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut, discard
+
 #: Turns of a conversation that one task sorts and renders together; longer conversations come in several parts.
 BLOCK = 512
 
@@ -27,7 +29,8 @@ def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     turn, role, text = F.coalesce("turn", F.lit(-1)), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = conversations.where("conv_id is not null").select("conv_id", turn.alias("turn"), F.xxhash64(role, text, F.lit(1)).alias("a"), F.xxhash64(role, text, F.lit(2)).alias("b"))
     turns = rows.distinct().groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
-    turns = turns.withColumn("block", F.floor(F.col("turn") / block))
+    # A table of its own: counts and hashes of blocks and what rolls over them are all read from it.
+    turns = cut(turns.withColumn("block", F.floor(F.col("turn") / block)), "turns")
     within = W.partitionBy("conv_id", "block").orderBy("turn")
     turns = turns.withColumn("nth", F.row_number().over(within))
     before = _after(turns.groupBy("conv_id", "block").agg(F.count("*").alias("places")), {"places": F.sum})
@@ -49,14 +52,16 @@ def maximal(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Conversations equal in every turn are one; the smallest conv_id stands for all n_copies of them. No rows: none.
     """
-    prefixes = prefix_hashes(conversations, block)
+    prefixes = cut(prefix_hashes(conversations, block), "prefixes")
     ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", "h1", "h2")).alias("end")).select("conv_id", "end.*")
     key = ["n", "h1", "h2"]
     whole = ends.groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     # A prefix is proper where more conversations pass through it than end at it.
     passes = prefixes.groupBy(*key).agg(F.count("*").alias("passing"))
     proper = passes.join(whole.select(*key, F.col("n_copies").alias("ending")), key, "left").where("passing > coalesce(ending, 0)")
-    return whole.join(proper, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
+    kept = cut(whole.join(proper, key, "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies"), "kept-conversations")
+    discard(prefixes)
+    return kept
 
 
 def render(conversations: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFrame:
