@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+import xxhash
 
 from barloom.llm import quality
 
@@ -68,6 +69,35 @@ def test_scores_follow_from_counts(spark, docs, rows):
     assert len(ratios) == n
 
 
+def test_scores_and_verdicts_exactly(spark, docs, rows):
+    """The same hashes and buckets by hand: every score, and every verdict at the production threshold."""
+    table, labels = docs(rows), [(i, 1, 0) for i in range(12)] + [(100, 0, 0)]
+    n = 500
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    of_word = lambda w: xxhash.xxh64_intdigest(w.encode(), 42)
+    of_pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+
+    def grams(text):
+        one = [of_word(w) for w in WORD.findall(text or "")]
+        return [signed(h) % n for h in one + [of_pair(a, b) for a, b in zip(one, one[1:], strict=False)]]
+
+    target, raw = [0] * n, [0] * n
+    for d, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += d is not None and d < 12
+    ratio = [math.log((a + 0.5) / (sum(target) + 0.5 * n)) - math.log((b + 0.5) / (sum(raw) + 0.5 * n)) for a, b in zip(target, raw, strict=True)]
+    got = sorted(((r["doc_id"], r["llr_score"], r["kept"]) for r in quality.score(table, quality.log_ratios(table, label_rows(spark, labels), n)).collect()), key=str)
+    want = []
+    for d, t in rows:
+        g = grams(t)
+        score = sum(ratio[x] for x in g) / len(g) if g else None
+        want.append((d, score, not base(t)[5] and score is not None and score >= quality.LEAST_SCORE))
+    assert len(got) == len(want) and len({k for *_, k in want}) == 2
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[0] == b[0] and a[2] == b[2] and (a[1] is b[1] is None or abs(a[1] - b[1]) < 1e-9)
+
+
 def test_no_labels_no_documents(spark, docs, rows):
     none = label_rows(spark, [])
     assert {r["llr_score"] for r in quality.judge(docs(rows), none).collect()} == {0.0, None}
