@@ -231,5 +231,5 @@ def best_by_precision(metrics: DataFrame, min_recall: Column | float = 0.0, pref
 
 
 def artifacts(best: DataFrame) -> DataFrame:
-    """target, artifact: the best blend's strategy, threshold and metrics as JSON."""
+    """target, artifact: the best blend's strategy, and all that best says of it (threshold, metrics, when it was made) as JSON."""
     return best.select("target", F.to_json(F.struct(F.col("model").alias("strategy"), *(c for c in best.columns if c not in ("target", "model")))).alias("artifact"))

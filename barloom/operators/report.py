@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 REPORT = ["dt", "ticker", "close", "proba_up", "pred_up", "proba_down", "pred_down", "pred_best_entry", "pred_best_sale", "r2_entry", "rmse_entry", "r2_sale", "rmse_sale"]
 
 
-def top_k_per_day(scores: DataFrame, k: int = 20) -> DataFrame:
-    order = W.partitionBy("dt").orderBy(F.desc("p"), "ticker")
+def top_k_per_day(scores: DataFrame, k: int = 20, by: list[str] = ["dt"]) -> DataFrame:  # noqa: B006
+    """The k greatest scores of each day (or of what `by` names) with their rank; ties go by ticker."""
+    order = W.partitionBy(*by).orderBy(F.desc("p"), "ticker")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

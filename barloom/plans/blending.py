@@ -11,10 +11,10 @@ from ..operators import quality as qua
 from ..operators import report as rep
 from ..operators import splits as spl
 from ..operators.labels import best_entry_sale, normalised
-from ..operators.metrics import confusion, rates, regression_metrics, roc_auc
+from ..operators.metrics import confusion, rates, regression_metrics, roc_auc, threshold_quantile_f1
 from ..sources.bars import write_fallbacks
 from . import fixtures as fx
-from .evaluation import _FOLDS, REGM, _rounded, _split_sql, curve_sql, folds
+from .evaluation import _FOLDS, REGM, _rounded, _split_sql, curve_sql, folds, quantile_sql
 from .fixtures import bars_daily, on_reg, on_scores
 from .panel import _folder, price_grid
 from .registry import query
@@ -40,7 +40,16 @@ def isotonic_oof(spark, sf_dir):
     return ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir), apply=apply_scores(spark, sf_dir))
 
 
-@query("isotonic_coverage")
+_COVERAGE = (
+    _VALID
+    + _FOLDS
+    + """, fitted as (select target, model, fold from vs join folds using (dt) where role = 'train' group by target, model, fold having count(*) >= 2000 and sum(label) >= 20 and count(*) - sum(label) >= 20),
+reached as (select distinct fitted.target, fitted.model, folds.dt from fitted join folds on fitted.fold = folds.fold where role = 'test')
+select vs.target, vs.model, round(100 * avg((reached.dt is not null)::int), 4) as covered_pct from vs left join reached on vs.target = reached.target and vs.model = reached.model and vs.dt = reached.dt group by vs.target, vs.model"""
+)
+
+
+@query("isotonic_coverage", on_scores(_COVERAGE))
 def isotonic_coverage(spark, sf_dir):
     rows = ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir))
     return rows.groupBy("target", "model").agg(F.round(100 * F.avg(F.col("covered").cast("int")), 4).alias("covered_pct"))
@@ -131,21 +140,29 @@ em as (select *, round(tp / (tp + fp)::double, 6) as precision, round(tp / (tp +
 best as (select target, model, precision, recall, f1 from (select *, row_number() over (partition by target order by precision desc, f1 desc, model) as n from em where recall >= 0.2 or (select max(x.recall) from em x where x.target = em.target) < 0.2) where n = 1)"""
 
 
-def _ens_metrics(spark, sf_dir):
+def _blends(spark, sf_dir):
     scores = fx.scores_synth(spark, sf_dir)
-    both = ble.blend_equal(scores).withColumn("model", F.lit("ens_equal")).unionByName(ble.blend_trimmed(scores).withColumn("model", F.lit("ens_trimmed")))
+    return ble.blend_equal(scores).withColumn("model", F.lit("ens_equal")).unionByName(ble.blend_trimmed(scores).withColumn("model", F.lit("ens_trimmed")))
+
+
+def _ens_metrics(both):
     table = _rounded(rates(confusion(both, ["target", "model"])), ["precision", "recall", "f1"])
     return table.join(roc_auc(both, ["target", "model"]), ["target", "model"])
 
 
 @query("best_by_precision", on_scores(_ENS + " select * from best"))
 def best_by_precision(spark, sf_dir):
-    return ble.best_by_precision(_ens_metrics(spark, sf_dir), 0.2).select("target", "model", "precision", "recall", "f1")
+    return ble.best_by_precision(_ens_metrics(_blends(spark, sf_dir)), 0.2).select("target", "model", "precision", "recall", "f1")
 
 
-@query("best_artifact_summary")
+@query("best_artifact_summary", on_scores(_ENS + quantile_sql("ens", "ens_t") + """, made as (select max(dt) as made from scores)
+select best.target, '{"strategy":"' || best.model || '","threshold":' || threshold || ',"precision":' || precision || ',"recall":' || recall || ',"f1":' || f1 || ',"made":"' || strftime(made, '%Y-%m-%d') || '"}' as artifact
+from best join ens_t on best.target = ens_t.target and best.model = ens_t.model, made"""))
 def best_artifact_summary(spark, sf_dir):
-    return ble.artifacts(ble.best_by_precision(_ens_metrics(spark, sf_dir), 0.2).withColumn("threshold", F.lit(0.5)))
+    both = cut(_blends(spark, sf_dir), "blends")
+    best = ble.best_by_precision(_ens_metrics(both), 0.2).join(threshold_quantile_f1(both, ["target", "model"]), ["target", "model"])
+    made = both.agg(F.max("dt").alias("made"))
+    return ble.artifacts(best.join(F.broadcast(made), F.lit(True)).select("target", "model", "threshold", "precision", "recall", "f1", "made"))
 
 
 # Forecasts of the last dates, and models judged on the rows before them.
@@ -171,23 +188,24 @@ _BEST = ", ranked as (select *, row_number() over (partition by ticker, target o
 _ALL = _APPLY + _PASTM + _FB + _CAL + _QUAL + _PRED + _BEST
 
 
-def _parts(spark, sf_dir):
-    """(rows before the last dates, forecasts on them, fallbacks, best models)."""
-    rows, last = fx.reg_synth(spark, sf_dir), bars_daily(spark, sf_dir).select("dt").distinct().orderBy(F.desc("dt")).limit(5)
+def _parts(spark, sf_dir, bars=None):
+    """(rows before the last dates, forecasts on them, fallbacks, best models); what several of them read is a table."""
+    bars = cut(bars_daily(spark, sf_dir), "bars") if bars is None else bars
+    rows, last = cut(fx.reg_synth(spark, sf_dir, bars), "forecasts"), bars.select("dt").distinct().orderBy(F.desc("dt")).limit(5)
     past, now = rows.join(F.broadcast(last), "dt", "left_anti"), rows.join(F.broadcast(last), "dt", "left_semi").drop("y")
-    targets = _targets(spark, sf_dir).join(F.broadcast(last), "dt", "left_anti")
+    targets = _targets(spark, sf_dir, bars).join(F.broadcast(last), "dt", "left_anti")
     best = rep.best_model_per_ticker(regression_metrics(past, qua.MODEL))
     return past, now, qua.fallback_values(targets), best
 
 
-def _targets(spark, sf_dir):
-    b = best_entry_sale(bars_daily(spark, sf_dir), fx.HORIZON)
+def _targets(spark, sf_dir, bars=None):
+    b = best_entry_sale(bars_daily(spark, sf_dir) if bars is None else bars, fx.HORIZON)
     pairs = F.array(*(F.struct(F.lit(k).alias("target"), normalised(F.col(f"target_{k}"), F.col("close")).alias("y")) for k in ("best_entry", "best_sale")))
     return b.select("dt", "ticker", F.explode(pairs).alias("t")).select("dt", "ticker", "t.*")
 
 
-def predictions(spark, sf_dir):
-    past, now, fallbacks, _ = _parts(spark, sf_dir)
+def predictions(spark, sf_dir, parts=None):
+    past, now, fallbacks, _ = parts or _parts(spark, sf_dir)
     return qua.blend_with_fallback(now, qua.linear_calibration(past), qua.model_quality(past), fallbacks)
 
 
@@ -261,15 +279,17 @@ def lowvar_sink(spark, sf_dir):
 _PRICE = ", priced as (select preds.*, close * (1 + pred_pct) as pred_price, close from preds join bestm using (ticker, target, model) left join bars using (dt, ticker))"
 
 
-def _priced(spark, sf_dir):
-    rows = rep.join_best(predictions(spark, sf_dir), _parts(spark, sf_dir)[3])
-    prices = bars_daily(spark, sf_dir).select("dt", "ticker", "close")
+def _priced(spark, sf_dir, bars=None, parts=None):
+    bars = cut(bars_daily(spark, sf_dir), "bars") if bars is None else bars
+    parts = parts or _parts(spark, sf_dir, bars)
+    rows = rep.join_best(predictions(spark, sf_dir, parts), parts[3])
+    prices = bars.select("dt", "ticker", "close")
     return rows.join(prices, ["dt", "ticker"], "left").withColumn("pred_price", F.col("close") * (1 + F.col("pred_pct")))
 
 
-@query("top_k_per_day", on_scores(_MEAN + " select dt, ticker, p, n as rank from (select *, row_number() over (partition by dt order by p desc, ticker) as n from eq where target = 'up') where n <= 20"))
+@query("top_k_per_day", on_scores(_MEAN + " select target, dt, ticker, p, n as rank from (select *, row_number() over (partition by target, dt order by p desc, ticker) as n from eq) where n <= 20"))
 def top_k_per_day(spark, sf_dir):
-    return rep.top_k_per_day(ble.blend_equal(fx.scores_synth(spark, sf_dir)).where("target = 'up'")).select("dt", "ticker", "p", "rank")
+    return rep.top_k_per_day(ble.blend_equal(fx.scores_synth(spark, sf_dir)), by=["target", "dt"]).select("target", "dt", "ticker", "p", "rank")
 
 
 @query("best_model_per_ticker", on_reg(_APPLY + _PASTM + _BEST + " select ticker, target, model, round(mae, 6) as mae, round(rmse, 6) as rmse, round(r2, 6) as r2 from bestm"))
@@ -277,9 +297,14 @@ def best_model_per_ticker(spark, sf_dir):
     return _rounded(_parts(spark, sf_dir)[3], ["mae", "rmse", "r2"])
 
 
+def _joined(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    return rep.join_best(predictions(spark, sf_dir, parts), parts[3])
+
+
 @query("join_best_model", on_reg(_ALL + " select dt, ticker, target, model, round(pred_pct, 5) as pred_pct from preds join bestm using (ticker, target, model)"))
 def join_best_model(spark, sf_dir):
-    return _rounded(rep.join_best(predictions(spark, sf_dir), _parts(spark, sf_dir)[3]).select("dt", "ticker", "target", "model", "pred_pct"), ["pred_pct"], 5)
+    return _rounded(_joined(spark, sf_dir).select("dt", "ticker", "target", "model", "pred_pct"), ["pred_pct"], 5)
 
 
 @query("join_close", on_reg(_ALL + _PRICE + " select dt, ticker, target, model, close, round(pred_price, 2) as pred_price from priced"))
@@ -316,11 +341,12 @@ report as (select prices.dt, prices.ticker, close, proba_up, (proba_up >= 0.5)::
 
 
 def report(spark, sf_dir):
-    bars = bars_daily(spark, sf_dir)
+    bars = cut(bars_daily(spark, sf_dir), "bars")
+    parts = _parts(spark, sf_dir, bars)
     last = bars.select("dt").distinct().orderBy(F.desc("dt")).limit(5)
     prices = bars.join(F.broadcast(last), "dt", "left_semi").select("dt", "ticker", "close")
-    classes = rep.class_scores_wide(ble.blend_equal(fx.scores_synth(spark, sf_dir)))
-    rows = rep.consolidated(prices, classes, _priced(spark, sf_dir), _parts(spark, sf_dir)[3])
+    classes = rep.class_scores_wide(ble.blend_equal(fx.scores_synth(spark, sf_dir, bars)))
+    rows = rep.consolidated(prices, classes, _priced(spark, sf_dir, bars, parts), parts[3])
     return _rounded(_rounded(rows, ["pred_best_entry", "pred_best_sale"], 2), _MBT_COLS)
 
 

@@ -128,10 +128,15 @@ def threshold_pr_f1(spark, sf_dir):
 _QUANT = ", ".join(f"{0.01 + 0.98 * k / 198:.17g}" for k in range(199))
 
 
-@query("threshold_quantile_f1", on_scores(f""", q as (select target, model, unnest(list_distinct(list_transform(quantile_cont(p, [{_QUANT}]), lambda x: round(x, 9)))) as t, min(p) = max(p) as flat from scores group by target, model),
-g as (select q.target, q.model, t, flat, count(*) filter (p >= t and label = 1) as tp, count(*) filter (p >= t) as picked, sum(label) as pos from q join scores s on q.target = s.target and q.model = s.model group by all),
-r as (select *, row_number() over (partition by target, model order by 2.0 * tp / nullif(picked + pos, 0) desc, t) as n from g)
-select target, model, case when flat then 0.5 else t end as threshold from r where n = 1"""))
+def quantile_sql(source: str, name: str) -> str:
+    """A common table `name` of the best threshold among 199 quantiles by target and model of source."""
+    return f""", {name}_q as (select target, model, unnest(list_distinct(list_transform(quantile_cont(p, [{_QUANT}]), lambda x: round(x, 9)))) as t, min(p) = max(p) as flat from {source} group by target, model),
+{name}_g as (select q.target, q.model, t, flat, count(*) filter (p >= t and label = 1) as tp, count(*) filter (p >= t) as picked, sum(label) as pos from {name}_q q join {source} s on q.target = s.target and q.model = s.model group by all),
+{name}_r as (select *, row_number() over (partition by target, model order by 2.0 * tp / nullif(picked + pos, 0) desc, t) as n from {name}_g),
+{name} as (select target, model, case when flat then 0.5 else t end as threshold from {name}_r where n = 1)"""
+
+
+@query("threshold_quantile_f1", on_scores(quantile_sql("scores", "tq") + " select target, model, threshold from tq"))
 def threshold_quantile_f1(spark, sf_dir):
     return met.threshold_quantile_f1(fx.scores_synth(spark, sf_dir), BY)
 

@@ -61,14 +61,14 @@ LABELLED = f""", ahead as (
 labelled as (select * exclude (u, d), coalesce(u, false)::int as target_up, coalesce(d, false)::int as target_down from ahead)"""
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return targets(bars_daily(spark, sf_dir), HORIZON, UP, DOWN)
+def labelled(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    return targets(bars_daily(spark, sf_dir) if bars is None else bars, HORIZON, UP, DOWN)
 
 
-def scores_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scores_synth(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """dt, ticker, target, model, p, label: three rules of thumb in place of trained models, for two targets."""
     order, day = W.partitionBy("ticker").orderBy("dt"), W.partitionBy("dt")
-    rows = labelled(spark, sf_dir)
+    rows = labelled(spark, sf_dir, bars)
     rows = rows.withColumn("r", F.col("close") / F.lag("close").over(order) - 1)
     rows = rows.withColumn("s", F.col("close") / F.avg("close").over(order.rowsBetween(-19, 0)))
     z = (F.col("r") - F.avg("r").over(day)) / F.when(F.stddev_pop("r").over(day) > 0, F.stddev_pop("r").over(day))
@@ -109,11 +109,11 @@ def on_scores(sql: str) -> str:
     return on_bars(SCORES + (sql if sql.lstrip().startswith(",") else " " + sql))
 
 
-def reg_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reg_synth(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
     """dt, ticker, target, model, y, pred: normalised entry and sale targets, and three simple forecasts of them."""
     order = W.partitionBy("ticker").orderBy("dt")
     ahead = order.rowsBetween(0, HORIZON)
-    rows = bars_daily(spark, sf_dir)
+    rows = bars_daily(spark, sf_dir) if bars is None else bars
     close = F.when(F.col("close") != 0, F.col("close"))
     y = [((f("low" if k == "best_entry" else "high").over(ahead) - F.col("close")) / close) for k, f in (("best_entry", F.min), ("best_sale", F.max))]
     rows = rows.select("dt", "ticker", *(x.alias(k) for k, x in zip(("best_entry", "best_sale"), y, strict=True)))

@@ -14,6 +14,7 @@ from barloom import plans
 SELECTED = [
     "flagship_cross_label_rates", "bars_schema_repair", "calendar_align_ffill", "fill_100pct", "stack_long", "ticker_dummies", "numeric_clean", "close_fill_window", "sma_all", "ind_macd", "ind_stoch_rsi", "ind_adx", "ind_aroon",
     "patterns_all", "trendline", "target_first_hit", "target_path_aware", "purged_rolling_folds", "undersample", "average_precision", "roc_auc", "threshold_pr_f1", "blend_trimmed", "meta_features", "best_by_precision",
+    "ind_kama", "ind_psar", "ind_stc", "threshold_quantile_f1", "class_weight", "isotonic_coverage", "best_artifact_summary", "quality_filter", "join_best_model", "greedy_decorrelate", "feature_corr", "param_samples",
     "linear_calibration", "model_quality", "smart_fallback_rows", "mutual_info", "anchor_features", "consolidated_report",
 ]
 NAMES = sorted(plans.ORACLES) if os.environ.get("TEST_ALL") else SELECTED
