@@ -39,7 +39,7 @@ HELD_QUERIES = 8192
 #: Up to so many shards, the table of those to split is broadcast (some 40 bytes each).
 BROADCAST_SHARDS = 500_000
 #: Queries whose recall is measured against all vectors, and the recall of those that the probes must reach.
-SAMPLE, RECALL = 128, 0.925
+SAMPLE, RECALL = 128, 0.94
 #: Vectors of so many different lengths at most are searched, each length among its own.
 MAX_LENGTHS = 64
 
