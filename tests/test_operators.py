@@ -166,3 +166,18 @@ def test_isotonic_fit_of_all_rows_for_the_last_dates(spark):
     assert len(got) == len(rows)
     assert all(r["p"] == (float(r["raw"] >= 0.5) if r["dt"] == 2 and r["model"] == "m" else r["raw"]) for r in got)
     assert {(r["dt"], r["model"]) for r in got if r["covered"]} == {(2, "m")}
+
+
+def test_scratch_tables_are_deleted(spark):
+    from barloom.functions import scratch
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    one, two = (scratch.cut(spark.range(3), x) for x in ("one", "two"))
+    assert one.count() == two.count() == 3 and spark.conf.get("spark.checkpoint.dir", None) == before
+    scratch.discard(one, one, spark.range(1))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(one._scratch_path)
+    path = two._scratch_path
+    scratch.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
