@@ -117,3 +117,14 @@ def test_edges(docs):
     assert kept.where(F.col("doc_id") == 104).count() == 2
     assert langid.identify(docs([])).collect() == []
     assert {r["lang_pred"] for r in langid.identify(docs([(1, "abc", None)])).collect()} == {"und"}
+
+
+def test_settings_of_the_session_stay(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        assert langid.identify(docs([(1, "abc", "en"), (2, "abd", "en")])).count() == 2
+        assert spark.conf.get(name) == "10000"
+    finally:
+        spark.conf.set(name, before)
