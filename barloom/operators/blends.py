@@ -121,7 +121,8 @@ def weight_search(scores: DataFrame, folds: DataFrame, trials: int = 300, seed:
     p = 1 / (1 + F.exp(-total)) if logit else total
     tried = wide.select(*columns).repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(sets), F.lit(True))
     tried = tried.select("target", "trial", F.explode("folds").alias("fold"), F.round(p, DIGITS).alias("p"), "label", *(["weight"] if recency is not None else []))
-    by_fold = average_precision(tried, ["target", "trial", "fold"], "weight" if recency is not None else None)
+    # A group is one trial's rows of one fold's test dates.
+    by_fold = average_precision(tried, ["target", "trial", "fold"], "weight" if recency is not None else None, ranges=1)
     means = by_fold.groupBy("target", "trial").agg(F.round(F.avg("ap"), 9).alias("score"))
     best = means.groupBy("target").agg(F.max(F.struct("score", (-F.col("trial")).alias("t"))).alias("b")).select("target", (-F.col("b.t")).alias("trial"), F.col("b.score").alias("score"))
     return best.join(weights, "trial").select("target", "trial", "score", "model", "w")
@@ -163,7 +164,7 @@ def selection(scores: DataFrame, folds: DataFrame, target: str, steps: int = 32,
         current = sum((F.col(m) * (counts[m] / max(1, step)) for m in models[1:]), F.col(models[0]) * (counts[models[0]] / max(1, step)))
         trials = F.array(*(F.named_struct(F.lit("model"), F.lit(m), F.lit("p"), F.round(current * (step / (step + 1)) + F.col(m) / (step + 1), DIGITS)) for m in models))
         tried = rows.select("fold", "label", F.explode(trials).alias("t")).select("fold", "label", "t.*")
-        means = {r["model"]: r["ap"] for r in average_precision(tried, ["model", "fold"]).groupBy("model").agg(F.avg("ap").alias("ap")).collect()}
+        means = {r["model"]: r["ap"] for r in average_precision(tried, ["model", "fold"], ranges=1).groupBy("model").agg(F.avg("ap").alias("ap")).collect()}
         chosen = None
         for m in models:
             if m in means and means[m] > best + tolerance:
