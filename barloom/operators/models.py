@@ -45,8 +45,8 @@ def param_samples(groups: DataFrame, trials: dict[str, int] | None = None, seed:
         *groups.columns,
         "model",
         "trial",
-        (3 + F.floor(draw("depth") * 3)).cast("int").alias("depth"),
-        (8 + 4 * F.floor(draw("trees") * 3)).cast("int").alias("trees"),
+        (3 + F.floor(draw("depth") * 2)).cast("int").alias("depth"),
+        (4 + 2 * F.floor(draw("trees") * 3)).cast("int").alias("trees"),
         F.round(spread(draw("step"), 0.03, 0.3), 6).alias("step"),
         F.round(0.6 + 0.4 * draw("subsample"), 6).alias("subsample"),
         F.greatest(F.lit(1), F.least(F.floor(F.col("n") / 20), F.floor(spread(draw("leaf"), 5.0, 80.0)))).cast("int").alias("min_leaf"),
@@ -61,7 +61,7 @@ def _estimator(p: dict):
         return RandomForestClassifier(weightCol="weight", maxDepth=p["depth"], numTrees=p["trees"], subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], featureSubsetStrategy="sqrt", seed=42)
     if p["model"] == "tree":
         return DecisionTreeClassifier(weightCol="weight", maxDepth=p["depth"] + 2, minInstancesPerNode=p["min_leaf"], seed=42)
-    return LogisticRegression(weightCol="weight", regParam=p["reg"], maxIter=50)
+    return LogisticRegression(weightCol="weight", regParam=p["reg"], maxIter=20)
 
 
 def _pipeline(p: dict, features: list[str]) -> Pipeline:

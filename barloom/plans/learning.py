@@ -191,7 +191,7 @@ _SPREAD = lambda name, low, high: f"exp(ln({low}) + {_DRAW(name)} * (ln({high})
 groups as (select 'up' as target, count(*) as n, sum(target_up)::bigint as pos from tuned union all select 'down', count(*), sum(target_down)::bigint from tuned),
 kinds as (select unnest([{', '.join(f"{{'model': '{m}', 'k': {k}}}" for m, k in mod.TRIALS.items())}]) as m),
 drawn as (select target, n, pos, m.model as model, unnest(range(m.k))::int as trial from groups, kinds)
-select target, n, pos, model, trial, (3 + floor({_DRAW('depth')} * 3))::int as depth, (8 + 4 * floor({_DRAW('trees')} * 3))::int as trees, round({_SPREAD('step', 0.03, 0.3)}, 6) as step,
+select target, n, pos, model, trial, (3 + floor({_DRAW('depth')} * 2))::int as depth, (4 + 2 * floor({_DRAW('trees')} * 3))::int as trees, round({_SPREAD('step', 0.03, 0.3)}, 6) as step,
   round(0.6 + 0.4 * {_DRAW('subsample')}, 6) as subsample, greatest(1, least(floor(n / 20), floor({_SPREAD('leaf', 5.0, 80.0)})))::int as min_leaf, round({_SPREAD('reg', 1e-4, 1.0)}, 8) as reg from drawn"""))
 def param_samples(spark, sf_dir):
     return mod.param_samples(_groups(spark, sf_dir))
