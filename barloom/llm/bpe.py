@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns_of, flat, map_batches
+from .common import blocks, columns_of, flat, map_batches, quoted
 
 #: Fixed value: the pattern that cuts a text into words before merging.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -359,7 +359,7 @@ def decode(encoded: DataFrame, tokenizer: str, to: str = "decoded") -> DataFrame
                     texts = pa.array([t if ok else None for t, ok in zip(texts.to_pylist(), some.is_valid().to_pylist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, texts], names=[*batch.schema.names, to])
 
-    return map_batches(rows, task, f"{columns_of(rows)}, `{to}` string")
+    return map_batches(rows, task, f"{columns_of(rows)}, {quoted(to)} string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -57,9 +57,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """name, whatever letters it has, as Spark reads it in expressions."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def every(df: DataFrame) -> list[str]:
+    """df's columns, quoted: names may hold dots and backticks."""
+    return [quoted(c) for c in df.columns]
+
+
 def columns_of(df: DataFrame) -> str:
     """df's columns, as a schema for map_batches."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, flat, fresh, map_batches
+from .common import columns_of, every, flat, fresh, map_batches
 
 ORDER = 3
 #: Training takes about so many labelled documents of each language by a hash of doc_id, of a longer one a piece of so
@@ -248,4 +248,4 @@ def keep_identified(documents: DataFrame) -> DataFrame:
             best, _, per_byte = _verdicts(shared.value, batch, letters)
             yield batch.drop_columns([letters]).filter(pa.array((best >= 0) & ~(per_byte > REJECT_BITS)))
 
-    return map_batches(documents.select(*documents.columns, _letters().alias(letters)), keep, columns_of(documents))
+    return map_batches(documents.select(*every(documents), _letters().alias(letters)), keep, columns_of(documents))

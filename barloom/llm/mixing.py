@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh
+from .common import WORD, cut, every, fresh
 
 #: Sources, in order, weigh these in turn.
 WEIGHTS = (5, 2, 1)
@@ -62,7 +62,7 @@ def _mixed(documents: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFra
     rate = F.col(found)["rate"]
     copies = F.floor(rate) + (coin(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     struct = F.struct(F.col(found)["source_size"].alias("source_size"), F.col(found)["target"].alias("target"), copies.alias("copies"))
-    return joined.select(*documents.columns, struct.alias(mixed)), mixed
+    return joined.select(*every(documents), struct.alias(mixed)), mixed
 
 
 def with_copies(documents: DataFrame, targets: DataFrame | None = None, seed: int = 0) -> DataFrame:
@@ -73,7 +73,7 @@ def with_copies(documents: DataFrame, targets: DataFrame | None = None, seed: in
     """
     documents = documents.drop("source_size", "target", "copies")
     rows, mixed = _mixed(documents, source_targets(documents) if targets is None else targets, seed)
-    return rows.select(*documents.columns, f"{mixed}.*")
+    return rows.select(*every(documents), f"{mixed}.*")
 
 
 def mix(documents: DataFrame, seed: int = 0) -> DataFrame:
@@ -83,4 +83,4 @@ def mix(documents: DataFrame, seed: int = 0) -> DataFrame:
     """
     rows, mixed = _mixed(documents, source_targets(documents), seed)
     each = F.explode(F.sequence(F.lit(1), F.col(mixed)["copies"].cast("int"))).alias(fresh(documents, "copy"))
-    return rows.where(F.col(mixed)["copies"] > 0).select(*documents.columns, each).select(*documents.columns)
+    return rows.where(F.col(mixed)["copies"] > 0).select(*every(documents), each).select(*every(documents))

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, neighbors, quality, simhash, substring, token_files, warc
+from . import bpe, chat, langid, mixing, neighbors, quality, sentences, simhash, substring, token_files, warc, whitening
 from .common import small_batches
 
 
@@ -66,6 +66,15 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return sentences.digests(sentences.encode(documents, tokenizer_file("piece_bpe_32k.model"), decoded=True))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_llr_quality": op1_llr_quality,
     "op2_chat_snapshots": op2_chat_snapshots,
@@ -77,6 +86,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_ppm_language": op10_ppm_language,
+    "op12_whitening": op12_whitening,
+    "op13_sentence_spans": op13_sentence_spans,
 }
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_key, cut, discard, flat, fresh, group_bounds, map_batches
+from .common import by_key, cut, discard, flat, fresh, group_bounds, map_batches, quoted
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -256,7 +256,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
     if repeated.isEmpty():
         return kept
     nth = fresh(documents, "nth")
-    hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    hashed = [F.col(quoted(f.name)) for f in documents.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     window = W.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy(F.xxhash64(*hashed))
     some = kept.join(repeated, key, "left_semi").withColumn(nth, F.row_number().over(window)).where(F.col(nth) == 1)
     return kept.join(repeated, key, "left_anti").unionByName(some.drop(nth))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, columns_of, cut, discard, flat, fresh, map_batches, window_hashes, word_hashes, word_spans
+from .common import blocks, columns_of, cut, discard, every, flat, fresh, map_batches, window_hashes, word_hashes, word_spans
 
 #: Words in a window that counts as a repeat, and in a seed.
 SPAN, SEED = 20, 6
@@ -231,5 +231,5 @@ def remove_repeats(documents: DataFrame, span: int = SPAN, seed: int = SEED) ->
     same = rows["doc_id"] == F.col(names["doc_id"])
     if "th" in keys:
         same = same & (_text_hash(rows["text"]) == F.col(names["th"]))
-    joined = rows.join(F.broadcast(right) if n <= BROADCAST_SPANS else right, same, "left").select(*documents.columns, cuts)
+    joined = rows.join(F.broadcast(right) if n <= BROADCAST_SPANS else right, same, "left").select(*every(documents), cuts)
     return map_batches(joined, lambda x: _without(x, cuts), columns_of(rows))
