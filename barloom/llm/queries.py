@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, neighbors, quality, sentences, simhash, substring, token_files, warc, whitening
+from . import bpe, chat, langid, mixing, neighbors, prefixes, quality, sentences, simhash, substring, token_files, warc, whitening
 from .common import small_batches
 
 
@@ -66,6 +66,10 @@ def op10_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -86,6 +90,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_warc_roundtrip": op9_warc_roundtrip,
     "op10_ppm_language": op10_ppm_language,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_whitening": op12_whitening,
     "op13_sentence_spans": op13_sentence_spans,
 }
@@ -146,5 +151,37 @@ select page_id, n as payload_bytes, sha1(html) as payload_digest,
   case when n >= 1000 and page_id < response then 'revisit' else 'response' end as record_type,
   case when n >= 1000 and page_id < response then response end as refers_to
 from w
+""",
+    "op11_prefix_trie": r"""
+with said as (
+  select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as said,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as words
+  from conversations where conv_id is not null),
+numbered as (select conv_id, said, words, row_number() over (partition by conv_id order by turn nulls first, said) as nth from said),
+known as (
+  select conv_id, conv_id - conv_id % 20 as family,
+    (4294967295 - list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda u, v: xor(u >> 1, (u & 1) * 3988292384)))) % 4 as h
+  from (select distinct conv_id from numbered)),
+turns as (
+  select k.conv_id, t.nth as depth, t.said, t.words from known k join numbered t on t.conv_id = k.family where t.nth <= k.h
+  union all
+  select k.conv_id, t.nth - k.h + least(k.h, coalesce(f.n, 0)), t.said, t.words
+  from known k join numbered t on t.conv_id = k.conv_id left join (select conv_id, count(*) as n from numbered group by conv_id) f on f.conv_id = k.family
+  where t.nth > k.h),
+ways as (
+  select conv_id, depth, words, md5(string_agg(said, '') over (partition by conv_id order by depth rows unbounded preceding)) as node from turns
+  union all select conv_id, 0, 0, '' from known),
+steps as (select *, lag(node) over (partition by conv_id order by depth) as parent, depth = max(depth) over (partition by conv_id) as last from ways),
+nodes as (
+  select node, min(conv_id) as conv_id, any_value(depth) as depth, any_value(parent) as parent, count(*) as n_convs, (count(*) - 1) * any_value(words) as saved,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) as ends_sha256
+  from steps group by node),
+children as (select parent as node, count(*) as n from nodes where parent is not null group by parent),
+rolled as (
+  select w.node, count(*) filter (c.n is null) as n_leaves, sum(x.saved) as saved_tokens
+  from nodes x left join children c on c.node = x.node join ways w on w.conv_id = x.conv_id and w.depth <= x.depth group by w.node)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children, r.n_leaves, r.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from nodes n join rolled r on r.node = n.node left join nodes p on p.node = n.parent left join children c on c.node = n.node
 """,
 }
