@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut, discard
 from ..functions.shipping import ship
+from .logistic import balanced, fit_many, probability
+from .logistic import table as fit_table
 from .metrics import average_precision
 
 KEY = ["dt", "ticker", "target"]
@@ -17,63 +22,101 @@ KEY = ["dt", "ticker", "target"]
 DIGITS = 9
 
 
-def isotonic(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(knots, values) of the weighted isotonic fit of y on distinct rising p, by pooling adjacent violators."""
-    values, weights, sizes = [], [], []
-    for yi, wi in zip(y.tolist(), w.tolist(), strict=True):
-        values.append(yi)
-        weights.append(wi)
-        sizes.append(1)
-        while len(values) > 1 and values[-2] > values[-1]:
-            b, wb, nb = values.pop(), weights.pop(), sizes.pop()
-            total = weights[-1] + wb
-            values[-1] = (values[-1] * weights[-1] + b * wb) / total
-            weights[-1], sizes[-1] = total, sizes[-1] + nb
-    return p, np.repeat(values, sizes)
+def _pooled(blocks: Iterator[tuple[float, float, float, float]]) -> list[list[float]]:
+    """(weight, positives, first score, last score) of the blocks left when neighbours that fall are pooled."""
+    stack: list[list[float]] = []
+    for block in blocks:
+        stack.append(list(block))
+        while len(stack) > 1 and stack[-2][1] * stack[-1][0] >= stack[-1][1] * stack[-2][0]:
+            w, pos, _, end = stack.pop()
+            stack[-1][0] += w
+            stack[-1][1] += pos
+            stack[-1][3] = end
+    return stack
+
+
+def _pool_sorted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, pos, low, high: what pooling leaves of rows that come sorted by `by` and low, within each partition."""
+    ship(rows.sparkSession)
+    kinds = [rows.schema[c].dataType.simpleString() for c in by]
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, schema = None, [], None
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            keys = [pa.array([k] * len(held), schema.field(c).type) for k, c in zip(key, by, strict=True)]
+            return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.float64()) for c in columns)], names=[*by, "n", "pos", "low", "high"])
+
+        for batch in batches:
+            schema = batch.schema
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            values = list(zip(*(batch.column(c).to_pylist() for c in ("n", "pos", "low", "high")), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a < b:
+                    if held and keys[a] != key:
+                        yield made()
+                        held = []
+                    key, held = keys[a], _pooled([*held, *values[a:b]])
+        if held:
+            yield made()
+
+    columns = [*by, *(F.col(c).cast("double").alias(c) for c in ("n", "pos", "low", "high"))]
+    return rows.select(*columns).mapInArrow(pool, ", ".join(f"{c} {k}" for c, k in zip(by, kinds, strict=True)) + ", n double, pos double, low double, high double")
+
+
+def isotonic_fits(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, low, high, value: the isotonic fit of pos / n on p for each group of points (by, p, n, pos), as blocks of one value.
+
+    Violators are pooled inside ranges of the scores of all groups, cut so that each holds about as many, and then what
+    stacks the ranges of a group have left are merged in order. A range's task sees its scores alone; the merging task
+    sees blocks, which are far fewer than scores (of n labels, at most in the order of n to the power 2/3).
+    """
+    rows = points.select(*by, "n", "pos", F.col("p").alias("low"), F.col("p").alias("high"))
+    ranges = _pool_sorted(rows.repartitionByRange(*by, "low").sortWithinPartitions(*by, "low"), by)
+    whole = _pool_sorted(ranges.repartition(*by).sortWithinPartitions(*by, "low"), by)
+    return whole.select(*by, "low", "high", (F.col("pos") / F.col("n")).alias("value"))
+
+
+def isotonic_values(fits: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
+    """by, p, fitted for distinct scores (by, p): the value of the block that p lies in, a line between two blocks, the end block's outside."""
+    known = fits.select(*by, F.col("low").alias("p"), F.struct("low", "high", "value").alias("block"))
+    rows = known.unionByName(scores.select(*by, "p").distinct().withColumn("block", F.lit(None).cast(known.schema["block"].dataType)))
+    here = W.partitionBy(*by).orderBy("p", F.col("block").isNull())
+    before = F.last("block", ignorenulls=True).over(here.rowsBetween(W.unboundedPreceding, 0))
+    # What follows comes from a descending window, so that neither keeps a group's rows.
+    there = W.partitionBy(*by).orderBy(F.desc("p"), F.col("block").isNotNull())
+    rows = rows.withColumn("a", before).withColumn("b", F.last("block", ignorenulls=True).over(there.rowsBetween(W.unboundedPreceding, -1)))
+    line = F.col("a.value") + (F.col("b.value") - F.col("a.value")) * (F.col("p") - F.col("a.high")) / (F.col("b.low") - F.col("a.high"))
+    fitted = F.when(F.col("a").isNull(), F.col("b.value")).when((F.col("p") <= F.col("a.high")) | F.col("b").isNull(), F.col("a.value")).otherwise(line)
+    return rows.where("block is null").select(*by, "p", fitted.alias("fitted")).where("fitted is not null")
 
 
 def isotonic_oof(scores: DataFrame, folds: DataFrame, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20, apply: DataFrame | None = None) -> DataFrame:
     """scores with raw, covered and p calibrated out of fold: fitted on a fold's training dates, applied to its test dates.
 
     Where test windows overlap, the last fold that may be fitted counts; rows that none covers keep their raw score.
-    Training rows are reduced to their distinct scores before they are grouped. Rows of apply (scores of later dates) follow,
+    Training rows are reduced to their distinct scores before they meet. Rows of apply (scores of later dates) follow,
     calibrated by one fit on all of scores for each target and model, or raw where those are of one class.
     """
-
-    def fit(key: tuple, train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
-        out = test[["target", "model", "fold", "p"]].copy()
-        n, pos = train["n"].sum(), train["pos"].sum()
-        if not len(out) or n < min_rows or pos < min_pos or n - pos < min_neg:
-            return out.iloc[:0].assign(fitted=0.0)
-        train = train.sort_values("p")
-        knots, values = isotonic(train["p"].to_numpy(), (train["pos"] / train["n"]).to_numpy(), train["n"].to_numpy(float))
-        return out.assign(fitted=np.interp(out["p"], knots, values))
-
-    def fit_all(key: tuple, train: pd.DataFrame, test: pd.DataFrame) -> pd.DataFrame:
-        n, pos = train["n"].sum(), train["pos"].sum()
-        out = test[["target", "model", "p"]].copy()
-        if not len(out) or not 0 < pos < n:
-            return out.iloc[:0].assign(fitted=0.0)
-        train = train.sort_values("p")
-        knots, values = isotonic(train["p"].to_numpy(), (train["pos"] / train["n"]).to_numpy(), train["n"].to_numpy(float))
-        return out.assign(fitted=np.interp(out["p"], knots, values))
-
-    ship(scores.sparkSession)
     by = ["target", "model", "fold"]
     rows = scores.join(F.broadcast(folds), "dt")
-    train = rows.where("role = 'train'").select(*(F.col(c).alias(c) for c in (*by, "p", "label"))).groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    test = rows.where("role = 'test'").select(*by, "p").distinct()
-    fitted = train.groupBy(*by).cogroup(test.groupBy(*by)).applyInPandas(fit, "target string, model string, fold int, p double, fitted double")
-    fitted = fitted.withColumnsRenamed({c: f"_{c}" for c in (*by, "p")})  # names of their own, since both sides come from one table
-    tested = rows.where("role = 'test'")
+    points = rows.where("role = 'train'").groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    enough = points.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("hits"))
+    enough = enough.where((F.col("rows") >= min_rows) & (F.col("hits") >= min_pos) & (F.col("rows") - F.col("hits") >= min_neg)).select(*by)
+    tested = rows.where("role = 'test'").select(*KEY, "model", "fold", "p")
+    fits = isotonic_fits(points.join(enough, by, "left_semi"), by)
+    fitted = isotonic_values(fits, tested, by).withColumnsRenamed({c: f"_{c}" for c in (*by, "p")})  # names of their own, since both sides come from one table
     latest = tested.join(fitted, [tested[c] == fitted[f"_{c}"] for c in (*by, "p")]).groupBy(*KEY, "model").agg(F.max_by("fitted", "fold").alias("fitted"))
     columns = [*KEY, "model", F.col("p").alias("raw"), F.coalesce("fitted", "p").alias("p"), "label", F.col("fitted").isNotNull().alias("covered")]
     out = scores.join(latest, [*KEY, "model"], "left").select(*columns)
     if apply is None:
         return out
     by = ["target", "model"]
-    train = scores.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    full = train.groupBy(*by).cogroup(apply.select(*by, "p").distinct().groupBy(*by)).applyInPandas(fit_all, "target string, model string, p double, fitted double")
+    points = scores.groupBy(*by, "p").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    both = points.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("hits")).where("hits > 0 and hits < rows").select(*by)
+    full = isotonic_values(isotonic_fits(points.join(both, by, "left_semi"), by), apply, by)
     return out.unionByName(apply.join(full, [*by, "p"], "left").select(*columns))
 
 
@@ -98,31 +141,60 @@ def blended(scores: DataFrame, weights: DataFrame, extra: list[str] = [], logit:
     return scores.join(F.broadcast(weights), on).groupBy(*KEY, *extra).agg(F.round(p, DIGITS).alias("p"), F.first("label").alias("label"))
 
 
+#: Cells of scores times weight sets that a task blends at once.
+CELLS = 1 << 22
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """x to so many decimals, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)
+
+
+def precisions(p: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The average precision of each column of scores p; equal scores count together, and it is 0 without positives."""
+    order = np.argsort(-p, axis=0, kind="stable")
+    w, wp = weight[order], (weight * label)[order]
+    ranked, all_, good = np.take_along_axis(p, order, axis=0), np.cumsum(w, axis=0), np.cumsum(wp, axis=0)
+    out = np.zeros(p.shape[1])
+    for k in range(p.shape[1]):
+        ends = np.append(np.flatnonzero(ranked[1:, k] != ranked[:-1, k]), len(p) - 1)
+        if good[-1, k] > 0:
+            out[k] = (np.diff(good[ends, k], prepend=0.0) * good[ends, k] / all_[ends, k]).sum() / good[-1, k]
+    return out
+
+
 def weight_search(scores: DataFrame, folds: DataFrame, trials: int = 300, seed: int = 42, recency: DataFrame | None = None, logit: bool = False) -> DataFrame:
     """target, trial, score, model, w: the weights with the best mean average precision over the folds' test dates.
 
-    A key's scores meet in one row first, which then blends them for every trial by itself: what is shuffled for all
-    trials and folds are the blends, reduced to distinct scores on the way. The first trial wins ties. The number of trials
-    is a parameter and bounds the table of weights that each row meets, as folds are bounded by their dates.
+    A key's scores meet in one row, and rows once for each target and fold: there a product with all weight sets, some at a
+    time, blends them, and only precisions leave. What is shuffled doesn't depend on the number of trials. A group holds a
+    fold's test dates, so it grows with the tickers of a few days alone; weight sets, a parameter, go to every task. The
+    first trial wins ties.
     """
     spark = scores.sparkSession
     models = sorted(r["model"] for r in scores.select("model").distinct().collect())
     weights = random_weights(spark, models, trials, seed)
     tests = folds.where("role = 'test'").groupBy("dt").agg(F.collect_list("fold").alias("folds"))
     x = F.log(F.col("p") / (1 - F.col("p"))) if logit else F.col("p")
-    wide = scores.join(F.broadcast(tests), "dt").groupBy(*KEY).agg(F.first("folds").alias("folds"), F.first("label").alias("label"), *(F.max(F.when(F.col("model") == m, x)).alias(f"x{k}") for k, m in enumerate(models)))
-    columns = ["target", "folds", "label", *(f"x{k}" for k in range(len(models)))]
-    if recency is not None:
-        wide, columns = wide.join(F.broadcast(recency), "dt"), [*columns, "weight"]
-    sets = weights.groupBy("trial").agg(*(F.max(F.when(F.col("model") == m, F.col("w"))).alias(f"w{k}") for k, m in enumerate(models)))
-    total = F.lit(0.0)
-    for k in range(len(models)):  # a model without a score for the key counts for nothing
-        total = total + F.coalesce(F.round(F.col(f"w{k}") * F.col(f"x{k}"), 12), F.lit(0.0))
-    p = 1 / (1 + F.exp(-total)) if logit else total
-    tried = wide.select(*columns).repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(sets), F.lit(True))
-    tried = tried.select("target", "trial", F.explode("folds").alias("fold"), F.round(p, DIGITS).alias("p"), "label", *(["weight"] if recency is not None else []))
-    # A group is one trial's rows of one fold's test dates.
-    by_fold = average_precision(tried, ["target", "trial", "fold"], "weight" if recency is not None else None, ranges=1)
+    xs = [f"x{k}" for k in range(len(models))]
+    wide = scores.join(F.broadcast(tests), "dt").groupBy(*KEY).agg(F.first("folds").alias("folds"), F.first("label").cast("double").alias("label"), *(F.max(F.when(F.col("model") == m, x)).alias(c) for m, c in zip(models, xs, strict=True)))
+    wide = wide.join(F.broadcast(recency), "dt") if recency is not None else wide.withColumn("weight", F.lit(1.0))
+    sets = np.zeros((len(models), trials))
+    for r in weights.collect():  # models times trials, both bounded
+        sets[models.index(r["model"]), r["trial"]] = r["w"]
+
+    def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found, block = [], max(1, CELLS // len(rows))
+        for a in range(0, trials, block):
+            p = np.zeros((len(rows), min(block, trials - a)))
+            for c, w in zip(xs, sets[:, a : a + block], strict=True):  # a model without a score for the key counts for nothing
+                p += np.nan_to_num(_rounded(np.outer(rows[c].to_numpy(float), w), 12))
+            p = 1 / (1 + np.exp(-p)) if logit else p
+            found.append(precisions(_rounded(p, DIGITS), rows["label"].to_numpy(float), rows["weight"].to_numpy(float)))
+        return pd.DataFrame({"target": key[0], "trial": np.arange(trials, dtype=np.int32), "ap": np.concatenate(found)})
+
+    ship(spark)
+    by_fold = wide.select("target", F.explode("folds").alias("fold"), "label", "weight", *xs).groupBy("target", "fold").applyInPandas(search, "target string, trial int, ap double")
     means = by_fold.groupBy("target", "trial").agg(F.round(F.avg("ap"), 9).alias("score"))
     best = means.groupBy("target").agg(F.max(F.struct("score", (-F.col("trial")).alias("t"))).alias("b")).select("target", (-F.col("b.t")).alias("trial"), F.col("b.score").alias("score"))
     return best.join(weights, "trial").select("target", "trial", "score", "model", "w")
@@ -177,48 +249,48 @@ def selection(scores: DataFrame, folds: DataFrame, target: str, steps: int = 32,
     return {m: (counts[m] / total if total else 1 / len(models)) for m in models}
 
 
-def stack_lr(scores: DataFrame, folds: DataFrame, target: str, c: float = 1.0, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20, apply: DataFrame | None = None) -> DataFrame:
-    """KEY, label, p: a balanced logistic regression on meta features, out of fold with the same gates; the mean elsewhere.
+def stack_lr(scores: DataFrame, folds: DataFrame, c: float = 1.0, min_rows: int = 2000, min_pos: int = 20, min_neg: int = 20, apply: DataFrame | None = None) -> DataFrame:
+    """KEY, label, p: balanced logistic regressions on meta features, out of fold with the same gates; the mean elsewhere.
 
-    Rows of apply (scores of later dates) are scored by one fit on all of scores, or get the mean where those are of one class.
+    One for each target and fold, fitted on the fold's training dates and applied to its test dates; where test windows
+    overlap, the last fold that passes the gates counts. Rows of apply (scores of later dates) are scored by one fit on all
+    of a target's scores, or get the mean where those are of one class. All fits of all targets go together, features scaled by the population;
+    the number of fits is bounded by targets and folds.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    wide = scores.where(F.col("target") == target)
-    models = sorted(r["model"] for r in wide.select("model").distinct().collect())
+    models = sorted(r["model"] for r in scores.select("model").distinct().collect())
 
-    def assembled(rows: DataFrame) -> DataFrame:
+    def described(rows: DataFrame) -> DataFrame:
         meta = meta_features(rows, models)
-        features = [x for x in meta.columns if x not in (*KEY, "label")]
-        return VectorAssembler(inputCols=features, outputCol="raw_features").transform(meta.withColumn("n_high", F.col("n_high").cast("double")))
-
-    def fitted(train: DataFrame, test: DataFrame, n: int, pos: int) -> DataFrame:
-        train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))))
-        scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True).fit(train)
-        model = LogisticRegression(weightCol="weight", regParam=1 / (c * n), maxIter=50).fit(scaler.transform(train))
-        return model.transform(scaler.transform(test)).withColumn("q", vector_to_array("probability")[1])
-
-    meta = cut(assembled(wide), "meta-features")
-    done = None
-    gates = meta.join(F.broadcast(folds.where("role = 'train'")), "dt").groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    for r in gates.where((F.col("n") >= min_rows) & (F.col("pos") >= min_pos) & (F.col("n") - F.col("pos") >= min_neg)).orderBy("fold").collect():
-        train = meta.join(F.broadcast(folds.where((F.col("role") == "train") & (F.col("fold") == r["fold"])).select("dt")), "dt", "left_semi")
-        test = meta.join(F.broadcast(folds.where((F.col("role") == "test") & (F.col("fold") == r["fold"])).select("dt")), "dt", "left_semi")
-        part = fitted(train, test, r["n"], r["pos"]).select(*KEY, F.lit(r["fold"]).alias("fold"), "q")
-        done = part if done is None else done.unionByName(part)
-    if done is None:
-        out = meta.select(*KEY, "label", F.col("mean").alias("p"))
-    else:
-        latest = done.groupBy(*KEY).agg(F.max_by("q", "fold").alias("q"))
-        out = meta.join(latest, KEY, "left").select(*KEY, "label", F.coalesce("q", "mean").alias("p"))
+        features = [F.col(x).cast("double") for x in meta.columns if x not in (*KEY, "label")]
+        return meta.select(*KEY, "label", "mean", F.array(*features).alias("x"))
+
+    meta = cut(described(scores), "meta-features")
+    roles = folds.select("fold", "role", F.col("dt").alias("_dt"))
+    enough = (F.col("n") >= min_rows) & (F.col("pos") >= min_pos) & (F.col("n") - F.col("pos") >= min_neg)
+    daily = meta.groupBy("target", "dt").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    gates = daily.join(F.broadcast(roles.where("role = 'train'")), F.col("dt") == F.col("_dt")).groupBy("target", "fold").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    wanted = [(r["target"], r["fold"]) for r in gates.where(enough).orderBy("target", "fold").collect()]
+    sizes = {(r["target"], None): int(r["n"]) for r in daily.groupBy("target").agg(F.sum("n").alias("n")).collect()}
+    if apply is not None:
+        wanted += sorted(sizes, key=str)
+    sizes |= {(r["target"], r["fold"]): int(r["n"]) for r in gates.collect()}
+    ids = scores.sparkSession.createDataFrame([(k, *w) for k, w in enumerate(wanted)], "fit int, target string, of int")
+    # A row's fits hang on its target and date alone.
+    trained = ids.join(roles.where("role = 'train'"), F.col("of") == F.col("fold")).select("target", F.col("_dt").alias("dt"), "fit")
+    trained = trained.unionByName(ids.where("of is null").join(daily.select("target", "dt"), "target").select("target", "dt", "fit"))
+    member = trained.groupBy("target", "dt").agg(F.sort_array(F.collect_list("fit")).alias("fits"))
+    rows = cut(meta.join(member, ["target", "dt"]).select("x", "label", "fits"), "stack-rows")
+    fits = fit_many(rows, {k: 1 / (c * sizes[w]) for k, w in enumerate(wanted)}, balanced)
+    discard(rows)
+    found = fit_table(scores, fits).join(ids, "fit")
+    tested = found.join(roles.where("role = 'test'"), F.col("of") == F.col("fold")).groupBy("target", F.col("_dt").alias("dt"))
+    tested = tested.agg(F.max_by(F.struct("intercept", "coefficients"), "of").alias("m"))
+    p = probability("x", F.col("m.coefficients"), F.col("m.intercept"))
+    out = meta.join(tested, ["target", "dt"], "left").select(*KEY, "label", F.coalesce(p, "mean").alias("p"))
     if apply is None:
         return out
-    last = assembled(apply.where(F.col("target") == target))
-    n, pos = meta.agg(F.count("*"), F.sum("label")).first()
-    last = fitted(meta, last, n, pos) if pos and pos < n else last.withColumn("q", F.col("mean"))
-    return out.unionByName(last.select(*KEY, "label", F.col("q").alias("p")))
+    last = found.where("of is null").select("target", F.struct("intercept", "coefficients").alias("m"))
+    return out.unionByName(described(apply).join(last, "target", "left").select(*KEY, "label", F.coalesce(p, "mean").alias("p")))
 
 
 def best_by_precision(metrics: DataFrame, min_recall: Column | float = 0.0, prefix: str = "ens_") -> DataFrame:

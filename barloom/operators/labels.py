@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
 from ..functions.windows import order
 
 
@@ -24,14 +29,60 @@ def targets(bars: DataFrame, horizon: int = 90, up: float = 0.20, down: float =
     )
 
 
+def _first(values: np.ndarray, limit: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """How many rows after each the first value of at least its limit stands, up to row `last`; 0 for none.
+
+    Maxima over 1, 2, 4, ... rows form a pyramid; from the top down, a stretch without a hit is skipped whole.
+    """
+    n, levels = len(values), [values]
+    while (step := 1 << (len(levels) - 1)) <= int((last - np.arange(n)).max(initial=0)):
+        levels.append(np.maximum(levels[-1], levels[-1][np.minimum(np.arange(n) + step, n - 1)]))
+    at = np.arange(n) + 1
+    for k in range(len(levels) - 1, -1, -1):
+        skip = (at + (1 << k) <= last + 1) & (levels[k][np.minimum(at, n - 1)] < limit)
+        at = at + np.where(skip, 1 << k, 0)
+    hit = (at <= last) & (values[np.minimum(at, n - 1)] >= limit)
+    return np.where(hit, at - np.arange(n), 0)
+
+
 def hit_rows(bars: DataFrame, horizon: int, up: float, down: float) -> DataFrame:
-    """up_row, down_row: how many rows ahead High first reaches, and Low first falls to, the threshold; 0 for never."""
-    ahead = order().rowsBetween(1, horizon)
-    at = lambda values, met: F.coalesce(F.array_position(F.transform(values, met), F.lit(True)), F.lit(0))
-    rows = bars.withColumns({"_h": F.collect_list("high").over(ahead), "_l": F.collect_list("low").over(ahead)})
-    return rows.withColumns(
-        {"up_row": at(F.col("_h"), lambda x: x >= F.col("close") * (1 + up)), "down_row": at(F.col("_l"), lambda x: x <= F.col("close") * (1 + down))}
-    ).drop("_h", "_l")
+    """bars with up_row, down_row: how many rows ahead High first reaches, and Low first falls to, the threshold; 0 for never.
+
+    A ticker's rows stream by in the order of their dates; a task holds the next `horizon` rows and searches pyramids of
+    their maxima, so a longer horizon costs its logarithm. Null prices hit nothing.
+    """
+    ship(bars.sparkSession)
+    bars = bars.drop("up_row", "down_row")
+
+    def found(table: pa.Table, ready: int) -> pa.RecordBatch:
+        tickers = table.column("ticker").to_pandas().to_numpy()
+        high, low, close = (table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("high", "low", "close"))
+        n = len(tickers)
+        same = np.array([a == b or (a is None and b is None) for a, b in zip(tickers[1:], tickers[:-1], strict=True)], bool)
+        ends = np.append(np.flatnonzero(~same), n - 1)
+        last = np.minimum(ends[np.searchsorted(ends, np.arange(n))], np.arange(n) + horizon)
+        rows = {}
+        for name, values, limit in (("up_row", high, close * (1 + up)), ("down_row", -low, -(close * (1 + down)))):
+            rows[name] = _first(np.where(np.isnan(values), -np.inf, values), np.where(np.isnan(limit), np.inf, limit), last)
+        out = table.slice(0, ready)
+        for name, r in rows.items():
+            out = out.append_column(name, pa.array(r[:ready].astype(np.int32)))
+        return out
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            if (ready := held.num_rows - horizon) > horizon:
+                yield from found(held, ready).to_batches()
+                held = held.slice(ready)
+        if held is not None and held.num_rows:
+            yield from found(held, held.num_rows).to_batches()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
+    ordered = bars.repartition("ticker").sortWithinPartitions("ticker", "dt")
+    return ordered.mapInArrow(search, f"{schema}, up_row int, down_row int")
 
 
 def first_hit(bars: DataFrame, horizon: int, up: float, down: float) -> DataFrame:

@@ -9,15 +9,18 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut, discard
+from ..functions.shipping import ship
+from .logistic import fit_many, positives_up, probability
+from .logistic import table as fit_table
 from .metrics import average_precision, regression_metrics, threshold_quantile_f1
 from .quality import model_quality
 from .splits import undersample
@@ -26,8 +29,14 @@ from .splits import undersample
 TRIALS = {"gbt": 12, "logistic": 10, "forest": 8, "tree": 8}
 #: Rows that tuning sees at most; the fit that is kept sees all.
 TUNING_ROWS = 180_000
-#: Fits that run at a time, each a distributed job.
+#: Fits that run at a time, each a chain of distributed jobs.
 AT_ONCE = 8
+#: Rows of the tuning sample in a partition: tuning fits are many and small, so each has few tasks.
+PART_ROWS = 60_000
+#: Boosting rounds at most, and the share of the loss on valid rows that a round must take off; iterations of logistic regressions.
+ROUNDS, GAIN, ITERATIONS = 100, 0.01, 100
+#: Tuning grows one in so many of a forest's trees. Boosting trials race: after so many rounds so many of them go on.
+THINNED, START, FINALISTS = 6, 6, 3
 CLIP = 1e-6
 
 
@@ -45,8 +54,8 @@ def param_samples(groups: DataFrame, trials: dict[str, int] | None = None, seed:
         *groups.columns,
         "model",
         "trial",
-        (3 + F.floor(draw("depth") * 2)).cast("int").alias("depth"),
-        (4 + 2 * F.floor(draw("trees") * 3)).cast("int").alias("trees"),
+        F.when(F.col("model") == "gbt", 3 + F.floor(draw("depth") * 3)).otherwise(6 + F.floor(draw("depth") * 4)).cast("int").alias("depth"),
+        F.when(F.col("model") == "gbt", ROUNDS).otherwise(120 + 60 * F.floor(draw("trees") * 3)).cast("int").alias("trees"),
         F.round(spread(draw("step"), 0.03, 0.3), 6).alias("step"),
         F.round(0.6 + 0.4 * draw("subsample"), 6).alias("subsample"),
         F.greatest(F.lit(1), F.least(F.floor(F.col("n") / 20), F.floor(spread(draw("leaf"), 5.0, 80.0)))).cast("int").alias("min_leaf"),
@@ -54,65 +63,121 @@ def param_samples(groups: DataFrame, trials: dict[str, int] | None = None, seed:
     )
 
 
-def _estimator(p: dict):
+def _estimator(p: dict, tuning: bool):
+    """What settings p ask for; rows with `held` tell boosting when to stop while tuning, and a final fit has as many rounds as that took."""
     if p["model"] == "gbt":
-        return GBTClassifier(weightCol="weight", maxDepth=p["depth"], maxIter=p["trees"], stepSize=p["step"], subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], seed=42)
+        stop = {"validationIndicatorCol": "held", "validationTol": GAIN} if tuning else {}
+        return GBTClassifier(weightCol="weight", maxDepth=p["depth"], maxIter=p.get("rounds", p["trees"]), stepSize=p["step"], subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], maxMemoryInMB=512, seed=42, **stop)
     if p["model"] == "forest":
-        return RandomForestClassifier(weightCol="weight", maxDepth=p["depth"], numTrees=p["trees"], subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], featureSubsetStrategy="sqrt", seed=42)
+        trees = max(1, p["trees"] // THINNED) if tuning else p["trees"]
+        return RandomForestClassifier(weightCol="weight", maxDepth=p["depth"], numTrees=trees, subsamplingRate=p["subsample"], minInstancesPerNode=p["min_leaf"], featureSubsetStrategy="sqrt", maxMemoryInMB=512, seed=42)
     if p["model"] == "tree":
-        return DecisionTreeClassifier(weightCol="weight", maxDepth=p["depth"] + 2, minInstancesPerNode=p["min_leaf"], seed=42)
-    return LogisticRegression(weightCol="weight", regParam=p["reg"], maxIter=20)
+        return DecisionTreeClassifier(weightCol="weight", maxDepth=p["depth"], minInstancesPerNode=p["min_leaf"], maxMemoryInMB=512, seed=42)
+    return LogisticRegression(weightCol="weight", regParam=p["reg"], maxIter=ITERATIONS)
 
 
-def _pipeline(p: dict, features: list[str]) -> Pipeline:
-    raw = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
-    return Pipeline(stages=[raw, StandardScaler(inputCol="raw", outputCol="features"), _estimator(p)])
+def _weighted(rows: DataFrame, n: int, pos: int) -> DataFrame:
+    """rows, of which n and pos positive, with weight: the positives' is negatives / positives, 1 at least."""
+    return rows.withColumn("weight", F.when(F.col("label") == 1, positives_up(n, pos)[1]).otherwise(1.0))
 
 
-def _weighted(rows: DataFrame) -> DataFrame:
-    """rows with weight: the positives' is negatives / positives, 1 at least."""
-    sums = rows.agg(F.count("*").alias("_n"), F.sum("label").alias("_pos"))
-    weight = F.when(F.col("label") == 1, F.greatest(F.lit(1.0), (F.col("_n") - F.col("_pos")) / F.greatest(F.col("_pos"), F.lit(1)))).otherwise(1.0)
-    return rows.join(F.broadcast(sums), F.lit(True)).withColumn("weight", weight).drop("_n", "_pos")
+def _positive() -> Column:
+    return F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), vector_to_array("probability")[1]))
 
 
 def score_classifier(model: PipelineModel, rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, p (clipped away from 0 and 1), label if there is one."""
-    p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), vector_to_array("probability")[1]))
-    return model.transform(rows).select(*keys, p.alias("p"), *(["label"] if "label" in rows.columns else []))
+    return model.transform(rows).select(*keys, _positive().alias("p"), *(["label"] if "label" in rows.columns else []))
 
 
-def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], params: list[dict], keys: list[str], refit: bool = True) -> dict[str, tuple[PipelineModel, dict]]:
-    """For each kind of model, the trial with the best average precision on valid, fitted again on both sets.
+def _tried(some: DataFrame, valid: DataFrame, params: list[dict], n: int, pos: int, pool: ThreadPoolExecutor) -> tuple[list[dict], dict]:
+    """(params with valid_ap, and rounds for boosting; the trials' models, but for logistic regressions).
 
-    Its info holds that precision, the first of the best trials' settings, and the threshold with the best F1 on valid.
-    Trials see TUNING_ROWS at most, by a hash of keys; AT_ONCE of them run together. No trial can be fitted on one class.
+    Trees are grown side by side; logistic regressions are fitted all at once. Boosting trials start with START rounds; only
+    the FINALISTS best go on until rounds gain no more, and the others keep what they had.
     """
-    some = cut(undersample(train, "label", keys, TUNING_ROWS, TUNING_ROWS, 4.0), "tuning-rows")
-    both, by = train.unionByName(valid), ["all"]
+    share = inheritable_thread_target(some.sparkSession)
+    boosted = _weighted(some, n, pos).withColumn("held", F.lit(False)).unionByName(_weighted(valid, n, pos).withColumn("held", F.lit(True)))
+    boosted, grown = boosted.coalesce(some.rdd.getNumPartitions()).persist(), _weighted(some, n, pos).persist()
+    models: dict[int, object] = {}
+
+    def grow(wanted: list[int], rounds: int | None = None) -> None:
+        fit = lambda k: _estimator(params[k] | ({"rounds": rounds} if rounds else {}), True).fit(boosted if params[k]["model"] == "gbt" else grown)
+        models.update(zip(wanted, pool.map(share(fit), wanted), strict=True))
+
+    def scored(wanted: list[int]) -> DataFrame | None:
+        out = None
+        for k in wanted:
+            part = models[k].transform(valid).select(F.lit(k).alias("trial"), _positive().alias("p"), "label")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    def measured(rows: DataFrame) -> dict[int, float]:
+        return {r["trial"]: r["ap"] for r in average_precision(rows, ["trial"]).collect()}
+
+    of = lambda *kinds: [k for k, p in enumerate(params) if p["model"] in kinds]
+    precision: dict[int, float] = {}
+    if of("gbt"):
+        grow(of("gbt"), START)
+        precision = measured(scored(of("gbt")))
+    ahead = sorted(precision, key=lambda k: (-precision[k], k))[:FINALISTS]
+    grow(of("forest") + ahead + of("tree"))
+    rows = scored(of("forest", "tree") + ahead)
+    if logistic := {k: float(params[k]["reg"]) for k in of("logistic")}:
+        many = some.repartition(some.sparkSession.sparkContext.defaultParallelism)
+        many = cut(many.select(vector_to_array("features").alias("x"), "label", F.array(*map(F.lit, logistic)).alias("fits")), "logistic-rows")
+        found = fit_table(some, fit_many(many, logistic, positives_up)).withColumnRenamed("fit", "trial")
+        p = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), probability()))
+        part = valid.select(vector_to_array("features").alias("x"), "label").join(F.broadcast(found), F.lit(True)).select("trial", p.alias("p"), "label")  # a row a trial
+        rows = part if rows is None else rows.unionByName(part)
+        discard(many)
+    precision |= measured(rows)
+    boosted.unpersist()
+    grown.unpersist()
+    return [p | {"valid_ap": precision[k]} | ({"rounds": models[k].getNumTrees} if p["model"] == "gbt" else {}) for k, p in enumerate(params)], models
 
-    def tried(p: dict) -> tuple[float, PipelineModel]:
-        model = _pipeline(p, features).fit(_weighted(some))
-        return average_precision(score_classifier(model, valid, []).withColumn("all", F.lit(1)), by).first()["ap"], model
 
-    def finished(found: tuple[dict, PipelineModel]) -> tuple[PipelineModel, dict]:
-        p, model = found
-        threshold = threshold_quantile_f1(score_classifier(model, valid, []).withColumn("all", F.lit(1)), by).first()["threshold"]
-        return _pipeline(p, features).fit(_weighted(both if refit else train)), p | {"threshold": threshold}
+def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], params: list[dict], keys: list[str], refit: bool = True) -> dict[str, tuple[PipelineModel, dict]]:
+    """For each kind of model, the trial with the best average precision on valid, fitted again on both sets.
 
-    n, pos = some.agg(F.count("*"), F.sum("label")).first()
-    if not pos or pos == n or valid.isEmpty():
-        discard(some)
+    Its info holds that precision, the first of the best trials' settings, and the threshold with the best F1 on valid, asked
+    of a fit on the trials' rows. Features become vectors in one table that all fits read. Trials see TUNING_ROWS at
+    most, by a hash of keys; AT_ONCE of them run together. No trial can be fitted on one class.
+    """
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    both = train.withColumn("held", F.lit(False)).unionByName(valid.withColumn("held", F.lit(True)))
+    both = cut(assembler.transform(both).select(*keys, F.col("label").cast("double").alias("label"), "held", "features"), "vectors")
+    sizes = {r["held"]: (r["n"], int(r["pos"])) for r in both.groupBy("held").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()}
+    if len(sizes) < 2 or not 0 < sizes[False][1] < sizes[False][0]:
+        discard(both)
         return {}
-    best: dict[str, tuple[dict, PipelineModel]] = {}
+    of = lambda df: df.select("features", "label")
+    known = both.where("not held")
+    some = of(undersample(known, "label", keys, TUNING_ROWS, TUNING_ROWS, 4.0)).persist()
+    n, pos = some.agg(F.count("*"), F.sum("label")).first()
+    few = lambda df, rows: df.coalesce(max(1, -(-rows // PART_ROWS))).persist()
+    some, held = few(some, n), few(of(both.where("held")), sizes[True][0])
+    whole = _weighted(of(both if refit else known), *(map(sum, zip(*sizes.values(), strict=True)) if refit else sizes[False]))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    whole = (whole.repartition(cores) if whole.rdd.getNumPartitions() < cores else whole).persist()
     share = inheritable_thread_target(train.sparkSession)
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        for p, (ap, model) in zip(params, pool.map(share(tried), params), strict=True):
-            if p["model"] not in best or ap > best[p["model"]][0]["valid_ap"]:
-                best[p["model"]] = (p | {"valid_ap": ap}, model)
-        done = dict(zip(best, pool.map(share(finished), best.values()), strict=True))
-    discard(some)
-    return done
+        best: dict[str, tuple[dict, int]] = {}
+        tried, models = _tried(some, held, params, int(n), int(pos), pool)
+        for k, p in enumerate(tried):
+            if p["model"] not in best or p["valid_ap"] > best[p["model"]][0]["valid_ap"]:
+                best[p["model"]] = p, k
+        judged = {name: models[k] if k in models else _estimator(p, False).fit(_weighted(some, int(n), int(pos))) for name, (p, k) in best.items()}
+        final = list(pool.map(share(lambda b: _estimator(b[0], False).fit(whole)), best.values()))
+    scored = None
+    for name, m in judged.items():
+        part = m.transform(held).select(F.lit(name).alias("model"), _positive().alias("p"), "label")
+        scored = part if scored is None else scored.unionByName(part)
+    thresholds = {r["model"]: r["threshold"] for r in threshold_quantile_f1(scored, ["model"]).collect()}
+    for table in (some, held, whole):
+        table.unpersist()
+    discard(both)
+    return {name: (PipelineModel([assembler, m]), p | {"threshold": thresholds[name]}) for (name, (p, _)), m in zip(best.items(), final, strict=True)}
 
 
 def score_all(models: dict[str, tuple[PipelineModel, dict]], rows: DataFrame, wanted: list[str], keys: list[str]) -> DataFrame:
@@ -181,6 +246,7 @@ def _candidates(sums: DataFrame, n_features: int, chosen: bool) -> DataFrame:
                     out.append((r["ticker"], r["target"], kind, int(config), ridge, int(r["n"]), w.tolist()))
             yield pd.DataFrame(out, columns=["ticker", "target", "model", "config", "ridge", "n", "coefficients"])
 
+    ship(sums.sparkSession)
     return sums.mapInPandas(solve, _MODELS)
 
 

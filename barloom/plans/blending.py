@@ -30,14 +30,50 @@ def valid_scores(spark, sf_dir):
     return fx.scores_synth(spark, sf_dir).join(F.broadcast(calendar.select("dt")), "dt", "left_semi")
 
 
+def _tables(spark, sf_dir):
+    """The scores of the valid dates, and the folds, each computed once."""
+    return cut(valid_scores(spark, sf_dir), "valid-scores"), cut(folds(spark, sf_dir), "folds")
+
+
 def apply_scores(spark, sf_dir):
     calendar = spl.purged_split(bars_daily(spark, sf_dir), valid=180, min_train=45).where("split = 'apply'")
     return fx.scores_synth(spark, sf_dir).join(F.broadcast(calendar.select("dt")), "dt", "left_semi")
 
 
-@query("isotonic_oof")
+#: The minimax formula of the isotonic fit, over runs of scores whose rates don't rise (no block of one value ends inside one).
+_ISOTONIC = (
+    _VALID.replace("vs as (", "aps as (select * from scores where dt in (select dt from calendar where split = 'apply')), vs as (")
+    + _FOLDS
+    + """, ic as (select target, model, fold, p, count(*) as n, sum(label)::bigint as pos from vs join folds using (dt) where role = 'train' group by target, model, fold, p
+  union all select target, model, -1, p, count(*), sum(label)::bigint from vs group by target, model, p),
+ig as (select target, model, fold from ic group by target, model, fold
+  having sum(pos) >= case when fold < 0 then 1 else 20 end and sum(n) - sum(pos) >= case when fold < 0 then 1 else 20 end and sum(n) >= case when fold < 0 then 2 else 2000 end),
+iu as (select *, case when pos / n > lag(pos / n) over (partition by target, model, fold order by p) then 1 else 0 end as up from ic semi join ig using (target, model, fold)),
+ir as (select *, sum(up) over (partition by target, model, fold order by p) as run from iu),
+ib as (select target, model, fold, run, min(p) as low, max(p) as high, sum(n) as n, sum(pos) as pos from ir group by target, model, fold, run),
+ik as (select *, row_number() over w as k, sum(n) over w as cn, sum(pos) over w as cp from ib window w as (partition by target, model, fold order by run)),
+il as (select a.target, a.model, a.fold, a.k as a, b.k as b, (b.cp - a.cp + a.pos) / (b.cn - a.cn + a.n) as mean from ik a join ik b on a.target = b.target and a.model = b.model and a.fold = b.fold and a.k <= b.k),
+im as (select target, model, fold, b as k, min(mean) over (partition by target, model, fold, a order by b desc rows unbounded preceding) as least from il),
+iv as (select target, model, fold, k, max(least) as value from im group by target, model, fold, k),
+blocks as (select ik.*, value, lead(low) over w as next_low, lead(value) over w as next_value, first_value(value) over w as bottom from ik join iv using (target, model, fold, k) window w as (partition by target, model, fold order by k)),
+floors as (select distinct target, model, fold, bottom from blocks),
+asked as (select dt, ticker, target, model, p, label, fold from vs join folds using (dt) where role = 'test' union all select dt, ticker, target, model, p, label, -1 from aps),
+held as (select asked.* from asked semi join ig using (target, model, fold)),
+met as (
+  select held.*, blocks.high, blocks.value, blocks.next_low, blocks.next_value, blocks.low as found
+  from held asof left join blocks on held.target = blocks.target and held.model = blocks.model and held.fold = blocks.fold and held.p >= blocks.low),
+valued as (
+  select met.*, case when found is null then bottom when p <= high or next_low is null then value else value + (next_value - value) * (p - high) / (next_low - high) end as fitted
+  from met join floors using (target, model, fold)),
+latest as (select dt, ticker, target, model, arg_max(fitted, fold) as fitted from valued group by dt, ticker, target, model)
+select dt, ticker, target, model, p as raw, round(coalesce(fitted, p), 6) as p, label, fitted is not null as covered
+from (select * from vs union all select * from aps) left join latest using (dt, ticker, target, model)"""
+)
+
+
+@query("isotonic_oof", on_scores(_ISOTONIC))
 def isotonic_oof(spark, sf_dir):
-    return ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir), apply=apply_scores(spark, sf_dir))
+    return _rounded(ble.isotonic_oof(*_tables(spark, sf_dir), apply=apply_scores(spark, sf_dir)), ["p"])
 
 
 _COVERAGE = (
@@ -51,7 +87,7 @@ select vs.target, vs.model, round(100 * avg((reached.dt is not null)::int), 4) a
 
 @query("isotonic_coverage", on_scores(_COVERAGE))
 def isotonic_coverage(spark, sf_dir):
-    rows = ble.isotonic_oof(valid_scores(spark, sf_dir), folds(spark, sf_dir))
+    rows = ble.isotonic_oof(*_tables(spark, sf_dir))
     return rows.groupBy("target", "model").agg(F.round(100 * F.avg(F.col("covered").cast("int")), 4).alias("covered_pct"))
 
 
@@ -82,7 +118,7 @@ _WON = " select target, trial, round(score, 6) as score, model, round(w, 6) as w
 
 
 def _search(spark, sf_dir, **options):
-    return ble.weight_search(valid_scores(spark, sf_dir), folds(spark, sf_dir), TRIALS, **options)
+    return ble.weight_search(*_tables(spark, sf_dir), TRIALS, **options)
 
 
 @query("blend_weight_search", on_scores(_search_sql() + _WON))
@@ -114,7 +150,7 @@ def blend_trimmed(spark, sf_dir):
 
 @query("blend_selection")
 def blend_selection(spark, sf_dir):
-    rows, parts = valid_scores(spark, sf_dir), folds(spark, sf_dir)
+    rows, parts = _tables(spark, sf_dir)
     found = [(t, m, float(w)) for t in ("down", "up") for m, w in ble.selection(rows, parts, t).items()]
     return spark.createDataFrame(found, "target string, model string, w double")
 
@@ -129,8 +165,7 @@ def meta_features(spark, sf_dir):
 
 @query("blend_stack_lr")
 def blend_stack_lr(spark, sf_dir):
-    rows, last, parts = cut(valid_scores(spark, sf_dir), "valid-scores"), apply_scores(spark, sf_dir), cut(folds(spark, sf_dir), "folds")
-    return ble.stack_lr(rows, parts, "down", apply=last).unionByName(ble.stack_lr(rows, parts, "up", apply=last))
+    return ble.stack_lr(*_tables(spark, sf_dir), apply=apply_scores(spark, sf_dir))
 
 
 _ENS = """, ens as (select dt, ticker, target, 'ens_equal' as model, round(avg(p), 9) as p, any_value(label) as label from scores group by dt, ticker, target

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut
@@ -180,7 +183,10 @@ def _models(spark, sf_dir):
         train, valid = (rows.where(F.col("split") == s).withColumn("label", F.col(TARGETS[target])).select("ticker", "dt", *FEATURES, "label") for s in ("train", "valid"))
         return mod.fit_classifiers(train, valid, FEATURES, [p for p in params if p["target"] == target and p["model"] in names], ["ticker", "dt"])
 
-    return store, {t: store.models(t, list(mod.TRIALS), lambda names, t=t: fit(t, names)) for t in TARGETS}, rows.where("split = 'apply'")
+    kept = lambda t: store.models(t, list(mod.TRIALS), lambda names: fit(t, names))
+    with ThreadPoolExecutor(len(TARGETS)) as pool:  # one target's few large fits fill the other's gaps
+        models = dict(zip(TARGETS, pool.map(inheritable_thread_target(spark)(kept), TARGETS), strict=True))
+    return store, models, rows.where("split = 'apply'")
 
 
 _DRAW = lambda name: f"cast('0x' || substr(md5(target || '|' || model || '|' || trial || '|{name}:42'), 1, 13) as bigint) / 4503599627370496.0"
@@ -191,7 +197,7 @@ _SPREAD = lambda name, low, high: f"exp(ln({low}) + {_DRAW(name)} * (ln({high})
 groups as (select 'up' as target, count(*) as n, sum(target_up)::bigint as pos from tuned union all select 'down', count(*), sum(target_down)::bigint from tuned),
 kinds as (select unnest([{', '.join(f"{{'model': '{m}', 'k': {k}}}" for m, k in mod.TRIALS.items())}]) as m),
 drawn as (select target, n, pos, m.model as model, unnest(range(m.k))::int as trial from groups, kinds)
-select target, n, pos, model, trial, (3 + floor({_DRAW('depth')} * 2))::int as depth, (4 + 2 * floor({_DRAW('trees')} * 3))::int as trees, round({_SPREAD('step', 0.03, 0.3)}, 6) as step,
+select target, n, pos, model, trial, case when model = 'gbt' then 3 + floor({_DRAW('depth')} * 3) else 6 + floor({_DRAW('depth')} * 4) end::int as depth, case when model = 'gbt' then {mod.ROUNDS} else 120 + 60 * floor({_DRAW('trees')} * 3) end::int as trees, round({_SPREAD('step', 0.03, 0.3)}, 6) as step,
   round(0.6 + 0.4 * {_DRAW('subsample')}, 6) as subsample, greatest(1, least(floor(n / 20), floor({_SPREAD('leaf', 5.0, 80.0)})))::int as min_leaf, round({_SPREAD('reg', 1e-4, 1.0)}, 8) as reg from drawn"""))
 def param_samples(spark, sf_dir):
     return mod.param_samples(_groups(spark, sf_dir))

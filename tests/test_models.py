@@ -26,7 +26,8 @@ def settings(spark, trials):
 def test_settings_of_trials(spark):
     rows = settings(spark, mod.TRIALS)
     assert {m: sum(r["model"] == m for r in rows) for m in mod.TRIALS} == mod.TRIALS
-    assert all(3 <= r["depth"] <= 4 and r["min_leaf"] <= 8 and 1e-4 <= r["reg"] <= 1 and 0.6 <= r["subsample"] <= 1 for r in rows)
+    assert all((3 <= r["depth"] <= 5 and r["trees"] == 100) if r["model"] == "gbt" else (6 <= r["depth"] <= 9 and 120 <= r["trees"] <= 240) for r in rows)
+    assert all(r["min_leaf"] <= 8 and 1e-4 <= r["reg"] <= 1 and 0.6 <= r["subsample"] <= 1 for r in rows)
     assert rows == settings(spark, mod.TRIALS)
 
 

@@ -59,8 +59,8 @@ def test_average_precision_ties_and_one_class(spark):
 
 
 def test_isotonic_pools_violators():
-    _, values = blends.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([1.0, 1.0, 3.0, 1.0]))
-    assert values.tolist() == [0.0, 0.25, 0.25, 1.0]
+    blocks = blends._pooled([(1.0, 0.0, 0.1, 0.1), (1.0, 1.0, 0.2, 0.2), (3.0, 0.0, 0.3, 0.3), (1.0, 1.0, 0.4, 0.4)])
+    assert blocks == [[1.0, 0.0, 0.1, 0.1], [4.0, 1.0, 0.2, 0.3], [1.0, 1.0, 0.4, 0.4]]
 
 
 def test_isotonic_overwrite_and_coverage(spark):
@@ -138,13 +138,13 @@ def test_stack_lr_fits_the_last_dates(spark):
     scores = spark.createDataFrame(rows, "dt int, ticker string, target string, model string, p double, label int")
     folds = spark.createDataFrame([(0, "train", 0), (0, "train", 1), (0, "test", 3)], "fold int, role string, dt int")
     past, last = scores.where("dt < 6"), scores.where("dt >= 6").withColumn("label", F.lit(0))
-    got = {(r["dt"], r["ticker"]): r["p"] for r in blends.stack_lr(past, folds, "up", min_rows=40, min_pos=5, min_neg=5, apply=last).collect()}
+    got = {(r["dt"], r["ticker"]): r["p"] for r in blends.stack_lr(past, folds, min_rows=40, min_pos=5, min_neg=5, apply=last).collect()}
     assert len(got) == 160 and {d for d, _ in got} == set(range(8))
     mean = {(d, t): p for d, t, p in scores.groupBy("dt", "ticker").agg(F.avg("p")).collect()}
     assert all(abs(got[k] - mean[k]) < 1e-9 for k in got if k[0] in (0, 1, 2, 4, 5))
     assert sum(abs(got[k] - mean[k]) > 1e-3 for k in got if k[0] in (3, 6, 7)) > 50
     assert min(got[6, f"t{i}"] for i in range(15, 20)) > 0.5 > max(got[6, f"t{i}"] for i in range(5))
-    flat = blends.stack_lr(past.withColumn("label", F.lit(0)), folds, "up", apply=last).where("dt >= 6").collect()
+    flat = blends.stack_lr(past.withColumn("label", F.lit(0)), folds, apply=last).where("dt >= 6").collect()
     assert len(flat) == 40 and all(abs(r["p"] - mean[r["dt"], r["ticker"]]) < 1e-9 for r in flat)
 
 
