@@ -19,7 +19,12 @@ def _after(totals: DataFrame, sums: dict) -> DataFrame:
 
 
 def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
-    """conv_id, turn, n, h1, h2: after each turn, the number of rows so far and a rolling 128-bit hash of them.
+    """What `_prefix_hashes` has, without its table."""
+    return _prefix_hashes(conversations, block)[0]
+
+
+def _prefix_hashes(conversations: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(hashes, the table that they are read from); hashes: conv_id, turn, n, h1, h2: after each turn, the number of rows so far and a rolling 128-bit hash of them.
 
     The hash is the xor of one hash per turn over its place among the conversation's turns and its rows' roles and texts, so
     it doesn't matter whether turns count from 0 or 1 or leave gaps. Places and hashes roll within blocks of `block` turn
@@ -30,7 +35,7 @@ def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = conversations.where("conv_id is not null").select("conv_id", turn.alias("turn"), F.xxhash64(role, text, F.lit(1)).alias("a"), F.xxhash64(role, text, F.lit(2)).alias("b"))
     turns = rows.distinct().groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
     # A table of its own: counts and hashes of blocks and what rolls over them are all read from it.
-    turns = cut(turns.withColumn("block", F.floor(F.col("turn") / block)), "turns")
+    turns = table = cut(turns.withColumn("block", F.floor(F.col("turn") / block)), "turns")
     within = W.partitionBy("conv_id", "block").orderBy("turn")
     turns = turns.withColumn("nth", F.row_number().over(within))
     before = _after(turns.groupBy("conv_id", "block").agg(F.count("*").alias("places")), {"places": F.sum})
@@ -42,9 +47,10 @@ def prefix_hashes(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     rolled = turns.select(
         "conv_id", "block", "turn", F.sum("n").over(so_far).alias("n"), F.bit_xor("a").over(so_far).alias("a"), F.bit_xor("b").over(so_far).alias("b")
     )
-    return rolled.join(offsets, ["conv_id", "block"]).select(
+    hashes = rolled.join(offsets, ["conv_id", "block"]).select(
         "conv_id", "turn", (F.col("n") + F.col("n0")).alias("n"), F.col("a").bitwiseXOR(F.col("a0")).alias("h1"), F.col("b").bitwiseXOR(F.col("b0")).alias("h2")
     )
+    return hashes, table
 
 
 def maximal(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -52,7 +58,9 @@ def maximal(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Conversations equal in every turn are one; the smallest conv_id stands for all n_copies of them. No rows: none.
     """
-    prefixes = cut(prefix_hashes(conversations, block), "prefixes")
+    hashes, turns = _prefix_hashes(conversations, block)
+    prefixes = cut(hashes, "prefixes")
+    discard(turns)
     ends = prefixes.groupBy("conv_id").agg(F.max(F.struct("n", "h1", "h2")).alias("end")).select("conv_id", "end.*")
     key = ["n", "h1", "h2"]
     whole = ends.groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))

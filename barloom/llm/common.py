@@ -23,9 +23,14 @@ _IS_SPACE[list(SPACES)] = True
 
 
 def map_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with this package at hand on the executors."""
+    """df.mapInArrow with this package at hand on the executors, whatever letters df's column names have."""
     ship(df.sparkSession)
-    return df.mapInArrow(task, schema)
+    names = df.columns
+    if not any("." in c or "`" in c for c in names):
+        return df.mapInArrow(task, schema)
+    # mapInArrow looks columns up by unquoted name, so they go by number on the way.
+    numbered = df.toDF(*(f"_{k}" for k in range(len(names))))
+    return numbered.mapInArrow(lambda batches: task(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches), schema)
 
 
 #: Most tasks that read files; beyond so many files a task reads several.

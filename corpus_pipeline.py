@@ -80,5 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order on documents; what each keeps is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        kept = common.cut(stage(spark, docs, sf_dir), name)
+        common.discard(docs)  # what a stage has read; the given table isn't ours to delete and stays
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
