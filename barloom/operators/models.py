@@ -11,18 +11,20 @@ import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut, discard
 from ..functions.shipping import ship
+from ..functions.sums import summed_products
 from .logistic import fit_many, positives_up, probability
 from .logistic import table as fit_table
 from .metrics import average_precision, regression_metrics, threshold_quantile_f1
-from .quality import model_quality
+from .quality import blend_with_fallback, fallback_values, linear_calibration, model_quality, smart_fallback_rows
 from .splits import undersample
 
 #: Trials of each kind of classifier: the tuning budget for one target.
@@ -206,10 +208,11 @@ def _terms(features: list[str]) -> list[Column]:
 
 def _sums(rows: DataFrame, features: list[str]) -> DataFrame:
     """ticker, target, n, xx (products of terms, the upper triangle by rows), xy: all that a ridge regression needs."""
-    x = _terms(features)
-    k = len(x)
-    xx = F.array(*(F.sum(x[i] * x[j]) for i in range(k) for j in range(i, k)))
-    return rows.where("y is not null").groupBy("ticker", "target").agg(F.count("*").alias("n"), xx.alias("xx"), F.array(*(F.sum(v * F.col("y")) for v in x)).alias("xy"))
+    terms = [t.alias(f"t{i}") for i, t in enumerate(_terms(features))]
+    k = len(terms)
+    made = summed_products(rows.where("y is not null").select("ticker", "target", F.col("y").alias("y"), *terms), ["ticker", "target"], ["y", *(f"t{i}" for i in range(k))])
+    at = 2 + k  # after the number of rows and the sums of y and the terms: y with itself and the terms, then the terms'
+    return made.select("ticker", "target", F.col("sums")[0].cast("long").alias("n"), F.slice("sums", at + k + 2, k * (k + 1) // 2).alias("xx"), F.slice("sums", at + 2, k).alias("xy"))
 
 
 def _ridge_of(ticker: str, target: str, kind: str, config: int) -> float:
@@ -250,16 +253,92 @@ def _candidates(sums: DataFrame, n_features: int, chosen: bool) -> DataFrame:
     return sums.mapInPandas(solve, _MODELS)
 
 
-def tune_regressors(train: DataFrame, valid: DataFrame, features: list[str], gate: bool = True) -> DataFrame:
-    """ticker, target, model, config, ridge, mae, rmse, r2, quality_score: for each group and kind, the best on valid.
+#: What the boosted regressions of a target may look like, by configuration.
+BOOSTED = "boosted"
+#: Tickers up to so many are a category for boosting; beyond, their number in the order of names is a feature like others.
+CATEGORIES = 256
+
+
+def _boosted_settings(target: str, config: int) -> dict:
+    """Depth 3 to 5, step log-uniform from .03 to .3, share of rows .6 to 1, leaves of 5 to 40 rows, by MD5."""
+    u = [int(hashlib.md5(f"{target}|{BOOSTED}|{config}|{k}".encode()).hexdigest()[:13], 16) / (1 << 52) for k in range(4)]
+    return {"maxDepth": 3 + int(u[0] * 3), "stepSize": float(0.03 * 10 ** u[1]), "subsamplingRate": 0.6 + 0.4 * u[2], "minInstancesPerNode": int(5 * 8 ** u[3])}
+
+
+def fit_boosted(train: DataFrame, valid: DataFrame, features: list[str]) -> dict[str, tuple[PipelineModel, PipelineModel, dict]]:
+    """For each target of train: boosted trees over all tickers, fitted on train, and the same fitted on both sets; and what is said of them.
+
+    The ticker is a category among the features. All of a target's CONFIGS start with START rounds; the one with the least
+    squared error on valid goes on until rounds gain no more there, and its final fit has as many rounds.
+    """
+    rows = train.withColumn("held", F.lit(False)).unionByName(valid.withColumn("held", F.lit(True))).where("y is not null")
+    indexer = StringIndexer(inputCol="ticker", outputCol="_ticker", handleInvalid="keep").fit(rows)
+    many = len(indexer.labels) + 1
+    assembler = VectorAssembler(inputCols=["_ticker" if many <= CATEGORIES else "_number", *features], outputCol="features", handleInvalid="keep")
+    number = SQLTransformer(statement="SELECT *, _ticker + 0.0 AS _number FROM __THIS__")  # an expression drops the category's names
+    table = cut(assembler.transform(number.transform(indexer.transform(rows))).select("target", "features", "y", "held"), "pooled-vectors")
+    sizes = {r["target"]: r for r in table.groupBy("target").agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("known")).collect()}
+    targets = sorted(t for t, r in sizes.items() if r["held"] and r["known"])
+    of = {t: table.where(F.col("target") == t).coalesce(max(1, -(-(sizes[t]["held"] + sizes[t]["known"]) // PART_ROWS))).persist() for t in targets}
+    # Where each feature was is part of the vectors' description, which a table doesn't keep.
+    kind = assembler.transform(number.transform(indexer.transform(rows.limit(0)))).schema["features"].metadata
+    of = {t: df.withMetadata("features", kind) for t, df in of.items()}
+    share = inheritable_thread_target(train.sparkSession)
+
+    def grow(target: str, config: int, rounds: int, early: bool):
+        stop = {"validationIndicatorCol": "held", "validationTol": GAIN} if early else {}
+        return GBTRegressor(labelCol="y", maxIter=rounds, maxBins=max(32, min(many, CATEGORIES)), maxMemoryInMB=512, seed=42, **stop, **_boosted_settings(target, config)).fit(of[target])
+
+    def error(model, target: str) -> float:
+        return model.transform(of[target].where("held")).agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0]
+
+    found = {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        trials = [(t, c) for t in targets for c in range(CONFIGS)]
+        errors = dict(zip(trials, pool.map(share(lambda x: error(grow(*x, START, True), x[0])), trials), strict=True))
+        best = {t: min(range(CONFIGS), key=lambda c: (errors[t, c], c)) for t in targets}
+        known = list(pool.map(share(lambda t: grow(t, best[t], ROUNDS, True)), targets))
+        whole = list(pool.map(share(lambda x: grow(x[0], best[x[0]], x[1].getNumTrees, False)), zip(targets, known, strict=True)))
+    for t, a, b in zip(targets, known, whole, strict=True):
+        of[t].unpersist()
+        stages = [indexer, number, assembler]
+        found[t] = PipelineModel([*stages, a]), PipelineModel([*stages, b]), {"config": best[t], "rounds": a.getNumTrees} | _boosted_settings(t, best[t])
+    discard(table)
+    return found
+
+
+def apply_boosted(models: dict[str, tuple[PipelineModel, int]], rows: DataFrame, keep: list[str] = []) -> DataFrame | None:  # noqa: B006
+    """dt, ticker, target, model, config, ridge (0), keep, pred: each target's (pipeline, configuration) on its rows; None without models."""
+    out = None
+    for target, (model, config) in sorted(models.items()):
+        part = model.transform(rows.where(F.col("target") == target)).select("dt", "ticker", "target", F.lit(BOOSTED).alias("model"), F.lit(config).alias("config"), F.lit(0.0).alias("ridge"), *keep, F.col("prediction").alias("pred"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def valid_forecasts(train: DataFrame, valid: DataFrame, features: list[str], boosted: dict[str, tuple[PipelineModel, int]] | None = None) -> DataFrame:
+    """dt, ticker, target, model, config, ridge, y, pred: what every configuration, fitted on train, says of valid rows.
 
-    Groups have MIN_TRAIN rows in train and MIN_VALID in valid at least. Of a kind's configurations, those that the quality
-    gate lets through compete (with gate), by RMSE, then by number; a kind of which none passes has no row.
+    Groups have MIN_TRAIN rows in train and MIN_VALID in valid at least.
     """
     enough = train.groupBy("ticker", "target").agg(F.count("y").alias("a")).join(valid.groupBy("ticker", "target").agg(F.count("y").alias("b")), ["ticker", "target"])
-    enough = enough.where((F.col("a") >= MIN_TRAIN) & (F.col("b") >= MIN_VALID)).select("ticker", "target")
+    enough = cut(enough.where((F.col("a") >= MIN_TRAIN) & (F.col("b") >= MIN_VALID)).select("ticker", "target"), "enough-rows")
     tried = _candidates(_sums(train, features).join(enough, ["ticker", "target"], "left_semi"), len(features), False)
-    rows = apply_regressors(tried, valid, features, ["y", "config", "ridge"]).where("y is not null")
+    columns = ["dt", "ticker", "target", "model", "config", "ridge", "y", "pred"]
+    rows = apply_regressors(tried, valid, features, ["y", "config", "ridge"]).select(*columns)
+    pooled = apply_boosted(boosted or {}, valid, ["y"])
+    if pooled is not None:
+        rows = rows.unionByName(pooled.join(enough, ["ticker", "target"], "left_semi").select(*columns))
+    return rows.where("y is not null")
+
+
+def tune_regressors(train: DataFrame, valid: DataFrame, features: list[str], gate: bool = True, forecasts: DataFrame | None = None) -> DataFrame:
+    """ticker, target, model, config, ridge, mae, rmse, r2, quality_score: for each group and kind, the best on valid.
+
+    Of a kind's configurations, those that the quality gate lets through compete (with gate), by RMSE, then by number; a
+    kind of which none passes has no row. Forecasts are those of `valid_forecasts`, boosted trees among them if given.
+    """
+    rows = valid_forecasts(train, valid, features) if forecasts is None else forecasts
     by = ["ticker", "target", "model", "config", "ridge"]
     measured = regression_metrics(rows, by).join(model_quality(rows, by).select(*by, "quality_score", "is_valid"), by)
     if gate:
@@ -269,11 +348,12 @@ def tune_regressors(train: DataFrame, valid: DataFrame, features: list[str], gat
 
 
 def fit_regressors(rows: DataFrame, features: list[str], tuned: DataFrame) -> DataFrame:
-    """ticker, target, model, config, ridge, n, coefficients: what tuned names, fitted on rows, from sums of products.
+    """ticker, target, model, config, ridge, n, coefficients: the ridge regressions that tuned names, fitted on rows, from sums of products.
 
     The sums combine before the one shuffle; what is solved per group is a matrix of the terms' number.
     """
-    return _candidates(_sums(rows, features).join(tuned.select("ticker", "target", "model", "config"), ["ticker", "target"]), len(features), True)
+    named = tuned.where(F.col("model").isin(*KINDS)).select("ticker", "target", "model", "config")
+    return _candidates(_sums(rows, features).join(named, ["ticker", "target"]), len(features), True)
 
 
 def apply_regressors(models: DataFrame, rows: DataFrame, features: list[str], keep: list[str] = []) -> DataFrame:  # noqa: B006
@@ -283,6 +363,22 @@ def apply_regressors(models: DataFrame, rows: DataFrame, features: list[str], ke
     return rows.join(models, on).select("dt", "ticker", "target", "model", *keep, dot.alias("pred"))
 
 
+def finished_forecasts(raw: DataFrame, forecasts: DataFrame, tuned: DataFrame, known: DataFrame, dates: DataFrame) -> DataFrame:
+    """dt, ticker, target, model, pred_pct, alpha, quality_score, used_fallback: forecasts as they are handed out.
+
+    raw (dt, ticker, target, model, pred) are what the final fits say. Each is calibrated by what its kind said of valid rows
+    (forecasts), drawn to the group's fallback the more the lower its quality, and clipped. Groups of known (dt, ticker,
+    target, y) that have no model get the fallback itself on each of dates (dt).
+    """
+    by = ["ticker", "target", "model"]
+    chosen = forecasts.join(tuned.select(*by, "config"), [*by, "config"], "left_semi")
+    fallbacks = fallback_values(known.where("y is not null"))
+    made = blend_with_fallback(raw.join(tuned.select(*by), by, "left_semi"), linear_calibration(chosen), model_quality(chosen), fallbacks)
+    wanted = dates.select("dt").distinct().join(known.select("ticker", "target").distinct(), F.lit(True))  # as many as the result has rows
+    columns = ["dt", *by, "pred_pct", "alpha", "quality_score", "used_fallback"]
+    return made.select(*columns).unionByName(smart_fallback_rows(wanted, tuned, fallbacks).select(*columns))
+
+
 class ModelStore:
     """Fitted models in a folder, and a table of their keys, versions, settings and scores; the latest version counts.
 

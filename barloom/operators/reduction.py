@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.shipping import ship
+from ..functions.scratch import cut
+from ..functions.sums import summed_products
 
 BY = ["ticker", "feature"]
 #: Prefixes of features that are always kept.
@@ -78,23 +79,15 @@ def variance_fallback(mi: DataFrame, stats: DataFrame) -> DataFrame:
     return rows.select(*BY, F.when(flat, F.coalesce("variance", F.lit(0.0))).otherwise(F.coalesce("mi", F.lit(0.0))).alias("score"), flat.alias("by_variance"))
 
 
-def _products(batches: Iterator[pd.DataFrame], features: list[str]) -> Iterator[pd.DataFrame]:
-    """For each ticker in a row of rows: their number, sums of the features and sums of their products, about the first row."""
-    for batch in batches:
-        for ticker, rows in batch.groupby("ticker", sort=False):
-            x = rows[features].to_numpy(float)
-            x = x - rows[[f"_0_{f}" for f in features]].to_numpy(float)
-            yield pd.DataFrame({"ticker": [ticker], "n": [len(x)], "s": [x.sum(axis=0).tolist()], "xx": [(x.T @ x)[np.triu_indices(len(features))].tolist()]})
-
-
 def _pearson(batches: Iterator[pd.DataFrame], features: list[str]) -> Iterator[pd.DataFrame]:
     first, second = np.triu_indices(len(features), 1)
     a, b = np.array(features, object)[first], np.array(features, object)[second]
     for batch in batches:
         for r in batch.to_dict("records"):
-            n, s = r["n"], np.array(r["s"], float)
-            xx = np.zeros((len(features), len(features)))
-            xx[np.triu_indices(len(features))] = r["xx"]
+            k = len(features)
+            n, s = r["sums"][0], np.array(r["sums"][1 : k + 1], float)
+            xx = np.zeros((k, k))
+            xx[np.triu_indices(k)] = r["sums"][k + 1 :]
             cov = xx / n - np.outer(s, s) / n**2
             var = np.diag(cov).copy()
             var[var <= 1e-12 * np.maximum(np.diag(xx) / n, 1e-300)] = 0.0
@@ -106,19 +99,14 @@ def _pearson(batches: Iterator[pd.DataFrame], features: list[str]) -> Iterator[p
 def correlations(wide: DataFrame, features: list[str]) -> DataFrame:
     """ticker, a, b, r for each two features (a before b in the list); null where one of them doesn't vary.
 
-    Values are standardised by the population and divided by n - 1, so r is Pearson's times n / (n - 1). Every batch of
-    rows gives a matrix of products for each ticker in it; those are summed element by element in one shuffle, so hundreds
-    of features are one row a ticker and no task holds a ticker's rows. Null counts as 0.
+    Values are standardised by the population and divided by n - 1, so r is Pearson's times n / (n - 1). Tasks add up a
+    matrix of products for each ticker, and those meet element by element, one at a time. Null counts as 0.
     """
-    x = wide.select("ticker", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
+    x = cut(wide.select("ticker", *(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features)), "correlated")
     # Products about any fixed point give the same covariance; about a row of the data they lose no digits.
-    zero = x.groupBy("ticker").agg(F.min(F.struct(*features)).alias("z")).select(F.col("ticker").alias("_t"), *(F.col("z")[f].alias(f"_0_{f}") for f in features))
-    ship(wide.sparkSession)
-    sums = x.join(zero, x["ticker"].eqNullSafe(zero["_t"])).drop("_t").mapInPandas(lambda b: _products(b, features), "ticker string, n long, s array<double>, xx array<double>")
-    add = lambda c: F.expr(f"aggregate(collect_list({c}), cast(null as array<double>), (u, v) -> if(u is null, v, zip_with(u, v, (p, q) -> p + q)))")
-    part = F.pmod(F.monotonically_increasing_id(), F.lit(32))  # a ticker's many matrices are summed in two steps
-    sums = sums.withColumn("_part", part).groupBy("ticker", "_part").agg(F.sum("n").alias("n"), add("s").alias("s"), add("xx").alias("xx"))
-    sums = sums.groupBy("ticker").agg(F.sum("n").alias("n"), add("s").alias("s"), add("xx").alias("xx"))
+    zero = x.groupBy("ticker").agg(F.min(F.struct(*features)).alias("z")).withColumnRenamed("ticker", "_t")
+    about = x.join(zero, x["ticker"].eqNullSafe(F.col("_t"))).select("ticker", *((x[f] - F.col("z")[f]).alias(f) for f in features))
+    sums = summed_products(about, ["ticker"], features)
     rows = sums.mapInPandas(lambda b: _pearson(b, features), "ticker string, a string, b string, r double")
     return rows.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
 

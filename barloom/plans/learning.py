@@ -28,8 +28,6 @@ from .registry import query
 _PAIRS = [(f, s) for f in ind.AVERAGES for s in ind.AVERAGES if f < s]
 #: Every feature that the pipeline makes itself: averages, crosses, the change of close, and all patterns' columns.
 FEATURES = [*(f"sma_{n}" for n in ind.AVERAGES), *(f"cross_{f}_{s}" for f, s in _PAIRS), "pct_change", *PATTERN_COLUMNS]
-#: What the regressions see; their terms' products are one row a group.
-LINEAR = ["pct_change", "sma_5", "sma_20", "sma_50", "sr_support_diff", "tri_pattern"]
 #: Decimals of features, so that both engines agree where bins and counts of values hang on them.
 DIGITS = 4
 
@@ -206,7 +204,7 @@ def param_samples(spark, sf_dir):
 @query("fit_classifiers")
 def fit_classifiers(spark, sf_dir):
     store, _, _ = _models(spark, sf_dir)
-    return store.registry().select("target", "model", "version", "valid_ap", F.col("params")["threshold"].cast("double").alias("threshold"), "params")
+    return store.registry().where(F.col("target").isin(*TARGETS)).select("target", "model", "version", "valid_ap", F.col("params")["threshold"].cast("double").alias("threshold"), "params")
 
 
 @query("score_classifiers")
@@ -221,37 +219,45 @@ def model_store(spark, sf_dir):
     """Every (target, model, ticker) that is stored, pipelines and regressions, with its version and what it says of the last dates."""
     store, models, now = _models(spark, sf_dir)
     if store.regressors().isEmpty():
-        store.save_regressors(_regressors(spark, sf_dir))
+        rows, boosted, _, tuned = _regressions(spark, sf_dir)
+        store.save_regressors(mod.fit_regressors(rows.where("split in ('train', 'valid')"), FEATURES, tuned))
+        for target, (_, final, info) in boosted.items():
+            store.save(target, mod.BOOSTED, final, info)
     pipelines = store.registry().select(F.lit(None).cast("string").alias("ticker"), "target", "model", "version", F.lit(None).cast("int").alias("config"))
     wanted = store.missing(spark.createDataFrame([(t, m) for t in TARGETS for m in mod.TRIALS], "target string, model string"))
     return pipelines.unionByName(store.regressors().select("ticker", "target", "model", "version", "config")).join(wanted.agg(F.count("*").alias("left_to_train")), F.lit(True))
 
 
-def _regression(spark, sf_dir):
+def _regressions(spark, sf_dir):
+    """(rows with every feature, targets and split; boosted models by target; forecasts of valid rows; what is best for each group and kind)."""
     rows = features(spark, sf_dir).join(_targets(spark, sf_dir), ["dt", "ticker"])
-    return rows.join(F.broadcast(spl.purged_split(bars_daily(spark, sf_dir)).select("dt", "split")), "dt")
-
-
-def _tuned(rows):
-    return mod.tune_regressors(rows.where("split = 'train'"), rows.where("split = 'valid'"), LINEAR)
-
-
-def _regressors(spark, sf_dir):
-    rows = cut(_regression(spark, sf_dir).select("dt", "ticker", "target", "y", "split", *LINEAR), "regression-rows")
-    return mod.fit_regressors(rows.where("split in ('train', 'valid')"), LINEAR, cut(_tuned(rows), "tuned"))
+    rows = rows.join(F.broadcast(spl.purged_split(bars_daily(spark, sf_dir)).select("dt", "split")), "dt")
+    rows = cut(rows.select("dt", "ticker", "target", "y", "split", *FEATURES), "regression-rows")
+    train, valid = rows.where("split = 'train'"), rows.where("split = 'valid'")
+    boosted = mod.fit_boosted(train, valid, FEATURES)
+    forecasts = cut(mod.valid_forecasts(train, valid, FEATURES, {t: (m, info["config"]) for t, (m, _, info) in boosted.items()}), "valid-forecasts")
+    return rows, boosted, forecasts, cut(mod.tune_regressors(train, valid, FEATURES, forecasts=forecasts), "tuned")
 
 
 @query("fit_regressors_by_ticker")
 def fit_regressors_by_ticker(spark, sf_dir):
-    return _regressors(spark, sf_dir)
+    """What is fitted for each ticker and target: ridge regressions with their coefficients, and shares in the boosted trees of all tickers."""
+    rows, _, _, tuned = _regressions(spark, sf_dir)
+    ridge = mod.fit_regressors(rows.where("split in ('train', 'valid')"), FEATURES, tuned)
+    return ridge.unionByName(tuned.where(F.col("model") == mod.BOOSTED).select("ticker", "target", "model", "config", "ridge"), allowMissingColumns=True)
 
 
 @query("apply_regressors")
 def apply_regressors(spark, sf_dir):
-    rows = _regression(spark, sf_dir).where("split = 'apply'").select("dt", "ticker", "target", *LINEAR)
-    return mod.apply_regressors(_regressors(spark, sf_dir), rows, LINEAR)
+    """Forecasts of the last dates from every kind that passed: calibrated, drawn to fallbacks, clipped; fallbacks where none did."""
+    rows, boosted, forecasts, tuned = _regressions(spark, sf_dir)
+    known, now = rows.where("split in ('train', 'valid')"), rows.where("split = 'apply'")
+    raw = mod.apply_regressors(mod.fit_regressors(known, FEATURES, tuned), now.drop("y"), FEATURES)
+    pooled = mod.apply_boosted({t: (m, info["config"]) for t, (_, m, info) in boosted.items()}, now.drop("y"))
+    raw = raw if pooled is None else raw.unionByName(pooled.select(*raw.columns))
+    return mod.finished_forecasts(raw, forecasts, tuned, known, now)
 
 
 @query("regressor_valid_metrics")
 def regressor_valid_metrics(spark, sf_dir):
-    return _tuned(cut(_regression(spark, sf_dir).select("dt", "ticker", "target", "y", "split", *LINEAR), "regression-rows"))
+    return _regressions(spark, sf_dir)[3]

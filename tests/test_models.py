@@ -109,3 +109,56 @@ def test_correlations_against_numpy(spark):
         for i, j in ((0, 1), (0, 2), (1, 2)):
             want = np.corrcoef(part[:, i], part[:, j])[0, 1] * 250 / 249
             assert got[t, "abcd"[i], "abcd"[j]] == pytest.approx(want, abs=1e-9)
+
+
+def test_boosted_trees_compete_with_ridges(spark, monkeypatch):
+    """Three kinds a group: what is chosen, handed out and replaced by fallbacks, against loops over the forecasts."""
+    monkeypatch.setattr(mod, "MIN_TRAIN", 60)
+    monkeypatch.setattr(mod, "MIN_VALID", 20)
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, ticker in enumerate(("t0", "t1", "^GSPC", "few")):
+        for d in range(150 if ticker != "few" else 20):
+            a, b = rng.normal(size=2)
+            y = (0.05 * a if g == 0 else 0.1 * np.sign(np.sin(3 * a)) if g == 1 else 5 * rng.normal()) + 0.005 * rng.normal()
+            rows += [(d, ticker, t, float(a), float(b), float(y + 0.1 * (t == "best_sale"))) for t in ("best_entry", "best_sale")]
+    df = spark.createDataFrame(rows, "dt int, ticker string, target string, a double, b double, y double").repartition(4)
+    train, valid, now = df.where("dt < 100"), df.where("dt >= 100 and dt < 145"), df.where("dt >= 145").drop("y")
+    boosted = mod.fit_boosted(train, valid, FEATURES)
+    assert set(boosted) == {"best_entry", "best_sale"} and all(1 <= info["rounds"] <= mod.ROUNDS for _, _, info in boosted.values())
+    forecasts = mod.valid_forecasts(train, valid, FEATURES, {t: (m, i["config"]) for t, (m, _, i) in boosted.items()}).cache()
+    said = {}
+    for r in forecasts.collect():
+        said.setdefault((r["ticker"], r["target"], r["model"], r["config"]), []).append((r["y"], r["pred"]))
+    assert {k[:3] for k in said} == {(t, s, m) for t in ("t0", "t1", "^GSPC") for s in boosted for m in (*mod.KINDS, mod.BOOSTED)}
+    best = {}
+    for (ticker, target, kind, config), pairs in said.items():
+        y, p = np.array(pairs).T
+        rmse, mae, span, var = np.sqrt(np.mean((y - p) ** 2)), np.mean(np.abs(y - p)), np.ptp(y) + 1e-9, y.var()
+        limit = 0.35 if ticker.startswith("^") else 0.25
+        if var < 1e-4 or (rmse / span <= limit and mae / span <= 0.2 and 1 - rmse**2 / var >= -1):
+            best[ticker, target, kind] = min(best.get((ticker, target, kind), (np.inf, 0)), (rmse, config))
+    tuned = mod.tune_regressors(train, valid, FEATURES, forecasts=forecasts).cache()
+    got = {(r["ticker"], r["target"], r["model"]): (r["rmse"], r["config"]) for r in tuned.collect()}
+    assert set(got) == set(best) and all(got[k] == (pytest.approx(best[k][0], rel=1e-9), best[k][1]) for k in best)
+    error = lambda ticker, kind: min(np.sqrt(np.mean(np.diff(np.array(p), axis=1) ** 2)) for k, p in said.items() if k[:3] == (ticker, "best_entry", kind))
+    assert error("t1", mod.BOOSTED) < 0.95 * error("t1", "linear") and error("t0", "linear") < error("t0", mod.BOOSTED) and ("t0", "best_entry", "linear") in got
+    known = train.unionByName(valid)
+    raw = mod.apply_regressors(mod.fit_regressors(known, FEATURES, tuned), now, FEATURES)
+    raw = raw.unionByName(mod.apply_boosted({t: (m, i["config"]) for t, (_, m, i) in boosted.items()}, now).select(*raw.columns))
+    out = mod.finished_forecasts(raw, forecasts, tuned, known, now).collect()
+    with_model = {(t, s) for t, s, _ in best}
+    want = {(d, t, s, m) for d in range(145, 150) for t, s, m in best} | {(d, t, s, "smart_fallback_last") for d in range(145, 150) for t in ("t0", "t1", "^GSPC", "few") for s in boosted if (t, s) not in with_model}
+    assert {(r["dt"], r["ticker"], r["target"], r["model"]) for r in out} == want and len(out) == len(want)
+    assert all((-0.2 <= r["pred_pct"] <= 0.3) if r["target"] == "best_entry" else (0.05 <= r["pred_pct"] <= 0.4) for r in out)
+    assert all(r["used_fallback"] == (r["model"] == "smart_fallback_last") for r in out)
+    assert mod.fit_boosted(train.limit(0), valid.limit(0), FEATURES) == {}
+
+
+def test_many_tickers_are_a_number(spark, monkeypatch):
+    monkeypatch.setattr(mod, "CATEGORIES", 2)
+    rows = [(d, f"t{t}", "s", float(d % 7), float(t), float(d % 7 + t)) for d in range(40) for t in range(5)]
+    df = spark.createDataFrame(rows, "dt int, ticker string, target string, a double, b double, y double")
+    (early, _, _) = mod.fit_boosted(df.where("dt < 30"), df.where("dt >= 30"), ["a"])["s"]
+    said = early.transform(df).agg(F.corr("prediction", "y").alias("r")).first()["r"]
+    assert said > 0.95
