@@ -236,7 +236,7 @@ def selection(scores: DataFrame, folds: DataFrame, target: str, steps: int = 32,
         current = sum((F.col(m) * (counts[m] / max(1, step)) for m in models[1:]), F.col(models[0]) * (counts[models[0]] / max(1, step)))
         trials = F.array(*(F.named_struct(F.lit("model"), F.lit(m), F.lit("p"), F.round(current * (step / (step + 1)) + F.col(m) / (step + 1), DIGITS)) for m in models))
         tried = rows.select("fold", "label", F.explode(trials).alias("t")).select("fold", "label", "t.*")
-        means = {r["model"]: r["ap"] for r in average_precision(tried, ["model", "fold"], ranges=1).groupBy("model").agg(F.avg("ap").alias("ap")).collect()}
+        means = {r["model"]: r["ap"] for r in average_precision(tried, ["model", "fold"], whole=True).groupBy("model").agg(F.avg("ap").alias("ap")).collect()}
         chosen = None
         for m in models:
             if m in means and means[m] > best + tolerance:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
+
 
 def confusion(scores: DataFrame, by: list[str], threshold: float | Column = 0.5) -> DataFrame:
     """by, tn, fp, fn, tp at p >= threshold."""
@@ -23,22 +25,19 @@ def rates(table: DataFrame) -> DataFrame:
     )
 
 
-#: Ranges of scores between 0 and 1 whose running sums are found apart; what lies outside goes to the first and last.
-RANGES = 1024
-
-
-def _curve(scores: DataFrame, by: list[str], weight: str | None, ranges: int = RANGES) -> DataFrame:
+def _curve(scores: DataFrame, by: list[str], weight: str | None, whole: bool = False) -> DataFrame:
     """by, p, w, wp and their sums from the greatest p down: one row per distinct score; n and pos, their totals.
 
-    The running sum goes within a range of scores, over the totals of the ranges above: no task needs all of a group. With
-    one range it goes over the group itself, which suits many groups of few rows.
+    The running sum goes within a range of scores, over the totals of the ranges above: no task needs all of a group. Ranges
+    are cut where the distinct scores of all groups are, so that each holds about as many of them wherever they lie. With
+    `whole` the sum goes over the group itself, which suits many groups of few rows.
     """
     w = F.col(weight) if weight else F.lit(1.0)
     points = scores.groupBy(*by, "p").agg(F.sum(w).alias("w"), F.sum(w * F.col("label")).alias("wp"))
-    if ranges == 1:
-        down, whole = W.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
-        return points.withColumns({"cw": F.sum("w").over(down), "cp": F.sum("wp").over(down), "n": F.sum("w").over(whole), "pos": F.sum("wp").over(whole)})
-    points = points.withColumn("_r", F.least(F.greatest(F.floor(F.col("p") * ranges), F.lit(0)), F.lit(ranges - 1)))
+    if whole:
+        down, every = W.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*by)
+        return points.withColumns({"cw": F.sum("w").over(down), "cp": F.sum("wp").over(down), "n": F.sum("w").over(every), "pos": F.sum("wp").over(every)})
+    points = _ranged(points, by)
     ranges = points.groupBy(*by, "_r").agg(F.sum("w").alias("_w"), F.sum("wp").alias("_wp"))
     above = W.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(*by)
@@ -52,10 +51,15 @@ def _curve(scores: DataFrame, by: list[str], weight: str | None, ranges: int = R
     return joined.select(*by, "p", "w", "wp", (F.col("cw") + F.col("_w0")).alias("cw"), (F.col("cp") + F.col("_wp0")).alias("cp"), "n", "pos")
 
 
-def average_precision(scores: DataFrame, by: list[str], weight: str | None = None, ranges: int = RANGES) -> DataFrame:
+def _ranged(points: DataFrame, by: list[str]) -> DataFrame:
+    """points (by, p, w, wp), one for each distinct score of a group, with the number _r of the range they are in, rising with p."""
+    return cut(points.repartitionByRange(*by, "p").withColumn("_r", F.spark_partition_id()), "score-ranges")
+
+
+def average_precision(scores: DataFrame, by: list[str], weight: str | None = None, whole: bool = False) -> DataFrame:
     """by, ap: the sum over distinct scores of the recall gained times the precision there; 0 without positives."""
     gained = F.when(F.col("pos") > 0, F.col("wp") / F.col("pos") * F.col("cp") / F.col("cw")).otherwise(0.0)
-    return _curve(scores, by, weight, ranges).groupBy(*by).agg(F.sum(gained).alias("ap"))
+    return _curve(scores, by, weight, whole).groupBy(*by).agg(F.sum(gained).alias("ap"))
 
 
 def roc_auc(scores: DataFrame, by: list[str]) -> DataFrame:

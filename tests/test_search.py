@@ -91,3 +91,21 @@ def test_search_doesnt_hang_on_block_size(spark, monkeypatch):
         found.append(sorted(map(tuple, blends.weight_search(df, folds, 25).collect())))
     assert found[0] == found[1] and len(found[0]) == 2
     assert blends.weight_search(df.where(F.col("p") > 2), folds, 5).collect() == []
+
+
+def test_ranges_follow_the_scores(spark):
+    """Scores crowded below 1e-4 are dealt evenly, and the sums are those of one window."""
+    from barloom.operators import metrics
+
+    rng = np.random.default_rng(5)
+    rows = [("a", float(x) * 1e-4, int(y)) for x, y in zip(rng.random(8000), rng.random(8000) < 0.1, strict=True)] + [("a", 0.9, 1), ("b", 1e-7, 0), ("b", 2e-7, 1)]
+    df = spark.createDataFrame(rows, "k string, p double, label int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        points = metrics._ranged(df.groupBy("k", "p").agg(F.count("*").alias("w"), F.sum("label").alias("wp")), ["k"])
+        sizes = [r["count"] for r in points.groupBy("_r").count().collect()]
+        assert len(sizes) >= 4 and max(sizes) < 2 * 8003 / len(sizes)
+        one, other = (sorted(map(tuple, metrics._curve(df, ["k"], None, whole).select("k", "p", "w", "wp", "cw", "cp", "n", "pos").collect())) for whole in (False, True))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert one == other and len(one) == len({r[:2] for r in rows})
