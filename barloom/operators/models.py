@@ -38,7 +38,7 @@ PART_ROWS = 60_000
 #: Boosting rounds at most, and the share of the loss on valid rows that a round must take off; iterations of logistic regressions.
 ROUNDS, GAIN, ITERATIONS = 100, 0.01, 100
 #: Tuning grows one in so many of a forest's trees. Boosting trials race: after so many rounds so many of them go on.
-THINNED, START, FINALISTS = 6, 6, 3
+THINNED, START, FINALISTS = 6, 5, 2
 CLIP = 1e-6
 
 

@@ -170,11 +170,18 @@ def _groups(spark, sf_dir):
     return train.select(F.explode(both).alias("t")).groupBy("t.target").agg(F.count("*").alias("n"), F.sum("t.y").alias("pos"))
 
 
+def _store(spark, sf_dir):
+    """The application's store of models of a data set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = mod.ModelStore(spark, _folder(spark))
+    return _STORES[key]
+
+
 def _models(spark, sf_dir):
     """({target: models by name}, rows to score): trained once an application, and taken from the store after that."""
     rows = cut(_labelled_sets(spark, sf_dir), "labelled-sets")
-    key = (spark.sparkContext.applicationId, sf_dir)
-    store = _STORES.setdefault(key, mod.ModelStore(spark, _folder(spark)))
+    store = _store(spark, sf_dir)
     params = [r.asDict() for r in mod.param_samples(_groups(spark, sf_dir)).orderBy("target", "model", "trial").collect()]
 
     def fit(target: str, names: list[str]):
@@ -217,9 +224,11 @@ def score_classifiers(spark, sf_dir):
 @query("model_store")
 def model_store(spark, sf_dir):
     """Every (target, model, ticker) that is stored, pipelines and regressions, with its version and what it says of the last dates."""
-    store, models, now = _models(spark, sf_dir)
-    if store.regressors().isEmpty():
-        rows, boosted, _, tuned = _regressions(spark, sf_dir)
+    with ThreadPoolExecutor(1) as pool:  # the regressions train beside the classifiers
+        beside = None if _store(spark, sf_dir).regressors().take(1) else pool.submit(inheritable_thread_target(spark)(_regressions), spark, sf_dir)
+        store, models, now = _models(spark, sf_dir)
+    if beside is not None:
+        rows, boosted, _, tuned = beside.result()
         store.save_regressors(mod.fit_regressors(rows.where("split in ('train', 'valid')"), FEATURES, tuned))
         for target, (_, final, info) in boosted.items():
             store.save(target, mod.BOOSTED, final, info)
