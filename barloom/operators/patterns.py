@@ -29,8 +29,9 @@ def head_shoulder(bars: DataFrame, n: int = 3, prefix: str = "hs_") -> DataFrame
 def multi_top_bottom(bars: DataFrame, n: int = 3, prefix: str = "mtb_") -> DataFrame:
     """Always 0, since a window holds the row that its extreme must exceed; kept as it is defined."""
     bars, top, low = _ranges(bars, n, prefix)
-    up = (top >= prev("high")) & (full(F.max, "close", n) < prev("close"))
-    down = (low <= prev("low")) & (full(F.min, "close", n) > prev("close"))
+    bars = bars.withColumns({f"{prefix}close_roll_max": full(F.max, "close", n), f"{prefix}close_roll_min": full(F.min, "close", n)})
+    up = (top >= prev("high")) & (F.col(f"{prefix}close_roll_max") < prev("close"))
+    down = (low <= prev("low")) & (F.col(f"{prefix}close_roll_min") > prev("close"))
     return bars.withColumn(f"{prefix}pattern", _mark(up, down))
 
 

@@ -14,6 +14,8 @@ from .registry import query
 O = "over (partition by ticker order by dt)"  # noqa: E741
 START = "1998-01-01"
 SOME = ["Brand#11", "Brand#23", "Brand#45"]
+#: Every ticker of the given tables.
+TICKERS = [f"Brand#{k}" for k in range(1, 26)]
 
 
 def _folder(spark) -> str:
@@ -146,10 +148,10 @@ def mask_features(spark, sf_dir):
     return fill.mask_features(b, selection, ["close", "volume"])
 
 
-@query("ticker_dummies", on_bars("select ticker, dt, " + ", ".join(f"(ticker = '{t}')::int as \"tk_{t}\"" for t in SOME) + ", ticker as ticker_rec from bars where ticker in (" + ", ".join(map(repr, SOME)) + ")"))
+@query("ticker_dummies", on_bars("select ticker, dt, " + ", ".join(f"(ticker = '{t}')::int as \"tk_{t}\"" for t in TICKERS) + ", ticker as ticker_rec from bars"))
 def ticker_dummies(spark, sf_dir):
-    b = bars_daily(spark, sf_dir).where(F.col("ticker").isin(SOME)).select("ticker", "dt")
-    return fill.recover_ticker(fill.dummies(b, SOME), SOME)
+    b = bars_daily(spark, sf_dir).select("ticker", "dt")
+    return fill.recover_ticker(fill.dummies(b, TICKERS), TICKERS)
 
 
 @query("numeric_clean", on_bars("select ticker, dt, coalesce(try_cast(case when day(dt) % 2 = 0 then 'n/a' else cast(close as varchar) end as double), 0) as x from bars"))

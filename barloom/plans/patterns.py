@@ -31,17 +31,25 @@ _MASKS = {
 }
 
 
+#: What a pattern has besides the extremes of High and Low, by column.
+_MORE = {"mtb_": {"mtb_close_roll_max": "cmax", "mtb_close_roll_min": "cmin"}}
+
+
+def _more(prefix: str) -> str:
+    return "".join(f"{x} as {c}, " for c, x in _MORE.get(prefix, {}).items())
+
+
 def _case(up: str, down: str) -> str:
     return f"case when {down} then -1 when {up} then 1 else 0 end"
 
 
 def _register(name: str) -> None:
     prefix, up, down = _MASKS[name]
-    sql = f"{_BASE} select ticker, dt, rh as {prefix}high_roll_max, rl as {prefix}low_roll_min, {_case(up, down)} as {prefix}pattern from b"
+    sql = f"{_BASE} select ticker, dt, rh as {prefix}high_roll_max, rl as {prefix}low_roll_min, {_more(prefix)}{_case(up, down)} as {prefix}pattern from b"
 
     @query(name, on_bars(sql))
     def run(spark, sf_dir):
-        return pat.PATTERNS[name](bars_daily(spark, sf_dir)).select("ticker", "dt", f"{prefix}high_roll_max", f"{prefix}low_roll_min", f"{prefix}pattern")
+        return pat.PATTERNS[name](bars_daily(spark, sf_dir)).select("ticker", "dt", f"{prefix}high_roll_max", f"{prefix}low_roll_min", *_MORE.get(prefix, {}), f"{prefix}pattern")
 
 
 for _name in _MASKS:
@@ -79,10 +87,10 @@ def trendline(spark, sf_dir):
 
 
 _SR_DIGITS = dict.fromkeys(("sr_support", "sr_resistance", "sr_support_diff", "sr_resistance_diff"), 4)
-_ALL = [f"{p}{c}" for p, *_ in _MASKS.values() for c in ("high_roll_max", "low_roll_min", "pattern")] + [*_SR_DIGITS, *_TREND_DIGITS]
+_ALL = [f"{p}{c}" for p, *_ in _MASKS.values() for c in ("high_roll_max", "low_roll_min", "pattern")] + [c for more in _MORE.values() for c in more] + [*_SR_DIGITS, *_TREND_DIGITS]
 _PATTERNS_SQL = (
     _BASE
-    + ", p as (select ticker, dt, " + ", ".join(f"rh as {p}high_roll_max, rl as {p}low_roll_min, {_case(u, d)} as {p}pattern" for p, u, d in _MASKS.values()) + " from b)"
+    + ", p as (select ticker, dt, " + ", ".join(f"rh as {p}high_roll_max, rl as {p}low_roll_min, {_more(p)}{_case(u, d)} as {p}pattern" for p, u, d in _MASKS.values()) + " from b)"
     + f", sr as (with {_SR.removeprefix(', ')}), tr as (with {_TREND.removeprefix(', ')})"
     + ", u as (select ticker, dt, " + ", ".join(_ALL) + " from p join sr using (ticker, dt) join tr using (ticker, dt))"
 )
