@@ -36,17 +36,66 @@ def discrete(feature: Column) -> Column:
     return feature.startswith("cross_") | feature.endswith("pattern")
 
 
-def binned(long: DataFrame, bins: int = 8) -> DataFrame:
-    """long with x: the value itself where discrete, else its quantile bin by rank within ticker and feature (equal values share one)."""
-    place = F.percent_rank().over(W.partitionBy(*BY).orderBy("value"))
-    return long.withColumn("x", F.when(discrete(F.col("feature")), F.col("value")).otherwise(F.floor(place * bins).cast("double")))
+def histogram(long: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """BY, value, labels, m: the rows of each distinct value of a feature, by the labels of their day; labels is null without any."""
+    days = labels.select("ticker", "dt", F.struct(*names).alias("labels"))
+    return long.join(days, ["ticker", "dt"], "left").groupBy(*BY, "value", "labels").agg(F.count("*").alias("m"))
+
+
+def _below(values: DataFrame) -> DataFrame:
+    """values (BY, value, m: rows of each distinct value) with `below` and `all`: the feature's rows of smaller values, and all of its rows.
+
+    Counts roll within ranges of values, over the totals of the ranges before: no task needs all values of a feature.
+    Ranges are cut where the distinct values are. Null comes first, NaN last.
+    """
+    points = cut(values.repartitionByRange(*BY, "value").withColumn("_r", F.spark_partition_id()), "value-ranges")
+    ranges = points.groupBy(*BY, "_r").agg(F.sum("m").alias("_m"))
+    of = W.partitionBy(*BY)
+    before = F.coalesce(F.sum("_m").over(of.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*BY, "_r", before.alias("_before"), F.sum("_m").over(of).alias("all"))
+    within = W.partitionBy(*BY, "_r").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    points = points.withColumn("_in", F.coalesce(F.sum("m").over(within), F.lit(0)))
+    return points.join(ranges, [*BY, "_r"]).select(*BY, "value", "m", (F.col("_before") + F.col("_in")).alias("below"), "all")
+
+
+def bin_edges(long: DataFrame, bins: int = 8) -> DataFrame:
+    """BY, x, low: the least value of each quantile bin that has rows, for features that aren't discrete.
+
+    A value's bin is floor(percent rank * bins) among all rows of its ticker and feature, so equal values share one.
+    """
+    return _edges(long.where(~discrete(F.col("feature"))).groupBy(*BY, "value").agg(F.count("*").alias("m")), bins)
+
+
+def _edges(values: DataFrame, bins: int) -> DataFrame:
+    # As percent_rank has it: one division, then the product.
+    place = F.when(F.col("all") > 1, F.col("below").cast("double") / (F.col("all") - 1)).otherwise(0.0)
+    x = F.floor(place * bins).cast("double")
+    return _below(values).groupBy(*BY, x.alias("x")).agg(F.min(F.struct("value")).alias("low")).select(*BY, "x", "low.value")
+
+
+def binned(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (BY, value, ...) with x: the value itself where discrete, else the bin whose edge is the last at or below it.
+
+    Edges are at most one a bin, so a feature's are one short array; null and NaN go where the order puts them.
+    """
+    # A rank for null before all numbers, so that structs compare as the windows sort.
+    spot = lambda v: F.struct(v.isNotNull().alias("some"), v.alias("value"))
+    short = edges.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct(spot(F.col("value")).alias("low"), "x"))).alias("_edges"))
+    at = F.filter("_edges", lambda e: e["low"] <= spot(F.col("value")))
+    x = F.when(discrete(F.col("feature")), F.col("value")).otherwise(F.element_at(at, -1)["x"])
+    return rows.join(short, BY, "left").withColumn("x", x).drop("_edges")
 
 
 def mutual_info(long: DataFrame, labels: DataFrame, names: list[str], bins: int = 8) -> DataFrame:
-    """BY, mi: the greater plug-in mutual information, in nats, of the binned feature with each label; 0 for a label of one class."""
-    rows = binned(long, bins).join(labels.select("ticker", "dt", *names), ["ticker", "dt"])
-    pairs = rows.select(*BY, "x", F.explode(F.array(*(F.named_struct(F.lit("label"), F.lit(n), F.lit("y"), F.col(n)) for n in names))).alias("l")).select(*BY, "x", "l.label", "l.y")
-    cells = pairs.groupBy(*BY, "label", "x", "y").agg(F.count("*").alias("n"))
+    """BY, mi: the greater plug-in mutual information, in nats, of the binned feature with each label; 0 for a label of one class.
+
+    Rows meet once, in a histogram of distinct values by labels. Bins and cells are all made from it.
+    """
+    seen = cut(histogram(long, labels, names), "histogram")
+    values = seen.where(~discrete(F.col("feature"))).groupBy(*BY, "value").agg(F.sum("m").alias("m"))
+    rows = binned(seen.where("labels is not null"), _edges(values, bins)).groupBy(*BY, "x", "labels").agg(F.sum("m").alias("m"))
+    pairs = rows.select(*BY, "x", "m", F.explode(F.array(*(F.struct(F.lit(n).alias("label"), F.col("labels")[n].alias("y")) for n in names))).alias("l")).select(*BY, "x", "m", "l.label", "l.y")
+    cells = pairs.groupBy(*BY, "label", "x", "y").agg(F.sum("m").alias("n"))
     of = lambda *c: F.sum("n").over(W.partitionBy(*BY, "label", *c))
     cells = cells.withColumns({"nx": of("x"), "ny": of("y"), "all": of()})
     mi = cells.groupBy(*BY, "label").agg(F.sum(F.col("n") / F.col("all") * F.log(F.col("n") * F.col("all") / (F.col("nx") * F.col("ny")))).alias("mi"))
