@@ -6,7 +6,7 @@ a query's projections and the usual cosine between a vector and its neighbours,
 so every bucket has an estimated chance to hold one. A query visits the `probes` buckets of a table that promise most.
 SAMPLE queries, whose true neighbours are found by scoring all vectors, give that cosine and the least number of probes at
 which RECALL of their neighbours are met: how near neighbours are depends on the vectors, so no formula of the number
-alone holds a recall. Buckets are dealt to shards of about SHARD vectors, where they lie one after another; only the rows
+alone holds a recall. Buckets are dealt to shards of SHARD vectors or SHARD_COMPONENTS components, where they lie one after another; only the rows
 of visited buckets are scored, and the best of each shard are merged. Shards that large buckets make too large are split,
 and their queries are sent to every part.
 """
@@ -32,16 +32,22 @@ CELLS, FIRST_CELL = 6, -3
 THRIFT = 0.6
 #: Most buckets that a query visits in a table, and most projections in a key (CELLS ** MAX_DEPTH fits 63 bits).
 MAX_PROBES, MAX_DEPTH = 2048, 24
-#: Vectors in one shard; one that holds more than twice as many is split.
-SHARD = 16_384
-#: Queries that a task holds at once.
-HELD_QUERIES = 8192
+#: Vectors in one shard at most, and the components that they have at most; a shard of more than twice as many is split.
+#: A query goes to every shard that it visits, so the fewer shards, the fewer its copies.
+SHARD, SHARD_COMPONENTS = 131_072, 1 << 23
+#: Queries that a task holds at once, and the buckets that they visit.
+HELD_QUERIES, HELD_BUCKETS = 8192, 1 << 22
 #: Up to so many shards, the table of those to split is broadcast (some 40 bytes each).
 BROADCAST_SHARDS = 500_000
 #: Queries whose recall is measured against all vectors, and the recall of those that the probes must reach.
 SAMPLE, RECALL = 128, 0.94
-#: Vectors of so many different lengths at most are searched, each length among its own.
-MAX_LENGTHS = 64
+#: So many lengths of vectors, the most common ones, have tables of their own; all vectors of a rarer length are scored.
+TABLED_LENGTHS = 64
+
+
+def shard_size(dims: int) -> int:
+    """The vectors of a shard, by their length."""
+    return max(1, min(SHARD, SHARD_COMPONENTS // max(1, dims)))
 
 
 def depth_of(n: int) -> int:
@@ -216,16 +222,16 @@ class Bucketed:
 def _scored(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
     """From rows sorted by shard, vectors before queries: the best of each shard for each query that visits it.
 
-    A task holds one shard's vectors and HELD_QUERIES queries at a time.
+    A task holds one shard's vectors and HELD_QUERIES queries at a time, or fewer that visit HELD_BUCKETS buckets.
     """
-    of, vectors, queries, n, index = None, [], [], 0, None
+    of, vectors, queries, n, visits, index = None, [], [], 0, 0, None
 
     def answers() -> Iterator[pa.RecordBatch]:
-        nonlocal queries, n, index
+        nonlocal queries, n, visits, index
         if vectors and queries:
             index = index or Bucketed(vectors)
             yield index.best(queries, keep)
-        queries, n = [], 0
+        queries, n, visits = [], 0, 0
 
     for batch in batches:
         shard, asks = batch.column("shard").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
@@ -238,7 +244,8 @@ def _scored(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
             if asks[a]:
                 queries.append(batch.slice(a, b - a))
                 n += b - a
-                if n >= HELD_QUERIES:
+                visits += len(queries[-1].column("buckets").flatten())
+                if n >= HELD_QUERIES or visits >= HELD_BUCKETS:
                     yield from answers()
             else:
                 vectors.append(batch.slice(a, b - a))
@@ -316,15 +323,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
 
     Nearest: the largest inner product in double precision, ties to the smaller vec_id. Fewer candidates give fewer rows.
     Rows without an id and vectors that are null, zero, or hold null or non-finite components take no part; vectors of
-    several lengths are searched each among those of its own length, and more than MAX_LENGTHS lengths raise ValueError.
+    several lengths are searched each among those of its own length, beyond TABLED_LENGTHS lengths by scoring all of them.
     Equal vectors are searched as one, and stand for as many ids as a result can hold; rows that repeat a vec_id with one
     vector count once, and with several vectors each count. Columns besides vec_id and embedding take no part, except in is_query.
     """
     rows = cut(_usable(vectors), "vectors")
-    lengths = [r["n"] for r in rows.groupBy(F.size("vector").alias("n")).count().orderBy("n").limit(MAX_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
-    found = [_nearest(rows if len(lengths) == 1 else rows.where(F.size("vector") == n), is_query, k) for n in lengths]
+    length = F.size("vector")
+    sizes = rows.groupBy(length.alias("n")).count().orderBy(F.desc("count"), "n").limit(TABLED_LENGTHS + 1).collect()
+    lengths = [r["n"] for r in sizes[:TABLED_LENGTHS]]
+    found = [_nearest(rows if len(sizes) == 1 else rows.where(length == n), is_query, k) for n in lengths]
+    if len(sizes) > TABLED_LENGTHS:
+        found.append(_nearest_of_all(rows.where(~length.isin(lengths)), is_query, k))
     out = rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false") if not found else found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -332,22 +341,55 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     return out if len(found) < 2 else out.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
-def _nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
-    """nearest, for rows (vec_id, vector) of one length."""
-    queries = rows.where(is_query)
+def _distinct(rows: DataFrame, is_query: Column, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points: a number for each distinct vector, and its ids; asked: query_id and its point; point, query, vector), from rows (vec_id, vector)."""
     by_id = W.partitionBy("vector").orderBy("vec_id")
     leading = rows.distinct().withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1)
     points = cut(leading.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("point", F.monotonically_increasing_id()), "points")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
-    size, largest, dims = points.agg(F.count("*"), F.max(norm), F.max(F.size("vector"))).first()
-    asked = queries.distinct().join(points.select("vector", "point"), "vector").select(F.col("vec_id").alias("query_id"), F.col("point").alias("query"))
+    asked = rows.where(is_query).distinct().join(points.select("vector", "point"), "vector").select(F.col("vec_id").alias("query_id"), F.col("point").alias("query"))
     asked = cut(asked, "queries")
     marked = points.join(asked.select(F.col("query").alias("point"), F.lit(True).alias("query")).distinct(), "point", "left").select("point", F.coalesce("query", F.lit(False)).alias("query"), "vector")
+    return points, asked, marked
+
+
+def _answers(dealt: DataFrame, tasks: int, points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from vectors and queries dealt to shards: a task for each, up to a number that any cluster can schedule."""
+    split = dealt.repartition(max(1, min(tasks, 100_000)), "shard").sortWithinPartitions("shard", "query")
+    found = map_batches(split, lambda b: _scored(b, k + 1), "query long, point long, score double")
+    pairs = found.groupBy("query", "point").agg(F.max("score").alias("score"))
+    best = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
+    pairs = pairs.withColumn("nth", best).where(F.col("nth") <= k + 1).join(points.select("point", "ids"), "point")
+    pairs = pairs.select("query", "score", F.explode("ids").alias("vec_id"))
+    answers = asked.join(pairs, "query").where("query_id <> vec_id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _nearest_of_all(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """nearest, for rows (vec_id, vector) of rare lengths: exact. A shard holds vectors of one length, all in one bucket."""
+    points, asked, marked = _distinct(rows, is_query, k)
+    most = points.agg(F.max(F.size("vector"))).first()[0]
+    sizes = cut(points.groupBy(F.size("vector").alias("n")).agg(F.ceil(F.count("*") / shard_size(most)).alias("v")), "rare-lengths")
+    placed = marked.join(sizes, F.size("vector") == F.col("n"))
+    # A length's parts are numbered in the low 32 bits. A vector goes to one of them, a query to all.
+    shard = lambda part: F.shiftleft(F.col("n").cast("long"), 32) + part
+    row = lambda part, query: (shard(part).alias("shard"), F.lit(query).alias("query"), "point", F.array(F.lit(0).cast("long")).alias("buckets"), "vector")
+    held = placed.select(*row(F.pmod(F.xxhash64("point"), F.col("v")), False))
+    asking = placed.where("query").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v") - 1))).select(*row(F.col("part"), True))
+    return _answers(held.unionByName(asking), sizes.agg(F.coalesce(F.sum("v"), F.lit(1))).first()[0], points, asked, k)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """nearest, for rows (vec_id, vector) of one length."""
+    points, asked, marked = _distinct(rows, is_query, k)
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v))
+    size, largest, dims = points.agg(F.count("*"), F.max(norm), F.max(F.size("vector"))).first()
     tables = fitted_tables(points, asked, size, dims, largest, k)
-    shards = max(1, size // SHARD)
+    each = shard_size(dims)
+    shards = max(1, size // each)
     vector = points.schema["vector"].dataType.simpleString()
     placed = map_batches(points.select("vector"), lambda b: _placed(b, tables, shards), "shard long")
-    large = cut(placed.groupBy("shard").agg(F.count("*").alias("v")).where(F.col("v") > 2 * SHARD).select("shard", F.ceil(F.col("v") / SHARD).alias("v")), "large-shards")
+    large = cut(placed.groupBy("shard").agg(F.count("*").alias("v")).where(F.col("v") > 2 * each).select("shard", F.ceil(F.col("v") / each).alias("v")), "large-shards")
     dealt = map_batches(marked, lambda b: _dealt(b, tables, shards), f"shard long, query boolean, point long, buckets array<long>, vector {vector}")
     n_large = large.count()
     if n_large:
@@ -356,13 +398,4 @@ def _nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
         parts = F.when(F.col("v").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("query"), F.sequence(F.lit(0).cast("long"), F.col("v") - 1)).otherwise(F.array(F.pmod(F.xxhash64("point"), F.col("v"))))
         split = split.withColumn("part", F.explode(parts))
         dealt = split.select(F.when(F.col("v").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "part")).alias("shard"), "query", "point", "buckets", "vector")
-    # A task for each shard, up to a number that any cluster can schedule.
-    split = dealt.repartition(min(shards * tables.tables + n_large, 100_000), "shard").sortWithinPartitions("shard", "query")
-    found = map_batches(split, lambda b: _scored(b, k + 1), "query long, point long, score double")
-    pairs = found.groupBy("query", "point").agg(F.max("score").alias("score"))
-    best = F.rank().over(W.partitionBy("query").orderBy(F.desc("score")))
-    pairs = pairs.withColumn("nth", best).where(F.col("nth") <= k + 1).join(points.select("point", "ids"), "point")
-    pairs = pairs.select("query", "score", F.explode("ids").alias("vec_id"))
-    answers = asked.join(pairs, "query").where("query_id <> vec_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return answers.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return _answers(dealt, shards * tables.tables + n_large, points, asked, k)

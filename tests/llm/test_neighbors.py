@@ -104,6 +104,17 @@ def test_lengths_of_vectors(spark):
         assert recall({i: got[i] for i, v in own if i % 20 == 0}, brute(own)) >= 0.9
 
 
+def test_any_number_of_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "TABLED_LENGTHS", 1)
+    monkeypatch.setattr(neighbors, "SHARD", 16)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8 if i % 2 else 2 + i // 20 % 5).tolist()) for i in range(600)]
+    got = collect(neighbors.nearest(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), F.col("vec_id") % 20 == 0))
+    for n in range(2, 7):
+        want = brute([(i, v) for i, v in rows if len(v) == n], k=20)
+        assert want and all([j for j, _ in got[i]] == [j for j, _ in w] for i, w in want.items())
+
+
 def test_probes_come_in_order_of_promise():
     rng = np.random.default_rng(1)
     y = rng.normal(size=(5, 6))
