@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .fill import asset_type, finite
+from .guards import with_columns_of, with_rows
 
 #: Clips by target, error limits by asset type, and the variance below which a target counts as flat.
 CLIPS = {"best_entry": (-0.20, 0.30), "best_sale": (0.05, 0.40)}
@@ -71,6 +72,9 @@ def smart_fallback_rows(wanted: DataFrame, models: DataFrame, fallbacks: DataFra
     return joined.select("dt", "ticker", "target", F.lit("smart_fallback_last").alias("model"), clipped(F.coalesce("last_pred", "rolling_mean"), F.col("target")).alias("pred_pct"), F.lit(0.0).alias("alpha"), F.lit(0.5).alias("quality_score"), F.lit(True).alias("used_fallback"))
 
 
-def quality_filter(predictions: DataFrame, least: float = 0.7) -> DataFrame:
-    """Forecasts of enough quality that aren't fallbacks."""
-    return predictions.where((F.col("quality_score") >= least) & ~F.col("used_fallback"))
+def quality_filter(predictions: DataFrame, least: float = 0.7, strict: bool = False) -> DataFrame:
+    """Forecasts of enough quality that aren't fallbacks; with strict, ValueError where a column is missing or none is left."""
+    if strict:
+        with_columns_of(predictions, ["quality_score", "used_fallback"], "forecasts")
+    good = predictions.where((F.col("quality_score") >= least) & ~F.col("used_fallback"))
+    return with_rows(good, "forecasts of enough quality") if strict else good
