@@ -139,12 +139,13 @@ def _tried(some: DataFrame, valid: DataFrame, params: list[dict], n: int, pos: i
     return [p | {"valid_ap": precision[k]} | ({"rounds": models[k].getNumTrees} if p["model"] == "gbt" else {}) for k, p in enumerate(params)], models
 
 
-def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], params: list[dict], keys: list[str], refit: bool = True) -> dict[str, tuple[PipelineModel, dict]]:
+def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], params: list[dict], keys: list[str], refit: bool = True, before: dict[str, PipelineModel] | None = None) -> dict[str, tuple[PipelineModel, dict]]:
     """For each kind of model, the trial with the best average precision on valid, fitted again on both sets.
 
     Its info holds that precision, the first of the best trials' settings, and the threshold with the best F1 on valid, asked
     of a fit on the trials' rows. Features become vectors in one table that all fits read. Trials see TUNING_ROWS at
-    most, by a hash of keys; AT_ONCE of them run together. No trial can be fitted on one class.
+    most, by a hash of keys; AT_ONCE of them run together. No trial can be fitted on one class. `before`, if given, is filled
+    with the models of each kind that were asked for the threshold and haven't seen valid.
     """
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     both = train.withColumn("held", F.lit(False)).unionByName(valid.withColumn("held", F.lit(True)))
@@ -179,6 +180,8 @@ def fit_classifiers(train: DataFrame, valid: DataFrame, features: list[str], par
     for table in (some, held, whole):
         table.unpersist()
     discard(both)
+    if before is not None:
+        before.update({name: PipelineModel([assembler, m]) for name, m in judged.items()})
     return {name: (PipelineModel([assembler, m]), p | {"threshold": thresholds[name]}) for (name, (p, _)), m in zip(best.items(), final, strict=True)}
 
 
@@ -386,22 +389,28 @@ class ModelStore:
     """
 
     SCHEMA = "target string, model string, version long, path string, params map<string,string>, valid_ap double"
+    SCORES = "target string, model string, version long, dt date, ticker string, p double"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         """All rows of a table of the store; none where nothing is stored yet."""
-        conf, path = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not path.getFileSystem(conf).exists(path):
+        if not self._exists(f"{self.folder}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
-    def save(self, target: str, name: str, model: PipelineModel, info: dict) -> int:
-        """Adds a version of a pipeline and returns its number; earlier ones stay."""
+    def _exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def save(self, target: str, name: str, model: PipelineModel, info: dict, before: PipelineModel | None = None) -> int:
+        """Adds a version of a pipeline and returns its number; earlier ones stay. `before` is the same before its fit on all rows."""
         version = 1 + (self.registry().where((F.col("target") == target) & (F.col("model") == name)).agg(F.max("version")).first()[0] or 0)
         path = f"{self.folder}/pipelines/{target}/{name}/{version}"
         model.write().overwrite().save(path)
+        if before is not None:
+            before.write().overwrite().save(f"{path}-before")
         row = (target, name, version, path, {k: str(v) for k, v in info.items()}, float(info.get("valid_ap", float("nan"))))
         self.spark.createDataFrame([row], self.SCHEMA).write.mode("append").parquet(f"{self.folder}/registry")
         return version
@@ -422,15 +431,37 @@ class ModelStore:
         """What of wanted (target, model) isn't registered yet."""
         return wanted.join(self.registry().select("target", "model"), ["target", "model"], "left_anti")
 
-    def models(self, target: str, names: list[str], fit: Callable[[list[str]], dict[str, tuple[PipelineModel, dict]]], mode: str = "auto") -> dict[str, tuple[PipelineModel, dict]]:
-        """The models of a target by name. Mode `load` takes what is stored, `train` fits all anew, `auto` fits what is missing."""
+    def models(self, target: str, names: list[str], fit: Callable[[list[str]], dict[str, tuple]], mode: str = "auto") -> dict[str, tuple[PipelineModel, dict]]:
+        """The models of a target by name. Mode `load` takes what is stored, `train` fits all anew, `auto` fits what is missing; fit gives (model, info) or (model, info, model before its refit)."""
         have = {r["model"] for r in self.registry().where(F.col("target") == target).select("model").collect()} if mode != "train" else set()
         wanted = [n for n in names if n not in have] if mode != "load" else []
-        for name, (model, info) in (fit(wanted) if wanted else {}).items():
-            self.save(target, name, model, info)
+        for name, (model, info, *before) in (fit(wanted) if wanted else {}).items():
+            self.save(target, name, model, info, *before)
             have.add(name)
         return {n: self.load(target, n) for n in names if n in have}
 
+    def scores(self, target: str, rows: DataFrame, held: Column) -> DataFrame:
+        """target, model, version, dt, ticker, p: what the latest version of each of the target's models says of rows (dt, ticker, features).
+
+        A table of the store keeps scores by version and date. Only dates that a version hasn't scored are scored, and added
+        to it. Rows that are `held` go by the model before its refit, where one is stored, so that it hasn't seen them. A row
+        that repeats a dt and ticker counts once.
+        """
+        have, new, key = self._table("scores", self.SCORES), None, ["target", "model", "version", "dt", "ticker"]
+        versions = self.registry().where(F.col("target") == target).select("target", "model", "version", "path")
+        for r in versions.collect():  # one a kind of model
+            of = {c: r[c] for c in ("target", "model", "version")}
+            done = have.where(" and ".join(f"{c} = {v!r}" for c, v in of.items())).select("dt").distinct()
+            todo, own = rows.join(done, "dt", "left_anti"), f"{r['path']}-before"
+            parts = [(todo.where(held), own), (todo.where(~held), r["path"])] if self._exists(own) else [(todo, r["path"])]
+            for part, path in parts:
+                part = score_classifier(PipelineModel.load(path), part, ["dt", "ticker"]).select(*(F.lit(v).alias(c) for c, v in of.items()), F.col("dt").cast("date").alias("dt"), "ticker", "p")
+                new = part if new is None else new.unionByName(part)
+        if new is not None:
+            new.dropDuplicates(key).withColumn("version", F.col("version").cast("long")).write.mode("append").parquet(f"{self.folder}/scores")
+        kept = self._table("scores", self.SCORES).join(F.broadcast(versions.drop("path")), ["target", "model", "version"], "left_semi")
+        return kept.join(rows.select(F.col("dt").cast("date").alias("dt"), "ticker").distinct(), ["dt", "ticker"], "left_semi").dropDuplicates(key).select(*key, "p")
+
     def save_regressors(self, models: DataFrame) -> None:
         """Adds a version of every (ticker, target, model) of models."""
         version = 1 + (self._table("regressors", f"{_MODELS}, version long").agg(F.max("version")).first()[0] or 0)

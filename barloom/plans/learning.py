@@ -8,12 +8,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut
+from ..operators import blends as ble
 from ..operators import indicators as ind
 from ..operators import models as mod
 from ..operators import patterns as pat
 from ..operators import reduction as red
 from ..operators import splits as spl
 from ..operators.fill import pct_change, stack_long
+from ..operators.metrics import threshold_quantile_f1
 from . import fixtures as fx
 from .blending import _targets
 from .evaluation import _rounded, _split_sql
@@ -179,19 +181,21 @@ def _store(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    """({target: models by name}, rows to score): trained once an application, and taken from the store after that."""
+    """(store, {target: models by name}, rows with their split): trained once an application, and taken from the store after that."""
     rows = cut(_labelled_sets(spark, sf_dir), "labelled-sets")
     store = _store(spark, sf_dir)
     params = [r.asDict() for r in mod.param_samples(_groups(spark, sf_dir)).orderBy("target", "model", "trial").collect()]
 
     def fit(target: str, names: list[str]):
         train, valid = (rows.where(F.col("split") == s).withColumn("label", F.col(TARGETS[target])).select("ticker", "dt", *FEATURES, "label") for s in ("train", "valid"))
-        return mod.fit_classifiers(train, valid, FEATURES, [p for p in params if p["target"] == target and p["model"] in names], ["ticker", "dt"])
+        before: dict = {}
+        found = mod.fit_classifiers(train, valid, FEATURES, [p for p in params if p["target"] == target and p["model"] in names], ["ticker", "dt"], before=before)
+        return {name: (*found[name], before[name]) for name in found}
 
     kept = lambda t: store.models(t, list(mod.TRIALS), lambda names: fit(t, names))
     with ThreadPoolExecutor(len(TARGETS)) as pool:  # one target's few large fits fill the other's gaps
         models = dict(zip(TARGETS, pool.map(inheritable_thread_target(spark)(kept), TARGETS), strict=True))
-    return store, models, rows.where("split = 'apply'")
+    return store, models, rows
 
 
 _DRAW = lambda name: f"cast('0x' || substr(md5(target || '|' || model || '|' || trial || '|{name}:42'), 1, 13) as bigint) / 4503599627370496.0"
@@ -216,17 +220,39 @@ def fit_classifiers(spark, sf_dir):
 
 @query("score_classifiers")
 def score_classifiers(spark, sf_dir):
-    _, models, now = _models(spark, sf_dir)
+    _, models, rows = _models(spark, sf_dir)
+    now = rows.where("split = 'apply'")
     up, down = (mod.score_all(models[t], now, list(mod.TRIALS), ["dt", "ticker"]).withColumn("target", F.lit(t)) for t in TARGETS)
     return up.unionByName(down)
 
 
+@query("trained_class_scores")
+def trained_class_scores(spark, sf_dir):
+    """dt, ticker, target, p, threshold, pred of the last dates, by trained models.
+
+    Every model's scores come from the store's table, those of valid dates by models that haven't seen them. They are
+    calibrated by isotonic fits on valid dates, averaged, and cut where F1 on valid dates is best.
+    """
+    store, _, rows = _models(spark, sf_dir)
+    rows, scores = rows.where("split in ('valid', 'apply')"), None
+    for target, label in TARGETS.items():
+        part = store.scores(target, rows, F.col("split") == "valid").drop("version").join(rows.select("dt", "ticker", "split", F.col(label).alias("label")), ["dt", "ticker"])
+        scores = part if scores is None else scores.unionByName(part)
+    scores = cut(scores, "trained-scores")
+    valid, now = (scores.where(F.col("split") == s).drop("split") for s in ("valid", "apply"))
+    calibrated = cut(ble.isotonic_oof(valid, spl.purged_folds(valid.select("dt").distinct()), apply=now), "calibrated")
+    blend = ble.blend_equal(calibrated).join(F.broadcast(scores.select("dt", "split").distinct()), "dt")
+    thresholds = threshold_quantile_f1(blend.where("split = 'valid'"), ["target"])
+    last = blend.where("split = 'apply'").join(F.broadcast(thresholds), "target")
+    return last.select("dt", "ticker", "target", "p", "threshold", (F.col("p") >= F.col("threshold")).cast("int").alias("pred"))
+
+
 @query("model_store")
 def model_store(spark, sf_dir):
     """Every (target, model, ticker) that is stored, pipelines and regressions, with its version and what it says of the last dates."""
     with ThreadPoolExecutor(1) as pool:  # the regressions train beside the classifiers
         beside = None if _store(spark, sf_dir).regressors().take(1) else pool.submit(inheritable_thread_target(spark)(_regressions), spark, sf_dir)
-        store, models, now = _models(spark, sf_dir)
+        store, models, _ = _models(spark, sf_dir)
     if beside is not None:
         rows, boosted, _, tuned = beside.result()
         store.save_regressors(mod.fit_regressors(rows.where("split in ('train', 'valid')"), FEATURES, tuned))

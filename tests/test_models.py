@@ -61,6 +61,25 @@ def test_classifiers_thresholds_and_store(spark, sets, tmp_path):
     assert mod.fit_classifiers(train.where("label = 1"), valid, FEATURES, params, ["ticker", "i"]) == {}
 
 
+def test_scores_are_kept_by_version_and_date(spark, sets, tmp_path, monkeypatch):
+    dated = [df.withColumn("dt", F.expr("date_add(date'2020-01-01', i)")) for df in sets]
+    store, held, asked = mod.ModelStore(spark, f"file://{tmp_path}/store"), F.col("i") >= 160, []
+    before = {}
+    found = mod.fit_classifiers(*dated, FEATURES, settings(spark, {"tree": 1}), ["ticker", "dt"], before=before)
+    store.models("up", ["tree"], lambda names: {n: (*found[n], before[n]) for n in names})
+    inner = mod.score_classifier
+    monkeypatch.setattr(mod, "score_classifier", lambda m, rows, keys: asked.append(rows.count()) or inner(m, rows, keys))
+    rows = dated[0].unionByName(dated[1])
+    assert store.scores("up", rows.where("i >= 100 and i < 200"), held).count() == 100 and asked == [40, 60]
+    every = store.scores("up", rows.where("i >= 100").unionByName(rows.where("i = 120")), held)
+    assert every.count() == 140 and asked[2:] == [40, 0]
+    want = {**{r["dt"]: r["p"] for r in inner(before["tree"], dated[1], ["dt"]).collect()}, **{r["dt"]: r["p"] for r in inner(found["tree"][0], dated[0], ["dt"]).collect()}}
+    assert all(r["version"] == 1 and r["p"] == pytest.approx(want[r["dt"]]) for r in every.collect())
+    assert store.scores("down", rows, held).collect() == []
+    store.models("up", ["tree"], lambda names: {n: found[n] for n in names}, "train")
+    assert {r["version"] for r in store.scores("up", dated[1], held).collect()} == {2} and asked[4:] == [80]
+
+
 def test_regressions_against_numpy(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(mod, "MIN_TRAIN", 40)
     monkeypatch.setattr(mod, "MIN_VALID", 10)
