@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from barloom.plans import fixtures as fx
 
-REDUCTION = ["greedy_decorrelate", "reduction_report", "mutual_info", "mi_rank_topk", "anchor_features"]
+REDUCTION = ["greedy_decorrelate", "reduction_report", "variance_fallback", "mutual_info", "mi_rank_topk", "anchor_features"]
 
 
 @pytest.fixture
