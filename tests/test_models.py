@@ -1,5 +1,8 @@
 """Training, the store and the regressions on small frames, against numpy where there is a closed form."""
 
+from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +64,31 @@ def test_classifiers_thresholds_and_store(spark, sets, tmp_path):
     assert mod.fit_classifiers(train.where("label = 1"), valid, FEATURES, params, ["ticker", "i"]) == {}
 
 
+def test_targets_are_stored_side_by_side(spark, sets, tmp_path):
+    train, valid = sets
+    found = mod.fit_classifiers(train, valid, FEATURES, settings(spark, {"tree": 1}), ["ticker", "i"])
+    store, targets = mod.ModelStore(spark, f"file://{tmp_path}/store"), [f"t{k}" for k in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        loaded = list(pool.map(lambda t: store.models(t, ["tree"], lambda names: found), targets))
+    assert all(set(x) == {"tree"} for x in loaded)
+    assert sorted(r["target"] for r in store.registry().collect()) == targets
+
+
+def test_kinds_train_beside_each_other(spark, sets, monkeypatch):
+    """No kind waits for another: each's first fit begins only when all kinds have begun."""
+    meet, inner, begun = Barrier(3, timeout=60), mod._estimator, set()
+
+    def estimator(p, tuning):
+        if p["model"] not in begun:
+            begun.add(p["model"])
+            meet.wait()
+        return inner(p, tuning)
+
+    monkeypatch.setattr(mod, "_estimator", estimator)
+    found = mod.fit_classifiers(*sets, FEATURES, settings(spark, {"gbt": 1, "forest": 1, "tree": 1}), ["ticker", "i"])
+    assert begun == set(found) == {"gbt", "forest", "tree"}
+
+
 def test_scores_are_kept_by_version_and_date(spark, sets, tmp_path, monkeypatch):
     dated = [df.withColumn("dt", F.expr("date_add(date'2020-01-01', i)")) for df in sets]
     store, held, asked = mod.ModelStore(spark, f"file://{tmp_path}/store"), F.col("i") >= 160, []
