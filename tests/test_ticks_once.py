@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from barloom.plans import fixtures as fx
+from barloom.plans import learning
 
 REDUCTION = ["greedy_decorrelate", "reduction_report", "variance_fallback", "mutual_info", "mi_rank_topk", "anchor_features"]
+TRAINING = ["score_classifiers", "trained_class_scores", "param_samples"]
 
 
 @pytest.fixture
@@ -31,3 +33,14 @@ def test_reduction_reads_ticks_once(spark, sf, ticks_read, name):
     seen, there = ticks_read
     assert entry.queries()[name](spark, sf).count() > 0
     assert seen.value == there
+
+
+@pytest.mark.parametrize("name", TRAINING)
+def test_training_reads_ticks_once(spark, sf, ticks_read, monkeypatch, name):
+    """What is trained doesn't matter here, so nothing is: no classifiers, and no boosted regressions."""
+    monkeypatch.setattr(learning.mod, "fit_classifiers", lambda *_, **__: {})
+    monkeypatch.setattr(learning.mod, "fit_boosted", lambda *_: {})
+    monkeypatch.setattr(learning, "_STORES", {})
+    seen, there = ticks_read
+    entry.queries()[name](spark, sf).collect()
+    assert seen.value == there
