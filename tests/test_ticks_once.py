@@ -7,7 +7,7 @@ from barloom.plans import fixtures as fx
 from barloom.plans import learning
 
 REDUCTION = ["greedy_decorrelate", "reduction_report", "variance_fallback", "mutual_info", "mi_rank_topk", "anchor_features"]
-TRAINING = ["fit_classifiers", "score_classifiers", "trained_class_scores", "model_store", "param_samples"]
+TRAINING = ["fit_classifiers", "score_classifiers", "trained_class_scores", "model_store", "apply_regressors", "param_samples"]
 
 
 @pytest.fixture
